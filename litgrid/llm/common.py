@@ -49,6 +49,18 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Stands for a null id inside Python workers, where pandas would turn ids beside nulls into floats.
+NULL_ID = -(1 << 63)
+
+
+def id_in(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID)).alias("doc_id")
+
+
+def id_out(col: str = "doc_id") -> Column:
+    return F.when(F.col(col) != NULL_ID, F.col(col)).alias(col)
+
+
 def fold_of(doc_id: str | Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo the number of folds; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
@@ -213,3 +225,39 @@ class Tokens:
         for i, ids in zip(odd, self._plain([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
+
+
+class Scratch:
+    """Tables in a folder of their own under the shared folder, deleted at the end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = prepared(spark), new_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(to := f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(to)
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and label, the least node it is linked with over any number of edges (a, b), for every node of an edge.
+
+    Labels pass along edges and then jump to their label's label, so the rounds grow with the logarithm of a path.
+    """
+    both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        new = scratch.keep(labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        root = new.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        jumped = scratch.keep(new.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label"), "old"))
+        labels = jumped.select("node", "label")
+        if jumped.where("label <> old").isEmpty():
+            return labels

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tokens, new_path, prepared, small
+from .common import Tokens, id_in, id_out, new_path, prepared, small
 
 STEPS = 200
 
@@ -111,9 +111,9 @@ def tokenized(docs: DataFrame, path: str, vocabulary: str, end_id: int, window:
                 out.append((i, n, rest, task, int(seen[rest]), full, ids + end))
                 seen[rest] += 1
                 full += n // window
-            yield pd.DataFrame(out, columns=["doc_id", "n", "rest", "task", "rank", "whole", "ids"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n", "rest", "task", "rank", "whole", "ids"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = docs.select(id_in(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     plain.mapInPandas(encode, "doc_id long, n long, rest int, task int, rank long, whole long, ids binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
@@ -154,6 +154,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1,
                 for sequence, offset, length in place(made, window, rest, rank) if rest else []:
                     out.append((i, at, length, n, sequence, offset, ids[at * 4 : (at + length) * 4]))
                     at += length
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return rows.join(small(base, 2_000_000), ["task", "rest"]).mapInPandas(pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    found = rows.join(small(base, 2_000_000), ["task", "rest"]).mapInPandas(pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return found.withColumn("doc_id", id_out())

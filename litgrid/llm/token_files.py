@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tokens, prepared, small
+from .common import Tokens, id_in, id_out, prepared, small
 
 #: Ids of a block; a text is never parted, so a block holds at least one text.
 BLOCK = 1 << 16
@@ -42,7 +42,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, end_
 
     Rows are range-partitioned by id, so shard k's ids all precede shard k + 1's; a shard is a sequence of blocks. A
     block is a row: shard, block, first (ids of the shard before it), n_ids, bits, doc_ids, offsets (of each text in the
-    block, and its end) and data. Spark's Parquet writer is the container: it commits whole tasks only and reaches any
+    block, and its end) and data; a null id is the least long. Spark's Parquet writer is the container: it commits whole tasks only and reaches any
     store that Spark reaches. Null texts are empty; null ids come first; equal ids are ordered by their texts' hash.
     """
     prepared(spark)
@@ -52,7 +52,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, end_
         bits, end = width(max(tokens.lib.get_vocab_size(), end_id + 1)), np.uint32(end_id).astype("<u4").tobytes()
         first = block = 0
         ids: list[bytes] = []
-        doc_ids: list[int | None] = []
+        doc_ids: list[int] = []
 
         def done() -> pd.DataFrame:
             nonlocal first, block, ids, doc_ids
@@ -65,7 +65,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, end_
         for x in rows:
             for i, got in zip(x["doc_id"], tokens.encode(x["text"].tolist()), strict=True):
                 ids.append(got + end)
-                doc_ids.append(None if pd.isna(i) else int(i))
+                doc_ids.append(i)
                 size += len(got) // 4 + 1
                 if size >= BLOCK:
                     yield done()
@@ -73,7 +73,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, end_
         if ids:
             yield done()
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = docs.select(id_in(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     ordered = plain.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     schema = "shard int, block int, first long, n_ids long, bits int, doc_ids array<bigint>, offsets array<bigint>, data binary"
@@ -98,12 +98,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 at = np.asarray(offsets, np.int64)
                 raw = unpacked(data, int(bits), 0, int(at[-1])).tobytes()
                 yield pd.DataFrame({
-                    "doc_id": pd.array([None if pd.isna(i) else int(i) for i in doc_ids], "Int64"), "start": base + at[:-1], "n_tokens": np.diff(at),
+                    "doc_id": doc_ids, "start": base + at[:-1], "n_tokens": np.diff(at),
                     "ids": [raw[i * 4 : j * 4] for i, j in zip(at[:-1], at[1:], strict=True)],
                 })
 
     # a block's unpacked ids are large; a few at a time are enough
-    return _blocks(spark, path).select("doc_ids", "offsets", "base", "first", "bits", "data").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
+    blocks = _blocks(spark, path).select("doc_ids", "offsets", "base", "first", "bits", "data")
+    return blocks.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary").withColumn("doc_id", id_out())
 
 
 def read_range(spark: SparkSession, path: str, start: int, n: int) -> np.ndarray:
