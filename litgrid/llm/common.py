@@ -150,15 +150,16 @@ class Tokens:
 
     _of: dict[str, Tokens] = {}
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib, self.keep = Tokenizer.from_file(path), keep
         self.lib.encode_special_tokens = True
         self.known: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}  # letters after a space
         self.before: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}  # letters at the start of a line, and marks after letters
         self.line = self._plain(["\n"])[0]
         self.line_id = int(np.frombuffer(self.line, "<u4")[0])
 
@@ -171,28 +172,41 @@ class Tokens:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for i, j in batches([t.encode("utf-8", "replace") for t in texts], 1 << 18) for e in self.lib.encode_batch_fast(texts[i:j], add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         """A word is letters and then marks, which the pre-tokenizer parts too, or is encoded as it is."""
-        known, parts, before, made, new = self.known, self.parts, self.before, [], {}
+        known, stems, before, marks, marked = self.known, self.stems, self.before, self.marks, string.punctuation
+        late, new, other = [], set(), set()
         for w in words:
-            if w in ("", "\n") or (w[1] if w[0] == "\n" else w[0]).isspace():
+            stem = w.rstrip(marked)
+            if stem.isalpha():
+                tail = w[len(stem) :]
+                ids = stems.get(stem)
+                if ids is None and (ids := before.get(stem)) is not None:
+                    stems[stem] = ids
+                if ids is None or tail not in marks:
+                    late.append((w, stem, tail))
+                    if ids is None:
+                        new.add(stem)
+                    other.add(tail)
+                else:
+                    known[w] = ids + marks[tail]
+            elif not w or w == "\n" or w[w[0] == "\n"].isspace():
                 known[w] = None
-                continue
-            head = w[1:] if w[0] == "\n" else " " + w
-            stem = head.rstrip(string.punctuation)
-            if not stem[head[0] == " " :].isalpha():
-                stem = head
-            tail = head[len(stem) :]
-            made.append((w, stem, tail))
-            for x in (stem, tail):
-                if x not in parts and x not in new:
-                    if x in before:
-                        parts[x] = before[x]
-                    else:
-                        new[x] = None
-        parts.update(self._words(list(new)))
-        for w, stem, tail in made:
-            known[w] = self.line + parts[stem] + parts[tail] if w[0] == "\n" else parts[stem] + parts[tail]
+            elif w[0] == "\n" and stem[1:].isalpha():
+                late.append((w, stem[1:], w[len(stem) :]))
+                other.update(late[-1][1:])
+            elif w[0] == "\n":
+                known[w] = self.line + self._plain([w[1:]])[0]
+            else:
+                known[w] = self._plain([" " + w])[0]
+        stems.update((w[1:], ids) for w, ids in self._words([" " + w for w in new]).items())
+        if len(marks) > self.keep // 4:
+            marks.clear()
+            marks[""] = b""
+            other.update(x for w, stem, tail in late for x in ((stem, tail) if w[0] == "\n" else (tail,)))
+        marks.update(self._words([x for x in other if x not in marks]))
+        for w, stem, tail in late:
+            known[w] = self.line + marks[stem] + marks[tail] if w[0] == "\n" else stems[stem] + marks[tail]
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word: encoded as lines of one text, whose line ends are tokens of their own."""
@@ -209,12 +223,12 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.keep:
             self.known.clear()
-        if len(self.parts) > self.keep:  # what was not met since the last turn goes
-            self.parts, self.before = {"": b""}, self.parts
+        if len(self.stems) > self.keep:  # what was not met since the last turn goes
+            self.stems, self.before = {}, self.stems
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
         known = self.known
-        if new := {w for words in split for w in words if w not in known}:
-            self._learn(list(new))
+        if new := set().union(*split).difference(known):
+            self._learn(new)
         out: list[bytes | None] = []
         for words in split:
             try:
