@@ -32,6 +32,11 @@ def plain(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace").translate(_PLAIN)
 
 
+def pairs(words: np.ndarray) -> np.ndarray:
+    """The index' terms: hashes of every two successive words."""
+    return words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+
+
 def question_and_answer(text: str) -> tuple[str, str]:
     """The answer follows `answer:`, else a question mark, else it is the last sentence; it may be empty."""
     for mark in (r"(?i)\banswer\s*:", r"\?", r"[.!](?=\s+\S)"):
@@ -43,10 +48,13 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Inverted lists of the items' words. A posting's impact is its share of what the item itself would score."""
+    """Inverted lists of the items' word pairs. A posting's impact is its share of what the item itself would score.
+
+    Single words would not do: passages of 128 common words reach half of a short item's score.
+    """
 
     def __init__(self, ids: list[int], texts: list[str]):
-        words = [hashed_words(plain(t))[0] for t in texts]
+        words = [pairs(hashed_words(plain(t))[0]) for t in texts]
         keep = [k for k, w in enumerate(words) if len(w)]
         self.block = BLOCK
         self.ids, self.texts = np.array([ids[k] for k in keep], np.int64), [texts[k] for k in keep]
@@ -116,8 +124,7 @@ def covered(part: np.ndarray, passage: np.ndarray) -> float:
     """Share of the part's words within word pairs that the passage has too; of the words if it is one word."""
     if len(part) < 2:
         return float(np.isin(part, passage).mean()) if len(part) else 1.0
-    k = np.uint64(0x9E3779B97F4A7C15)
-    hit = np.isin(part[:-1] * k + part[1:], passage[:-1] * k + passage[1:])
+    hit = np.isin(pairs(part), pairs(passage))
     return float((np.r_[hit, False] | np.r_[False, hit]).mean())
 
 
@@ -128,12 +135,12 @@ def windows(a: int, b: int) -> list[tuple[int, int]]:
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold test items: a row for each document and item, with the passage that matches best.
 
-    Words are lower case without ASCII punctuation. A document's passages are 128 words, 48 apart. A passage whose
+    Terms are pairs of successive words, lower case without ASCII punctuation. A document's passages are 128 words, 48 apart. A passage whose
     words' largest impacts together miss the threshold is passed over at once, which is WAND's own bound; the others
     search the index. A hit counts if the question's and the answer's words are found by word pairs.
 
     The index holds up to ITEMS items and goes to each task; beyond that there are several indexes, one after the
-    other. Null or empty texts and items without words match nothing; ids may be null or repeated (a row each, by
+    other. Null or empty texts and items of fewer than two words match nothing; ids may be null or repeated (a row each, by
     row); equal items match alike. Empty tables give no rows; other columns are not used.
 
     Columns: doc_id, item_id, score, question_overlap, answer_overlap, start and end (bytes of the normalised text).
@@ -161,18 +168,19 @@ def _query(rows: DataFrame, index: Index, threshold: float, overlap: float) -> D
                 words, start, end = hashed_words(joined)
                 begin = np.r_[0, np.cumsum([len(t) + 1 for t in raw[i:j]])]
                 at = np.searchsorted(start, begin)
-                place = np.minimum(np.searchsorted(index.vocabulary, words), max(0, len(index.vocabulary) - 1))
-                term = np.where(index.vocabulary[place] == words, place, len(index.vocabulary)) if len(index.vocabulary) else np.zeros(len(words), np.int64)
+                terms = pairs(words)  # a passage of words u to v has the terms u to v - 1
+                place = np.minimum(np.searchsorted(index.vocabulary, terms), max(0, len(index.vocabulary) - 1))
+                term = np.where(index.vocabulary[place] == terms, place, len(index.vocabulary)) if len(index.vocabulary) else np.zeros(len(terms), np.int64)
                 bound = np.r_[0.0, np.cumsum(top[term])]
                 for k in range(j - i):
                     a, b = int(at[k]), int(at[k + 1])
-                    if bound[b] - bound[a] < threshold - 1e-6:
+                    if b - a < 2 or bound[b - 1] - bound[a] < threshold - 1e-6:
                         continue
                     best: dict[int, tuple] = {}
                     for u, v in windows(a, b):
-                        if bound[v] - bound[u] < threshold - 1e-6:
+                        if bound[max(u, v - 1)] - bound[u] < threshold - 1e-6:
                             continue
-                        terms = np.unique(term[u:v])
+                        terms = np.unique(term[u : v - 1])
                         terms = terms[terms < len(index.vocabulary)]
                         if top[terms].sum() < threshold - 1e-6:
                             continue
