@@ -174,9 +174,19 @@ def _labels(scratch: Scratch, plain: DataFrame, feats: DataFrame, size: int, per
             x = x[[k not in seen and not seen.add(k) for k in x["key"]]]
             yield pd.DataFrame({"key": x["key"], "tokens": [s.astype("<u8").tobytes() for s in shingle_sets(x["text"].tolist(), size)]})
 
-    texts = plain.select("key", "text").join(small(meta.select("key").distinct(), BROADCAST_ROWS), "key")
-    found = texts.mapInPandas(gather, "key long, tokens binary").dropDuplicates(["key"])
-    sets = scratch.keep(found.join(meta.select("node", "key"), "key").select("node", "tokens"))
+    sets = None
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs; whole sets are made only for nodes that a plausible pair names, once for each."""
+        nonlocal sets
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        named = meta.select("node", "key").join(named if sets is None else named.join(sets, "node", "left_anti"), "node", "left_semi")
+        named = scratch.keep(named)
+        texts = plain.select("key", "text").join(small(named.select("key").distinct(), BROADCAST_ROWS), "key")
+        found = texts.mapInPandas(gather, "key long, tokens binary").dropDuplicates(["key"])
+        found = scratch.keep(found.join(named, "key").select("node", "tokens"))
+        sets = found if sets is None else sets.union(found)
+        return scratch.keep(_similar(pairs, sets, percent))
 
     tried = edges = labels = None
     for turn in range(3):
@@ -187,7 +197,7 @@ def _labels(scratch: Scratch, plain: DataFrame, feats: DataFrame, size: int, per
             pairs = pairs.join(labels, "node", "left").join(kept, "centre", "left").where(F.coalesce("label", "node") != F.coalesce("centre_label", "centre"))
         pairs = pairs.select(*_ordered("node", "centre")).distinct()
         pairs = scratch.keep(_plausible(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, meta, percent))
-        links = scratch.keep(_similar(pairs, sets, percent))
+        links = similar(pairs)
         tried = tried.union(pairs) if tried is not None else pairs
         edges = edges.union(links) if edges is not None else links
         if turn and links.isEmpty():
@@ -214,5 +224,5 @@ def _labels(scratch: Scratch, plain: DataFrame, feats: DataFrame, size: int, per
     pairs = scratch.keep(x.join(y, ["token", "second"]).where(near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     if pairs.isEmpty():
         return labels
-    links = scratch.keep(_similar(pairs, sets, percent))
+    links = similar(pairs)
     return components(edges.union(links), scratch) if not links.isEmpty() else labels
