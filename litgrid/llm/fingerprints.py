@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import id_in, id_out, prepared, settled
 
 #: Characters from which a paragraph is parted into sentences, and the most of a leaf.
-LONG, MOST = 120, 240
+LONG, MOST = 160, 320
 #: One of so many paragraphs ends a section, chosen by its hash, so that edits move no other border.
 SECTION = 6
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+[ \t]*|[^.!?]+")
@@ -34,7 +34,7 @@ def leaves(paragraph: str) -> list[str]:
 def tree(text: str) -> tuple[str, list[list[list[tuple[str, int]]]]]:
     """Root hash, and sections of paragraphs of leaves (hash, characters).
 
-    A node's hash is over its children's, each with its length, so equal roots mean equal texts. Paragraphs are lines
+    A paragraph's hash is over its text, a higher node's over its children's hashes, so equal roots mean equal texts. Paragraphs are lines
     with their line end. A section ends with an empty line or a paragraph whose hash is drawn.
     """
     sections, section, over = [], [], []
@@ -44,9 +44,9 @@ def tree(text: str) -> tuple[str, list[list[list[tuple[str, int]]]]]:
         paragraph = line + "\n" * (k + 1 < len(lines))
         if not paragraph:
             continue
-        own = [(_hash(p.encode("utf-8", "surrogatepass"), 6), len(p)) for p in leaves(paragraph)]
+        own = [(_hash(p.encode("utf-8", "surrogatepass"), 4), len(p)) for p in leaves(paragraph)]
         section.append(own)
-        node = hashlib.blake2b("".join(f"{h}{n:x};" for h, n in own).encode(), digest_size=16).digest()
+        node = hashlib.blake2b(paragraph.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         hashes.append(node)
         if not line or node[0] % SECTION == 0:
             sections.append(section)
@@ -59,13 +59,13 @@ def tree(text: str) -> tuple[str, list[list[list[tuple[str, int]]]]]:
 
 
 def written(root: str, sections: list) -> str:
-    """root, then sections after |, their paragraphs parted by commas, their leaves (12 hex digits and a length) by dots."""
+    """root, then sections after |, their paragraphs parted by commas, their leaves (8 hex digits and a length) by dots."""
     return root + "".join("|" + ",".join(".".join(f"{h}{n:x}" for h, n in p) for p in s) for s in sections)
 
 
 def parsed(fingerprint: str) -> tuple[str, list[list[list[tuple[str, int]]]]]:
     root, *sections = fingerprint.split("|")
-    return root, [[[(x[:12], int(x[12:], 16)) for x in p.split(".")] for p in s.split(",")] for s in sections]
+    return root, [[[(x[:8], int(x[8:], 16)) for x in p.split(".")] for p in s.split(",")] for s in sections]
 
 
 def _alike(a: tuple, b: tuple) -> float:
