@@ -36,6 +36,8 @@ class Trees:
 
     def __init__(self, languages: list[str], language: np.ndarray, gram: np.ndarray, count: np.ndarray):
         self.languages = languages
+        if not languages:
+            return
         own = np.unique(np.concatenate([gram >> 24, gram >> 16 & 255, gram >> 8 & 255, gram & 255])) if len(gram) else np.zeros(0, np.int64)
         self.symbol = np.full(256, len(own), np.int64)
         self.symbol[own] = np.arange(len(own))

@@ -109,7 +109,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield x.loc[keep, ["a", "b"]]
 
-    p, q = sets.select(F.col("node").alias("a"), F.col("tokens").alias("p")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("q"))
+    # only the sets that these pairs name are shuffled
+    p, q = (sets.select(F.col("node").alias(k), F.col("tokens").alias(name)).join(small(pairs.select(k).distinct(), BROADCAST_ROWS), k) for k, name in (("a", "p"), ("b", "q")))
     return pairs.select("a", "b").join(p, "a").join(q, "b").mapInPandas(verify, "a long, b long")
 
 
