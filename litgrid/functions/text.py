@@ -49,17 +49,23 @@ def tokens(x: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.filter(keep, lambda t: ~t.isin(*stop_words)) if stop_words else keep
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once: inside a lambda Spark would compute an outer expression anew for every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ngrams(array: Column, n: int) -> Column:
     """Successive n tokens joined by spaces."""
-    last = F.size(array) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(array, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    m = F.greatest(F.size(array) - n + 1, F.lit(0))
+    zipped = F.arrays_zip(*(F.slice(array, k + 1, m).alias(str(k)) for k in range(n)))
+    return F.transform(zipped, lambda x: F.concat_ws(" ", *(x[str(k)] for k in range(n))))
 
 
 def best_snippet(x: Column, words: Column, most: int = 260) -> Column:
     """The sentence with the most distinct query tokens, the first of equals, cut to `most` characters."""
     clean = normalize_space(x)
     sentences = F.filter(F.transform(F.regexp_extract_all(clean, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
-    scored = F.transform(sentences, lambda s, i: F.struct(F.size(F.array_intersect(tokens(s), words)).alias("n"), (-i).alias("at"), s.alias("s")))
+    scored = bound(words, lambda w: F.transform(sentences, lambda s, i: F.struct(F.size(F.array_intersect(tokens(s), w)).alias("n"), (-i).alias("at"), s.alias("s"))))
     return truncated(F.coalesce(F.array_max(scored)["s"], clean), most)
 
 
@@ -183,8 +189,9 @@ def safe_int(x: Column) -> Column:
 def distinct_ignoring_case(values: Column) -> Column:
     """The first of each set of strings that differ by case only, in order; blank ones dropped."""
     clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
-    low = F.transform(clean, lambda v: F.lower(v))
-    return F.filter(clean, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+    low = lambda x: F.transform(x, lambda v: F.lower(v))
+    kept = lambda x, y: F.filter(x, lambda v, i: F.array_position(y, F.lower(v)) == i + 1)
+    return bound(clean, lambda x: bound(low(x), lambda y: kept(x, y)))
 
 
 def in_year_range(year: Column, expression: Column) -> Column:

@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from . import function_queries, search_queries, table_queries  # noqa: F401
+from . import function_queries, intent_queries, search_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

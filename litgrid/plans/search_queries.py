@@ -38,7 +38,7 @@ def _bm25(spark, d, k: int = 20):
     return index.bm25(_terms(spark, d), index.postings(p, "paper_id", F.concat_ws(" ", "title", "abstract")), p.count(), k)
 
 
-@query("r01_corpus_views", f"WITH {PAPERS}, {CHUNKS} SELECT p.paper_id, md5(title) AS title_doc, md5(coalesce(any_value(c.text), title || ' ' || abstract)) AS chunk_doc FROM papers p LEFT JOIN (SELECT paper_id, string_agg(text, ' ' ORDER BY chunk_index) AS text FROM chunks WHERE chunk_index < 4 GROUP BY paper_id) c ON c.paper_id = p.paper_id GROUP BY ALL")
+@query("r01_corpus_views", f"WITH {PAPERS}, {CHUNKS} SELECT p.paper_id, md5(title) AS title_doc, md5(coalesce(c.text, title || ' ' || abstract)) AS chunk_doc FROM papers p LEFT JOIN (SELECT paper_id, string_agg(text, ' ' ORDER BY chunk_index) AS text FROM chunks WHERE chunk_index < 4 GROUP BY paper_id) c ON c.paper_id = p.paper_id")
 def r01(spark, d):
     joined = chunks(spark, d).where("chunk_index < 4").groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), " ").alias("text"))
     return papers(spark, d).join(joined, "paper_id", "left").select("paper_id", F.md5("title").alias("title_doc"), F.md5(F.coalesce("text", F.concat_ws(" ", "title", "abstract"))).alias("chunk_doc"))
@@ -90,14 +90,14 @@ def r08(spark, d):
     return few.join(index.postings(papers(spark, d), "paper_id", F.concat_ws(" ", "title", "abstract")), "token").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).where("n = 4").select("qid", "doc_id")
 
 
-@query("r11_rescore", f"""WITH base AS ({_bm25_sql(PAPERS, _POST, 'papers', 60)}), title AS ({_bm25_sql(PAPERS, _TITLE_POST, 'papers', 100000)}), s AS (SELECT qid, doc_id, round(b.score + 0.03 * coalesce(t.score, 0), 5) AS score FROM base b LEFT JOIN title t USING (qid, doc_id))
+@query("r11_rescore", f"""WITH base AS ({_bm25_sql(PAPERS, _POST, 'papers', 60)}), title AS ({_bm25_sql(PAPERS, _TITLE_POST, 'papers', 100000)}), s AS (SELECT qid, doc_id, round(b.score + 0.03 * coalesce(t.score, 0), 8) AS score FROM base b LEFT JOIN title t USING (qid, doc_id))
     SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
 def r11(spark, d):
     p = papers(spark, d)
     n = p.count()
     head = _bm25(spark, d, 60).select("qid", "doc_id", F.round("score", 6).alias("score"))
     title = index.bm25(_terms(spark, d), index.postings(p, "paper_id", c("title")), n, 100000).select("qid", "doc_id", F.round("score", 6).alias("extra"))
-    both = head.join(title, ["qid", "doc_id"], "left").select("qid", "doc_id", F.round(c("score") + 0.03 * F.coalesce("extra", F.lit(0.0)), 5).alias("score"))
+    both = head.join(title, ["qid", "doc_id"], "left").select("qid", "doc_id", F.round(c("score") + 0.03 * F.coalesce("extra", F.lit(0.0)), 8).alias("score"))
     return rank.top_k(both, ["qid"], [F.desc("score"), F.asc("doc_id")], 20).withColumn("rank", c("rank").cast("long"))
 
 
@@ -370,15 +370,15 @@ def a03(spark, d):
     return evaluate.summary(metric_rows(spark, d), []).distinct()
 
 
-@query("a04_summary_by_group", f"{_METRICS} SELECT k, nation, {_MACRO} FROM (SELECT *, s_nationkey % 5 AS nation FROM mt JOIN supplier ON s_suppkey = qid) GROUP BY GROUPING SETS ((k), (k, nation))")
+@query("a04_summary_by_group", f"{_METRICS} SELECT k, coalesce(nation, 'all') AS nation, {_MACRO} FROM (SELECT *, CAST(s_nationkey % 5 AS VARCHAR) AS nation FROM mt JOIN supplier ON s_suppkey = qid) GROUP BY GROUPING SETS ((k), (k, nation))")
 def a04(spark, d):
-    groups = table(spark, d, "supplier").select(c("s_suppkey").alias("qid"), (c("s_nationkey") % 5).alias("nation"))
-    return evaluate.summary(metric_rows(spark, d).join(groups, "qid"), ["nation"])
+    groups = table(spark, d, "supplier").select(c("s_suppkey").alias("qid"), (c("s_nationkey") % 5).cast("string").alias("nation"))
+    return evaluate.summary(metric_rows(spark, d).join(groups, "qid"), ["nation"]).withColumn("nation", F.coalesce("nation", F.lit("all")))
 
 
-@query("a05_gold_hit_ranks", f"{_ALL} SELECT g.qid, g.paper_id, rank FROM gold g LEFT JOIN pool p ON p.qid = g.qid AND p.paper_id = g.paper_id AND p.rank <= 100")
+@query("a05_gold_hit_ranks", f"{_ALL} SELECT g.qid, g.paper_id, coalesce(rank, 0) AS rank FROM gold g LEFT JOIN pool p ON p.qid = g.qid AND p.paper_id = g.paper_id AND p.rank <= 100")
 def a05(spark, d):
-    return evaluate.hit_ranks(pool(spark, d).where("rank <= 100"), gold2(spark, d)).withColumn("rank", c("rank").cast("long"))
+    return evaluate.hit_ranks(pool(spark, d).where("rank <= 100"), gold2(spark, d)).withColumn("rank", F.coalesce(c("rank"), F.lit(0)).cast("long"))
 
 
 @query("a06_source_hit_ranks", f"{_ALL} SELECT qid, source, paper_id, min(rank) AS rank FROM ranked JOIN gold USING (qid, paper_id) GROUP BY ALL")
@@ -417,9 +417,9 @@ def a10(spark, d):
     return x.select("source", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c(str(k)).alias("gold_hits")) for k in _CUTS))).alias("x")).select("source", "x.*")
 
 
-@query("a11_type_by_source", f"{_ALL} SELECT CAST(qid % 4 AS BIGINT) AS query_type, source, count(*) AS hits FROM ranked JOIN gold USING (qid, paper_id) WHERE rank <= 50 GROUP BY CUBE (CAST(qid % 4 AS BIGINT), source)")
+@query("a11_type_by_source", f"{_ALL} SELECT coalesce(t, 'all') AS query_type, coalesce(source, 'all') AS source, count(*) AS hits FROM (SELECT CAST(qid % 4 AS VARCHAR) AS t, source FROM ranked JOIN gold USING (qid, paper_id) WHERE rank <= 50) GROUP BY CUBE (t, source)")
 def a11(spark, d):
-    return ranked(spark, d).where("rank <= 50").join(gold2(spark, d), ["qid", "paper_id"]).withColumn("query_type", c("qid") % 4).cube("query_type", "source").agg(F.count("*").alias("hits"))
+    return ranked(spark, d).where("rank <= 50").join(gold2(spark, d), ["qid", "paper_id"]).withColumn("query_type", (c("qid") % 4).cast("string")).cube("query_type", "source").agg(F.count("*").alias("hits")).select(F.coalesce("query_type", F.lit("all")).alias("query_type"), F.coalesce("source", F.lit("all")).alias("source"), "hits")
 
 
 @query("a12_feature_usage", f"{_ALL}, u AS (SELECT qid, bool_or(source = 'dense' AND rank <= 3) AS dense, bool_or(source = 'alias' AND rank <= 1) AS alias FROM ranked GROUP BY qid) SELECT count(*) AS queries, CAST(sum(dense::INT) AS BIGINT) AS dense, CAST(sum(alias::INT) AS BIGINT) AS alias, round(avg(dense::INT), 6) AS dense_rate FROM u")

@@ -44,10 +44,10 @@ def i07(spark, d):
     return rows.where("answer <> ''").withColumn("label_rank", c("label_rank").cast("long"))
 
 
-@query("i08_paper_conversion", f"WITH {PAPERS}, w AS (SELECT regexp_replace(lower(split_part(text, '.', 1)), '[^a-z]', '', 'g') AS slug, min(doc_id) AS full_id FROM documents WHERE lang = 'en' GROUP BY 1) SELECT paper_id, full_id FROM papers LEFT JOIN w ON slug = regexp_replace(lower(strip_accents(title)), '[^a-z]', '', 'g') AND slug <> ''")
+@query("i08_paper_conversion", f"WITH {PAPERS}, w AS (SELECT regexp_replace(lower(split_part(text, '.', 1)), '[^a-z]', '', 'g') AS slug, min(doc_id) AS full_id FROM documents WHERE lang = 'en' GROUP BY 1) SELECT paper_id, coalesce(full_id, -1) AS full_id FROM papers LEFT JOIN w ON slug = regexp_replace(lower(strip_accents(title)), '[^a-z]', '', 'g') AND slug <> ''")
 def i08(spark, d):
     full = table(spark, d, "documents").where("lang = 'en'").groupBy(F.regexp_replace(F.lower(F.split("text", r"\.")[0]), "[^a-z]", "").alias("slug")).agg(F.min("doc_id").alias("full_id")).where("slug <> ''")
-    return papers(spark, d).withColumn("slug", T.slug(c("title"))).join(full, "slug", "left").select("paper_id", "full_id")
+    return papers(spark, d).withColumn("slug", T.slug(c("title"))).join(full, "slug", "left").select("paper_id", F.coalesce("full_id", F.lit(-1)).alias("full_id"))
 
 
 @query("i09_chunking", f"WITH {PAPERS} SELECT paper_id || '#chunk:0' AS chunk_id, md5(title || chr(10) || abstract) AS text FROM papers UNION ALL SELECT 'doc:' || doc_id || '#chunk:' || i, md5(part) FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE part <> ''")
