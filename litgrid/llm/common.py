@@ -6,6 +6,7 @@ import os
 import string
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,7 +162,9 @@ class Tokens:
         self.before: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}  # letters at the start of a line, and marks after letters
         self.line = self._plain(["\n"])[0]
-        self.line_id = int(np.frombuffer(self.line, "<u4")[0])
+        # the byte-level vocabulary writes printable bytes as themselves and the others as characters from 256 up
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.table = {b: b if b in own else 256 + sum(x not in own for x in range(b)) for b in range(256)}
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -209,15 +212,13 @@ class Tokens:
             known[w] = self.line + marks[stem] + marks[tail] if w[0] == "\n" else stems[stem] + marks[tail]
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word: encoded as lines of one text, whose line ends are tokens of their own."""
+        """Ids of each word. Letters, perhaps after a space, are one unit of the pre-tokenizer: the model merges them alone."""
         plain = [w for w in words if w[w[0] == " " :].isalpha()]
         odd = [w for w in words if not w[w[0] == " " :].isalpha()]
         out = dict(zip(odd, self._plain(odd), strict=True))
-        for at in range(0, len(plain), 2048):
-            some = plain[at : at + 2048]
-            raw = self._plain(["\n".join([*some, ""])])[0]
-            to = np.flatnonzero(np.frombuffer(raw, "<u4") == self.line_id) * 4
-            out.update(zip(some, [raw[i:j] for i, j in zip([0, *(to[:-1] + 4).tolist()], to.tolist(), strict=True)], strict=True))
+        merge, table = self.lib.model.tokenize, self.table
+        for w in plain:
+            out[w] = array("I", [t.id for t in merge(w.encode("utf-8").decode("latin-1").translate(table))]).tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

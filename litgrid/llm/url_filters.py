@@ -82,5 +82,5 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple = RULES, support:
     met = open_sets.select("tokens", F.explode("tokens").alias("token")).join(small(index, BROADCAST_ROWS), "token")
     met = met.groupBy("tokens", "rule_id", "verdict", "confidence", "support", "size").count().where("count = size")
     best = met.groupBy("tokens").agg(F.max_by("verdict", F.struct("confidence", "support", "verdict")).alias("mined"))
-    out = rows.join(best, "tokens", "left")
+    out = rows.join(small(settled(best), BROADCAST_ROWS), "tokens", "left")
     return out.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", F.when(F.col("fixed").isNull(), F.col("mined")), F.lit("allow")).alias("verdict"))
