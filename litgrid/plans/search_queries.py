@@ -302,10 +302,10 @@ def k12(spark, d):
     return wide.select("qid", "paper_id", (c("n_sources") >= 2).alias("multi_source"), F.coalesce(c("r_title_bm25") <= 80, F.lit(False)).alias("title_lane"), (c("r_dense").isNotNull() & F.coalesce("r_title_bm25", "r_chunk_bm25", "r_sparse").isNull()).alias("dense_only"))
 
 
-@query("k13_rerank_fusion", f"{_SCORE} SELECT qid, paper_id, round((1 - least(0.75, 0.25 + 0.35 * (paper_id % 3) / 3.0 + 0.35 * (paper_id % 5) / 5.0)) * ((paper_id * 7919) % 1000) / 1000.0 + least(0.75, 0.25 + 0.35 * (paper_id % 3) / 3.0 + 0.35 * (paper_id % 5) / 5.0) * score, 6) AS score FROM sc")
+@query("k13_rerank_fusion", f"{_SCORE} SELECT qid, paper_id, round((1 - least(0.75, 0.25 + 0.35 * (paper_id % 3) / 3.0 + 0.35 * (paper_id % 5) / 5.0)) * ((paper_id * 7919) % 1000) / 1000.0 + least(0.75, 0.25 + 0.35 * (paper_id % 3) / 3.0 + 0.35 * (paper_id % 5) / 5.0) * score + 1e-9, 6) AS score FROM sc")
 def k13(spark, d):
     p = c("paper_id")
-    return scored(spark, d).select("qid", "paper_id", F.round(rank.rerank_fusion(((p * 7919) % 1000) / 1000.0, c("score"), (p % 3) / 3.0, (p % 5) / 5.0), 6).alias("score"))
+    return scored(spark, d).select("qid", "paper_id", F.round(rank.rerank_fusion(((p * 7919) % 1000) / 1000.0, c("score"), (p % 3) / 3.0, (p % 5) / 5.0) + 1e-9, 6).alias("score"))
 
 
 @query("k14_promote_aliases", f"{_ALL} SELECT qid, paper_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 30 THEN 0 WHEN paper_id % 7 = 0 THEN 1 ELSE 2 END, rank) AS place FROM pool WHERE rank <= 120")
@@ -335,7 +335,7 @@ def k19(spark, d):
 
 @query("k26_candidate_limits", f"{_ALL} SELECT qid, count(*) FILTER (rank <= 500) AS pool, count(*) FILTER (rank <= 120) AS reranked, count(*) FILTER (rank <= least(20, 10)) AS protected FROM pool GROUP BY qid")
 def k26(spark, d):
-    return pool(spark, d).groupBy("qid").agg(F.count_if("rank <= 500").alias("pool"), F.count_if("rank <= 120").alias("reranked"), F.count_if("rank <= 10").alias("protected"))
+    return pool(spark, d).groupBy("qid").agg(F.count_if(F.expr("rank <= 500")).alias("pool"), F.count_if(F.expr("rank <= 120")).alias("reranked"), F.count_if(F.expr("rank <= 10")).alias("protected"))
 
 
 # ---- evaluation
@@ -389,7 +389,7 @@ def a06(spark, d):
 @query("a07_pool_recall", f"{_ALL}, h AS (SELECT qid, rank FROM pool JOIN gold USING (qid, paper_id)), g AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid) SELECT g.qid, round(count(rank) FILTER (rank <= 100) / n, 6) AS recall_100, round(count(rank) FILTER (rank <= 200) / n, 6) AS recall_200, round(count(rank) FILTER (rank <= 500) / n, 6) AS recall_500, count(rank) FILTER (rank > 100 AND rank <= 500) AS late FROM g LEFT JOIN h USING (qid) GROUP BY g.qid, n")
 def a07(spark, d):
     x = evaluate.hit_ranks(pool(spark, d), gold2(spark, d))
-    return x.groupBy("qid").agg(*(F.round(F.count_if(c("rank") <= k) / F.count("*"), 6).alias(f"recall_{k}") for k in (100, 200, 500)), F.count_if("rank > 100 AND rank <= 500").alias("late"))
+    return x.groupBy("qid").agg(*(F.round(F.count_if(c("rank") <= k) / F.count("*"), 6).alias(f"recall_{k}") for k in (100, 200, 500)), F.count_if(F.expr("rank > 100 AND rank <= 500")).alias("late"))
 
 
 _DIAG = f"""{_ALL}, x AS (SELECT g.qid, count(*) AS gold_count, count(rank) FILTER (rank <= 10) AS hits, count(rank) AS pool_hits FROM gold g LEFT JOIN pool p ON p.qid = g.qid AND p.paper_id = g.paper_id GROUP BY g.qid),
@@ -397,7 +397,7 @@ _DIAG = f"""{_ALL}, x AS (SELECT g.qid, count(*) AS gold_count, count(rank) FILT
 
 
 def diagnosed(spark, d):
-    x = evaluate.hit_ranks(pool(spark, d), gold2(spark, d)).groupBy("qid").agg(F.count("*").alias("gold_count"), F.count_if("rank <= 10").alias("hits"), F.count("rank").alias("pool_hits"))
+    x = evaluate.hit_ranks(pool(spark, d), gold2(spark, d)).groupBy("qid").agg(F.count("*").alias("gold_count"), F.count_if(F.expr("rank <= 10")).alias("hits"), F.count("rank").alias("pool_hits"))
     return x.withColumn("x", evaluate.diagnosis(F.lit(1), F.lit(1), c("hits"), c("pool_hits"), c("gold_count"), 10, (c("qid") % 7 == 0).cast("int"), (c("qid") % 11 == 0).cast("int"))).select("qid", "gold_count", "hits", "x.reason", "x.stage")
 
 
@@ -430,7 +430,7 @@ def a12(spark, d):
 
 @query("a13_preselection_summary", f"{_ALL} SELECT qid, count(*) AS candidates, count(*) FILTER (rank <= 120) AS selected, round(count(*) FILTER (rank <= 120) / count(*), 6) AS ratio FROM pool GROUP BY qid")
 def a13(spark, d):
-    return pool(spark, d).groupBy("qid").agg(F.count("*").alias("candidates"), F.count_if("rank <= 120").alias("selected"), F.round(F.count_if("rank <= 120") / F.count("*"), 6).alias("ratio"))
+    return pool(spark, d).groupBy("qid").agg(F.count("*").alias("candidates"), F.count_if(F.expr("rank <= 120")).alias("selected"), F.round(F.count_if(F.expr("rank <= 120")) / F.count("*"), 6).alias("ratio"))
 
 
 @query("a15_shards")

@@ -27,7 +27,7 @@ def i04(spark, d):
     return kept.groupBy("paper_id").agg(F.count("*").alias("n"), F.md5(F.array_join(S.ordered_list("text", "chunk_index"), "\n")).alias("texts"))
 
 
-@query("i05_section_titles", f"WITH {CHUNKS}, f AS (SELECT paper_id, chunk_index, split_part(text, ' ', 1) AS w, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS i FROM chunks), g AS (SELECT paper_id, w, min(chunk_index) AS at FROM f WHERE i <= 6 GROUP BY ALL) SELECT paper_id, string_agg(w, '|' ORDER BY at) AS titles FROM g WHERE w <> '' GROUP BY paper_id")
+@query("i05_section_titles", f"WITH {CHUNKS}, f AS (SELECT paper_id, chunk_index, split_part(text, ' ', 1) AS w, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS i FROM chunks), g AS (SELECT paper_id, w, min(chunk_index) AS pos FROM f WHERE i <= 6 GROUP BY ALL) SELECT paper_id, string_agg(w, '|' ORDER BY pos) AS titles FROM g WHERE w <> '' GROUP BY paper_id")
 def i05(spark, d):
     head = S.first_n(chunks(spark, d), ["paper_id"], [F.asc("chunk_index")], 6).withColumn("w", F.split("text", " ")[0])
     return head.where("w <> ''").groupBy("paper_id").agg(F.array_join(F.array_distinct(S.ordered_list("w", "chunk_index")), "|").alias("titles"))
@@ -304,4 +304,4 @@ def s2(spark, d):
     from litgrid.streaming import streams
 
     out = streams.run_once(spark, f"{d}/events.parquet", lambda df: streams.event_windows(df, "1 hour"), "append", flush=True)
-    return out.select(c("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(c("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

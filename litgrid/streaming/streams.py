@@ -13,11 +13,11 @@ from litgrid.sources.tables import latest, upsert
 
 def event_windows(events: DataFrame, size: str, late: str = "1 day") -> DataFrame:
     """Counts and totals by tumbling window and type; state of windows older than the watermark is dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def deduplicated(rows: DataFrame, key: list[str], time: str, late: str = "1 day") -> DataFrame:
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
 def upserts(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str):
