@@ -299,9 +299,9 @@ def t12(spark, d):
 
 # ---- streams, run to the end of the table
 
-@query("s2_event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("s2_event_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def s2(spark, d):
     from litgrid.streaming import streams
 
     out = streams.run_once(spark, f"{d}/events.parquet", lambda df: streams.event_windows(df, "1 hour"), "append", flush=True)
-    return out.select(c("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

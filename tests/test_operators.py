@@ -61,3 +61,26 @@ def test_upsert_and_orphans(spark):
 def test_streamed_windows_are_the_tables(spark, sf_dir):
     out = streams.run_once(spark, f"{sf_dir}/events.parquet", lambda df: streams.event_windows(df, "1 hour"), "append", flush=True)
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_lanes_and_diversification(spark):
+    from litgrid.operators import select
+
+    rows = [("q", i, i, [f"w{i}", "x"], i % 3 == 0, 1.0 - i / 100, ["c"] if i < 50 else [f"c{i}"]) for i in range(1, 80)] + [("q", 999, 80, ["w1", "x"], True, 0.1, ["c"])]
+    df = spark.createDataFrame(rows, "qid string, paper_id long, rank int, words array<string>, lane boolean, score double, constraints array<string>")
+    got = select.lanes(df, {"lane": 5}, 30, 4).orderBy("place").collect()
+    assert len(got) == 30 and [r["paper_id"] for r in got[:4]] == [1, 2, 3, 4] and [r["paper_id"] for r in got if r["reason"] == "lane"] == [6, 9, 12, 15, 18]
+    assert 999 not in {r["paper_id"] for r in got}
+    place = {r["paper_id"]: r["place"] for r in select.diversified(df, 3).collect()}
+    assert sorted(place.values()) == list(range(1, 81)) and [place[i] for i in (1, 2, 3)] == [1, 2, 3] and place[50] < 60
+
+
+def test_constraints(spark):
+    from litgrid.operators import intent
+
+    cons = spark.createDataFrame([("q", "graph search"), ("q", "dense-vector"), ("q", "abc")], "qid string, constraint string")
+    cand = spark.createDataFrame([("q", "p1", "Search in a graph, graph search"), ("q", "p2", "abc only graph")], "qid string, paper_id string, body string")
+    m = {(r["paper_id"], r["constraint"]): r["matched"] for r in intent.constraint_matches(cons, cand, "body").collect()}
+    assert m == {("p1", "graph search"): True, ("p1", "dense-vector"): False, ("p1", "abc"): False, ("p2", "graph search"): False, ("p2", "dense-vector"): False, ("p2", "abc"): True}
+    r = spark.range(1).select(intent.time_range(F.lit("papers since 2015")).alias("a"), intent.time_range(F.lit("2012 to 2019")).alias("b"), intent.time_range(F.lit("none")).alias("c")).first()
+    assert (tuple(r["a"]), tuple(r["b"]), r["c"]) == ((2015, None), (2012, 2019), None)
