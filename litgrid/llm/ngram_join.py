@@ -17,7 +17,7 @@ SKETCH_BITS, SLICES = 20, 1024
 #: A prefix token that more link classes than this hold is frequent: then pairs of tokens are indexed.
 FREQUENT = 1000
 #: Rows up to which a side of a join is broadcast, by count.
-BROADCAST_ROWS = 3_000_000
+BROADCAST_ROWS = 200_000
 
 
 def shingle_sets(texts: list[str | None], size: int = 5) -> Iterator[np.ndarray]:
@@ -164,7 +164,7 @@ def _labels(scratch: Scratch, plain: DataFrame, feats: DataFrame, size: int, per
     first = feats.where("prefix is not null")
     posts = first.select("node", F.explode("prefix").alias("token"))
     met = scratch.keep(posts.groupBy("token").count().where("count > 1").select("token"))
-    shared = scratch.keep(posts.join(small(met, BROADCAST_ROWS), "token").distinct())
+    shared = scratch.keep(posts.join(met.hint("shuffle_hash"), "token").distinct())  # met grows with the input
     nodes = scratch.keep(shared.select("node").distinct())
     own = first.join(small(nodes, BROADCAST_ROWS), "node")
     meta = scratch.keep(own.groupBy("node").agg(F.min_by(F.struct("n", "bits", "prefix", "next", "key"), "key").alias("x")).select("node", "x.*"))
