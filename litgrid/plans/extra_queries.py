@@ -221,3 +221,48 @@ def s3(spark, d):
 @query("q19_dense_query_text", f"SELECT item_id, array_to_string({tokens_sql('text')}[1:16], ' ') AS dense_text FROM benchmark")
 def q19(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.tokens(c("text")), 1, 16), " ").alias("dense_text"))
+
+
+@query("q02_phrase_spotting", f"WITH lx AS (SELECT unnest(['the and', 'of the', 'was the', 'in the']) AS phrase) SELECT item_id, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM benchmark, lx WHERE contains(' ' || {title_sql('text')} || ' ', ' ' || phrase || ' ') GROUP BY item_id")
+def q02(spark, d):
+    # two-word runs of the queries meet the lexicon's phrases by an equi-join
+    lexicon = F.broadcast(spark.createDataFrame([(p,) for p in ("the and", "of the", "was the", "in the")], "phrase string"))
+    runs = table(spark, d, "benchmark").select("item_id", F.split(T.normalize_title(c("text")), " ").alias("w")).select("item_id", F.explode(T.ngrams(c("w"), 2)).alias("phrase"))
+    return runs.join(lexicon, "phrase").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("phrase")), "|").alias("phrases"))
+
+
+@query("q03_research_fields", f"WITH lx AS (SELECT * FROM (VALUES ('tion', 'field a'), ('ing', 'field b'), ('that', 'field c')) v(token, field)), t AS (SELECT DISTINCT item_id, unnest({tokens_sql('text', False)}) AS token FROM benchmark) SELECT b.item_id, coalesce(string_agg(DISTINCT field, '|' ORDER BY field), 'general') AS fields FROM benchmark b LEFT JOIN t ON t.item_id = b.item_id LEFT JOIN lx ON lx.token = t.token GROUP BY b.item_id")
+def q03(spark, d):
+    lexicon = F.broadcast(spark.createDataFrame([("tion", "field a"), ("ing", "field b"), ("that", "field c")], "token string, field string"))
+    items = table(spark, d, "benchmark")
+    found = items.select("item_id", F.explode(T.tokens(c("text"), ())).alias("token")).join(lexicon, "token").groupBy("item_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("field")), 1, 5), "|").alias("fields"))
+    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("fields", F.lit("general")).alias("fields"))
+
+
+@query("q23_constraint_queries", "SELECT conv_id, turn, regexp_matches(lower(text), 'the|that|which') AS marked FROM conversations")
+def q23(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.rlike(F.lower("text"), F.lit("the|that|which")).alias("marked"))
+
+
+@query("q27_key_phrases", "SELECT event_id, array_to_string(regexp_extract_all(props, '\"([a-z_]+)\"', 1), '|') AS phrases FROM events")
+def q27(spark, d):
+    return table(spark, d, "events").select("event_id", F.array_join(F.regexp_extract_all("props", F.lit('"([a-z_]+)"'), F.lit(1)), "|").alias("phrases"))
+
+
+@query("q32_rewrite_merge", f"SELECT conv_id, array_to_string(list_filter(ws, lambda v, i: list_position(ws, v) = i)[1:12], '|') AS merged FROM (SELECT a.conv_id, list_concat({tokens_sql('b.text')}[1:6], {tokens_sql('a.text')}[1:10]) AS ws FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn = 0)")
+def q32(spark, d):
+    x = table(spark, d, "conversations")
+    first, rewrite = x.where("turn = 0").select("conv_id", T.tokens(c("text")).alias("own")), x.where("turn = 1").select("conv_id", T.tokens(c("text")).alias("new"))
+    merged = F.array_distinct(F.concat(F.slice("new", 1, 6), F.slice("own", 1, 10)))
+    return first.join(rewrite, "conv_id").select("conv_id", F.array_join(F.slice(merged, 1, 12), "|").alias("merged"))
+
+
+@query("k21_candidate_sections", "SELECT page_id, array_to_string(list_filter(hs, lambda v, i: list_position(hs, v) = i)[1:12], '|') AS sections FROM (SELECT page_id, regexp_extract_all(html, '<h[1-3]>([^<]*)</h', 1) AS hs FROM pages)")
+def k21(spark, d):
+    found = F.array_distinct(F.regexp_extract_all("html", F.lit("<h[1-3]>([^<]*)</h"), F.lit(1)))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.slice(found, 1, 12), "|").alias("sections"))
+
+
+@query("s4_scoring_hook", "SELECT doc_id, round(length(text) / (length(text) + 1000.0), 6) AS score FROM documents")
+def s4(spark, d):
+    return streams.scored(table(spark, d, "documents").select("doc_id", "text"), "text", lambda texts: [len(t) / (len(t) + 1000.0) for t in texts]).select("doc_id", F.round("score", 6).alias("score"))

@@ -45,3 +45,13 @@ def run_once(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFra
     if not flush:
         return done
     return done.unionByName(plan(whole).join(done.select("window", "event_type"), ["window", "event_type"], "left_anti"))
+
+
+def scored(rows: DataFrame, text: str, scorer: Callable[[list[str]], list[float]]) -> DataFrame:
+    """Rows with a score from any scorer of text lists, in Arrow batches; works on tables and streams. Null texts are empty."""
+
+    def apply(batches):
+        for x in batches:
+            yield x.assign(score=scorer(x[text].fillna("").tolist()))
+
+    return rows.mapInPandas(apply, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", score double")
