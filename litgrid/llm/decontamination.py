@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import re
 import string
 from collections.abc import Iterator
@@ -16,7 +17,8 @@ from .common import batches, hashed_words, id_in, id_out, prepared
 K1, B = 1.2, 0.75
 #: Postings of a block, each with its largest impact.
 BLOCK = 32
-#: Words of a passage, and from one passage to the next: any text of up to the difference lies whole in one passage.
+#: Words of a passage, and from one passage to the next: any text of up to the difference lies whole in one passage. For
+#: longer items both are doubled until the item fits.
 PASSAGE, STEP = 128, 48
 #: Least share of an item's own BM25 score that a passage must reach.
 THRESHOLD = 0.5
@@ -69,15 +71,35 @@ class Index:
         idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
         item = pair[:, 1].astype(np.int64)
         score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / n.mean()))
-        self.impact, self.item = score / np.bincount(item, score, len(words))[item], item
-        self.at = np.r_[at, len(item)]
-        self.top = np.maximum.reduceat(self.impact, at)
-        self.blocks = [np.array([self.impact[i : min(i + BLOCK, b)].max() for i in range(a, b, BLOCK)]) for a, b in zip(at, self.at[1:], strict=True)]
+        self.length = n + 1
+        self._fill(score / np.bincount(item, score, len(words))[item], item, at)
         self.split = []
         for t in self.texts:
             q, a = question_and_answer(t)
             self.split.append((hashed_words(plain(q))[0], hashed_words(plain(a))[0]))
 
+    def _fill(self, impact: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
+        """Postings ordered by term, then item; at: where each term's begin."""
+        self.impact, self.item, self.at = impact, item, np.r_[at, len(item)]
+        self.top = np.maximum.reduceat(impact, at)
+        self.blocks = [np.array([impact[i : min(i + BLOCK, b)].max() for i in range(a, b, BLOCK)]) for a, b in zip(at, self.at[1:], strict=True)]
+
+    def by_length(self) -> list[tuple[int, int, Index]]:
+        """Passage, step and the items that need them, with the same impacts: an item's words lie whole in one of the passages."""
+        if not len(self.vocabulary):
+            return []
+        times = np.ones(len(self.length), np.int64)
+        while (short := self.length > times * (PASSAGE - STEP)).any():
+            times[short] *= 2
+        found, term = [], np.repeat(np.arange(len(self.vocabulary)), np.diff(self.at))
+        for k in np.unique(times).tolist():
+            own, part = times[self.item] == k, copy.copy(self)
+            used, at = np.unique(term[own], return_index=True)
+            part.vocabulary = self.vocabulary[used]
+            part._fill(self.impact[own], self.item[own], at)
+            found.append((PASSAGE * k, STEP * k, part))
+        return found
+
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items whose summed impacts over these distinct terms reach the threshold, by block-max WAND.
 
@@ -128,16 +150,17 @@ def covered(part: np.ndarray, passage: np.ndarray) -> float:
     return float((np.r_[hit, False] | np.r_[False, hit]).mean())
 
 
-def windows(a: int, b: int) -> list[tuple[int, int]]:
-    return [(i, min(i + PASSAGE, b)) for i in range(a, max(a + 1, b - PASSAGE + STEP), STEP)]
+def windows(a: int, b: int, passage: int = PASSAGE, step: int = STEP) -> list[tuple[int, int]]:
+    return [(i, min(i + passage, b)) for i in range(a, max(a + 1, b - passage + step), step)]
 
 
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold test items: a row for each document and item, with the passage that matches best.
 
-    Terms are pairs of successive words, lower case without ASCII punctuation. A document's passages are 128 words, 48 apart. A passage whose
-    words' largest impacts together miss the threshold is passed over at once, which is WAND's own bound; the others
-    search the index. A hit counts if the question's and the answer's words are found by word pairs.
+    Terms are pairs of successive words, lower case without ASCII punctuation. A document's passages are 128 words, 48 apart, for
+    items of up to 80 words; both are doubled for items of up to 160, 320 and so on, so that a verbatim copy of any item
+    lies whole in a passage wherever it starts. A passage whose words' largest impacts together miss the threshold is
+    passed over at once, which is WAND's own bound; the others search the index. A hit counts if the question's and the answer's words are found by word pairs.
 
     The index holds up to ITEMS items and goes to each task; beyond that there are several indexes, one after the
     other. Null or empty texts and items of fewer than two words match nothing; ids may be null or repeated (a row each, by
@@ -159,8 +182,9 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: f
 
 
 def _query(rows: DataFrame, index: Index, threshold: float, overlap: float) -> DataFrame:
+    parts = index.by_length()
+
     def query(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = np.r_[index.top, 0.0] if len(index.vocabulary) else np.zeros(1)
         for x in batch:
             ids, raw, out = x["doc_id"].tolist(), [plain(t) for t in x["text"]], []
             for i, j in batches(raw):
@@ -168,27 +192,29 @@ def _query(rows: DataFrame, index: Index, threshold: float, overlap: float) -> D
                 words, start, end = hashed_words(joined)
                 begin = np.r_[0, np.cumsum([len(t) + 1 for t in raw[i:j]])]
                 at = np.searchsorted(start, begin)
-                terms = pairs(words)  # a passage of words u to v has the terms u to v - 1
-                place = np.minimum(np.searchsorted(index.vocabulary, terms), max(0, len(index.vocabulary) - 1))
-                term = np.where(index.vocabulary[place] == terms, place, len(index.vocabulary)) if len(index.vocabulary) else np.zeros(len(terms), np.int64)
-                bound = np.r_[0.0, np.cumsum(top[term])]
-                for k in range(j - i):
-                    a, b = int(at[k]), int(at[k + 1])
-                    if b - a < 2 or bound[b - 1] - bound[a] < threshold - 1e-6:
-                        continue
-                    best: dict[int, tuple] = {}
-                    for u, v in windows(a, b):
-                        if bound[max(u, v - 1)] - bound[u] < threshold - 1e-6:
-                            continue
-                        terms = np.unique(term[u : v - 1])
-                        terms = terms[terms < len(index.vocabulary)]
-                        if top[terms].sum() < threshold - 1e-6:
+                all_terms = pairs(words)  # a passage of words u to v has the terms u to v - 1
+                for passage, step, index in parts:
+                    top = np.r_[index.top, 0.0]
+                    place = np.minimum(np.searchsorted(index.vocabulary, all_terms), len(index.vocabulary) - 1)
+                    term = np.where(index.vocabulary[place] == all_terms, place, len(index.vocabulary))
+                    bound = np.r_[0.0, np.cumsum(top[term])]
+                    for k in range(j - i):
+                        a, b = int(at[k]), int(at[k + 1])
+                        if b - a < 2 or bound[b - 1] - bound[a] < threshold - 1e-6:
                             continue
-                        for item, score in index.search(terms, threshold):
-                            question, answer = (covered(p, words[u:v]) for p in index.split[item])
-                            if min(question, answer) >= overlap and (item not in best or score > best[item][0]):
-                                best[item] = (score, question, answer, int(start[u] - begin[k]), int(end[v - 1] - begin[k]))
-                    out += [(ids[i + k], int(index.ids[item]), *found) for item, found in best.items()]
+                        best: dict[int, tuple] = {}
+                        for u, v in windows(a, b, passage, step):
+                            if bound[max(u, v - 1)] - bound[u] < threshold - 1e-6:
+                                continue
+                            terms = np.unique(term[u : v - 1])
+                            terms = terms[terms < len(index.vocabulary)]
+                            if top[terms].sum() < threshold - 1e-6:
+                                continue
+                            for item, score in index.search(terms, threshold):
+                                question, answer = (covered(p, words[u:v]) for p in index.split[item])
+                                if min(question, answer) >= overlap and (item not in best or score > best[item][0]):
+                                    best[item] = (score, question, answer, int(start[u] - begin[k]), int(end[v - 1] - begin[k]))
+                        out += [(ids[i + k], int(index.ids[item]), *found) for item, found in best.items()]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start", "end"])
 
     return rows.mapInPandas(query, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start long, end long")

@@ -301,6 +301,17 @@ def test_decontamination(spark, sf_dir, docs, odd, none):
     assert decontamination.matches(spark, none, items).count() == 0 and decontamination.matches(spark, docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(5)
+    text = lambda n, own: " ".join(f"{own}{rng.randrange(10**6)}" for _ in range(n))
+    tests = {k: f"{text(n - 9, 'q')}? {text(9, 'a')}" for k, n in enumerate((400, 230, 140, 81, 80, 12, 1300))}
+    docs = {(k, before): f"{text(before, 'x')} {t} {text(50, 'y')}" for k, t in tests.items() for before in (0, 7, 40, 47, 90, 300)}
+    rows = list(docs.values()) + [f"{text(200, 'x')} {' '.join(tests[0].split()[:60])} {text(900, 'y')}"]
+    found = decontamination.matches(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), spark.createDataFrame(list(tests.items()), "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, k) for i, (k, _) in enumerate(docs)]
+    assert all(r["score"] == pytest.approx(1) and r["question_overlap"] == r["answer_overlap"] == 1 for r in found)
+
+
 def test_block_max_wand_finds_all(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 30))) for _ in range(80)]
