@@ -18,11 +18,19 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word, its mark, and what follows: number-like, or a written-out address.
-CONTEXT = r"(?:\G|(?<!\p{L}))\p{L}{2,24}+[:=#]?[\x20\t]{1,2}+(?:[+(]?[0-9][0-9().\x20-]{6,28}[0-9]|[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}+(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]{1,64}+)++)"
+_AT, _DOT = r"\x20?[\[(](?:at|AT)[\])]\x20?", r"\x20?[\[(](?:dot|DOT|\.)[\])]\x20?"
+#: A word, its mark, and what follows: an e-mail, plain or written out; four short numbers, plain or written out; number-like.
+CONTEXT = (
+    r"(?:\G|(?<!\p{L}))\p{L}{2,24}+[:=#]?[\x20\t]{1,2}+(?:"
+    rf"[A-Za-z0-9._%+-]{{1,64}}+(?:@|{_AT})[A-Za-z0-9-]{{1,64}}+(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,64}}+)++"
+    rf"|[0-9]{{1,3}}+(?:(?:[.\x20-]|{_DOT})[0-9]{{1,3}}+){{3}}+(?![.\x20-]?[0-9])"
+    r"|[+(]?[0-9][0-9().\x20-]{6,28}[0-9])"
+)
 _LEFT = r"^\p{L}+[:=#]?[\x20\t]+"
-#: A pattern is trusted from so many different known identifiers, at that confidence, that many times the usual share.
-SEEDS, CONFIDENCE, LIFT = 5, 0.8, 2.0
+#: A pattern is trusted from so many different known identifiers, at that confidence.
+SEEDS, CONFIDENCE = 5, 0.8
+#: Its confidence less so many standard errors must beat the usual share, or reach what is SURE.
+ERRORS, SURE = 2.0, 0.95
 ROUNDS = 3
 
 
@@ -79,41 +87,58 @@ def _base(text: Column) -> dict[str, Column]:
 
 
 def _candidates(text: Column) -> Column:
-    """Spans of identifier-like strings after a word, with that word (lower case, with its mark) and a normal form."""
-    found = F.when(F.rlike(text, F.lit(r"[0-9]{2}|[\[(](?:at|AT)[\])]")), F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """Spans of identifier-like strings after a word, with that word (lower case, with its mark), a normal form and, of four short numbers, the address."""
+    found = F.when(F.rlike(text, F.lit(r"[0-9]{2}|[0-9]\.[0-9]|@|[\[(](?:at|AT|dot|DOT|\.)[\])]")), F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def part(s: Column) -> Column:
         value = F.regexp_replace(s["value"], _LEFT, "")
         word = F.lower(F.regexp_replace(F.regexp_extract(s["value"], _LEFT, 0), r"[\x20\t]+", ""))
-        return F.struct((s["end"] - F.length(value)).alias("start"), s["end"].alias("end"), word.alias("word"), F.when(F.rlike(value, F.lit("[A-Za-z]")), F.lower(value)).otherwise(_digits(value)).alias("form"))
+        mail = F.lower(F.regexp_replace(F.regexp_replace(value, _AT, "@"), _DOT, "."))
+        form = F.when(F.rlike(mail, F.lit("@")), mail).otherwise(_digits(value))
+        dotted = F.regexp_replace(F.regexp_replace(value, _DOT, "."), r"[\x20-]", ".")
+        ip = F.when(F.rlike(dotted, F.lit(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")), F.when(_fits("ip", dotted), dotted))
+        return F.struct((s["end"] - F.length(value)).alias("start"), s["end"].alias("end"), word.alias("word"), form.alias("form"), ip.alias("ip"))
 
     return F.transform(_placed(text, found, lambda m: F.lit(True)), part)
 
 
 def _shape(form: Column) -> Column:
-    """The kind that a string not known as personal data could be: by letters, or by the number of digits."""
+    """The kind that a string not known as personal data could be, besides an ip: by letters, or by the number of digits."""
     n = F.length(form)
-    return F.when(F.rlike(form, F.lit("[a-z]")), "email").when((n >= 13) & (n <= 19), "card").when((n >= 7) & (n <= 15), "phone")
+    return F.when(F.contains(form, F.lit("@")), "email").when((n >= 13) & (n <= 19), "card").when((n >= 7) & (n <= 15), "phone")
+
+
+def _kinds(c: Column, known: Column) -> Column:
+    """(kind, form, known) of a candidate: its kind if it is known, else what it could be; four short numbers may be two things."""
+    own = F.array(F.struct(known.alias("kind"), F.when(known == "ip", F.coalesce(c["ip"], c["form"])).otherwise(c["form"]).alias("form"), F.lit(True).alias("known")))
+    could = F.array(F.struct(_shape(c["form"]).alias("kind"), c["form"].alias("form"), F.lit(False).alias("known")), F.struct(F.when(c["ip"].isNotNull(), "ip").alias("kind"), c["ip"].alias("form"), F.lit(False).alias("known")))
+    return F.when(known.isNotNull(), own).otherwise(F.filter(could, lambda x: x["kind"].isNotNull()))
 
 
 def patterns(candidates: DataFrame) -> DataFrame:
-    """word, kind, confidence of trusted contexts. candidates: word, form, kind (null if not known), shape.
+    """word, kind, confidence of trusted contexts. candidates: word, form, kind, known (false if only the shape says so).
 
     The graph has words on one side and identifiers on the other. An identifier's score starts at 1 if it is known and 0
     else; a word's confidence for a kind is its identifiers' mean score; an unknown identifier's score becomes the
-    chance that any of its words is right. Words must beat the usual share of their kind, so that where most number-like
-    strings are personal data anyway, plain words prove nothing.
+    chance that any of its words is right. What reaches CONFIDENCE counts as a seed from the next round on.
+
+    A word must beat the share of known ones after the other words of its kind, so that where most number-like strings
+    are personal data anyway, plain words prove nothing; a word that is SURE needs no comparison, so that no usual share
+    rules all words out. Written-out e-mails need none either: little else looks like them. Both tests are of the lower
+    Wilson bound.
     """
-    edges = settled(candidates.where("coalesce(kind, shape) is not null").select("word", "form", F.coalesce("kind", "shape").alias("kind"), F.col("kind").isNotNull().alias("known")).groupBy("word", "form", "kind").agg(F.max("known").alias("known")))
-    usual = {r["kind"]: r["share"] for r in edges.groupBy("kind").agg(F.avg(F.col("known").cast("double")).alias("share")).collect()}  # a row for each kind
-    share = F.lit(1.0)
-    for kind, x in usual.items():
-        share = F.when(F.col("kind") == kind, F.lit(float(x))).otherwise(share)
+    edges = settled(candidates.groupBy("word", "form", "kind").agg(F.max("known").alias("known")))
+    all_n, all_known = F.lit(0), F.lit(0)
+    for r in edges.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("known").alias("known")).collect():  # a row for each kind
+        all_n, all_known = (F.when(F.col("kind") == r["kind"], F.lit(r[x])).otherwise(total) for x, total in (("n", all_n), ("known", all_known)))
     scores = edges.groupBy("form", "kind").agg(F.max(F.col("known").cast("double")).alias("score"))
+    n, p, z = F.col("n"), F.col("confidence"), ERRORS
+    bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    share = (all_known - F.col("own") + 0.5) / (all_n - n + 1)
     words = None
     for _ in range(ROUNDS):
-        words = edges.join(scores, ["form", "kind"]).groupBy("word", "kind").agg(F.avg("score").alias("confidence"), F.count_if("known").alias("seeds"))
-        words = words.where((F.col("seeds") >= SEEDS) & (F.col("confidence") >= CONFIDENCE) & (F.col("confidence") >= LIFT * share))
+        words = edges.join(scores, ["form", "kind"]).groupBy("word", "kind").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= CONFIDENCE).alias("seeds"), F.count("*").alias("n"), F.count_if("known").alias("own"))
+        words = words.where((F.col("seeds") >= SEEDS) & (p >= CONFIDENCE) & ((F.col("kind") == "email") | (bound >= F.least(share, F.lit(SURE)))))
         wrong = edges.join(words, ["word", "kind"], "left").groupBy("form", "kind").agg(F.max("known").alias("known"), F.exp(F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999))))).alias("wrong"))
         scores = settled(wrong.select("form", "kind", F.when(F.col("known"), 1.0).otherwise(1 - F.col("wrong")).alias("score")))
     return words.select("word", "kind", "confidence")
@@ -124,7 +149,7 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFr
 
     A span is a struct of kind, start, end, in code points. Both are ordered by kind as in KINDS, then start. Discovered
     spans overlap no base span. Contexts are learned from all rows; the trusted ones (words that precede at least SEEDS
-    different known identifiers, far more often than others) are a list that each task gets with the plan.
+    different known or discovered identifiers, more surely than others) are a list that each task gets with the plan.
 
     A null text is empty and has no spans. Rows are judged one by one, so repeated rows and null ids are kept as they
     are. An empty table gives no rows. All columns are kept, but for clashing ones named base and spans.
@@ -138,13 +163,15 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFr
     seen = docs.select(whole.alias("base"), _candidates(text).alias("candidates"))
     seen = seen.select("base", F.explode("candidates").alias("c"))
     known = F.get(F.filter("base", lambda b: inside(F.col("c"), b)), F.lit(0))["kind"]
-    trusted = patterns(seen.select("c.word", "c.form", known.alias("kind"), _shape(F.col("c.form")).alias("shape"))).orderBy("kind", "word").collect()
+    trusted = patterns(seen.select("c.word", F.explode(_kinds(F.col("c"), known)).alias("k")).select("word", "k.*")).orderBy("kind", "word").collect()
 
     out = docs.withColumn("base", whole)
     if not trusted:
         return out.withColumn("spans", F.col("base"))
     words = {k: [r["word"] for r in trusted if r["kind"] == k] for k in KINDS}
-    fits = lambda k, c: F.array_contains(F.lit(words[k]), c["word"]) & (_shape(c["form"]) == k)
+    has = lambda k, c: F.array_contains(F.lit(words[k]), c["word"]) if words[k] else F.lit(False)
+    ip = lambda c: c["ip"].isNotNull() & has("ip", c)
+    fits = lambda k, c: ip(c) if k == "ip" else has(k, c) & (_shape(c["form"]) == k) & ~ip(c)
     new = lambda k: F.filter(_candidates(text), lambda c: fits(k, c) & ~F.exists(F.col("base"), lambda b: inside(c, b))) if words[k] else F.array().cast("array<struct<start:int,end:int>>")
     each = [F.array_sort(F.concat(_of(k, "base"), named(k, new(k))), lambda a, b: a["start"] - b["start"]) for k in KINDS]
     return out.withColumn("spans", F.concat(*each))

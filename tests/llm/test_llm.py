@@ -267,6 +267,35 @@ def test_pii_contexts_discover(spark):
     assert found[5000] == "phone:5:15" and found[1003] == "" and found[3].startswith("phone:5:")
 
 
+def pii_spans(spark, texts):
+    found = pii.find(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return [r["s"] for r in found.orderBy("doc_id").select(pii.written("spans").alias("s")).collect()]
+
+
+def test_pii_written_out_email(spark):
+    plain = [f"Email: user{i}@host{i % 7}.org" for i in range(12)] + [f"write me{i}@there.net today" for i in range(30)]
+    found = pii_spans(spark, ["Email: ann.bell (at) example (dot) org now", "see notes (at) example (dot) org", *plain])
+    assert found[:2] == ["email:7:38", ""] and found[2] == "email:7:22"
+
+
+def test_pii_written_out_ip(spark):
+    found = pii_spans(spark, ["Host: 10[.]20[.]30[.]40 is up", "Row 10 20 30 40", *(f"Host: 10.1.{i}.7" for i in range(20)), *(f"Row {i} 20 30 {i + 1}" for i in range(40))])
+    assert found[:2] == ["ip:6:23", ""]
+
+
+def test_pii_any_usual_share(spark):
+    found = pii_spans(spark, ["Tel: 5551234567 now", *(f"Tel: +1 555 {i:04d} 1234" for i in range(200)), *(f"ring +1 556 {i:04d} 1234" for i in range(200))])
+    assert found[0] == "phone:5:15"
+    found = pii_spans(spark, [*(f"the +1 555 {i:04d} 1234" for i in range(190)), *(f"the 666{i:07d}" for i in range(10)), *(f"for +1 556 {i:04d} 1234" for i in range(190)), *(f"for 667{i:07d}" for i in range(10))])
+    assert not any(found[190:200] + found[390:])
+
+
+def test_pii_discovered_seeds(spark):
+    both = [f"555{i:07d}" for i in range(12)]
+    found = pii_spans(spark, ["Fax: 7770001112", *(f"Tel: +1 444 {i:04d} 1234" for i in range(200)), *(f"Tel: {x}" for x in both), *(f"Fax: {x}" for x in both), *(f"Total: 88{i:07d}" for i in range(300))])
+    assert found[0] == "phone:5:15" and found[-1] == ""
+
+
 def test_pii_edges(spark, odd, none):
     assert pii.digest(pii.find(spark, odd)).count() == len(ODD) and pii.digest(pii.find(spark, none)).count() == 0
     clean = {r[0]: r for r in pii.redact(spark, spark.createDataFrame([(1, "mail a@b.co, 10.0.0.1 now", 5), (2, None, 0)], "doc_id long, text string, n_chars long")).collect()}
