@@ -68,7 +68,16 @@ def r09(spark, d):
 
 @query("r10_weighted_clauses", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, {_POST}, {_TERMS} SELECT qid, doc_id, round(sum(CASE WHEN length(token) >= 6 THEN 1.5 ELSE 1.0 END), 6)::DOUBLE AS score FROM terms JOIN post USING (token) WHERE doc_id LIKE '%7' GROUP BY ALL")
 def r10(spark, d):
-    post = index.postings(papers(spark, d).where("paper_id like '%7'"), "paper_id", F.concat_ws(" ", "title", "abstract"))
+    return _weighted_clauses(spark, d, papers(spark, d).where("paper_id like '%7'"))
+
+
+@query("r10_weighted_clauses_all")
+def r10_all(spark, d):
+    return _weighted_clauses(spark, d, papers(spark, d))
+
+
+def _weighted_clauses(spark, d, papers):
+    post = index.postings(papers, "paper_id", F.concat_ws(" ", "title", "abstract"))
     return post.join(_terms(spark, d), "token").groupBy("qid", "doc_id").agg(F.round(F.sum(F.when(F.length("token") >= 6, 1.5).otherwise(1.0)), 6).alias("score"))
 
 
@@ -79,7 +88,16 @@ def r13(spark, d):
 
 @query("r19_alias_search", "WITH m AS (SELECT l_suppkey AS paper_id, l_partkey AS concept, l_linenumber % 3 AS kind FROM lineitem WHERE l_partkey % 50 = 0) SELECT concept % 20 AS qid, paper_id, round(sum(CASE kind WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 1.3 END), 6)::DOUBLE AS score FROM m GROUP BY ALL")
 def r19(spark, d):
-    m = table(spark, d, "lineitem").where("l_partkey % 50 = 0").select(c("l_suppkey").alias("paper_id"), (c("l_partkey") % 20).alias("qid"), (c("l_linenumber") % 3).alias("kind"))
+    return _alias_search(table(spark, d, "lineitem").where("l_partkey % 50 = 0"))
+
+
+@query("r19_alias_search_all")
+def r19_all(spark, d):
+    return _alias_search(table(spark, d, "lineitem"))
+
+
+def _alias_search(mentions):
+    m = mentions.select(c("l_suppkey").alias("paper_id"), (c("l_partkey") % 20).alias("qid"), (c("l_linenumber") % 3).alias("kind"))
     branches = [m.where(c("kind") == k).withColumn("w", F.lit(w)) for k, w in ((0, 3.0), (1, 2.0), (2, 1.3))]
     return branches[0].unionByName(branches[1]).unionByName(branches[2]).groupBy("qid", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
@@ -212,6 +230,18 @@ def p02(spark, d):
     return top.join(fields, F.contains(c("t"), c("field"))).select("field", "paper_id")
 
 
+@query("p02_relation_edges_ranked")
+def p02_ranked(spark, d):
+    top = _bm25(spark, d, 6).select("qid", c("doc_id").alias("paper_id"), c("rank").cast("long"))
+    texts = papers(spark, d).select("paper_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("t"))
+    lexicon = F.broadcast(spark.createDataFrame([("the",), ("tion",), ("ing",), ("zzz",)], "field string"))
+    fields = benchmark_queries(spark, d).join(lexicon, F.contains(F.lower("query_text"), c("field"))).select("qid", "field")
+    edges = top.join(texts, "paper_id").join(rank.top_k(fields, ["qid"], [F.asc("field")], 4).select("qid", "field"), "qid").where(F.contains(c("t"), c("field")))
+    # queries without any field lead to their first papers themselves
+    rest = top.where("rank <= 5").join(fields, "qid", "left_anti").withColumn("field", F.lit(None).cast("string"))
+    return edges.select("qid", "field", "paper_id", "rank").unionByName(rest.select("qid", "field", "paper_id", "rank"))
+
+
 @query("s3_stream_deduplication", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def s3(spark, d):
     out = streams.run_once(spark, f"{d}/events.parquet", lambda df: streams.deduplicated(df, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), "append")

@@ -22,7 +22,16 @@ def i03(spark, d):
 
 @query("i04_chunks_by_paper", f"WITH {CHUNKS} SELECT paper_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY chunk_index)) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS i FROM chunks WHERE doc_id % 3 = 0) WHERE i <= 4 GROUP BY paper_id")
 def i04(spark, d):
-    known = papers(spark, d).where("doc_id % 3 = 0").select("paper_id")
+    return _chunks_by_paper(spark, d, papers(spark, d).where("doc_id % 3 = 0"))
+
+
+@query("i04_chunks_by_all_papers")
+def i04_all(spark, d):
+    return _chunks_by_paper(spark, d, papers(spark, d))
+
+
+def _chunks_by_paper(spark, d, papers):
+    known = papers.select("paper_id")
     kept = S.first_n(chunks(spark, d).join(known, "paper_id", "left_semi"), ["paper_id"], [F.asc("chunk_index")], 4)
     return kept.groupBy("paper_id").agg(F.count("*").alias("n"), F.md5(F.array_join(S.ordered_list("text", "chunk_index"), "\n")).alias("texts"))
 

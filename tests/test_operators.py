@@ -4,10 +4,31 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
 from litgrid.operators import evaluate, fuse, rank
+from litgrid.plans import catalogue, fixtures
 from litgrid.sources import tables
 from litgrid.streaming import streams
 
 
+def test_whole_queries(spark, sf_dir):
+    run = lambda name: catalogue.QUERIES[name](spark, sf_dir)
+    n, docs = run("i04_chunks_by_all_papers").count(), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert n == fixtures.chunks(spark, sf_dir).select("paper_id").distinct().count() > run("i04_chunks_by_paper").count()
+    for name, key in (("i04_chunks_by_paper", "i04_chunks_by_all_papers"), ("r10_weighted_clauses", "r10_weighted_clauses_all")):
+        assert run(name).exceptAll(run(key)).count() == 0
+    assert run("r10_weighted_clauses_all").select("doc_id").distinct().count() > docs.count() / 2
+    mentions = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert run("r19_alias_search_all").count() == mentions.selectExpr("l_suppkey", "l_partkey % 20").distinct().count()
+
+
+def test_relation_edges_ranked(spark, tmp_path):
+    spark.createDataFrame([(i, f"Title {w}.about {w} " + "pad " * i, "s") for i, w in enumerate(["graph", "graph", "mining"] + ["block"] * 100)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "mining graph"), (2, "block")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [tuple(r) for r in catalogue.QUERIES["p02_relation_edges_ranked"](spark, str(tmp_path)).collect()]
+    assert [r[1:3] for r in rows if r[0] == "q1"] == [("ing", "doc:2")]
+    assert sorted((r[1], r[3]) for r in rows if r[0] == "q2") == [(None, k) for k in range(1, 6)]
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
