@@ -1,9 +1,10 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and sentences."""
+"""Document fingerprints: a Merkle tree over sections, paragraphs and runs of words."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import id_in, id_out, prepared, settled
 
-#: Characters from which a paragraph is parted into sentences, and the most of a leaf.
-LONG, MOST = 160, 320
+#: One of so many words ends a leaf, chosen by its hash, so that edits move no other border; and the most characters of a leaf.
+WORDS, MOST = 6, 320
 #: One of so many paragraphs ends a section, chosen by its hash, so that edits move no other border.
 SECTION = 6
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+[ \t]*|[^.!?]+")
+#: Each character of scripts without spaces is a word.
+_BARE = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"\s*(?:[{_BARE}]|[^\s{_BARE}]+)\s*|\s+")
 
 
 def _hash(data: bytes, size: int) -> str:
@@ -26,9 +29,16 @@ def _hash(data: bytes, size: int) -> str:
 
 
 def leaves(paragraph: str) -> list[str]:
-    """The paragraph's parts, which together are the paragraph."""
-    parts = _SENTENCE.findall(paragraph) if len(paragraph) > LONG else [paragraph]
-    return [p[i : i + MOST] for p in parts for i in range(0, max(1, len(p)), MOST)]
+    """The paragraph's parts, which together are the paragraph: a few words each, and long words in pieces."""
+    found, start, at = [], 0, 0
+    for word in _WORD.findall(paragraph):
+        at += len(word)
+        if zlib.crc32(word.strip().encode("utf-8", "surrogatepass")) % WORDS == 0:
+            found.append(paragraph[start:at])
+            start = at
+    if start < at:
+        found.append(paragraph[start:at])
+    return [p[i : i + MOST] for p in found for i in range(0, len(p), MOST)]
 
 
 def tree(text: str) -> tuple[str, list[list[list[tuple[str, int]]]]]:

@@ -218,6 +218,18 @@ def test_fingerprints(spark, docs, odd, none):
     assert len(spans) == 1 and spans[0][0] <= 200 < spans[0][1] < 240
 
 
+def test_likeness_of_a_single_sentence():
+    rng = random.Random(3)
+    print_of = lambda words: fingerprints.written(*fingerprints.tree(" ".join(words)))
+    for n in (40, 400):  # a line of one sentence; its last quarter, or one word near its start, changed
+        text, other = ([f"w{rng.randrange(10**5)}" for _ in range(n)] for _ in range(2))
+        quarter, word = text[: n * 3 // 4] + other[: n // 4], [*text[:3], "another", *text[3:]]
+        assert fingerprints.likeness(print_of(text), print_of(quarter)) > 0.5
+        assert fingerprints.likeness(print_of(text), print_of(word)) > 0.6
+    text = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(900))
+    assert fingerprints.likeness(print_of([text]), print_of([text[:5] + "新" + text[5:]])) > 0.9
+
+
 def test_quality(spark, sf_dir, docs, odd, none):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = quality.predict(spark, docs, labels).join(labels, "doc_id").collect()
