@@ -2,41 +2,83 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import json
 import os
 import string
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts may hold over 100,000 characters, so few rows keep a Python worker small.
-ARROW_ROWS = 512
+#: Bounds of an Arrow batch, which keep a Python worker small: rows, and bytes (one text may exceed them).
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 #: Bytes that the word hasher treats at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+_UNSET = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(ARROW_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456b", str(ARROW_BYTES))}
+_made: list[str] = []
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder: the cluster's, or a temporary one where none is named (tests)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Small Arrow batches where the session has Spark's own bounds, and a checkpoint folder.
+
+    The bounds stay, as results are computed later than operators return; a session that sets its own keeps them.
+    """
+    for key, (usual, own) in _UNSET.items():
+        if spark.conf.get(key, usual).lower().removesuffix("b") in (usual.removesuffix("b"), "256m"):
+            spark.conf.set(key, own)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only in local mode."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="litgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path := f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the folders that operators made so far; call it once their results are stored elsewhere."""
+    while _made:
+        delete(spark, _made.pop())
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, for mapInPandas or mapInArrow; after its last batch the worker gives the memory it freed back to the system.
+
+    Workers live on and serve later stages, whose memory would come on top.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has its own ways
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -50,6 +92,15 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def spread_join(rows: DataFrame, other: DataFrame, key: str, how: str, least: int = 200) -> DataFrame:
+    """rows joined with other, which has a row for each key; how: inner or left. Keys that hold over a thousandth of the
+    rows, of which there can be a thousand at most, are joined by broadcast, so that no task gets all rows of such a key."""
+    n = rows.count()
+    hot = F.broadcast(settled(rows.groupBy(key).count().where(F.col("count") > max(least, n // 1000)).select(key)))
+    few = F.broadcast(other.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(few, key, how).union(rows.join(hot, key, "left_anti").join(other, key, how))
+
+
 #: Stands for a null id inside Python workers, where pandas would turn ids beside nulls into floats.
 NULL_ID = -(1 << 63)
 
@@ -147,6 +198,7 @@ class Tokens:
     The vocabulary's pre-tokenizer never joins what stands before a space with the non-space that follows, nor what
     stands around a single line end, so the ids of a text are those of its words. Each worker keeps the ids of up to
     `keep` words; texts with unusual white space are encoded as a whole. Strings of special tokens are ordinary text.
+    This holds for byte-level pair merges without a normalizer; with any other vocabulary all texts are encoded whole.
     """
 
     _of: dict[str, Tokens] = {}
@@ -161,11 +213,18 @@ class Tokens:
         self.stems: dict[str, bytes] = {}  # letters after a space
         self.before: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}  # letters at the start of a line, and marks after letters
+        self.by_words = self._mergeable()
         self.line = self._plain(["\n"])[0]
         # the byte-level vocabulary writes printable bytes as themselves and the others as characters from 256 up
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.table = {b: b if b in own else 256 + sum(x not in own for x in range(b)) for b in range(256)}
 
+    def _mergeable(self) -> bool:
+        before, model = self.lib.pre_tokenizer, self.lib.model
+        rules = json.loads(before.__getstate__()) if before is not None else {}
+        plain = not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix or model.ignore_merges) if type(model).__name__ == "BPE" else False
+        return plain and self.lib.normalizer is None and rules.get("type") == "ByteLevel" and not rules.get("add_prefix_space") and rules.get("use_regex", True)
+
     @classmethod
     def of(cls, path: str) -> Tokens:
         if path not in cls._of:
@@ -222,9 +281,11 @@ class Tokens:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        if len(self.stems) > self.keep:  # what was not met since the last turn goes
+        if not self.by_words:
+            return self._plain(texts)
+        if len(self.known) > self.keep:  # known again from stems and marks
+            self.known = {}
+        if len(self.stems) > self.keep * 5 // 8:  # what was not met since the last turn goes
             self.stems, self.before = {}, self.stems
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
         known = self.known
@@ -257,8 +318,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(to)
 
     def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
