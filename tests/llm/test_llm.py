@@ -176,7 +176,7 @@ def test_token_files(spark, docs, odd, none, tmp_path):
         assert token_files.read(spark, path).count() == n
 
 
-@pytest.mark.parametrize("bits", [1, 5, 11, 16, 17, 32])
+@pytest.mark.parametrize("bits", [1, 5, 8, 11, 16, 17, 27, 31, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype("<u4")
     data = token_files.packed(ids, bits)
