@@ -32,6 +32,8 @@ SEEDS, CONFIDENCE = 5, 0.8
 #: Its confidence less so many standard errors must beat the usual share, or reach what is SURE.
 ERRORS, SURE = 2.0, 0.95
 ROUNDS = 3
+#: Trusted words up to which they are part of the plan.
+WORDS = 20_000
 
 
 def _digits(x: Column) -> Column:
@@ -60,35 +62,50 @@ def _bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _placed(text: Column, found: Column, keep) -> Column:
-    """Spans (start, end, text) of successive matches in code points; keep: a test of a match.
+#: Elements of a part of an array that is summed up by itself: so running totals take no copy of the whole per element.
+PART = 128
 
-    The next match is the first place after the last one that holds its text: had that text stood earlier, the pattern
-    would have matched there.
-    """
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
 
-    def add(a: Column, m: Column, start: Column) -> Column:
-        span = F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
-        return F.struct((start + F.length(m)).alias("at"), F.when(keep(m), F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+def _running(values: Column, start: Column, add) -> Column:
+    """add(... add(add(start, values[0]), values[1]) ..., values[i]) for each i; add is associative."""
+    parts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PART).cast("int"))).otherwise(F.array().cast("array<int>"))
+    part = lambda k: F.slice(values, k * PART + 1, F.lit(PART))
+
+    def totals(xs: Column, first: Column) -> Column:
+        empty = F.struct(first.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(xs, empty, lambda a, x: _bound(add(a["at"], x), lambda y: F.struct(y.alias("at"), F.array_append(a["all"], y).alias("all"))), lambda a: a["all"])
+
+    whole = F.transform(parts, lambda k: F.aggregate(part(k), start, add))
+    before = _bound(whole, lambda w: F.concat(F.array(start), totals(w, start)))
+    return _bound(before, lambda w: F.flatten(F.transform(parts, lambda k: totals(part(k), F.get(w, k)))))
 
-    def step(a: Column, m: Column) -> Column:
-        return _bound(F.call_function("locate", m, text, a["at"] + 1) - 1, lambda start: add(a, m, start))
 
-    return F.aggregate(found, empty, step, lambda a: a["spans"])
+def _placed(text: Column, pattern: str, there: Column, keep) -> Column:
+    """Spans (start, end, value) of successive matches in code points; there: a test that spares most texts the pattern;
+    keep: a test of a match. Places are sums of the lengths of the matches and of the pieces that they part the text in,
+    so a text of many matches takes no longer than its length."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    matches = F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    def spans(found: Column) -> Column:
+        sizes = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.length(gap) + F.length(m))
+        ends = _bound(sizes, lambda x: _running(x, F.lit(0), lambda a, y: a + y))
+        placed = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+        return F.when(F.size(found) > 0, F.filter(placed, lambda s: keep(s["value"]))).otherwise(none)
+
+    return _bound(matches, spans)
 
 
 def _base(text: Column) -> dict[str, Column]:
     """For each kind, its spans, leftmost and without overlaps."""
     # what a text must hold for any match: simple scans, which spare most texts the patterns
     there = {"email": F.contains(text, F.lit("@")), "ip": F.rlike(text, F.lit(r"[0-9]\.[0-9]")), "card": F.rlike(text, F.lit(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]")), "phone": F.contains(text, F.lit("+"))}
-    none = F.array().cast("array<string>")
-    return {k: _placed(text, F.when(there[k], F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none), partial(_fits, k)) for k in KINDS}
+    return {k: _placed(text, PATTERNS[k], there[k], partial(_fits, k)) for k in KINDS}
 
 
 def _candidates(text: Column) -> Column:
     """Spans of identifier-like strings after a word, with that word (lower case, with its mark), a normal form and, of four short numbers, the address."""
-    found = F.when(F.rlike(text, F.lit(r"[0-9]{2}|[0-9]\.[0-9]|@|[\[(](?:at|AT|dot|DOT|\.)[\])]")), F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    there = F.rlike(text, F.lit(r"[0-9]{2}|[0-9]\.[0-9]|@|[\[(](?:at|AT|dot|DOT|\.)[\])]"))
 
     def part(s: Column) -> Column:
         value = F.regexp_replace(s["value"], _LEFT, "")
@@ -99,7 +116,7 @@ def _candidates(text: Column) -> Column:
         ip = F.when(F.rlike(dotted, F.lit(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")), F.when(_fits("ip", dotted), dotted))
         return F.struct((s["end"] - F.length(value)).alias("start"), s["end"].alias("end"), word.alias("word"), form.alias("form"), ip.alias("ip"))
 
-    return F.transform(_placed(text, found, lambda m: F.lit(True)), part)
+    return F.transform(_placed(text, CONTEXT, there, lambda m: F.lit(True)), part)
 
 
 def _shape(form: Column) -> Column:
@@ -144,40 +161,67 @@ def patterns(candidates: DataFrame) -> DataFrame:
     return words.select("word", "kind", "confidence")
 
 
-def find(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _inside(s: Column, b: Column) -> Column:
+    return (s["start"] < b["end"]) & (b["start"] < s["end"])
+
+
+def _open(text: Column, base: Column) -> Column:
+    """What candidates outside the base spans could be: word, kind, start, end, form."""
+    def could(c: Column) -> Column:
+        one = lambda kind, form: F.struct(c["word"].alias("word"), kind.alias("kind"), c["start"].alias("start"), c["end"].alias("end"), form.alias("form"))
+        return F.filter(F.array(one(F.when(c["ip"].isNotNull(), "ip"), c["ip"]), one(_shape(c["form"]), c["form"])), lambda x: x["kind"].isNotNull())
+
+    return F.flatten(F.transform(F.filter(_candidates(text), lambda c: ~F.exists(base, lambda b: _inside(c, b))), could))
+
+
+def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", base: str = "base", spans: str = "spans", words: int = WORDS) -> DataFrame:
     """The rows with base (spans of the four fixed patterns) and spans (those and what trusted contexts discover).
 
     A span is a struct of kind, start, end, in code points. Both are ordered by kind as in KINDS, then start. Discovered
-    spans overlap no base span. Contexts are learned from all rows; the trusted ones (words that precede at least SEEDS
-    different known or discovered identifiers, more surely than others) are a list that each task gets with the plan.
+    spans overlap no base span; what could be an ip or something else after words that are trusted for both is an ip.
+    Contexts are learned from all rows; the trusted ones (words that precede at least SEEDS different known or discovered
+    identifiers, more surely than others) go to each task with the plan, or, if there are more than `words`, are joined.
 
     A null text is empty and has no spans. Rows are judged one by one, so repeated rows and null ids are kept as they
-    are. An empty table gives no rows. All columns are kept, but for clashing ones named base and spans.
+    are. An empty table gives no rows. All columns are kept, but for clashing ones named as base and spans say.
     """
     prepared(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = lambda k, x: F.transform(x, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     whole = F.concat(*(named(k, x) for k, x in _base(text).items()))
-    inside = lambda s, b: (s["start"] < b["end"]) & (b["start"] < s["end"])
-
-    seen = docs.select(whole.alias("base"), _candidates(text).alias("candidates"))
-    seen = seen.select("base", F.explode("candidates").alias("c"))
-    known = F.get(F.filter("base", lambda b: inside(F.col("c"), b)), F.lit(0))["kind"]
-    trusted = patterns(seen.select("c.word", F.explode(_kinds(F.col("c"), known)).alias("k")).select("word", "k.*")).orderBy("kind", "word").collect()
-
-    out = docs.withColumn("base", whole)
-    if not trusted:
-        return out.withColumn("spans", F.col("base"))
-    words = {k: [r["word"] for r in trusted if r["kind"] == k] for k in KINDS}
-    has = lambda k, c: F.array_contains(F.lit(words[k]), c["word"]) if words[k] else F.lit(False)
-    ip = lambda c: c["ip"].isNotNull() & has("ip", c)
-    fits = lambda k, c: ip(c) if k == "ip" else has(k, c) & (_shape(c["form"]) == k) & ~ip(c)
-    new = lambda k: F.filter(_candidates(text), lambda c: fits(k, c) & ~F.exists(F.col("base"), lambda b: inside(c, b))) if words[k] else F.array().cast("array<struct<start:int,end:int>>")
-    each = [F.array_sort(F.concat(_of(k, "base"), named(k, new(k))), lambda a, b: a["start"] - b["start"]) for k in KINDS]
-    return out.withColumn("spans", F.concat(*each))
-
-
-def _of(kind: str, spans: str) -> Column:
+
+    seen = docs.select(whole.alias("b"), _candidates(text).alias("candidates"))
+    seen = seen.select("b", F.explode("candidates").alias("c"))
+    known = F.get(F.filter("b", lambda b: _inside(F.col("c"), b)), F.lit(0))["kind"]
+    trusted = settled(patterns(seen.select("c.word", F.explode(_kinds(F.col("c"), known)).alias("k")).select("word", "k.*")).select("word", "kind"))
+
+    out = docs.withColumn(base, whole)
+    if (n := trusted.count()) == 0:
+        return out.withColumn(spans, F.col(base))
+    if n <= words:
+        pairs = F.lit([f"{r['kind']} {r['word']}" for r in trusted.orderBy("kind", "word").collect()])
+        new = F.filter(_open(text, F.col(base)), lambda c: F.array_contains(pairs, F.concat_ws(" ", c["kind"], c["word"])))
+        return out.withColumn(spans, _all(F.col(base), new))
+    # the same by a join: spans found are a function of the text, which its hash stands for
+    key = "litgrid_pii_text_key"
+    each = docs.select(F.xxhash64(text).alias(key), text.alias("t"), whole.alias("b")).select(key, F.explode(_open(F.col("t"), F.col("b"))).alias("c"))
+    each = each.select(key, "c.*").distinct().join(trusted, ["word", "kind"]).groupBy(key).agg(F.collect_list(F.struct("word", "kind", "start", "end", "form")).alias("new"))
+    out = out.withColumn(key, F.xxhash64(text)).join(settled(each), key, "left")
+    return out.withColumn(spans, F.when(F.col("new").isNull(), F.col(base)).otherwise(_all(F.col(base), F.col("new")))).select(*docs.columns, *(x for x in (base, spans) if x not in docs.columns))
+
+
+def _all(base: Column, new: Column) -> Column:
+    """base and the trusted candidates, in order; of one that two kinds are trusted for, the ip."""
+    def merged(found: Column) -> Column:
+        ips = F.filter(found, lambda c: c["kind"] == "ip")
+        rest = F.filter(found, lambda c: (c["kind"] == "ip") | ~F.exists(ips, lambda i: _inside(c, i)))
+        span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
+        return F.flatten(F.array(*(F.array_sort(F.concat(_of(k, base), F.transform(_of(k, rest), span)), lambda a, b: a["start"] - b["start"]) for k in KINDS)))
+
+    return F.when(F.size(new) > 0, _bound(new, merged)).otherwise(base)
+
+
+def _of(kind: str, spans: str | Column) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
@@ -194,19 +238,24 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with each span replaced by its kind in brackets; overlapping spans become the first one's kind.
 
-    A null text stays null. The columns are those of docs; n_chars, if there, is counted anew.
+    A null text stays null. The columns are those of docs, whatever their names; n_chars, if there, is counted anew.
+    Repeated rows stay; an empty table gives no rows. A long text of many spans takes time in proportion to its length.
     """
-    columns, text = docs.columns, F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    columns, text, base, spans = docs.columns, F.col(text_col), "litgrid_pii_base", "litgrid_pii_spans"
+
+    def clean(ordered: Column) -> Column:
+        past = _bound(F.transform(ordered, lambda s: s["end"]), lambda e: _running(e, F.lit(0), lambda a, x: F.greatest(a, x)))
+        return _bound(past, lambda p: _bound(F.split(text, ""), lambda chars: joined(ordered, p, chars)))
 
-    def step(a: Column, s: Column) -> Column:
-        upto = F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))))
-        put = F.when(s["start"] >= a["at"], F.concat(upto, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), put.alias("out"))
+    def joined(ordered: Column, past: Column, chars: Column) -> Column:
+        # from the end of all earlier spans to the start of each
+        put = lambda s, at: F.when(s["start"] >= at, F.concat(F.array_join(F.slice(chars, at + 1, s["start"] - at), ""), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        parts = F.zip_with(ordered, F.slice(F.concat(F.array(F.lit(0)), past), F.lit(1), F.size(ordered)), put)
+        last = F.element_at(past, -1)
+        return F.concat(F.array_join(parts, ""), F.array_join(F.slice(chars, last + 1, F.greatest(F.size(chars) - last, F.lit(0))), ""))
 
-    ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    clean = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = find(spark, docs, text_col).withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    out = find(spark, docs, text_col, base, spans).withColumn(text_col, F.when(F.size(spans) > 0, _bound(ordered, clean)).otherwise(text))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*columns)
