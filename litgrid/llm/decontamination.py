@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, hashed_words, id_in, id_out, prepared
+from .common import batches, hashed_words, id_in, id_out, lean, prepared
 
 K1, B = 1.2, 0.75
 #: Postings of a block, each with its largest impact.
@@ -184,6 +184,7 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: f
 def _query(rows: DataFrame, index: Index, threshold: float, overlap: float) -> DataFrame:
     parts = index.by_length()
 
+    @lean
     def query(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batch:
             ids, raw, out = x["doc_id"].tolist(), [plain(t) for t in x["text"]], []

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, prepared, settled
+from .common import id_in, id_out, lean, prepared, settled
 
 #: One of so many words ends a leaf, chosen by its hash, so that edits move no other border; and the most characters of a leaf.
 WORDS, MOST = 6, 320
@@ -138,6 +138,7 @@ def compare(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     columns = ["kind", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text"]
     schema = "task int, kind int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
 
+    @lean
     def walk(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, last = TaskContext.get().partitionId(), None
         for x in rows:
@@ -150,6 +151,7 @@ def compare(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         if last:
             yield pd.DataFrame([(2, last[0], 0, None, None, None, 0.0, 0.0, last[1])], columns=columns).assign(task=task)
 
+    @lean
     def finish(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in rows:
             out = [_row(i, a, tree(a), b, tree(b)) for i, a, b in zip(x["doc_id"].tolist(), x["text"], x["after"], strict=True)]

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fold_of, id_in, id_out, prepared
+from .common import SEGMENT, batches, fold_of, id_in, id_out, lean, prepared
 
 #: Expected training documents of a language, drawn by hash, whole texts.
 SAMPLE = 2000
@@ -76,15 +77,32 @@ class Trees:
         return np.where(t == 0, parent, np.where(c > 0, c / whole, d / whole * parent))
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language."""
-        joined = self.symbol[np.frombuffer(b"".join(b"\n\n\n" + t for t in texts), np.uint8)]
-        a = self.a
-        node = self.node[(joined[:-3] * a + joined[1:-2]) * a + joined[2:-1]] if len(joined) > 3 else np.zeros(0, np.int32)
-        bits = self.bits[node.astype(np.int64) * a + joined[3:]]
-        sizes = np.array([len(t) for t in texts])
-        begin = np.r_[0, np.cumsum(sizes + 3)[:-1]]
-        total = np.vstack([np.zeros((1, len(self.languages))), np.cumsum(bits, 0, dtype=np.float64)])
-        return total[begin + sizes] - total[begin]
+        """Bits of each text in each language; long texts are gone through in segments."""
+        raw = np.frombuffer(b"".join(b"\n\n\n" + t for t in texts), np.uint8)
+        sizes, a = np.array([len(t) for t in texts], np.int64), self.a
+        begin = np.r_[0, np.cumsum(sizes + 3)[:-1]] + 3
+        out = np.zeros((len(texts), len(self.languages)))
+        for at in range(3, len(raw), SEGMENT):
+            symbol = self.symbol[raw[at - 3 : at + SEGMENT]]
+            node = self.node[(symbol[:-3] * a + symbol[1:-2]) * a + symbol[2:-1]]
+            bits = self.bits[node.astype(np.int64) * a + symbol[3:]]
+            total = np.vstack([np.zeros((1, bits.shape[1])), np.cumsum(bits, 0, dtype=np.float64)])
+            out += total[np.clip(begin + sizes - at, 0, len(bits))] - total[np.clip(begin - at, 0, len(bits))]
+        return out
+
+    def identified(self, texts: list[str | None], any_code: bool = True) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text. Without any_code, texts that no tree codes in fewer bits than the bytes alone
+        would take (all of the alphabet alike) are unknown too."""
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        for i, j in batches(raw, 1 << 19) if self.languages else ():
+            bits = self.code_lengths(raw[i:j])
+            for k in range(i, j):
+                own = bits[k - i]
+                best = int(np.argmin(own))
+                if any(c.isalpha() for c in texts[k] or "") and (any_code or own[best] < len(raw[k]) * np.log2(self.a)):
+                    lang[k], score[k] = self.languages[best], 1 / np.exp2(np.maximum(-1000, own[best] - own)).sum()
+        return lang, score
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Trees:
@@ -102,6 +120,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         chance = F.when(F.col("lang") == x, min(1.0, sample / n)).otherwise(chance)
     drawn = rows.where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 20)) < chance * (1 << 20)).select("lang", "text")
 
+    @lean
     def count(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batch:
             for lang, texts in x.groupby("lang")["text"]:
@@ -119,17 +138,10 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     go to the first language by name. Rows are judged one by one, so repeated rows and ids are kept.
     """
 
+    @lean
     def judge(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batch:
-            lang, score = [UNKNOWN] * len(x), np.zeros(len(x))
-            texts = [t or "" for t in x["text"]]
-            raw = [t.encode("utf-8", "replace") for t in texts]
-            for i, j in batches(raw, 1 << 19):
-                bits = trees.code_lengths(raw[i:j]) if trees.languages else None
-                for k in range(i, j):
-                    if bits is not None and any(c.isalpha() for c in texts[k]):
-                        best = int(np.argmin(bits[k - i]))
-                        lang[k], score[k] = trees.languages[best], 1 / np.exp2(np.maximum(-1000, bits[k - i][best] - bits[k - i])).sum()
+            lang, score = trees.identified(x["text"].tolist())
             yield pd.DataFrame({"doc_id": x["doc_id"], "lang_pred": lang, "score": score})
 
     return docs.select(id_in(id_col), F.col(text_col).alias("text")).mapInPandas(judge, "doc_id long, lang_pred string, score double").withColumn("doc_id", id_out())
@@ -145,22 +157,24 @@ def predict(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those whose language is `und`, which no tree can judge."""
+def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, of which some language's tree tells the text.
+
+    Rejected: null texts, texts without a letter, and texts that the best tree codes in no fewer bits than bytes that are
+    all alike would take, which are in no language that was learned. Where nothing was learned, documents with a letter
+    stay. Repeated rows and null ids are judged row by row; an empty table gives no rows; other columns are not read.
+    """
     prepared(spark)
     trees = train(docs, F.coalesce(fold_of("doc_id") != 0, F.lit(False)))
 
-    def judge(batch: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    @lean
+    def judge(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch:
-            texts = [t or "" for t in x.column("text").to_pylist()]
-            bits = [None] * len(texts)
-            raw = [t.encode("utf-8", "replace") for t in texts]
+            texts = x.column(text_col).to_pylist()
             if trees.languages:
-                for i, j in batches(raw, 1 << 19):
-                    bits[i:j] = trees.code_lengths(raw[i:j]).argmin(1).tolist()
-            pred = [trees.languages[b] if b is not None and any(c.isalpha() for c in t) else UNKNOWN for b, t in zip(bits, texts, strict=True)]
-            yield x.filter(pa.array([p != UNKNOWN for p in pred], pa.bool_()))
+                keep = [p != UNKNOWN for p in trees.identified(texts, any_code=False)[0]]
+            else:
+                keep = [any(c.isalpha() for c in t or "") for t in texts]
+            yield x.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(judge, docs.schema)

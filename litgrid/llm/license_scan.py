@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, hashed_words, id_in, id_out, prepared
+from .common import batches, hashed_words, id_in, id_out, lean, prepared
 from .decontamination import plain
 
 #: Words of a fingerprint, and fingerprints of a winnowing window.
@@ -129,6 +129,7 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     prepared(spark)
     known = Templates(TEMPLATES if templates is None else templates)
 
+    @lean
     def search(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in rows:
             ids, texts, out = x["doc_id"].tolist(), x["text"].tolist(), []

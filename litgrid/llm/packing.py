@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tokens, id_in, id_out, new_path, prepared, small
+from .common import Tokens, id_in, id_out, lean, new_path, prepared, small
 
 STEPS = 200
 
@@ -100,6 +100,7 @@ def place(made: dict, window: int, length: int, rank: int) -> list[tuple[int, in
 def tokenized(docs: DataFrame, path: str, vocabulary: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
     """Writes the ids of each text, with what a global ranking needs: its task, and ranks among the task's rows."""
 
+    @lean
     def encode(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, task = Tokens.of(vocabulary), TaskContext.get().partitionId()
         seen, full, end = np.zeros(window, np.int64), 0, np.uint32(end_id).astype("<u4").tobytes()
@@ -144,6 +145,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1,
     base = rows.groupBy("task", "rest").count().select("task", "rest", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("rank_base"))
     base = base.join(by_task, "task")
 
+    @lean
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fold_of, hashed_words, id_in, id_out, prepared
+from .common import SEGMENT, batches, fold_of, hashed_words, id_in, id_out, lean, prepared
 
 #: Expected documents to learn from, drawn by hash; positives are the trusted ones among them.
 SAMPLE = 60_000
@@ -27,20 +27,23 @@ def features(texts: list[str | None]) -> np.ndarray:
     out = []
     for i, j in batches(raw):
         joined = b"\n".join(raw[i:j]) + b"\n"
-        code = np.frombuffer(joined, np.uint8)
-        kind = _KIND[code]
         size = np.array([len(t) + 1 for t in raw[i:j]])
-        doc = np.repeat(np.arange(j - i), size)
+        ends, kinds = np.cumsum(size), len(_CLASSES) + 1
         n = np.maximum(size - 1, 1)
-        share = np.bincount(doc * (len(_CLASSES) + 1) + kind, minlength=(j - i) * (len(_CLASSES) + 1)).reshape(j - i, -1).astype(float)
+        share, run, before = np.zeros((j - i) * kinds), np.zeros(j - i), -1
+        for at in range(0, len(joined), SEGMENT):  # a long text never has columns of its own length
+            code = np.frombuffer(joined, np.uint8, min(SEGMENT, len(joined) - at), at)
+            kind, doc = _KIND[code], np.searchsorted(ends, np.arange(at, at + len(code)), "right")
+            share += np.bincount(doc * kinds + kind, minlength=len(share))
+            run += np.bincount(doc, np.r_[code[0] == before, code[1:] == code[:-1]] & (kind != 3), j - i)
+            before = code[-1]
+        share = share.reshape(j - i, -1)
         share[:, 4] -= 1  # the line end put after each text
         lines = share[:, 4] + 1
-        same = np.r_[False, code[1:] == code[:-1]] & (kind != 3)
-        run = np.bincount(doc, same, j - i)
         words, start, end = hashed_words(joined)
-        at = doc[start]
+        at = np.searchsorted(ends, start, "right")
         m = np.maximum(np.bincount(at, minlength=j - i), 1)
-        marked = np.isin(kind[end - 1], (7, 10))
+        marked = np.isin(_KIND[np.frombuffer(joined, np.uint8)[end - 1]], (7, 10))
         again = np.r_[False, (words[1:] == words[:-1]) & (at[1:] == at[:-1])]
         pairs = np.unique(np.stack([at.astype(np.uint64), words], 1), axis=0) if len(words) else np.zeros((0, 2), np.uint64)
         different = np.bincount(pairs[:, 0].astype(np.int64), minlength=j - i)
@@ -109,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
         return None, 0.5
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
 
+    @lean
     def measure(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batch:
             yield pd.DataFrame({"doc_id": x["doc_id"], "x": list(features(x["text"].tolist()))})
@@ -134,6 +138,7 @@ def predict(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFram
     prepared(spark)
     model, _ = train(docs, labels, F.coalesce(fold_of("doc_id") != 0, F.lit(False)))
 
+    @lean
     def judge(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batch:
             yield pd.DataFrame({"doc_id": x["doc_id"], "score": model.scores(features(x["text"].tolist())) if model else np.full(len(x), 0.5)})
