@@ -22,7 +22,8 @@ def fused(hits: DataFrame, qid: str = "qid", paper: str = "paper_id") -> DataFra
 
 
 def diagnostic_pool(candidates: DataFrame, k: int = 500) -> DataFrame:
-    return top_k(candidates, ["qid"], [F.desc("rrf"), F.desc("best_score"), F.desc("paper_id")], k)
+    """The first k candidates of each query by fused score, then best raw score, then id."""
+    return top_k(candidates, ["qid"], [F.desc(F.round("rrf", 9)), F.desc("best_score"), F.desc("paper_id")], k)
 
 
 def entities(keys: DataFrame, node: str = "node", key: str = "key") -> DataFrame:

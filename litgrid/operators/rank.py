@@ -46,6 +46,15 @@ def source_ranks(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys).agg(*(rank_of(s) for s in SOURCES), F.count_distinct("source").alias("n_sources"), F.max("score").alias("best_score"))
 
 
+def candidates(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per candidate with its ranks by retriever, number of retrievers, best raw score, rank signal and fused score,
+    from one grouping. hits: as fuse.annotated gives them, a row for each action that found the candidate."""
+    w = by_source(F.col("source"), 1, 0.7)
+    best = hits.groupBy(*keys, "source").agg(F.min(F.greatest(F.col("rank"), F.lit(1))).alias("rank"), F.max("rrf").alias("rrf"), F.max("score").alias("score"))
+    signal = F.least(F.lit(1.0), F.sum(w / (1 + F.col("rank") / 8.0)) / F.least(F.sum(w), F.lit(2.8)))
+    return best.groupBy(*keys).agg(*(rank_of(s) for s in SOURCES), F.count("*").alias("n_sources"), F.max("score").alias("best_score"), signal.alias("rank_signal"), F.sum("rrf").alias("rrf"))
+
+
 def sparse_synergy() -> Column:
     lexical = F.least("r_title_bm25", "r_chunk_bm25")
     near = 1.0 + F.col("r_sparse") / 20.0

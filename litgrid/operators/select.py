@@ -1,59 +1,58 @@
 """Greedy selection within one query's candidates: lanes, diversification, back-filling.
 
-Both greedy steps look at the rows chosen before, so each query's candidates (at most `limit` rows, pruned by rank in
+The greedy steps look at the rows chosen before, so each query's candidates (at most `limit` rows, pruned by rank in
 Spark first) go through one pandas call; queries are spread over the cluster.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import top_k
+from . import features
 
 
 def _jaccard(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a or b else 0.0
+    return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def lanes(candidates: DataFrame, quotas: dict[str, int], target: int, head: int, limit: int = 500, redundant: float = 0.92) -> DataFrame:
-    """qid, paper_id, place, reason: a protected head, then rows of each lane up to its quota, then the rest in order.
+def lanes(candidates: DataFrame, target: int = 120, limit: int = 500, redundant: float = 0.92) -> DataFrame:
+    """qid, paper_id, place, reason: a protected head, then rows of each lane up to its quota, both by profile, then the
+    others by preselection score, and last those whose titles are too like one of the first 30 chosen, if not sure.
 
-    candidates: qid, paper_id, rank, words (array) and a boolean column for each lane. A row whose words are too like one
-    of the first 30 chosen is put off to the end.
+    candidates: qid, paper_id, profile, rank, preselect, words (array of the title's), sure, and the lanes' columns.
     """
 
     def choose(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["rank", "paper_id"])
-        rows = x.to_dict("records")
-        chosen: list[tuple[dict, str]] = [(r, "head") for r in rows[:head]]
-        taken, late = {r["paper_id"] for r, _ in chosen}, []
-        words = [set(r["words"]) for r, _ in chosen[:30]]
-
-        def take(r: dict, reason: str) -> bool:
-            if r["paper_id"] in taken or len(chosen) >= target:
-                return False
+        rows = x.sort_values(["rank", "paper_id"]).to_dict("records")
+        n = min(target, len(rows))
+        if len(rows) <= n:
+            return pd.DataFrame([(r["qid"], r["paper_id"], k + 1, "pool<=target") for k, r in enumerate(rows)], columns=["qid", "paper_id", "place", "reason"])
+        quota, chosen, taken = features.quotas(rows[0]["profile"], n), [], set()
+
+        def take(r: dict, reason: str) -> None:
+            taken.add(r["paper_id"])
+            chosen.append((r, reason))
+
+        for r in rows[: quota["head"]]:
+            take(r, "protected_rule_head")
+        best = sorted(rows, key=lambda r: -r["preselect"])  # stable: the pool's order among equals
+        for lane, name in features.LANES.items():
+            fit = [r for r in best if r[lane] and r["paper_id"] not in taken]
+            for r in fit[: max(0, min(quota[name], n - len(chosen)))]:
+                take(r, lane)
+        late = []
+        for r in best:
+            if r["paper_id"] in taken or len(chosen) >= n:
+                continue
             own = set(r["words"])
-            if any(_jaccard(own, w) >= redundant for w in words[:30]):
+            if not r["sure"] and any(_jaccard(own, set(y["words"])) >= redundant for y, _ in chosen[:30]):
                 late.append(r)
-                return False
-            chosen.append((r, reason))
-            words.append(own)
-            taken.add(r["paper_id"])
-            return True
-
-        for lane, quota in quotas.items():
-            n = 0
-            for r in rows:
-                if n < quota and r[lane] and take(r, lane):
-                    n += 1
-        for r in rows:
-            take(r, "fill")
-        for r in late:
-            if r["paper_id"] not in taken and len(chosen) < target:
-                chosen.append((r, "late"))
-                taken.add(r["paper_id"])
+            else:
+                take(r, "score_fill")
+        for r in late[: n - len(chosen)]:
+            take(r, "redundant_score_fill")
         return pd.DataFrame([(r["qid"], r["paper_id"], k + 1, why) for k, (r, why) in enumerate(chosen)], columns=["qid", "paper_id", "place", "reason"])
 
     kept = candidates.where(F.col("rank") <= limit)
@@ -61,32 +60,54 @@ def lanes(candidates: DataFrame, quotas: dict[str, int], target: int, head: int,
     return kept.groupBy("qid").applyInPandas(choose, f"qid {types['qid']}, paper_id {types['paper_id']}, place int, reason string")
 
 
-def diversified(ranked: DataFrame, protect: int, penalty: float = 0.08, gain: float = 0.025, limit: int = 120) -> DataFrame:
-    """qid, paper_id, place: the first rows stay; then always the row of greatest score + gain * new constraints - penalty *
-    likeness to the chosen. ranked: qid, paper_id, rank, score, words and constraints (arrays)."""
+def diversified(ranked: DataFrame, top_k: int = 50, gain: float = 0.025, limit: int = 120) -> DataFrame:
+    """qid, paper_id, place: the first rows stay; up to top_k always the row of greatest score + gain * new constraints -
+    penalty * likeness to the chosen follows, then the rest. With at most 12 rows, or a top_k of at most 10, nothing moves.
+
+    ranked: qid, paper_id, rank, score, protected (rows that stay), penalty, words and matched (arrays), and soften, a factor
+    of the likeness.
+    """
 
     def choose(x: pd.DataFrame) -> pd.DataFrame:
         rows = x.sort_values(["rank", "paper_id"]).to_dict("records")
-        chosen, rest = rows[:protect], rows[protect:]
-        if len(rows) <= 12:
-            chosen, rest = rows, []
-        seen = {c for r in chosen for c in r["constraints"]}
-        words = [set(r["words"]) for r in chosen]
-        own = {r["paper_id"]: set(r["words"]) for r in rest}
-        while rest:
-            best = max(rest, key=lambda r: (round(r["score"] + gain * len(set(r["constraints"]) - seen) - penalty * max((_jaccard(own[r["paper_id"]], w) for w in words), default=0.0), 9), -r["rank"]))
+        stay = len(rows) if len(rows) <= 12 or top_k <= 10 else min(len(rows), int(rows[0]["protected"]))
+        chosen, rest = rows[:stay], rows[stay:]
+        seen = {t for r in chosen for t in r["matched"]}
+        near = {r["paper_id"]: max((_jaccard(set(r["words"]), set(y["words"])) for y in chosen), default=0.0) for r in rest}
+        while rest and len(chosen) < top_k:
+            best = max(rest, key=lambda r: (round(r["score"] + gain * len(set(r["matched"]) - seen) - r["penalty"] * r["soften"] * near[r["paper_id"]], 9), -r["rank"]))
             rest.remove(best)
             chosen.append(best)
-            seen |= set(best["constraints"])
-            words.append(own[best["paper_id"]])
-        return pd.DataFrame([(r["qid"], r["paper_id"], k + 1) for k, r in enumerate(chosen)], columns=["qid", "paper_id", "place"])
+            seen |= set(best["matched"])
+            for r in rest:
+                near[r["paper_id"]] = max(near[r["paper_id"]], _jaccard(set(r["words"]), set(best["words"])))
+        return pd.DataFrame([(r["qid"], r["paper_id"], k + 1) for k, r in enumerate(chosen + rest)], columns=["qid", "paper_id", "place"])
 
     kept = ranked.where(F.col("rank") <= limit)
     types = dict(kept.dtypes)
     return kept.groupBy("qid").applyInPandas(choose, f"qid {types['qid']}, paper_id {types['paper_id']}, place int")
 
 
-def backfilled(ranked: DataFrame, anchors: int, bonus: Column, k: int = 50) -> DataFrame:
-    """qid, paper_id, place: the first `anchors` rows stay, the others follow by score and source-rank bonus."""
-    key = ranked.withColumn("block", (F.col("rank") > anchors).cast("int")).withColumn("adjusted", F.round(F.col("score") + bonus, 9))
-    return top_k(key, ["qid"], [F.asc("block"), F.when(F.col("block") == 0, F.col("rank")).asc(), F.desc("adjusted"), F.asc("paper_id")], k, "place").select("qid", "paper_id", "place")
+def anchors(profile: Column, target: Column) -> tuple[Column, Column]:
+    """How many rows keep their places, and how many of the first rows may be moved up, by profile."""
+    many, one = profile.isin(*features.MANY), profile.isin(*features.ONE)
+    part = lambda n: F.floor(target / n)
+    stay = F.when(many, F.least(F.lit(6), F.greatest(F.lit(3), part(8)))).when(one, F.least(F.lit(8), F.greatest(F.lit(4), part(7)))).otherwise(F.least(F.lit(7), F.greatest(F.lit(4), part(7))))
+    return stay, F.when(many, 500).when(one, 180).otherwise(220)
+
+
+def backfilled(ranked: DataFrame, bonus: Column, k: int = 50) -> DataFrame:
+    """qid, paper_id, place: anchors keep their places, then up to three rows with strong academic evidence follow by their
+    academic ranks, then the others by score and bonus; with at most 12 rows nothing moves. ranked: qid, paper_id, rank,
+    score, profile, r_api, r_api_snippet."""
+    w = Window.partitionBy("qid")
+    stay, front = anchors(F.col("profile"), F.col("target"))
+    academic = (F.col("r_api") <= 50) & (F.col("r_api_snippet") <= 80)
+    x = ranked.withColumn("total", F.count("*").over(w)).withColumn("target", F.least(F.lit(k), F.col("total"))).withColumn("stay", stay).withColumn("front", F.greatest(F.col("target"), front))
+    x = x.withColumn("is_academic", F.coalesce(academic, F.lit(False)) & (F.col("rank") > F.col("stay")))
+    x = x.withColumn("turn", F.row_number().over(w.orderBy(F.desc("is_academic"), "r_api", "r_api_snippet", "rank")))
+    early = F.col("is_academic") & (F.col("turn") <= F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("target") / 12))))
+    still = (F.col("rank") <= F.col("stay")) | (F.col("total") <= 12)
+    x = x.withColumn("block", F.when(still, 0).when(early, 1).when(F.col("rank") <= F.col("front"), 2).otherwise(3)).withColumn("adjusted", F.round(F.col("score") + bonus, 9))
+    key = [F.asc("block"), F.when(F.col("block") == 1, F.col("turn")).otherwise(0).asc(), F.when(F.col("block") == 2, -F.col("adjusted")).otherwise(0).asc(), F.when(F.col("block") == 2, -F.col("score")).otherwise(0).asc(), F.asc("rank")]
+    return x.withColumn("place", F.row_number().over(w.orderBy(*key))).where(F.col("place") <= k).select("qid", "paper_id", "place")

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from litgrid.functions import text as T
 from litgrid.operators import fuse, index, rank, select
 from litgrid.sources import tables as S
+from litgrid.sources.tables import held, small
 from litgrid.streaming import streams
 
 from .fixtures import BENCHMARK_QUERIES, CHUNKS, PAPERS, benchmark_queries, chunks, papers, table, title_sql, tokens_sql
 from .registry import query
-from .search_queries import _ALL, _POST, _TERMS, _TITLE_POST, _WIDE, _bm25, _bm25_sql, _terms, pool, ranked
+from .intent_queries import _KEPT, _WPHRASES, _WTERMS, phrases, terms
+from .search_queries import _ALL, _CHUNK_POST, _POST, _SCORES, _TITLE_POST, _WIDE, _bm25, _bodies, _terms, _titles, pool, ranked
 
 c = F.col
+_SCORES_CHUNKS = _SCORES(_CHUNK_POST).replace(f"WITH {PAPERS}, ", f"WITH {CHUNKS}, ").replace("FROM papers)", "FROM chunks)")
 
 
 @query("i01_jsonl_scan", "SELECT event_id, event_type, round(value, 6) AS value FROM events")
@@ -35,55 +38,78 @@ def i13(spark, d):
     return S.latest(table(spark, d, "lineitem"), ["l_partkey"], [F.desc("l_orderkey"), F.desc("l_linenumber")]).select("l_partkey", c("l_quantity").alias("quantity"))
 
 
-@query("r06_title_baseline", f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {_TITLE_POST}, {_TERMS}, n AS (SELECT count(*) AS n FROM papers), df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
-    s AS (SELECT qid, doc_id, sum(tf * ln(1 + n / (1 + df))) AS score FROM terms JOIN df USING (token) JOIN post USING (token), n GROUP BY ALL)
-    SELECT qid, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 30""")
+@query("r06_title_baseline", f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {_TITLE_POST}, qt AS (SELECT qid, token, count(*) AS qf FROM (SELECT qid, unnest({tokens_sql('query_text')}) AS token FROM bq) GROUP BY ALL), n AS (SELECT count(*) AS n FROM papers), df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+    s AS (SELECT qid, doc_id, sum(tf * qf * ln(1 + n / (1 + df))) AS score FROM qt JOIN df USING (token) JOIN post USING (token), n GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 5000),
+    qn AS (SELECT qid, sqrt(sum(qf * qf)) AS q FROM qt GROUP BY qid), dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS d FROM post GROUP BY doc_id), dot AS (SELECT qid, doc_id, sum(qf * tf) AS x FROM qt JOIN post USING (token) GROUP BY ALL)
+    SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT h.qid, h.doc_id, round(x / (q * d) + 0.01 * score, 6) AS score FROM h JOIN dot USING (qid, doc_id) JOIN qn USING (qid) JOIN dn USING (doc_id))) WHERE rank <= 30""")
 def r06(spark, d):
-    p = papers(spark, d)
-    post = index.postings(p, "paper_id", c("title"))
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
-    s = _terms(spark, d).join(df, "token").join(post, "token").groupBy("qid", "doc_id").agg(F.sum(c("tf") * index.tfidf_idf(p.count(), c("df"))).alias("score"))
-    return rank.top_k(s, ["qid"], [F.desc(F.round("score", 9)), F.asc("doc_id")], 30).select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
-
-
-@query("r07_best_fields", f"""WITH body AS ({_bm25_sql(PAPERS, _POST, 'papers', 100000)}), title AS ({_bm25_sql(PAPERS, _TITLE_POST, 'papers', 100000)}), s AS (SELECT qid, doc_id, round(greatest(b.score, 3 * coalesce(t.score, 0)), 6) AS score FROM body b LEFT JOIN title t USING (qid, doc_id))
-    SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
+    # first by summed weights, 5000 a query; these again by cosine and a hundredth of the sum
+    titles = index.token_rows(papers(spark, d), "paper_id", c("title"))
+    asked = benchmark_queries(spark, d).select("qid", F.explode(T.tokens(c("query_text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qf"))
+    # a title is short: its tokens are counted within the row
+    norm = F.sqrt(F.aggregate(F.transform(F.array_distinct("tokens"), lambda t: F.pow(F.size(F.filter("tokens", lambda x: x == t)), F.lit(2))), F.lit(0.0), lambda a, x: a + x))
+    post = held(index.matched_postings(titles, asked))
+    w = asked.join(post.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("w", c("qf") * index.tfidf_idf(papers(spark, d).count(), c("df")))
+    s = post.join(small(w), "token").groupBy("qid", "doc_id").agg(F.sum(c("tf") * c("w")).alias("score"), F.sum(c("tf") * c("qf")).alias("dot"))
+    head = rank.top_k(s, ["qid"], [F.desc(F.round("score", 9)), F.asc("doc_id")], 5000)
+    norms = asked.groupBy("qid").agg(F.sqrt(F.sum(c("qf") * c("qf"))).alias("q"))
+    again = head.join(titles.select("doc_id", norm.alias("d")), "doc_id").join(small(norms), "qid").select("qid", "doc_id", F.round(c("dot") / (c("q") * c("d")) + 0.01 * c("score"), 6).alias("score"))
+    return rank.top_k(again, ["qid"], [F.desc("score"), F.asc("doc_id")], 30).select("qid", "doc_id", "score", c("rank").cast("long"))
+
+
+@query("r07_best_fields", f"""WITH body AS ({_SCORES(_POST)}), title AS ({_SCORES(_TITLE_POST)}), nt AS (SELECT 'q' || item_id AS qid, len(list_distinct({tokens_sql('text')})) AS n FROM benchmark), u AS (SELECT qid, doc_id, score, matched FROM body UNION ALL SELECT qid, doc_id, 3 * score, matched FROM title),
+    s AS (SELECT qid, doc_id, round(max(score), 6) AS score FROM u JOIN nt USING (qid) WHERE matched >= CASE WHEN n <= 2 THEN n ELSE greatest(1, floor(n * 0.25)) END GROUP BY ALL) SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
 def r07(spark, d):
-    p = papers(spark, d)
-    n = p.count()
-    one = lambda text, name: index.bm25(_terms(spark, d), index.postings(p, "paper_id", text), n, 100000).select("qid", "doc_id", F.round("score", 6).alias(name))
-    both = one(F.concat_ws(" ", "title", "abstract"), "body").join(one(c("title"), "title"), ["qid", "doc_id"], "left")
-    best = both.select("qid", "doc_id", F.round(F.greatest("body", 3 * F.coalesce("title", F.lit(0.0))), 6).alias("score"))
+    # a quarter of the query's tokens here, as the invented prose shares few words; the usual share is .55
+    found = index.best_fields(_terms(spark, d), [(_bodies(spark, d), 1.0), (_titles(spark, d), 3.0)], share=0.25)
+    best = found.withColumn("score", F.round("score", 6))
     return rank.top_k(best, ["qid"], [F.desc("score"), F.asc("doc_id")], 20).withColumn("rank", c("rank").cast("long"))
 
 
-@query("r09_phrase_match", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, ph AS (SELECT qid, array_to_string(string_split({title_sql('query_text')}, ' ')[1:3], ' ') AS phrase FROM bq) SELECT qid, paper_id FROM ph JOIN papers ON contains(' ' || {title_sql('title || chr(32) || abstract')} || ' ', ' ' || phrase || ' ')")
+_GAPS = f"""pw AS (SELECT paper_id, w, i FROM (SELECT paper_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT paper_id, string_split({title_sql('title || chr(32) || abstract')}, ' ') AS ws FROM papers))),
+    pairs AS (SELECT DISTINCT paper_id, phrase, slop FROM (SELECT paper_id, w || ' ' || lead(w, 1) OVER x AS phrase, 0 AS slop FROM pw WINDOW x AS (PARTITION BY paper_id ORDER BY i) UNION ALL SELECT paper_id, w || ' ' || lead(w, 2) OVER x, 1 FROM pw WINDOW x AS (PARTITION BY paper_id ORDER BY i)) WHERE phrase IS NOT NULL)"""
+_QPAIRS = f"qp AS (SELECT DISTINCT qid, phrase FROM (SELECT qid, w || ' ' || lead(w, 1) OVER (PARTITION BY qid ORDER BY i) AS phrase FROM (SELECT qid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT qid, string_split({title_sql('query_text')}, ' ') AS ws FROM bq))) WHERE phrase IS NOT NULL)"
+
+
+@query("r09_phrase_match", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, {_GAPS}, {_QPAIRS} SELECT qid, paper_id, round(sum(CASE WHEN slop = 0 THEN 2.0 ELSE 1.0 END), 6)::DOUBLE AS score FROM (SELECT qid, paper_id, phrase, min(slop) AS slop FROM pairs JOIN qp USING (phrase) GROUP BY ALL) GROUP BY qid, paper_id")
 def r09(spark, d):
-    # three-word runs of papers meet the queries' phrases by an equi-join
-    phrase = benchmark_queries(spark, d).select("qid", F.array_join(F.slice(F.split(T.normalize_title(c("query_text")), " "), 1, 3), " ").alias("phrase"))
-    words = papers(spark, d).select("paper_id", F.split(T.normalize_title(F.concat_ws(" ", "title", "abstract")), " ").alias("w"))
-    grams = words.select("paper_id", F.explode(T.ngrams(c("w"), 3)).alias("phrase")).distinct()
-    return grams.join(phrase, "phrase").select("qid", "paper_id")
+    # all two-word phrases of the queries; a paper holds one in place (slop 0, boost 2) or with one word between (slop 1)
+    phrases = small(benchmark_queries(spark, d).select("qid", F.explode(F.array_distinct(T.ngrams(F.split(T.normalize_title(c("query_text")), " "), 2))).alias("phrase")))
+    w = F.split(T.normalize_title(F.concat_ws(" ", "title", "abstract")), " ")
+    gap = lambda n: F.transform(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - n, F.lit(0))).alias("a"), F.slice("w", n + 1, F.greatest(F.size("w") - n, F.lit(0))).alias("b")), lambda z: F.struct(F.concat_ws(" ", z["a"], z["b"]).alias("phrase"), F.lit(n - 1).alias("slop")))
+    pairs = papers(spark, d).select("paper_id", w.alias("w")).select("paper_id", F.explode(F.concat(gap(1), gap(2))).alias("p")).select("paper_id", "p.*")
+    best = pairs.join(phrases, "phrase").groupBy("qid", "paper_id", "phrase").agg(F.min("slop").alias("slop"))
+    return best.groupBy("qid", "paper_id").agg(F.round(F.sum(F.when(c("slop") == 0, 2.0).otherwise(1.0)), 6).alias("score"))
 
 
-@query("r10_weighted_clauses", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, {_POST}, {_TERMS} SELECT qid, doc_id, round(sum(CASE WHEN length(token) >= 6 THEN 1.5 ELSE 1.0 END), 6)::DOUBLE AS score FROM terms JOIN post USING (token) WHERE doc_id LIKE '%7' GROUP BY ALL")
-def r10(spark, d):
-    return _weighted_clauses(spark, d, papers(spark, d).where("paper_id like '%7'"))
+_CLAUSES = f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {_KEPT}, {_WTERMS}, {_WPHRASES}, fw AS (SELECT paper_id, 3.0::DOUBLE AS boost, {tokens_sql(title_sql('title'), False)} AS ws FROM papers UNION ALL SELECT paper_id, 1.0, {tokens_sql(title_sql('abstract'), False)} FROM papers),
+    ft AS (SELECT DISTINCT paper_id, boost, token FROM (SELECT paper_id, boost, unnest(ws) AS token FROM fw)), fp AS (SELECT DISTINCT paper_id, boost, phrase FROM (SELECT paper_id, boost, ' ' || array_to_string(ws, ' ') || ' ' AS body FROM fw) JOIN (SELECT DISTINCT phrase FROM wp) ON contains(body, ' ' || phrase || ' ')),
+    u AS (SELECT qid, paper_id, boost * weight AS s FROM ft JOIN wt ON term = token UNION ALL SELECT qid, paper_id, boost * weight FROM fp JOIN wp USING (phrase)) SELECT qid, paper_id, round(sum(s), 6) AS score FROM u GROUP BY ALL"""
 
 
-@query("r10_weighted_clauses_all")
-def r10_all(spark, d):
-    return _weighted_clauses(spark, d, papers(spark, d))
+@query("r10_weighted_clauses", _CLAUSES)
+def r10(spark, d):
+    """Weighted terms and phrases of the query in each field, titles counting three times."""
+    t, p = terms(spark, d), phrases(spark, d)
+    clauses = small(t.select("qid", c("term").alias("unit"), "weight").unionByName(p.select("qid", c("phrase").alias("unit"), "weight")))
+    fields = papers(spark, d).select("paper_id", F.explode(F.array(F.struct(F.lit(3.0).alias("boost"), T.tokens(T.normalize_title(c("title")), ()).alias("w")), F.struct(F.lit(1.0).alias("boost"), T.tokens(T.normalize_title(c("abstract")), ()).alias("w")))).alias("f"))
+    units = fields.select("paper_id", "f.boost", F.explode(F.array_distinct(F.concat("f.w", *(T.ngrams(c("f.w"), n) for n in (2, 3, 4))))).alias("unit"))
+    return units.join(clauses, "unit").groupBy("qid", "paper_id").agg(F.round(F.sum(c("boost") * c("weight")), 6).alias("score"))
 
 
-def _weighted_clauses(spark, d, papers):
-    post = index.postings(papers, "paper_id", F.concat_ws(" ", "title", "abstract"))
-    return post.join(_terms(spark, d), "token").groupBy("qid", "doc_id").agg(F.round(F.sum(F.when(F.length("token") >= 6, 1.5).otherwise(1.0)), 6).alias("score"))
+@query("r10_weighted_clauses_all", _CLAUSES)
+def r10_all(spark, d):
+    return r10(spark, d)
 
 
-@query("r13_chunk_type_boost", f"WITH {CHUNKS} SELECT chunk_id, length(text) + CASE WHEN chunk_type = 'title_abstract' THEN 100 ELSE 0 END AS score FROM chunks")
+@query("r13_chunk_type_boost", f"WITH s AS ({_SCORES_CHUNKS}) SELECT qid, chunk_id, score, rank FROM (SELECT qid, doc_id AS chunk_id, round(s.score + CASE WHEN chunk_type = 'title_abstract' THEN 0.35 ELSE 0 END, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s.score + CASE WHEN chunk_type = 'title_abstract' THEN 0.35 ELSE 0 END, 6) DESC, doc_id) AS rank FROM s JOIN (SELECT 'doc:' || doc_id || '#chunk:' || (i - 1) AS doc_id, CASE WHEN i = 1 THEN 'title_abstract' ELSE 'section' END AS chunk_type FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) k USING (doc_id)) WHERE rank <= 20")
 def r13(spark, d):
-    return chunks(spark, d).select("chunk_id", (F.length("text") + F.when(c("chunk_type") == "title_abstract", 100).otherwise(0)).cast("long").alias("score"))
+    """Chunk scores with a constant for titles and abstracts, ranked with it."""
+    x = chunks(spark, d)
+    scores = index.bm25_scores(_terms(spark, d), index.token_rows(x, "chunk_id", c("text"))).withColumnRenamed("doc_id", "chunk_id")
+    both = scores.join(x.select("chunk_id", "chunk_type"), "chunk_id")
+    boosted = both.select("qid", "chunk_id", F.round(c("score") + F.when(c("chunk_type") == "title_abstract", 0.35).otherwise(0.0), 6).alias("score"))
+    return rank.top_k(boosted, ["qid"], [F.desc("score"), F.asc("chunk_id")], 20).withColumn("rank", c("rank").cast("long"))
 
 
 @query("r19_alias_search", "WITH m AS (SELECT l_suppkey AS paper_id, l_partkey AS concept, l_linenumber % 3 AS kind FROM lineitem WHERE l_partkey % 50 = 0) SELECT concept % 20 AS qid, paper_id, round(sum(CASE kind WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 1.3 END), 6)::DOUBLE AS score FROM m GROUP BY ALL")
@@ -148,64 +174,6 @@ def q18(spark, d):
     return rank.top_k(post, ["doc_id"], [F.desc("tf"), F.asc("token")], 80).select("doc_id", c("token").alias("feature"), c("tf").alias("value"))
 
 
-@query("q21_profile_budget", "SELECT item_id, least(120, greatest(20, 30 * (item_id % 5 + 1))) AS lexical_top_k FROM benchmark")
-def q21(spark, d):
-    budgets = F.broadcast(spark.createDataFrame([(k, 30 * (k + 1)) for k in range(5)], "profile long, top_k long"))
-    x = table(spark, d, "benchmark").select("item_id", (c("item_id") % 5).alias("profile")).join(budgets, "profile")
-    return x.select("item_id", F.least(F.lit(120), F.greatest(F.lit(20), "top_k")).cast("long").alias("lexical_top_k"))
-
-
-@query("q24_concept_query", f"SELECT item_id, array_to_string(list_filter({tokens_sql('text')}, lambda t: length(t) >= 4)[1:20], ' | ') AS concept_query FROM benchmark")
-def q24(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.filter(T.tokens(c("text")), lambda t: F.length(t) >= 4), 1, 20), " | ").alias("concept_query"))
-
-
-@query("q26_clean_query", f"SELECT item_id, array_to_string({tokens_sql('text')}[1:14], ' ') AS clean, least(14, len({tokens_sql('text')})) AS n FROM benchmark")
-def q26(spark, d):
-    words = F.slice(T.tokens(c("text")), 1, 14)
-    return table(spark, d, "benchmark").select("item_id", F.array_join(words, " ").alias("clean"), F.size(words).cast("long").alias("n"))
-
-
-@query("q29_rewrite_need", f"SELECT item_id, len({tokens_sql('text')}) >= 10 AND length(text) >= 120 AS needed FROM benchmark")
-def q29(spark, d):
-    return table(spark, d, "benchmark").select("item_id", ((F.size(T.tokens(c("text"))) >= 10) & (F.length("text") >= 120)).alias("needed"))
-
-
-@query("k11_lane_preselection")
-def k11(spark, d):
-    wide = rank.source_ranks(ranked(spark, d), ["qid", "paper_id"]).join(pool(spark, d).select("qid", "paper_id", "rank"), ["qid", "paper_id"])
-    words = table(spark, d, "part").select(c("p_partkey").alias("paper_id"), F.split("p_name", " ").alias("words"))
-    x = wide.join(words, "paper_id", "left").select("qid", "paper_id", "rank", F.coalesce("words", F.array().cast("array<string>")).alias("words"), (c("n_sources") >= 2).alias("multi_source"), F.coalesce(c("r_title_bm25") <= 80, F.lit(False)).alias("title"), c("r_dense").isNotNull().alias("dense"))
-    return select.lanes(x, {"multi_source": 30, "title": 30, "dense": 20}, 120, 10)
-
-
-@query("k16_diversification")
-def k16(spark, d):
-    words = table(spark, d, "part").select(c("p_partkey").alias("paper_id"), F.split("p_name", " ").alias("words"), F.array("p_brand").alias("constraints"))
-    empty = F.array().cast("array<string>")
-    x = pool(spark, d).where("rank <= 60").join(words, "paper_id", "left").select("qid", "paper_id", "rank", c("rrf").alias("score"), F.coalesce("words", empty).alias("words"), F.coalesce("constraints", empty).alias("constraints"))
-    return select.diversified(x, 5)
-
-
-@query("k17_backfill", f"{_ALL}, {_WIDE}, b AS (SELECT p.qid, p.paper_id, p.rank, round(p.rrf + CASE WHEN r_dense <= 10 THEN 0.05 ELSE 0 END + CASE WHEN r_api <= 10 THEN 0.03 ELSE 0 END, 9) AS adj FROM pool p JOIN wide w USING (qid, paper_id) WHERE p.rank <= 120) SELECT qid, paper_id, place FROM (SELECT qid, paper_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank > 10 THEN 1 ELSE 0 END, CASE WHEN rank <= 10 THEN rank END, adj DESC, paper_id) AS place FROM b) WHERE place <= 50")
-def k17(spark, d):
-    wide = rank.source_ranks(ranked(spark, d), ["qid", "paper_id"]).select("qid", "paper_id", "r_dense", "r_api")
-    x = pool(spark, d).where("rank <= 120").withColumnRenamed("rrf", "score").join(wide, ["qid", "paper_id"])
-    bonus = F.when(c("r_dense") <= 10, 0.05).otherwise(0.0) + F.when(c("r_api") <= 10, 0.03).otherwise(0.0)
-    return select.backfilled(x, 10, bonus).withColumn("place", c("place").cast("long"))
-
-
-@query("k20_expansion_gate", f"{_ALL} SELECT qid FROM pool GROUP BY qid HAVING count(*) FILTER (n_sources >= 4) < 40")
-def k20(spark, d):
-    return pool(spark, d).groupBy("qid").agg(F.count_if(F.expr("n_sources >= 4")).alias("n")).where("n < 40").select("qid")
-
-
-@query("k23_next_queries", f"SELECT item_id, ts[1] || ' ' || ts[3] AS next_query FROM (SELECT item_id, {tokens_sql('text')} AS ts FROM benchmark) WHERE len(ts) >= 3")
-def k23(spark, d):
-    w = table(spark, d, "benchmark").select("item_id", T.tokens(c("text")).alias("w")).where(F.size("w") >= 3)
-    return w.select("item_id", F.concat_ws(" ", c("w")[0], c("w")[2]).alias("next_query"))
-
-
 @query("k24_second_round")
 def k24(spark, d):
     first = _bm25(spark, d, 20)
@@ -253,32 +221,6 @@ def q19(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.tokens(c("text")), 1, 16), " ").alias("dense_text"))
 
 
-@query("q02_phrase_spotting", f"WITH lx AS (SELECT unnest(['the and', 'of the', 'was the', 'in the']) AS phrase) SELECT item_id, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM benchmark, lx WHERE contains(' ' || {title_sql('text')} || ' ', ' ' || phrase || ' ') GROUP BY item_id")
-def q02(spark, d):
-    # two-word runs of the queries meet the lexicon's phrases by an equi-join
-    lexicon = F.broadcast(spark.createDataFrame([(p,) for p in ("the and", "of the", "was the", "in the")], "phrase string"))
-    runs = table(spark, d, "benchmark").select("item_id", F.split(T.normalize_title(c("text")), " ").alias("w")).select("item_id", F.explode(T.ngrams(c("w"), 2)).alias("phrase"))
-    return runs.join(lexicon, "phrase").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("phrase")), "|").alias("phrases"))
-
-
-@query("q03_research_fields", f"WITH lx AS (SELECT * FROM (VALUES ('tion', 'field a'), ('ing', 'field b'), ('that', 'field c')) v(token, field)), t AS (SELECT DISTINCT item_id, unnest({tokens_sql('text', False)}) AS token FROM benchmark) SELECT b.item_id, coalesce(string_agg(DISTINCT field, '|' ORDER BY field), 'general') AS fields FROM benchmark b LEFT JOIN t ON t.item_id = b.item_id LEFT JOIN lx ON lx.token = t.token GROUP BY b.item_id")
-def q03(spark, d):
-    lexicon = F.broadcast(spark.createDataFrame([("tion", "field a"), ("ing", "field b"), ("that", "field c")], "token string, field string"))
-    items = table(spark, d, "benchmark")
-    found = items.select("item_id", F.explode(T.tokens(c("text"), ())).alias("token")).join(lexicon, "token").groupBy("item_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("field")), 1, 5), "|").alias("fields"))
-    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("fields", F.lit("general")).alias("fields"))
-
-
-@query("q23_constraint_queries", "SELECT conv_id, turn, regexp_matches(lower(text), 'the|that|which') AS marked FROM conversations")
-def q23(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.rlike(F.lower("text"), F.lit("the|that|which")).alias("marked"))
-
-
-@query("q27_key_phrases", "SELECT event_id, array_to_string(regexp_extract_all(props, '\"([a-z_]+)\"', 1), '|') AS phrases FROM events")
-def q27(spark, d):
-    return table(spark, d, "events").select("event_id", F.array_join(F.regexp_extract_all("props", F.lit('"([a-z_]+)"'), F.lit(1)), "|").alias("phrases"))
-
-
 @query("q32_rewrite_merge", f"SELECT conv_id, array_to_string(list_filter(ws, lambda v, i: list_position(ws, v) = i)[1:12], '|') AS merged FROM (SELECT a.conv_id, list_concat({tokens_sql('b.text')}[1:6], {tokens_sql('a.text')}[1:10]) AS ws FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn = 0)")
 def q32(spark, d):
     x = table(spark, d, "conversations")

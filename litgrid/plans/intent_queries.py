@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from litgrid.functions import text as T
 from litgrid.operators import intent
 
-from .fixtures import BENCHMARK_QUERIES, PAPERS, benchmark_queries, papers, table, title_sql, tokens_sql
+from .fixtures import BENCHMARK_QUERIES, benchmark_queries, table, title_sql, tokens_sql
 from .registry import query
 
 c = F.col
@@ -78,134 +78,11 @@ def q14(spark, d):
     return benchmark_queries(spark, d).select("qid", padded.alias("t")).join(aliases, F.contains(c("t"), F.concat(F.lit(" "), "alias", F.lit(" ")))).select("qid", "term").distinct()
 
 
-_CUE_TEXT = "text || [' first versus', ' better than larger, since 2015', ' show that 2012 and 2019', ' analysis before 1999, not about cats', ''][item_id % 5 + 1] || CASE WHEN item_id % 3 = 0 THEN ' at ACL or sigir' ELSE '' END"
-
-
-def cue_text():
-    tail = F.element_at(F.array(*map(F.lit, (" first versus", " better than larger, since 2015", " show that 2012 and 2019", " analysis before 1999, not about cats", ""))), (c("item_id") % 5 + 1).cast("int"))
-    return F.concat("text", tail, F.when(c("item_id") % 3 == 0, " at ACL or sigir").otherwise(""))
-
-
-@query("q06_relation_cues", "SELECT item_id, ['first proposed,comparative study', 'better than larger baseline', 'empirical finding', 'analysis', ''][item_id % 5 + 1] AS cues FROM benchmark")
-def q06(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(intent.relation_cues(cue_text()), ",").alias("cues"))
-
-
-@query("q07_excluded_meanings", "SELECT item_id, CASE WHEN item_id % 5 = 3 THEN 'cats' || CASE WHEN item_id % 3 = 0 THEN ' at acl or sigir' ELSE '' END ELSE '' END AS excluded FROM benchmark")
-def q07(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(intent.excluded(cue_text()), ",").alias("excluded"))
-
-
-@query("q08_time_range", "SELECT item_id, [0, 2015, 2012, 0, 0][item_id % 5 + 1]::INTEGER AS first_year, [0, 0, 2019, 1999, 0][item_id % 5 + 1]::INTEGER AS last_year FROM benchmark")
-def q08(spark, d):
-    x = table(spark, d, "benchmark").select("item_id", intent.time_range(cue_text()).alias("r"))
-    return x.select("item_id", F.coalesce("r.start", F.lit(0)).alias("first_year"), F.coalesce("r.end", F.lit(0)).alias("last_year"))
-
-
-@query("q09_venues", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'ACL,SIGIR' ELSE '' END AS venues FROM benchmark")
-def q09(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(intent.venues(cue_text(), whole_words=True), ",").alias("venues"))
-
-
-@query("q11_main_intent", f"SELECT item_id, 'find scholarly papers about ' || array_to_string(list_distinct({tokens_sql('text')})[1:0] || {tokens_sql('text')}[1:4], ', ') AS main_intent FROM benchmark")
-def q11(spark, d):
-    return table(spark, d, "benchmark").select("item_id", intent.main_intent(c("text"), F.slice(T.tokens(c("text")), 1, 4)).alias("main_intent"))
-
-
-@query("q20_query_profile", "SELECT item_id, CASE WHEN contains(lower(x), 'since 2015') THEN 'recent' WHEN contains(lower(x), 'versus') THEN 'comparison' WHEN contains(lower(x), 'analysis') THEN 'survey_or_list' ELSE 'general' END AS profile FROM (SELECT item_id, " + _CUE_TEXT + " AS x FROM benchmark)")
-def q20(spark, d):
-    rules = [("recent", ("since 2015",)), ("comparison", ("versus",)), ("survey_or_list", ("analysis",))]
-    return table(spark, d, "benchmark").select("item_id", T.first_of(F.lower(cue_text()), rules, "general").alias("profile"))
-
-
-_SUBS = "sq AS (SELECT item_id AS qid, CAST(i - 1 AS INTEGER) AS index, trim(part) AS sub_query FROM (SELECT item_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT item_id, list_filter(string_split(text, '.'), lambda s: trim(s) <> '') AS ps FROM benchmark)) WHERE i <= 8)"
-
-
-@query("q10_sub_queries", f"WITH {_SUBS} SELECT * FROM sq")
-def q10(spark, d):
-    parts = F.slice(F.filter(F.split("text", r"\."), lambda s: F.trim(s) != ""), 1, 8)
-    return table(spark, d, "benchmark").select(c("item_id").alias("qid"), F.posexplode(F.transform(parts, lambda s: F.trim(s))).alias("index", "sub_query"))
-
-
-@query("q22_actions", f"WITH {_SUBS}, rules AS (SELECT * FROM (VALUES ('title_bm25', 6, 1.0), ('dense', 3, 1.2), ('api', 2, 0.8)) v(source, lim, weight)) SELECT qid, index, source, sub_query, CAST(CASE WHEN index <= 3 THEN 60 ELSE 48 END AS INTEGER) AS top_k, weight::DOUBLE AS weight FROM sq JOIN rules ON index < lim")
-def q22(spark, d):
-    rules = spark.createDataFrame([("title_bm25", 6, 1.0), ("dense", 3, 1.2), ("api", 2, 0.8)], "source string, limit int, weight double")
-    return intent.actions(q10(spark, d), rules)
-
-
-@query("q34_sub_query_top_k", f"WITH {_SUBS} SELECT qid, index, CAST(CASE WHEN index <= 3 THEN 35 ELSE 30 END AS INTEGER) AS top_k FROM sq")
-def q34(spark, d):
-    return q10(spark, d).select("qid", "index", intent.sub_query_top_k(c("index"), 35).alias("top_k"))
-
-
-@query("r25_action_routing", f"WITH {_SUBS} SELECT source, count(*) AS n FROM (SELECT 'title_bm25' AS source FROM sq WHERE index < 6 UNION ALL SELECT 'dense' FROM sq WHERE index < 3) GROUP BY source")
-def r25(spark, d):
-    a = q22(spark, d)
-    parts = [a.where(c("source") == s) for s in ("title_bm25", "dense")]
-    return parts[0].unionByName(parts[1]).groupBy("source").agg(F.count("*").alias("n"))
-
-
-@query("r26_action_budget", f"WITH {_SUBS} SELECT qid, index FROM sq WHERE index < 2")
-def r26(spark, d):
-    from litgrid.sources.tables import first_n
-
-    return first_n(q22(spark, d).where("source = 'title_bm25'"), ["qid"], [F.asc("index")], 2).select("qid", "index")
-
-
-@query("q28_locator_queries", "SELECT conv_id, turn, regexp_matches(text, '(?i)doi:|arxiv:|https?://') AS locator FROM conversations")
-def q28(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.rlike("text", F.lit("(?i)doi:|arxiv:|https?://")).alias("locator"))
-
-
 @query("q33_noise_filter", f"SELECT item_id, array_to_string(CASE WHEN len(list_filter(ts, lambda t: t NOT IN ('with', 'from', 'tion'))) > 0 THEN list_filter(ts, lambda t: t NOT IN ('with', 'from', 'tion')) ELSE ts END, ' ') AS terms FROM (SELECT item_id, {tokens_sql('text', False)} AS ts FROM benchmark)")
 def q33(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(intent.without_noise(T.tokens(c("text"), ()), ["with", "from", "tion"]), " ").alias("terms"))
 
 
-@query("q30_weak_intent", "SELECT item_id, ['comparison_search', 'method_search', 'mechanism_search', 'survey_search', 'method_search'][item_id % 5 + 1] AS label FROM benchmark")
-def q30(spark, d):
-    rules = [("comparison_search", ("versus",)), ("mechanism_search", ("show that",)), ("survey_search", ("analysis",))]
-    return table(spark, d, "benchmark").select("item_id", T.first_of(F.lower(cue_text()), rules, "method_search").alias("label"))
-
-
-@query("q31_intent_adjustment", "SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'blocked' WHEN l.quality IS NULL THEN d.lang ELSE 'q' || l.quality || ' ' || d.lang END AS intent FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def q31(spark, d):
-    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return x.select("doc_id", F.when(c("toxic") == 1, "blocked").when(c("quality").isNull(), c("lang")).otherwise(F.concat(F.lit("q"), "quality", F.lit(" "), "lang")).alias("intent"))
-
-
-# ---- constraints: a query's first tokens, and its first two tokens as a phrase
-
-_CONSTRAINTS = f"cons AS (SELECT qid, unnest(list_distinct([array_to_string(ts[1:2], ' ')] || ts[1:5])) AS constr FROM (SELECT qid, {tokens_sql('query_text')} AS ts FROM bq))"
-_CANDIDATES = f"cand AS (SELECT qid, paper_id, title || ' ' || abstract AS body FROM bq JOIN papers ON doc_id % 40 = CAST(substr(qid, 2) AS BIGINT) % 40)"
-_MATCH = f"""WITH {BENCHMARK_QUERIES}, {PAPERS}, {_CONSTRAINTS}, {_CANDIDATES}, cw AS (SELECT qid, constr, {tokens_sql('constr')} AS ws, {title_sql('constr')} AS phrase FROM cons), ch AS (SELECT qid, paper_id, list_distinct({tokens_sql('body')}) AS have, {title_sql('body')} AS whole FROM cand),
-    mt AS (SELECT qid, paper_id, constr, CASE WHEN len(ws) > 1 OR contains(constr, '-') THEN 1.6 WHEN length(ws[1]) <= 3 THEN 0.7 ELSE 1.0 END AS weight, (len(ws) > 1 AND contains(whole, phrase)) OR len(list_filter(ws, lambda w: list_contains(have, w))) >= least(2, len(ws)) AS matched FROM cw JOIN ch USING (qid) WHERE len(ws) > 0)"""
-
-
-def matches(spark, d):
-    q = benchmark_queries(spark, d)
-    words = T.tokens(c("query_text"))
-    cons = q.select("qid", F.explode(F.array_distinct(F.concat(F.array(F.array_join(F.slice(words, 1, 2), " ")), F.slice(words, 1, 5)))).alias("constraint"))
-    p = papers(spark, d).select("paper_id", F.concat_ws(" ", "title", "abstract").alias("body"), (c("doc_id") % 40).alias("k"))
-    cand = q.withColumn("k", F.substring("qid", 2, 20).cast("long") % 40).join(p, "k").select("qid", "paper_id", "body")
-    return intent.constraint_matches(cons, cand, "body")
-
-
-@query("k01_constraint_coverage", f"{_MATCH} SELECT qid, paper_id, constr AS \"constraint\", matched FROM mt")
-def k01(spark, d):
-    return matches(spark, d).drop("weight")
-
-
-@query("k02_coverage_ratio", f"{_MATCH} SELECT qid, paper_id, round(sum(CASE WHEN matched THEN weight ELSE 0 END) / sum(weight), 6)::DOUBLE AS coverage, count(*) FILTER (matched) AS n_matched FROM mt GROUP BY ALL")
-def k02(spark, d):
-    return intent.coverage_ratio(matches(spark, d)).withColumn("coverage", F.round("coverage", 6))
-
-
-@query("k22_coverage_status", f"{_MATCH} SELECT qid, constr AS \"constraint\", CASE WHEN count(*) FILTER (matched) >= 2 THEN 'covered' WHEN count(*) FILTER (matched) = 1 THEN 'weak' ELSE 'missing' END AS status FROM mt GROUP BY qid, constr")
-def k22(spark, d):
-    return intent.coverage_status(matches(spark, d))
-
-
 @query("a17_action_metrics", """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 AS a, l_suppkey % 3 AS b FROM lineitem)
     SELECT count(*) AS total, round(count(*) FILTER (a = b) / count(*), 6) AS exact_match, round(count(*) FILTER (l_linenumber <> 7) / count(*), 6) AS parse_rate, round(count(*) FILTER ((a = 0) = (b = 0 OR l_linenumber = 7)) / count(*), 6) AS stop_accuracy,
     round(sum(tp) / (sum(tp) + sum(fp)), 6) AS precision, round(sum(tp) / (sum(tp) + sum(fn)), 6) AS recall, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1

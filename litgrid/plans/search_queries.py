@@ -33,9 +33,16 @@ def _terms(spark, d):
     return benchmark_queries(spark, d).select("qid", F.explode(T.tokens(c("query_text"))).alias("token")).distinct().withColumn("weight", F.lit(1.0))
 
 
+def _bodies(spark, d):
+    return index.token_rows(papers(spark, d), "paper_id", F.concat_ws(" ", "title", "abstract"))
+
+
+def _titles(spark, d):
+    return index.token_rows(papers(spark, d), "paper_id", c("title"))
+
+
 def _bm25(spark, d, k: int = 20):
-    p = papers(spark, d)
-    return index.bm25(_terms(spark, d), index.postings(p, "paper_id", F.concat_ws(" ", "title", "abstract")), p.count(), k)
+    return index.bm25(_terms(spark, d), _bodies(spark, d), k)
 
 
 @query("r01_corpus_views", f"WITH {PAPERS}, {CHUNKS} SELECT p.paper_id, md5(title) AS title_doc, md5(coalesce(c.text, title || ' ' || abstract)) AS chunk_doc FROM papers p LEFT JOIN (SELECT paper_id, string_agg(text, ' ' ORDER BY chunk_index) AS text FROM chunks WHERE chunk_index < 4 GROUP BY paper_id) c ON c.paper_id = p.paper_id")
@@ -46,14 +53,12 @@ def r01(spark, d):
 
 @query("r02_inverted_index", f"WITH {PAPERS}, {_POST} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY token")
 def r02(spark, d):
-    return index.postings(papers(spark, d), "paper_id", F.concat_ws(" ", "title", "abstract")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index.token_frequencies(_bodies(spark, d))
 
 
 @query("r03_idf", f"WITH {PAPERS}, {_POST}, n AS (SELECT count(*) AS n FROM papers) SELECT token, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS bm25_idf, round(ln(1 + n / (1 + count(*))), 6) AS tfidf_idf FROM post, n GROUP BY token, n")
 def r03(spark, d):
-    p = papers(spark, d)
-    n = p.count()
-    df = index.postings(p, "paper_id", F.concat_ws(" ", "title", "abstract")).groupBy("token").agg(F.count("*").alias("df"))
+    n, df = papers(spark, d).count(), index.token_frequencies(_bodies(spark, d))
     return df.select("token", F.round(index.bm25_idf(n, c("df")), 6).alias("bm25_idf"), F.round(index.tfidf_idf(n, c("df")), 6).alias("tfidf_idf"))
 
 
@@ -64,14 +69,12 @@ def r04(spark, d):
 
 @query("r04_title_bm25", _bm25_sql(PAPERS, _TITLE_POST, "papers", 20))
 def r04_title(spark, d):
-    p = papers(spark, d)
-    return index.bm25(_terms(spark, d), index.postings(p, "paper_id", c("title")), p.count(), 20).select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
+    return index.bm25(_terms(spark, d), _titles(spark, d), 20).select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
 
 
 @query("r12_chunk_bm25", _bm25_sql(CHUNKS, _CHUNK_POST, "chunks", 20))
 def r12(spark, d):
-    x = chunks(spark, d)
-    return index.bm25(_terms(spark, d), index.postings(x, "chunk_id", c("text")), x.count(), 20).select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
+    return index.bm25(_terms(spark, d), index.token_rows(chunks(spark, d), "chunk_id", c("text")), 20).select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
 
 
 @query("r05_tfidf_cosine", f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {_POST}, {_TERMS}, n AS (SELECT count(*) AS n FROM papers), df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
@@ -84,21 +87,30 @@ def r05(spark, d):
     return index.tfidf_cosine(_terms(spark, d), index.postings(p, "paper_id", F.concat_ws(" ", "title", "abstract")), p.count(), 20).select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
 
 
-@query("r08_all_terms", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, {_POST}, {_TERMS}, few AS (SELECT qid, token FROM (SELECT qid, token, row_number() OVER (PARTITION BY qid ORDER BY token) AS i FROM terms) WHERE i <= 4) SELECT qid, doc_id FROM few JOIN post USING (token) GROUP BY qid, doc_id HAVING count(*) = (SELECT count(*) FROM few f WHERE f.qid = few.qid)".replace("HAVING count(*) = (SELECT count(*) FROM few f WHERE f.qid = few.qid)", "HAVING count(*) = 4"))
+_SCORES = lambda post: f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {post}, {_TERMS}, n AS (SELECT greatest(1, count(*)) AS n FROM papers),
+    df AS (SELECT token, count(*) AS df FROM post GROUP BY token), len AS (SELECT doc_id, sum(tf) AS length FROM post GROUP BY doc_id), av AS (SELECT sum(length) / (SELECT n FROM n) AS a FROM len)
+    SELECT qid, post.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))) AS score, count(*) AS matched FROM terms JOIN df USING (token) JOIN post USING (token) JOIN len ON len.doc_id = post.doc_id, n, av GROUP BY ALL"""
+
+
+@query("r08_all_terms", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, {_POST}, cl AS (SELECT qid, list_filter(ts, lambda v, i: list_position(ts, v) = i)[1:8] AS w FROM (SELECT qid, list_filter({tokens_sql('query_text')}, lambda t: length(t) <= 4) AS ts FROM bq)), few AS (SELECT qid, len(w[1:3]) AS n, unnest(w[1:3]) AS token FROM cl WHERE len(w) >= 2) SELECT qid, doc_id FROM few JOIN post USING (token) GROUP BY qid, doc_id, n HAVING count(*) = n")
 def r08(spark, d):
-    few = rank.top_k(_terms(spark, d), ["qid"], [F.asc("token")], 4).select("qid", "token")
-    return few.join(index.postings(papers(spark, d), "paper_id", F.concat_ws(" ", "title", "abstract")), "token").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).where("n = 4").select("qid", "doc_id")
+    # the clean query here: up to three short words, of queries with two at least; a document holds all in either field
+    words = F.slice(F.array_distinct(F.filter(T.tokens(c("query_text")), lambda t: F.length(t) <= 4)), 1, 8)
+    clean = benchmark_queries(spark, d).select("qid", words.alias("w")).where(F.size("w") >= 2).select("qid", F.slice("w", 1, 3).alias("w"))
+    few = clean.select("qid", F.size("w").alias("n"), F.explode("w").alias("token"))
+    found = index.matched_postings(_bodies(spark, d), few).join(F.broadcast(few), "token")
+    return found.groupBy("qid", "doc_id", "n").agg(F.count("*").alias("m")).where("m = n").select("qid", "doc_id")
 
 
-@query("r11_rescore", f"""WITH base AS ({_bm25_sql(PAPERS, _POST, 'papers', 60)}), title AS ({_bm25_sql(PAPERS, _TITLE_POST, 'papers', 100000)}), s AS (SELECT qid, doc_id, round(b.score + 0.03 * coalesce(t.score, 0), 8) AS score FROM base b LEFT JOIN title t USING (qid, doc_id))
-    SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
+@query("r11_rescore", f"""WITH base AS ({_bm25_sql(PAPERS, _POST, 'papers', 60)}), title AS ({_SCORES(_TITLE_POST)}), w AS (SELECT 'locator' AS kind, 0.2::DOUBLE AS w UNION ALL SELECT 'paper', 0.03 UNION ALL SELECT 'chunk', 0.02), s AS (SELECT kind, qid, doc_id, round(b.score + w * coalesce(round(t.score, 6), 0), 8) AS score FROM base b LEFT JOIN title t USING (qid, doc_id), w)
+    SELECT kind, qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind, qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
 def r11(spark, d):
-    p = papers(spark, d)
-    n = p.count()
     head = _bm25(spark, d, 60).select("qid", "doc_id", F.round("score", 6).alias("score"))
-    title = index.bm25(_terms(spark, d), index.postings(p, "paper_id", c("title")), n, 100000).select("qid", "doc_id", F.round("score", 6).alias("extra"))
-    both = head.join(title, ["qid", "doc_id"], "left").select("qid", "doc_id", F.round(c("score") + 0.03 * F.coalesce("extra", F.lit(0.0)), 8).alias("score"))
-    return rank.top_k(both, ["qid"], [F.desc("score"), F.asc("doc_id")], 20).withColumn("rank", c("rank").cast("long"))
+    title = index.bm25_scores(_terms(spark, d), _titles(spark, d)).select("qid", "doc_id", F.round("score", 6).alias("extra"))
+    both = head.join(title, ["qid", "doc_id"], "left")
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(w).alias("w")) for k, w in (("locator", 0.2), ("paper", 0.03), ("chunk", 0.02))))).alias("x")
+    rows = both.select("qid", "doc_id", "score", "extra", kinds).select("x.kind", "qid", "doc_id", F.round(c("score") + c("x.w") * F.coalesce("extra", F.lit(0.0)), 8).alias("score"))
+    return rank.top_k(rows, ["kind", "qid"], [F.desc("score"), F.asc("doc_id")], 20).withColumn("rank", c("rank").cast("long"))
 
 
 _FEATURES = f"f AS (SELECT conv_id || ':' || turn AS id, token AS feature, count(*) AS value FROM (SELECT conv_id, turn, unnest({tokens_sql('text')}) AS token FROM conversations) GROUP BY ALL)"
@@ -147,7 +159,7 @@ _SIGNAL = "CASE source " + " ".join(f"WHEN '{n}' THEN {v[1]}" for n, v in rank.S
 _RANKED = f"ranked AS (SELECT *, {_BASE} / (60.0 + rank) AS rrf FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, paper_id) AS rank FROM hits))"
 _FUSED = "fused AS (SELECT qid, paper_id, sum(rrf) AS rrf, max(score) AS best_score, count(DISTINCT source) AS n_sources FROM ranked GROUP BY ALL)"
 _GOLD = "gold AS (SELECT DISTINCT l_suppkey AS qid, l_partkey % 500 AS paper_id FROM lineitem WHERE l_quantity >= 48)"
-_POOL = "pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, paper_id DESC) AS rank FROM fused)"
+_POOL = "pool AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, best_score DESC, paper_id DESC) AS rank FROM fused)"
 _ALL = f"WITH {_HITS}, {_RANKED}, {_FUSED}, {_GOLD}, {_POOL}"
 
 
@@ -166,7 +178,8 @@ def gold2(spark, d):
 
 def pool(spark, d):
     found = fuse.fused(ranked(spark, d))
-    return rank.top_k(found, ["qid"], [F.desc(F.round("rrf", 9)), F.desc("paper_id")], 1 << 30)
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("rrf", 9)), F.desc("best_score"), F.desc("paper_id"))
+    return found.withColumn("rank", F.row_number().over(w))
 
 
 @query("j01_rank_annotation", f"{_ALL} SELECT qid, source, paper_id, rank, round(rrf, 8) AS rrf FROM ranked")
@@ -211,9 +224,9 @@ def j07(spark, d):
     return fuse.fused(ranked(spark, d)).select("qid", "paper_id", F.round("rrf", 8).alias("rrf"), "n_sources")
 
 
-@query("j08_diagnostic_pool", f"{_ALL} SELECT qid, paper_id, rank FROM pool WHERE rank <= 100")
+@query("j08_diagnostic_pool", f"{_ALL} SELECT qid, paper_id, rank FROM pool WHERE rank <= 500")
 def j08(spark, d):
-    return pool(spark, d).where("rank <= 100").select("qid", "paper_id", c("rank").cast("long"))
+    return fuse.diagnostic_pool(fuse.fused(ranked(spark, d))).select("qid", "paper_id", c("rank").cast("long"))
 
 
 @query("j09_source_used", f"{_ALL} SELECT qid, bool_or(source = 'dense') AS dense_used, bool_or(source = 'alias') AS alias_used FROM ranked WHERE rank <= 2 GROUP BY qid")
@@ -236,11 +249,6 @@ _SYN = "CASE WHEN r_sparse IS NULL THEN 0.0 WHEN least(r_title_bm25, r_chunk_bm2
 _ACA = "CASE WHEN r_api IS NULL THEN 0.0 WHEN r_api_snippet IS NULL THEN 0.62 / (1.0 + r_api / 18.0) ELSE least(1.0, 0.62 / (1.0 + r_api / 18.0) + 0.55 / (1.0 + r_api_snippet / 24.0)) END"
 
 
-@query("k05_signals", f"{_ALL} SELECT qid, paper_id, round(best_score / (best_score + 5.0), 6) AS retrieval_signal, round(least(1.0, rrf / 0.055), 6) AS rrf_signal FROM fused")
-def k05(spark, d):
-    return fuse.fused(ranked(spark, d)).select("qid", "paper_id", F.round(rank.retrieval_signal(c("best_score")), 6).alias("retrieval_signal"), F.round(rank.rrf_signal(c("rrf")), 6).alias("rrf_signal"))
-
-
 _RANK_SIGNAL = f"(SELECT qid, paper_id, least(1.0, sum({_SIGNAL} / (1 + rank / 8.0)) / least(sum({_SIGNAL}), 2.8)) AS rank_signal FROM ranked GROUP BY ALL)"
 
 
@@ -249,95 +257,9 @@ def k06(spark, d):
     return rank.rank_signal(ranked(spark, d), ["qid", "paper_id"]).withColumn("rank_signal", F.round("rank_signal", 6))
 
 
-@query("k07_synergies", f"{_ALL}, {_WIDE} SELECT qid, paper_id, round({_SYN}, 6) AS sparse_synergy, round({_ACA}, 6) AS academic_synergy FROM wide")
-def k07(spark, d):
-    return rank.source_ranks(ranked(spark, d), ["qid", "paper_id"]).select("qid", "paper_id", F.round(rank.sparse_synergy(), 6).alias("sparse_synergy"), F.round(rank.academic_synergy(), 6).alias("academic_synergy"))
-
-
-@query("k08_recency", f"WITH {PAPERS} SELECT paper_id, CASE WHEN year >= 2023 THEN 1.0 WHEN year >= 2019 THEN 0.8 WHEN year >= 2015 THEN 0.6 ELSE 0.4 END::DOUBLE AS recency FROM papers")
-def k08(spark, d):
-    return papers(spark, d).select("paper_id", rank.recency(c("year")).alias("recency"))
-
-
-_SCORE = f"""{_ALL}, {_WIDE}, rs AS {_RANK_SIGNAL}, sc AS (SELECT w.qid, w.paper_id, round(0.05 * w.best_score / (w.best_score + 5.0) + 0.48 * rank_signal + 0.3 * least(1.0, rrf / 0.055) + 0.22 * ({_SYN}) + 0.18 * ({_ACA}) + 0.05 * least(1.0, w.n_sources / 3.0) + 0.04 * least(1.0, ln(1 + w.paper_id) / 8), 6) AS score
-    FROM wide w JOIN rs USING (qid, paper_id) JOIN fused f USING (qid, paper_id))"""
-
-
-def scored(spark, d):
-    r = ranked(spark, d).cache()
-    wide = rank.source_ranks(r, ["qid", "paper_id"]).join(rank.rank_signal(r, ["qid", "paper_id"]), ["qid", "paper_id"]).join(fuse.fused(r).select("qid", "paper_id", "rrf"), ["qid", "paper_id"])
-    features = {
-        "retrieval_signal": rank.retrieval_signal(c("best_score")), "rank_signal": c("rank_signal"), "rrf_signal": rank.rrf_signal(c("rrf")), "sparse_synergy": rank.sparse_synergy(), "academic_synergy": rank.academic_synergy(),
-        "source_confidence": F.least(F.lit(1.0), c("n_sources") / 3.0), "citation_authority": F.least(F.lit(1.0), F.log1p(c("paper_id")) / 8),
-    }
-    return wide.withColumn("score", F.round(rank.final_score(features, F.lit(0.0)), 6))
-
-
-@query("k04_final_score", f"{_SCORE} SELECT * FROM sc")
-def k04(spark, d):
-    return scored(spark, d).select("qid", "paper_id", "score")
-
-
-@query("k09_rank", f"{_SCORE} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, paper_id) AS rank FROM sc) WHERE rank <= 20")
-def k09(spark, d):
-    return rank.top_k(scored(spark, d).select("qid", "paper_id", "score"), ["qid"], [F.desc("score"), F.asc("paper_id")], 20).withColumn("rank", c("rank").cast("long"))
-
-
-@query("k03_relevance_label", f"{_ALL} SELECT qid, paper_id, CASE WHEN (paper_id % 10) / 10.0 >= 0.6 AND best_score IS NOT NULL THEN 'highly_relevant' WHEN (paper_id % 10) / 10.0 >= 0.3 OR n_sources >= 2 THEN 'partially_relevant' ELSE 'weakly_relevant' END AS label FROM fused")
-def k03(spark, d):
-    return fuse.fused(ranked(spark, d)).select("qid", "paper_id", rank.label((c("paper_id") % 10) / 10.0, c("best_score").isNotNull(), c("n_sources")).alias("label"))
-
-
 _BONUS = " + ".join(f"coalesce({v[2]} / (1.0 + r_{n} / {v[3]}), 0.0)" for n, v in rank.SOURCES.items() if v[2])
 
 
-@query("k10_preselect_bonus", f"{_ALL}, {_WIDE} SELECT qid, paper_id, round({_BONUS}, 6) AS bonus FROM wide")
-def k10(spark, d):
-    return rank.source_ranks(ranked(spark, d), ["qid", "paper_id"]).select("qid", "paper_id", F.round(rank.rank_bonus(), 6).alias("bonus"))
-
-
-@query("k12_lanes", f"{_ALL}, {_WIDE} SELECT qid, paper_id, n_sources >= 2 AS multi_source, coalesce(r_title_bm25 <= 80, false) AS title_lane, (r_dense IS NOT NULL AND coalesce(r_title_bm25, r_chunk_bm25, r_sparse) IS NULL) AS dense_only FROM wide")
-def k12(spark, d):
-    wide = rank.source_ranks(ranked(spark, d), ["qid", "paper_id"])
-    return wide.select("qid", "paper_id", (c("n_sources") >= 2).alias("multi_source"), F.coalesce(c("r_title_bm25") <= 80, F.lit(False)).alias("title_lane"), (c("r_dense").isNotNull() & F.coalesce("r_title_bm25", "r_chunk_bm25", "r_sparse").isNull()).alias("dense_only"))
-
-
-@query("k13_rerank_fusion", f"{_SCORE} SELECT qid, paper_id, round((1 - least(0.75, 0.25 + 0.35 * (paper_id % 3) / 3.0 + 0.35 * (paper_id % 5) / 5.0)) * ((paper_id * 7919) % 1000) / 1000.0 + least(0.75, 0.25 + 0.35 * (paper_id % 3) / 3.0 + 0.35 * (paper_id % 5) / 5.0) * score + 1e-9, 6) AS score FROM sc")
-def k13(spark, d):
-    p = c("paper_id")
-    return scored(spark, d).select("qid", "paper_id", F.round(rank.rerank_fusion(((p * 7919) % 1000) / 1000.0, c("score"), (p % 3) / 3.0, (p % 5) / 5.0) + 1e-9, 6).alias("score"))
-
-
-@query("k14_promote_aliases", f"{_ALL} SELECT qid, paper_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 30 THEN 0 WHEN paper_id % 7 = 0 THEN 1 ELSE 2 END, rank) AS place FROM pool WHERE rank <= 120")
-def k14(spark, d):
-    head = pool(spark, d).where("rank <= 120")
-    return head.select("qid", "paper_id", F.row_number().over(Window.partitionBy("qid").orderBy(rank.promoted(c("rank"), c("paper_id") % 7 == 0))).cast("long").alias("place"))
-
-
-@query("k15_merge_head", f"{_ALL} SELECT qid, paper_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 5 THEN 0 WHEN paper_id % 4 = 0 THEN 1 ELSE 2 END, rank) AS place FROM pool WHERE rank <= 60")
-def k15(spark, d):
-    key = F.when(c("rank") <= 5, 0).when(c("paper_id") % 4 == 0, 1).otherwise(2)
-    return pool(spark, d).where("rank <= 60").select("qid", "paper_id", F.row_number().over(Window.partitionBy("qid").orderBy(key, "rank")).cast("long").alias("place"))
-
-
-@query("k18_citation_seeds", f"{_ALL} SELECT qid, paper_id, place FROM (SELECT qid, paper_id, row_number() OVER (PARTITION BY qid ORDER BY round(rrf + CASE WHEN n_sources >= 3 THEN 0.3 ELSE 0 END + CASE WHEN paper_id % 10 >= 6 THEN 0.2 ELSE 0 END, 9) DESC, paper_id) AS place FROM fused) WHERE place <= 5")
-def k18(spark, d):
-    priority = F.round(c("rrf") + F.when(c("n_sources") >= 3, 0.3).otherwise(0.0) + F.when(c("paper_id") % 10 >= 6, 0.2).otherwise(0.0), 9)
-    return rank.top_k(fuse.fused(ranked(spark, d)).withColumn("p", priority), ["qid"], [F.desc("p"), F.asc("paper_id")], 5, "place").select("qid", "paper_id", c("place").cast("long"))
-
-
-@query("k19_graph_seeds", f"{_ALL} SELECT qid, paper_id FROM (SELECT qid, paper_id, ok, row_number() OVER (PARTITION BY qid ORDER BY ok DESC, rank) AS i, max(ok) OVER (PARTITION BY qid) AS any_ok FROM (SELECT *, CASE WHEN n_sources >= 5 THEN 1 ELSE 0 END AS ok FROM pool)) WHERE (ok = 1 AND i <= 3) OR (any_ok = 0 AND i = 1)")
-def k19(spark, d):
-    x = pool(spark, d).withColumn("ok", (c("n_sources") >= 5).cast("int"))
-    x = x.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("ok"), "rank"))).withColumn("any_ok", F.max("ok").over(Window.partitionBy("qid")))
-    return x.where("(ok = 1 AND i <= 3) OR (any_ok = 0 AND i = 1)").select("qid", "paper_id")
-
-
-@query("k26_candidate_limits", f"{_ALL} SELECT qid, count(*) FILTER (rank <= 500) AS pool, count(*) FILTER (rank <= 120) AS reranked, count(*) FILTER (rank <= least(20, 10)) AS protected FROM pool GROUP BY qid")
-def k26(spark, d):
-    return pool(spark, d).groupBy("qid").agg(F.count_if(F.expr("rank <= 500")).alias("pool"), F.count_if(F.expr("rank <= 120")).alias("reranked"), F.count_if(F.expr("rank <= 10")).alias("protected"))
-
-
 # ---- evaluation
 
 _CUTS = (10, 20, 50)

@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder where there is one, so that several readers compute them once and lost
+    executors cost nothing; without such a folder the rows as they are, computed for each reader."""
+    return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df to be broadcast if it is counted to hold at most that many rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed JSON lines; blank lines and lines that cannot be parsed are dropped."""
     names = schema + ", _corrupt string"
