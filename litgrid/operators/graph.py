@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
+from litgrid.sources.tables import small
 
 from .rank import top_k
 
@@ -13,11 +14,17 @@ from .rank import top_k
 def concepts(docs: DataFrame, key: str, words: Column, hints: DataFrame, limit: int = 12) -> DataFrame:
     """key, phrase, n, confidence: the most frequent two- and three-word phrases with a hint word; confidence grows with
     the count. hints has a row per word; phrases never leave the given word list."""
-    phrases = docs.select(key, F.explode(F.concat(T.ngrams(words, 2), T.ngrams(words, 3))).alias("phrase"))
-    counted = phrases.groupBy(key, "phrase").agg(F.count("*").alias("n"))
-    parts = counted.select("phrase").distinct().select("phrase", F.explode(F.split("phrase", " ")).alias("word"))
-    hinted = parts.join(hints.select("word").distinct(), "word", "left_semi").select("phrase").distinct()
-    kept = counted.join(hinted, "phrase", "left_semi")
+    # a document's phrases stay together, so that counting and ranking share one shuffle; hints are few and are broadcast
+    hints = small(hints.select(F.col("word").alias("hint")).distinct())
+    m = lambda n: F.greatest(F.size("_w") - n + 1, F.lit(0))
+    part = lambda n, k: F.slice("_w", k + 1, m(n)).alias(f"w{k}")
+    two = F.transform(F.arrays_zip(part(2, 0), part(2, 1)), lambda x: F.struct(x["w0"].alias("w0"), x["w1"].alias("w1"), F.lit(None).cast("string").alias("w2")))
+    three = F.transform(F.arrays_zip(part(3, 0), part(3, 1), part(3, 2)), lambda x: F.struct(x["w0"].alias("w0"), x["w1"].alias("w1"), x["w2"].alias("w2")))
+    rows = docs.select(key, words.alias("_w")).select(key, F.explode(F.concat(two, three)).alias("g")).select(key, "g.*")
+    for k in range(3):
+        rows = rows.join(hints.withColumnRenamed("hint", f"h{k}"), F.col(f"w{k}") == F.col(f"h{k}"), "left")
+    rows = rows.where(F.coalesce("h0", "h1", "h2").isNotNull()).select(key, F.concat_ws(" ", "w0", "w1", "w2").alias("phrase"))
+    kept = rows.repartition(key).groupBy(key, "phrase").agg(F.count("*").alias("n"))
     best = top_k(kept, [key], [F.desc("n"), F.desc(F.length("phrase")), F.asc("phrase")], limit)
     return best.select(key, "phrase", "n", F.least(F.lit(1.0), 0.55 + 0.08 * F.col("n")).alias("confidence"))
 
@@ -50,3 +57,46 @@ def resolve(references: DataFrame, title: str, papers: DataFrame) -> DataFrame:
     first = papers.select(T.normalize_title(F.col("title")).alias("norm"), "paper_id").where("norm <> ''").groupBy("norm").agg(F.min("paper_id").alias("target_paper_id"))
     found = references.withColumn("norm", T.normalize_title(F.col(title))).join(first, "norm", "left").drop("norm")
     return found.withColumn("score", F.when(F.col("target_paper_id").isNotNull(), 0.95).otherwise(0.0))
+
+
+def aliases(papers: DataFrame, key: str, words: Column, head: Column, hints: DataFrame, limit: int = 16) -> DataFrame:
+    """key, alias, alias_type, size, confidence, place: the names of a paper's concepts, then runs of five to two words of its
+    head with a hint word, each once, in that order, up to the limit."""
+    named = concepts(papers, key, words, hints)
+    order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.desc(F.length("phrase")), F.asc("phrase")))
+    first = named.select(key, "phrase", F.lit(0).alias("size"), order.alias("at"))
+    run = lambda n: F.transform(T.ngrams(head, n), lambda g, i: F.struct(g.alias("phrase"), F.lit(n).alias("size"), (i + 1).alias("at")))
+    runs = F.concat(*map(run, (5, 4, 3, 2)))
+    given = small(hints.select(F.col("word").alias("hint")).distinct())
+    grams = papers.select(key, F.explode(runs).alias("g")).select(key, "g.*")
+    hinted = grams.withColumn("w", F.explode(F.array_distinct(F.split("phrase", " ")))).join(given, F.col("w") == F.col("hint")).select(key, "phrase", "size", "at")
+    every = first.unionByName(hinted).withColumn("alias", T.normalize_title(F.col("phrase"))).where("alias <> ''")
+    sequence = [F.desc(F.col("size") == 0), F.desc("size"), F.asc("at")]
+    once = every.withColumn("_k", F.row_number().over(Window.partitionBy(key, "alias").orderBy(*sequence))).where("_k = 1")
+    best = top_k(once, [key], sequence, limit, "place")
+    sure = F.when(F.col("size") == 0, 0.86).when(F.col("size") <= 3, 0.72).otherwise(0.78)
+    return best.select(key, "alias", T.concept_type(F.col("alias")).alias("alias_type"), "size", sure.alias("confidence"), "place")
+
+
+def alias_search(asked: DataFrame, known: DataFrame, named: DataFrame, relations: dict[str, float], k: int) -> DataFrame:
+    """qid, paper_id, score, support, relations, terms, rank by three ways that add up: aliases by their relation's weight,
+    other papers that mention an alias' concept, and concepts of that name. asked: qid, term; known: paper_id, alias,
+    concept_id, relation, confidence; named: paper_id, phrase, confidence."""
+    weight = F.lit(1.0)
+    for name, w in relations.items():
+        weight = F.when(F.col("relation") == name, w).otherwise(weight)
+    asked = small(asked)
+    direct = known.join(asked, known["alias"] == asked["term"]).select("qid", "paper_id", "concept_id", F.col("alias").alias("term"), (weight * F.col("confidence")).alias("score"), "relation")
+    found = direct.select("qid", "concept_id", "term", F.col("paper_id").alias("own")).distinct()
+    others = known.select("paper_id", "concept_id", "confidence").join(small(found), "concept_id").where("paper_id <> own")
+    others = others.select("qid", "paper_id", "term", (0.5 * F.col("confidence")).alias("score"), F.lit("alias_to_concept_mentions").alias("relation"))
+    plain = named.join(asked, named["phrase"] == asked["term"]).select("qid", "paper_id", "term", (0.25 * F.col("confidence")).alias("score"), F.lit("concept").alias("relation"))
+    every = direct.drop("concept_id").unionByName(others).unionByName(plain)
+    total = every.groupBy("qid", "paper_id").agg(F.sum("score").alias("score"), F.count_distinct("term").alias("support"), F.array_sort(F.collect_set("relation")).alias("relations"), F.array_sort(F.collect_set("term")).alias("terms"))
+    return top_k(total, ["qid"], [F.desc(F.round("score", 6)), F.asc("paper_id")], k)
+
+
+def sharing(seeds: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Edges (source, target) from seed papers to papers that mention the same concept, one for each concept they share."""
+    own = seeds.select("paper_id").distinct().join(mentions, "paper_id").select(F.col("paper_id").alias("source"), "concept")
+    return own.join(mentions.select(F.col("paper_id").alias("target"), "concept"), "concept").where("source <> target").select("source", "target")

@@ -112,62 +112,11 @@ def r13(spark, d):
     return rank.top_k(boosted, ["qid"], [F.desc("score"), F.asc("chunk_id")], 20).withColumn("rank", c("rank").cast("long"))
 
 
-@query("r19_alias_search", "WITH m AS (SELECT l_suppkey AS paper_id, l_partkey AS concept, l_linenumber % 3 AS kind FROM lineitem WHERE l_partkey % 50 = 0) SELECT concept % 20 AS qid, paper_id, round(sum(CASE kind WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 1.3 END), 6)::DOUBLE AS score FROM m GROUP BY ALL")
-def r19(spark, d):
-    return _alias_search(table(spark, d, "lineitem").where("l_partkey % 50 = 0"))
-
-
-@query("r19_alias_search_all")
-def r19_all(spark, d):
-    return _alias_search(table(spark, d, "lineitem"))
-
-
-def _alias_search(mentions):
-    m = mentions.select(c("l_suppkey").alias("paper_id"), (c("l_partkey") % 20).alias("qid"), (c("l_linenumber") % 3).alias("kind"))
-    branches = [m.where(c("kind") == k).withColumn("w", F.lit(w)) for k, w in ((0, 3.0), (1, 2.0), (2, 1.3))]
-    return branches[0].unionByName(branches[1]).unionByName(branches[2]).groupBy("qid", "paper_id").agg(F.round(F.sum("w"), 6).alias("score"))
-
-
 @query("r21_concept_ids", "SELECT p_partkey, ty AS type, 'concept:' || substr(sha1(ty || chr(31) || lower(p_name)), 1, 20) AS concept_id FROM part, (SELECT unnest(['method', 'dataset']) AS ty)")
 def r21(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(F.array(F.lit("method"), F.lit("dataset"))).alias("type"), "p_name").select("p_partkey", "type", T.stable_hash("concept", c("type"), F.lower("p_name")).alias("concept_id"))
 
 
-@query("r22_matched_aliases", f"WITH {BENCHMARK_QUERIES} SELECT qid, string_agg(a, ',' ORDER BY a) AS aliases FROM bq, (SELECT unnest(['the', 'tion', 'ing', 'zzz']) AS a) WHERE contains(query_text, a) GROUP BY qid")
-def r22(spark, d):
-    aliases = ("ing", "the", "tion", "zzz")
-    found = F.array_compact(F.array(*(F.when(F.contains("query_text", F.lit(a)), F.lit(a)) for a in aliases)))
-    return benchmark_queries(spark, d).select("qid", F.array_join(found, ",").alias("aliases")).where("aliases <> ''")
-
-
-@query("r23_candidate_projection", f"{_ALL} SELECT qid, paper_id, source || ':' || rank AS tag, round(score * 0.9, 6) AS score FROM ranked WHERE rank <= 3")
-def r23(spark, d):
-    x = ranked(spark, d).where("rank <= 3")
-    return x.select("qid", "paper_id", F.concat_ws(":", "source", c("rank").cast("string")).alias("tag"), F.round(c("score") * 0.9, 6).alias("score"))
-
-
-@query("r27_enriched_hits", f"{_ALL} SELECT qid, paper_id, p_name, rank FROM pool JOIN part ON p_partkey = paper_id WHERE rank <= 10")
-def r27(spark, d):
-    return pool(spark, d).where("rank <= 10").join(table(spark, d, "part").select(c("p_partkey").alias("paper_id"), "p_name"), "paper_id").select("qid", "paper_id", "p_name", c("rank").cast("long"))
-
-
-@query("g02_section_concepts", "SELECT c_custkey, round(least(0.95, 0.85 * least(1.0, 0.55 + 0.08 * (c_custkey % 9))), 6)::DOUBLE AS confidence FROM customer")
-def g02(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.round(F.least(F.lit(0.95), 0.85 * F.least(F.lit(1.0), 0.55 + 0.08 * (c("c_custkey") % 9))), 6).alias("confidence"))
-
-
-@query("g06_aliases", f"SELECT item_id, alias, CASE WHEN len(string_split(alias, ' ')) <= 3 THEN 0.72 ELSE 0.78 END::DOUBLE AS confidence FROM (SELECT item_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[1:5], ' '), array_to_string(w[1:3], ' ')] ELSE [array_to_string(w[1:3], ' ')] END)) AS alias FROM (SELECT item_id, {tokens_sql('text')} AS w FROM benchmark))")
-def g06(spark, d):
-    w = table(spark, d, "benchmark").select("item_id", T.tokens(c("text")).alias("w"))
-    x = w.select("item_id", F.explode(F.array_distinct(F.array_compact(F.array(F.when(F.size("w") >= 5, F.array_join(F.slice("w", 1, 5), " ")), F.array_join(F.slice("w", 1, 3), " "))))).alias("alias"))
-    return x.withColumn("confidence", F.when(F.size(F.split("alias", " ")) <= 3, 0.72).otherwise(0.78))
-
-
-@query("g07_alias_concepts", "SELECT p_partkey, 'concept:' || substr(sha1(lower(p_type)), 1, 20) AS concept_id, 0.86::DOUBLE AS confidence FROM part")
-def g07(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.stable_hash("concept", F.lower("p_type")).alias("concept_id"), F.lit(0.86).alias("confidence"))
-
-
 @query("q18_document_features", f"WITH f AS (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents), n AS (SELECT doc_id, token, count(*) AS n FROM f GROUP BY ALL) SELECT doc_id, token AS feature, n AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS i FROM n) WHERE i <= 80")
 def q18(spark, d):
     post = index.postings(table(spark, d, "documents"), "doc_id", c("text"))

@@ -20,13 +20,8 @@ def i03(spark, d):
     return S.latest(table(spark, d, "customer").where("c_name <> ''"), ["c_nationkey"], [F.desc("c_custkey")]).select("c_nationkey", "c_custkey", "c_name")
 
 
-@query("i04_chunks_by_paper", f"WITH {CHUNKS} SELECT paper_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY chunk_index)) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS i FROM chunks WHERE doc_id % 3 = 0) WHERE i <= 4 GROUP BY paper_id")
+@query("i04_chunks_by_paper", f"WITH {CHUNKS} SELECT paper_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY chunk_index)) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS i FROM chunks) WHERE i <= 4 GROUP BY paper_id")
 def i04(spark, d):
-    return _chunks_by_paper(spark, d, papers(spark, d).where("doc_id % 3 = 0"))
-
-
-@query("i04_chunks_by_all_papers")
-def i04_all(spark, d):
     return _chunks_by_paper(spark, d, papers(spark, d))
 
 
@@ -170,14 +165,6 @@ def _near(edges: str, n: int, weight: float, name: str) -> str:
     return f"SELECT qid, paper_id, '{name}' AS relation, {weight} * greatest(1, support) AS score FROM (SELECT s.qid, e.target AS paper_id, count(*) AS support, row_number() OVER (PARTITION BY s.qid ORDER BY count(*) DESC, e.target) AS i FROM seeds s JOIN ({edges}) e ON e.source = s.paper_id WHERE NOT EXISTS (SELECT 1 FROM seeds t WHERE t.qid = s.qid AND t.paper_id = e.target) GROUP BY s.qid, e.target) WHERE i <= {n}"
 
 
-@query("r20_graph_expansion", f"WITH {_CITES}, seeds AS (SELECT DISTINCT s_suppkey % 30 AS qid, s_suppkey AS paper_id FROM supplier), u AS ({_near('SELECT source, target FROM cites', 12, 1.0, 'cites')} UNION ALL {_near('SELECT target AS source, source AS target FROM cites', 12, 1.1, 'cited_by')}), t AS (SELECT qid, paper_id, round(sum(score), 6) AS score, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM u GROUP BY ALL) SELECT qid, paper_id, score, relations FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, paper_id DESC) AS i FROM t) WHERE i <= 15")
-def r20(spark, d):
-    seeds = table(spark, d, "supplier").select((c("s_suppkey") % 30).alias("qid"), c("s_suppkey").alias("paper_id")).distinct()
-    e = cites(spark, d)
-    found = graph.expand(seeds, [("cites", e, 1.0), ("cited_by", e.select(c("target").alias("source"), c("source").alias("target")), 1.1)], 12, 15)
-    return found.select("qid", "paper_id", F.round("score", 6).alias("score"), "relations")
-
-
 @query("r28_seed_limit", "SELECT qid, paper_id FROM (SELECT o_custkey AS qid, o_orderkey AS paper_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) WHERE i <= 3")
 def r28(spark, d):
     return S.first_n(table(spark, d, "orders").select(c("o_custkey").alias("qid"), c("o_orderkey").alias("paper_id")).distinct(), ["qid"], [F.asc("paper_id")], 3)
@@ -189,30 +176,19 @@ _HINTS = f"hints AS (SELECT token AS word FROM (SELECT DISTINCT doc_id, unnest(w
 
 @query("g01_concepts", f"""WITH {_WORDS}, {_HINTS}, tk AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM ws), ph AS (SELECT doc_id, phrase FROM (SELECT doc_id, t || ' ' || lead(t) OVER x AS phrase FROM tk WINDOW x AS (PARTITION BY doc_id ORDER BY i) UNION ALL SELECT doc_id, t || ' ' || lead(t) OVER x || ' ' || lead(t, 2) OVER x FROM tk WINDOW x AS (PARTITION BY doc_id ORDER BY i)) WHERE phrase IS NOT NULL),
     n AS (SELECT doc_id, phrase, count(*) AS n FROM ph GROUP BY ALL), h AS (SELECT DISTINCT phrase FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS word FROM (SELECT DISTINCT phrase FROM n)) SEMI JOIN hints USING (word))
-    SELECT doc_id, phrase, n, round(least(1.0, 0.55 + 0.08 * n), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, phrase) AS i FROM n SEMI JOIN h USING (phrase)) WHERE i <= 12""")
+    SELECT doc_id, phrase, n, round(least(1.0, 0.55 + 0.08 * n), 6)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, phrase) AS i FROM n SEMI JOIN h USING (phrase)) WHERE i <= 12""")
 def g01(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.tokens(c("text")).alias("w"))
     hints = docs.select("doc_id", F.explode("w").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("df")).where("df between 20 and 60")
     return graph.concepts(docs, "doc_id", c("w"), hints).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("g03_sections", f"WITH {CHUNKS} SELECT chunk_id, chunk_index, 'section:' || substr(sha1(paper_id || chr(31) || chunk_index), 1, 20) AS section_id FROM chunks")
-def g03(spark, d):
-    return chunks(spark, d).select("chunk_id", "chunk_index", T.stable_hash("section", c("paper_id"), c("chunk_index")).alias("section_id"))
-
-
 @query("g04_reference_resolution", f"WITH {PAPERS}, r AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS title FROM pages), m AS (SELECT {title_sql('title')} AS norm, min(paper_id) AS target FROM papers GROUP BY 1) SELECT page_id, title, target AS target_paper_id, CASE WHEN target IS NULL THEN 0.0 ELSE 0.95 END::DOUBLE AS score, count(*) AS n FROM r LEFT JOIN m ON norm = {title_sql('r.title')} AND norm <> '' GROUP BY ALL")
 def g04(spark, d):
     refs = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("title"))
     return graph.resolve(refs, "title", papers(spark, d).select("paper_id", "title")).groupBy("page_id", "title", "target_paper_id", "score").agg(F.count("*").alias("n"))
 
 
-@query("g05_citation_edges", f"WITH {_CITES} SELECT source, target, 0.95 * 1.1 AS weight FROM cites JOIN supplier ON s_suppkey = target".replace("0.95 * 1.1", "round(0.95::DOUBLE * 1.1, 6)"))
-def g05(spark, d):
-    known = table(spark, d, "supplier").select(c("s_suppkey").alias("target"))
-    return cites(spark, d).join(known, "target", "left_semi").select("source", "target", F.round(F.lit(0.95) * T.role_weight(F.lit("related_work")), 6).alias("weight"))
-
-
 @query("g08_latest_edges", "SELECT l_suppkey, l_partkey, arg_max(l_quantity, struct_pack(a := l_orderkey, b := l_linenumber)) AS quantity FROM lineitem GROUP BY ALL")
 def g08(spark, d):
     return S.latest(table(spark, d, "lineitem"), ["l_suppkey", "l_partkey"], [F.desc("l_orderkey"), F.desc("l_linenumber")]).select("l_suppkey", "l_partkey", c("l_quantity").alias("quantity"))
