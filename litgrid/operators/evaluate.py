@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litgrid.sources.tables import held, small
+
 
 def metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, cutoffs: list[int]) -> DataFrame:
     """qid, k, hits, gold_count, precision, recall, f1, mrr, hit for every query and cutoff; precision divides by k.
@@ -63,26 +65,75 @@ def balanced_sample(rows: DataFrame, groups: list[str], order: list, total: int)
     return turn.orderBy("turn", *groups, *order).limit(total)
 
 
-def proportional_sample(rows: DataFrame, groups: list[str], order: list, total: int) -> DataFrame:
-    """Rows of each group in proportion (largest remainders, ties by group), in the given order; at least one of each
-    group is not forced. Group counts are one row per group."""
-    sizes = rows.groupBy(*groups).agg(F.count("*").alias("n"))
-    w = Window.partitionBy()
-    exact = sizes.withColumn("exact", F.least(F.lit(total), F.sum("n").over(w)) * F.col("n") / F.sum("n").over(w)).withColumn("base", F.floor("exact"))
-    left = F.least(F.lit(total), F.sum("n").over(w)) - F.sum("base").over(w)
-    quota = exact.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), *groups))).withColumn("quota", F.col("base") + F.when(F.col("place") <= left, 1).otherwise(0))
-    turn = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    return turn.join(F.broadcast(quota.select(*groups, "quota")), groups).where(F.col("turn") <= F.col("quota")).drop("quota")
+def proportional_quotas(sizes: DataFrame, groups: list[str], total: int) -> DataFrame:
+    """quota of each group (groups, n): its share rounded down, at least one where there are places for all groups; what
+    then is left goes to the largest remainders as far as they have rows, and what is too much is taken, one by one, from
+    the smallest remainders. Groups are few rows, so their order needs no partition."""
+    every = Window.partitionBy()
+    all_n = F.sum("n").over(every)
+    x = sizes.withColumn("target", F.least(F.lit(total), all_n)).withColumn("exact", F.col("target") * F.col("n") / all_n).withColumn("base", F.least("n", F.floor("exact")))
+    x = x.withColumn("rest", F.round(F.col("exact") - F.col("base"), 9)).withColumn("least", (F.col("target") >= F.count("*").over(every)).cast("long"))
+    x = x.withColumn("base", F.greatest("base", "least")).withColumn("room", F.col("n") - F.col("base")).withColumn("left", F.col("target") - F.sum("base").over(every))
+    before = Window.orderBy(F.desc("rest"), *groups).rowsBetween(Window.unboundedPreceding, -1)
+    more = F.greatest(F.lit(0), F.least("room", F.col("left") - F.coalesce(F.sum("room").over(before), F.lit(0))))
+    x = x.withColumn("more", more)
+    # one unit from each group in a turn, smallest remainders first
+    units = x.where("left < 0 and base > least").select(*groups, "rest", "left", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("base") - F.col("least"), -F.col("left")))).alias("turn"))
+    taken = units.withColumn("i", F.row_number().over(Window.orderBy("turn", "rest", *groups))).where("i <= -left").groupBy(*groups).agg(F.count("*").alias("less"))
+    return x.join(taken, groups, "left").select(*groups, (F.col("base") + F.col("more") - F.coalesce("less", F.lit(0))).alias("quota"))
 
 
-def threshold_sweep(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """score, tp, fp, accuracy, f1 with everything from this score up taken as positive: one row for each score."""
-    by = rows.groupBy(F.col(score).alias("score")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
-    total = rows.agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("all"))
-    run = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = by.select("score", F.sum("p").over(run).alias("tp"), (F.sum("n").over(run) - F.sum("p").over(run)).alias("fp"))
-    x = cum.crossJoin(F.broadcast(total))
-    return x.select("score", "tp", "fp", ((F.col("tp") + F.col("all") - F.col("pos") - F.col("fp")) / F.col("all")).alias("accuracy"), (2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos"))).alias("f1"))
+def proportional_sample(rows: DataFrame, groups: list[str], order: list, total: int) -> DataFrame:
+    """Rows of each group in proportion, as proportional_quotas says, in the given order."""
+    quota = proportional_quotas(rows.groupBy(*groups).agg(F.count("*").alias("n")), groups, total)
+    turn = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    return turn.join(small(quota), groups).where(F.col("turn") <= F.col("quota")).drop("quota")
+
+
+def hash_sample(rows: DataFrame, key: Column, tie: list, n: int) -> DataFrame:
+    """The n rows of the smallest keys (hexadecimal hashes), then by `tie`. Counts by the keys' first four digits, 65,536 at
+    most, tell from where on a row is out; only rows with the boundary's digits are put in order."""
+    rows = rows.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 4))
+    left, edge = n, None
+    for r in sorted(rows.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        if r["count"] >= left:
+            edge = r["_part"]
+            break
+        left -= r["count"]
+    if edge is None:
+        return rows.drop("_key", "_part")
+    tail = rows.where(F.col("_part") == edge).orderBy("_key", *tie).limit(left)
+    return rows.where(F.col("_part") < edge).unionByName(tail).drop("_key", "_part")
+
+
+def threshold_sweep(rows: DataFrame, score: str, label: str, slices: int = 64) -> DataFrame:
+    """score, tp, fp, accuracy, f1, precision, recall with everything from this score up taken as positive: one row for each
+    score. Scores are dealt into ranges; totals of the ranges before (few rows) are added to the running sums within."""
+    by = held(rows.groupBy(F.col(score).alias("score")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n")))
+    total = by.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
+    dealt = held(by.repartitionByRange(slices, F.desc("score")).withColumn("slice", F.spark_partition_id()))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("slice").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn")).select("slice", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("sn").over(before), F.lit(0)).alias("bn"))
+    run = Window.partitionBy("slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = dealt.select("slice", "score", "p", F.sum("p").over(run).alias("rp"), F.sum("n").over(run).alias("rn")).join(F.broadcast(base), "slice")
+    tp, seen, pos, all_n = F.col("rp") + F.col("bp"), F.col("rn") + F.col("bn"), F.lit(total["pos"]), F.lit(total["all"])
+    x = x.select("score", "p", tp.alias("tp"), (seen - tp).alias("fp"))
+    tp, fp = F.col("tp"), F.col("fp")
+    return x.select("score", "p", "tp", "fp", ((tp + all_n - pos - fp) / all_n).alias("accuracy"), (2 * tp / (tp + fp + pos)).alias("f1"), (tp / (tp + fp)).alias("precision"), (tp / F.nullif(pos, F.lit(0))).alias("recall"))
+
+
+def best_thresholds(sweep: DataFrame) -> DataFrame:
+    """One row: the best accuracy and F1 with their scores (the higher of equals), average precision, and the least and the
+    mean of the two best values."""
+    best = lambda x: F.max_by(F.struct(F.col(x), "score"), F.struct(F.round(x, 12), "score"))
+    one = sweep.agg(best("accuracy").alias("a"), best("f1").alias("f"), (F.sum(F.col("precision") * F.col("p")) / F.sum("p")).alias("average_precision"))
+    a, f = F.col("a.accuracy"), F.col("f.f1")
+    return one.select(a.alias("best_accuracy"), F.col("a.score").alias("accuracy_threshold"), f.alias("best_f1"), F.col("f.score").alias("f1_threshold"), "average_precision", F.least(a, f).alias("least"), ((a + f) / 2).alias("mean"))
+
+
+def macro(classes: DataFrame, right: Column) -> DataFrame:
+    """Accuracy and the plain means of precision, recall and F1 over the classes (rows of classification)."""
+    return classes.agg((F.sum(right) / F.sum("support")).alias("accuracy"), *(F.avg(x).alias(f"macro_{x}") for x in ("precision", "recall", "f1")))
 
 
 def classification(rows: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -27,17 +27,6 @@ def i01(spark, d):
     return S.read_jsonl(spark, path, "event_id long, event_type string, value double").withColumn("value", F.round("value", 6))
 
 
-@query("i15_graph_tables", f"WITH {CHUNKS}, {PAPERS} SELECT 'HAS_CHUNK' AS edge, count(*) AS n FROM chunks UNION ALL SELECT 'PUBLISHED_IN', count(*) FROM papers WHERE venue <> '' UNION ALL SELECT 'HAS_SECTION', count(*) FROM chunks WHERE chunk_index > 0")
-def i15(spark, d):
-    x = chunks(spark, d)
-    return S.counts({"HAS_CHUNK": x, "PUBLISHED_IN": papers(spark, d).where("venue <> ''"), "HAS_SECTION": x.where("chunk_index > 0")}).withColumnRenamed("store", "edge")
-
-
-@query("i13_bulk_load", "SELECT l_partkey, arg_max(l_quantity, struct_pack(a := l_orderkey, b := l_linenumber)) AS quantity FROM lineitem GROUP BY l_partkey")
-def i13(spark, d):
-    return S.latest(table(spark, d, "lineitem"), ["l_partkey"], [F.desc("l_orderkey"), F.desc("l_linenumber")]).select("l_partkey", c("l_quantity").alias("quantity"))
-
-
 @query("r06_title_baseline", f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {_TITLE_POST}, qt AS (SELECT qid, token, count(*) AS qf FROM (SELECT qid, unnest({tokens_sql('query_text')}) AS token FROM bq) GROUP BY ALL), n AS (SELECT count(*) AS n FROM papers), df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
     s AS (SELECT qid, doc_id, sum(tf * qf * ln(1 + n / (1 + df))) AS score FROM qt JOIN df USING (token) JOIN post USING (token), n GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 5000),
     qn AS (SELECT qid, sqrt(sum(qf * qf)) AS q FROM qt GROUP BY qid), dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS d FROM post GROUP BY doc_id), dot AS (SELECT qid, doc_id, sum(qf * tf) AS x FROM qt JOIN post USING (token) GROUP BY ALL)
@@ -117,59 +106,12 @@ def r21(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(F.array(F.lit("method"), F.lit("dataset"))).alias("type"), "p_name").select("p_partkey", "type", T.stable_hash("concept", c("type"), F.lower("p_name")).alias("concept_id"))
 
 
-@query("q18_document_features", f"WITH f AS (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents), n AS (SELECT doc_id, token, count(*) AS n FROM f GROUP BY ALL) SELECT doc_id, token AS feature, n AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS i FROM n) WHERE i <= 80")
-def q18(spark, d):
-    post = index.postings(table(spark, d, "documents"), "doc_id", c("text"))
-    return rank.top_k(post, ["doc_id"], [F.desc("tf"), F.asc("token")], 80).select("doc_id", c("token").alias("feature"), c("tf").alias("value"))
-
-
-@query("k24_second_round")
-def k24(spark, d):
-    first = _bm25(spark, d, 20)
-    weak = first.groupBy("qid").agg(F.max("score").alias("best")).where("best < 60").select("qid")
-    p = papers(spark, d)
-    again = index.tfidf_cosine(_terms(spark, d).join(weak, "qid", "left_semi"), index.postings(p, "paper_id", c("title")), p.count(), 20)
-    hits = first.select("qid", c("doc_id").alias("paper_id"), "score", F.lit("chunk_bm25").alias("source")).unionByName(again.select("qid", c("doc_id").alias("paper_id"), "score", F.lit("tfidf").alias("source")))
-    fused = fuse.fused(fuse.annotated(hits, ["qid", "source"], [F.desc("score"), F.asc("paper_id")]))
-    return rank.top_k(fused, ["qid"], [F.desc(F.round("rrf", 9)), F.asc("paper_id")], 20).select("qid", "paper_id", "rank")
-
-
-@query("k25_section_strategy", f"{_ALL} SELECT qid, paper_id, rank, coalesce(p_type, '') AS sections FROM pool LEFT JOIN part ON p_partkey = paper_id WHERE rank <= 3")
-def k25(spark, d):
-    sections = table(spark, d, "part").select(c("p_partkey").alias("paper_id"), c("p_type").alias("sections"))
-    return pool(spark, d).where("rank <= 3").join(sections, "paper_id", "left").select("qid", "paper_id", c("rank").cast("long"), F.coalesce("sections", F.lit("")).alias("sections"))
-
-
-@query("p02_relation_edges", f"WITH {PAPERS}, top AS (SELECT * FROM papers WHERE doc_id < 60), f AS (SELECT unnest(['the', 'tion', 'ing', 'zzz']) AS field) SELECT field, paper_id FROM f JOIN top ON contains(lower(title || ' ' || abstract), field)")
-def p02(spark, d):
-    fields = F.broadcast(spark.createDataFrame([("the",), ("tion",), ("ing",), ("zzz",)], "field string"))
-    top = papers(spark, d).where("doc_id < 60").select("paper_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("t"))
-    return top.join(fields, F.contains(c("t"), c("field"))).select("field", "paper_id")
-
-
-@query("p02_relation_edges_ranked")
-def p02_ranked(spark, d):
-    top = _bm25(spark, d, 6).select("qid", c("doc_id").alias("paper_id"), c("rank").cast("long"))
-    texts = papers(spark, d).select("paper_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("t"))
-    lexicon = F.broadcast(spark.createDataFrame([("the",), ("tion",), ("ing",), ("zzz",)], "field string"))
-    fields = benchmark_queries(spark, d).join(lexicon, F.contains(F.lower("query_text"), c("field"))).select("qid", "field")
-    edges = top.join(texts, "paper_id").join(rank.top_k(fields, ["qid"], [F.asc("field")], 4).select("qid", "field"), "qid").where(F.contains(c("t"), c("field")))
-    # queries without any field lead to their first papers themselves
-    rest = top.where("rank <= 5").join(fields, "qid", "left_anti").withColumn("field", F.lit(None).cast("string"))
-    return edges.select("qid", "field", "paper_id", "rank").unionByName(rest.select("qid", "field", "paper_id", "rank"))
-
-
 @query("s3_stream_deduplication", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def s3(spark, d):
     out = streams.run_once(spark, f"{d}/events.parquet", lambda df: streams.deduplicated(df, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), "append")
     return out.groupBy("event_type").agg(F.count("*").alias("users"))
 
 
-@query("q19_dense_query_text", f"SELECT item_id, array_to_string({tokens_sql('text')}[1:16], ' ') AS dense_text FROM benchmark")
-def q19(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(T.tokens(c("text")), 1, 16), " ").alias("dense_text"))
-
-
 @query("q32_rewrite_merge", f"SELECT conv_id, array_to_string(list_filter(ws, lambda v, i: list_position(ws, v) = i)[1:12], '|') AS merged FROM (SELECT a.conv_id, list_concat({tokens_sql('b.text')}[1:6], {tokens_sql('a.text')}[1:10]) AS ws FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn = 0)")
 def q32(spark, d):
     x = table(spark, d, "conversations")
@@ -178,12 +120,6 @@ def q32(spark, d):
     return first.join(rewrite, "conv_id").select("conv_id", F.array_join(F.slice(merged, 1, 12), "|").alias("merged"))
 
 
-@query("k21_candidate_sections", "SELECT page_id, array_to_string(list_filter(hs, lambda v, i: list_position(hs, v) = i)[1:12], '|') AS sections FROM (SELECT page_id, regexp_extract_all(html, '<h[1-3]>([^<]*)</h', 1) AS hs FROM pages)")
-def k21(spark, d):
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit("<h[1-3]>([^<]*)</h"), F.lit(1)))
-    return table(spark, d, "pages").select("page_id", F.array_join(F.slice(found, 1, 12), "|").alias("sections"))
-
-
 @query("s4_scoring_hook", "SELECT doc_id, round(length(text) / (length(text) + 1000.0), 6) AS score FROM documents")
 def s4(spark, d):
     return streams.scored(table(spark, d, "documents").select("doc_id", "text"), "text", lambda texts: [len(t) / (len(t) + 1000.0) for t in texts]).select("doc_id", F.round("score", 6).alias("score"))

@@ -70,14 +70,6 @@ def q17(spark, d):
     return intent.sparse_features(terms(spark, d), phrases(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query("q14_alias_expansion", f"WITH {BENCHMARK_QUERIES}, al AS (SELECT * FROM (VALUES ('the', 'article'), ('that', 'relative'), ('estion', 'question')) v(alias, term)) SELECT DISTINCT qid, term FROM bq, al WHERE contains(' ' || {title_sql('query_text')} || ' ', ' ' || alias || ' ')")
-def q14(spark, d):
-    # the alias table is a given lexicon of fixed size
-    aliases = F.broadcast(spark.createDataFrame([("the", "article"), ("that", "relative"), ("estion", "question")], "alias string, term string"))
-    padded = F.concat(F.lit(" "), T.normalize_title(c("query_text")), F.lit(" "))
-    return benchmark_queries(spark, d).select("qid", padded.alias("t")).join(aliases, F.contains(c("t"), F.concat(F.lit(" "), "alias", F.lit(" ")))).select("qid", "term").distinct()
-
-
 @query("q33_noise_filter", f"SELECT item_id, array_to_string(CASE WHEN len(list_filter(ts, lambda t: t NOT IN ('with', 'from', 'tion'))) > 0 THEN list_filter(ts, lambda t: t NOT IN ('with', 'from', 'tion')) ELSE ts END, ' ') AS terms FROM (SELECT item_id, {tokens_sql('text', False)} AS ts FROM benchmark)")
 def q33(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(intent.without_noise(T.tokens(c("text"), ()), ["with", "from", "tion"]), " ").alias("terms"))

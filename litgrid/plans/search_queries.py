@@ -207,18 +207,6 @@ def j04(spark, d):
     return fuse.merged(rows, "entity", "doc_id").withColumn("title", F.md5("title")).withColumn("abstract", F.md5("abstract"))
 
 
-@query("j05_source_ranks", f"{_ALL} SELECT paper_id, source, min(rank) AS best_rank FROM ranked GROUP BY ALL")
-def j05(spark, d):
-    return ranked(spark, d).groupBy("paper_id", "source").agg(F.min("rank").cast("long").alias("best_rank"))
-
-
-@query("j06_preferred_id", "SELECT s_nationkey AS entity, coalesce(min(CASE WHEN s_suppkey % 3 = 0 THEN 'arxiv:' || s_suppkey END), min(CASE WHEN s_suppkey % 3 = 1 THEN 'doi:' || s_suppkey END), min('pmid:' || s_suppkey)) AS preferred FROM supplier GROUP BY s_nationkey")
-def j06(spark, d):
-    ids = table(spark, d, "supplier").select(c("s_nationkey").alias("entity"), F.concat(F.element_at(F.array(F.lit("arxiv:"), F.lit("doi:"), F.lit("pmid:")), (c("s_suppkey") % 3 + 1).cast("int")), "s_suppkey").alias("id"))
-    order = F.array_position(F.array(*map(F.lit, T.ID_PREFIXES)), F.concat(F.substring_index("id", ":", 1), F.lit(":")))
-    return ids.groupBy("entity").agg(F.min_by("id", F.struct(order.alias("o"), c("id"))).alias("preferred"))
-
-
 @query("j07_rrf_total", f"{_ALL} SELECT qid, paper_id, round(rrf, 8) AS rrf, n_sources FROM fused")
 def j07(spark, d):
     return fuse.fused(ranked(spark, d)).select("qid", "paper_id", F.round("rrf", 8).alias("rrf"), "n_sources")
@@ -234,11 +222,6 @@ def j09(spark, d):
     return ranked(spark, d).where("rank <= 2").groupBy("qid").agg(F.bool_or(c("source") == "dense").alias("dense_used"), F.bool_or(c("source") == "alias").alias("alias_used"))
 
 
-@query("j10_eval_rows", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, {GOLD} SELECT qid, query_text, count(*) AS answers FROM bq JOIN gold USING (qid) GROUP BY ALL")
-def j10(spark, d):
-    return benchmark_queries(spark, d).join(gold(spark, d), "qid").groupBy("qid", "query_text").agg(F.count("*").alias("answers"))
-
-
 @query("j11_queries_with_text", f"WITH {BENCHMARK_QUERIES}, {GOLD} SELECT DISTINCT qid FROM gold JOIN bq USING (qid) WHERE query_text <> ''")
 def j11(spark, d):
     return gold(spark, d).join(benchmark_queries(spark, d).where("query_text <> ''"), "qid", "left_semi").select("qid").distinct()
@@ -308,12 +291,6 @@ def a06(spark, d):
     return ranked(spark, d).join(gold2(spark, d), ["qid", "paper_id"]).groupBy("qid", "source", "paper_id").agg(F.min("rank").cast("long").alias("rank"))
 
 
-@query("a07_pool_recall", f"{_ALL}, h AS (SELECT qid, rank FROM pool JOIN gold USING (qid, paper_id)), g AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid) SELECT g.qid, round(count(rank) FILTER (rank <= 100) / n, 6) AS recall_100, round(count(rank) FILTER (rank <= 200) / n, 6) AS recall_200, round(count(rank) FILTER (rank <= 500) / n, 6) AS recall_500, count(rank) FILTER (rank > 100 AND rank <= 500) AS late FROM g LEFT JOIN h USING (qid) GROUP BY g.qid, n")
-def a07(spark, d):
-    x = evaluate.hit_ranks(pool(spark, d), gold2(spark, d))
-    return x.groupBy("qid").agg(*(F.round(F.count_if(c("rank") <= k) / F.count("*"), 6).alias(f"recall_{k}") for k in (100, 200, 500)), F.count_if(F.expr("rank > 100 AND rank <= 500")).alias("late"))
-
-
 _DIAG = f"""{_ALL}, x AS (SELECT g.qid, count(*) AS gold_count, count(rank) FILTER (rank <= 10) AS hits, count(rank) AS pool_hits FROM gold g LEFT JOIN pool p ON p.qid = g.qid AND p.paper_id = g.paper_id GROUP BY g.qid),
     dg AS (SELECT *, CASE WHEN hits = 0 AND pool_hits > 0 THEN 'gold_retrieved_but_ranked_below_cutoff' WHEN hits = 0 THEN 'gold_not_found_in_diagnostic_pool' WHEN hits / gold_count < 0.5 AND least(1.0, 10 / gold_count) <= 0.5 THEN 'large_gold_set_topk_ceiling' WHEN qid % 7 = 0 THEN 'top_results_miss_required_constraints' WHEN qid % 11 = 0 THEN 'model_service_errors_present' WHEN hits / gold_count < 0.5 THEN 'partial_recall_needs_better_ranking_or_expansion' ELSE 'acceptable_for_current_cutoff' END AS reason FROM x)"""
 
@@ -350,11 +327,6 @@ def a12(spark, d):
     return u.agg(F.count("*").alias("queries"), F.sum("dense").alias("dense"), F.sum("alias").alias("alias"), F.round(F.avg("dense"), 6).alias("dense_rate"))
 
 
-@query("a13_preselection_summary", f"{_ALL} SELECT qid, count(*) AS candidates, count(*) FILTER (rank <= 120) AS selected, round(count(*) FILTER (rank <= 120) / count(*), 6) AS ratio FROM pool GROUP BY qid")
-def a13(spark, d):
-    return pool(spark, d).groupBy("qid").agg(F.count("*").alias("candidates"), F.count_if(F.expr("rank <= 120")).alias("selected"), F.round(F.count_if(F.expr("rank <= 120")) / F.count("*"), 6).alias("ratio"))
-
-
 @query("a15_shards")
 def a15(spark, d):
     return table(spark, d, "orders").select("o_orderkey", evaluate.shard(["o_orderstatus", "o_orderpriority", "o_orderkey"], 8).alias("shard"))
@@ -365,31 +337,9 @@ def a16(spark, d):
     return evaluate.balanced_sample(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], [F.asc("o_orderkey")], 500).select("o_orderkey")
 
 
-@query("a16_proportional_sample", """WITH s AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), e AS (SELECT *, 500 * n / sum(n) OVER () AS exact FROM s), b AS (SELECT *, floor(exact) AS base FROM e),
-    q AS (SELECT o_orderstatus, o_orderpriority, base + CASE WHEN row_number() OVER (ORDER BY round(exact - base, 9) DESC, o_orderstatus, o_orderpriority) <= 500 - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM b)
-    SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS turn FROM orders) JOIN q USING (o_orderstatus, o_orderpriority) WHERE turn <= quota""")
-def a16p(spark, d):
-    return evaluate.proportional_sample(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], [F.asc("o_orderkey")], 500).select("o_orderkey")
-
-
 _LS = "ls AS (SELECT n_chars % 1000 AS score, quality FROM labels JOIN documents USING (doc_id))"
 
 
-@query("a18_threshold_sweep", f"""WITH {_LS}, b AS (SELECT score, sum(quality) AS p, count(*) AS n FROM ls GROUP BY score), t AS (SELECT sum(quality) AS pos, count(*) AS al FROM ls), cu AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w - sum(p) OVER w AS fp FROM b WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
-    SELECT score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round((tp + al - pos - fp) / al, 6) AS accuracy, round(2 * tp / (tp + fp + pos), 6) AS f1 FROM cu, t""")
-def a18(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select((c("n_chars") % 1000).alias("score"), "quality")
-    return evaluate.threshold_sweep(rows, "score", "quality").withColumn("accuracy", F.round("accuracy", 6)).withColumn("f1", F.round("f1", 6))
-
-
-@query("a19_class_metrics", """WITH x AS (SELECT quality AS l, CASE WHEN n_chars % 5 = 0 THEN 1 - quality ELSE quality END AS p FROM labels JOIN documents USING (doc_id)), k AS (SELECT DISTINCT l AS label FROM x UNION SELECT DISTINCT p FROM x),
-    s AS (SELECT label, count(*) FILTER (l = label) AS support, count(*) FILTER (p = label) AS predicted, count(*) FILTER (l = label AND p = label) AS hits FROM k, x GROUP BY label)
-    SELECT label, support, round(CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END, 6) AS precision, round(CASE WHEN support > 0 THEN hits / support ELSE 0 END, 6) AS recall, round(2 * hits / (support + predicted), 6) AS f1 FROM s""")
-def a19(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("quality", F.when(c("n_chars") % 5 == 0, 1 - c("quality")).otherwise(c("quality")).alias("p"))
-    return evaluate.classification(rows, "quality", "p").select("label", "support", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
-
-
 @query("a20_label_histogram", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def a20(spark, d):
     return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
@@ -401,17 +351,8 @@ def a21(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("p01_result_rows", f"{_ALL} SELECT qid, rank, paper_id, round(rrf, 6) AS score, (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM ranked r WHERE r.qid = p.qid AND r.paper_id = p.paper_id) AS sources FROM pool p WHERE rank <= 10")
-def p01(spark, d):
-    sources = ranked(spark, d).groupBy("qid", "paper_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
-    return pool(spark, d).where("rank <= 10").join(sources, ["qid", "paper_id"]).select("qid", c("rank").cast("long"), "paper_id", F.round("rrf", 6).alias("score"), "sources")
-
-
 @query("p03_worst_queries", f"{_METRICS} SELECT qid, round(r, 6) AS recall FROM mt WHERE k = 50 ORDER BY round(r, 6), qid LIMIT 20")
 def p03(spark, d):
     return metric_rows(spark, d).where("k = 50").select("qid", F.round("recall", 6).alias("recall")).orderBy("recall", "qid").limit(20)
 
 
-@query("p04_snapshots", f"{_ALL} SELECT qid, rank, paper_id, p_name FROM pool LEFT JOIN part ON p_partkey = paper_id WHERE rank <= 5")
-def p04(spark, d):
-    return pool(spark, d).where("rank <= 5").join(table(spark, d, "part").select(c("p_partkey").alias("paper_id"), "p_name"), "paper_id", "left").select("qid", c("rank").cast("long"), "paper_id", "p_name")

@@ -42,25 +42,12 @@ def i06(spark, d):
     return benchmark_queries(spark, d).where("query_text like '%the%'").orderBy("qid").limit(25)
 
 
-@query("i07_query_conversion", f"SELECT conv_id, turn, i - 1 AS label_rank, answer FROM (SELECT conv_id, turn, unnest(parts) AS answer, generate_subscripts(parts, 1) AS i FROM (SELECT conv_id, turn, string_split({space_sql('text')}, '. ') AS parts FROM conversations WHERE role = 'assistant')) WHERE answer <> ''")
-def i07(spark, d):
-    rows = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split(T.normalize_space(c("text")), r"\. ")).alias("label_rank", "answer"))
-    return rows.where("answer <> ''").withColumn("label_rank", c("label_rank").cast("long"))
-
-
 @query("i08_paper_conversion", f"WITH {PAPERS}, w AS (SELECT regexp_replace(lower(split_part(text, '.', 1)), '[^a-z]', '', 'g') AS slug, min(doc_id) AS full_id FROM documents WHERE lang = 'en' GROUP BY 1) SELECT paper_id, coalesce(full_id, -1) AS full_id FROM papers LEFT JOIN w ON slug = regexp_replace(lower(strip_accents(title)), '[^a-z]', '', 'g') AND slug <> ''")
 def i08(spark, d):
     full = table(spark, d, "documents").where("lang = 'en'").groupBy(F.regexp_replace(F.lower(F.split("text", r"\.")[0]), "[^a-z]", "").alias("slug")).agg(F.min("doc_id").alias("full_id")).where("slug <> ''")
     return papers(spark, d).withColumn("slug", T.slug(c("title"))).join(full, "slug", "left").select("paper_id", F.coalesce("full_id", F.lit(-1)).alias("full_id"))
 
 
-@query("i09_chunking", f"WITH {PAPERS} SELECT paper_id || '#chunk:0' AS chunk_id, md5(title || chr(10) || abstract) AS text FROM papers UNION ALL SELECT 'doc:' || doc_id || '#chunk:' || i, md5(part) FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE part <> ''")
-def i09(spark, d):
-    zero = papers(spark, d).select(F.concat("paper_id", F.lit("#chunk:0")).alias("chunk_id"), F.md5(F.concat_ws("\n", "title", "abstract")).alias("text"))
-    rest = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "part")).where("part <> ''")
-    return zero.unionByName(rest.select(F.concat(F.lit("doc:"), "doc_id", F.lit("#chunk:"), c("i") + 1).alias("chunk_id"), F.md5("part").alias("text")))
-
-
 @query("i11_sharded_scan")
 def i11(spark, d):
     return table(spark, d, "orders").where(S.in_shard(c("o_orderkey"), 4, 1) & (c("o_orderkey") > 100)).select("o_orderkey")
@@ -83,13 +70,6 @@ def i17(spark, d):
     return chunks(spark, d).select("chunk_id", F.substring("text", 1, 80).alias("preview"), F.length("text").cast("long").alias("text_length"), c("chunk_index").cast("int"))
 
 
-@query("i18_scoped_delete", "SELECT source, count(*) AS before, count(*) FILTER (lang <> 'de') AS after FROM documents GROUP BY source")
-def i18(spark, d):
-    docs = table(spark, d, "documents")
-    after = docs.where("lang <> 'de'").groupBy("source").agg(F.count("*").alias("after"))
-    return docs.groupBy("source").agg(F.count("*").alias("before")).join(after, "source", "left").select("source", "before", F.coalesce("after", F.lit(0)).alias("after"))
-
-
 @query("i19_store_counts", f"WITH {CHUNKS} SELECT 'documents' AS store, count(*) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'labels', count(*) FROM labels")
 def i19(spark, d):
     return S.counts({"documents": table(spark, d, "documents"), "chunks": chunks(spark, d), "labels": table(spark, d, "labels")})
@@ -105,12 +85,6 @@ def i20d(spark, d):
     return S.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_partkey"])
 
 
-@query("i22_payload_flattening", """SELECT page_id, 'api:' || page_id AS paper_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS links FROM pages""")
-def i22(spark, d):
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("api:"), "page_id").alias("paper_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(links).cast("long").alias("links"))
-
-
 @query("i23_unit_vectors", "SELECT vec_id, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS first, round(embedding[64] / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS last FROM embeddings")
 def i23(spark, d):
     v = index.unit(c("embedding"))
@@ -122,16 +96,6 @@ def i24(spark, d):
     return papers(spark, d).select(T.normalize_title(c("title")).alias("norm"), "doc_id").where("norm <> ''").groupBy("norm").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("i25_index_rows", f"WITH {CHUNKS} SELECT chunk_id, paper_id, chunk_type, greatest(1, length(text) // 4) AS token_estimate FROM chunks")
-def i25(spark, d):
-    return chunks(spark, d).select("chunk_id", "paper_id", "chunk_type", T.token_estimate(c("text")).alias("token_estimate"))
-
-
-@query("i26_benchmark_files", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) WHERE i <= 7")
-def i26(spark, d):
-    return S.first_n(table(spark, d, "documents"), ["source"], [F.asc("doc_id")], 7).select("source", "doc_id")
-
-
 @query("i27_multi_source_text", f"SELECT 'b' AS origin, item_id AS id, md5({space_sql('text')}) AS value FROM benchmark UNION ALL SELECT 'c', conv_id * 1000 + turn, md5({space_sql('text')}) FROM conversations WHERE {space_sql('text')} <> ''")
 def i27(spark, d):
     text = T.normalize_space(c("text"))
@@ -213,20 +177,6 @@ def _hash_order(seed: str, *keys: str):
     return [F.sha1(F.concat(*(c(k).cast("string") for k in keys), F.lit(seed))), *keys]
 
 
-@query("t02_negative_sampling", "WITH p AS (SELECT doc_id, quality FROM labels WHERE quality = 1), n AS (SELECT doc_id, quality, row_number() OVER (ORDER BY sha1(doc_id || '-7'), doc_id) AS i FROM labels WHERE quality = 0) SELECT * FROM p UNION ALL SELECT doc_id, quality FROM n WHERE i <= (SELECT count(*) // 10 FROM p)")
-def t02(spark, d):
-    x = table(spark, d, "labels").select("doc_id", "quality")
-    positives = x.where("quality = 1")
-    return positives.unionByName(x.where("quality = 0").orderBy(*_hash_order("-7", "doc_id")).limit(positives.count() // 10))
-
-
-@query("t03_example_reasons", "WITH x AS (SELECT conv_id, count(*) AS n, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS u, arg_max(role, turn) AS last, sum(length(text)) AS size FROM conversations GROUP BY conv_id) SELECT CASE WHEN n < 2 THEN 'too_few_turns' WHEN u = 0 THEN 'no_user' WHEN last <> 'assistant' THEN 'last_not_assistant' WHEN size > 2000 THEN 'too_long' ELSE 'ok' END AS reason, count(*) AS n FROM x GROUP BY 1")
-def t03(spark, d):
-    x = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max((c("role") == "user").cast("int")).alias("u"), F.max_by("role", "turn").alias("last"), F.sum(F.length("text")).alias("size"))
-    reason = F.when(c("n") < 2, "too_few_turns").when(c("u") == 0, "no_user").when(c("last") != "assistant", "last_not_assistant").when(c("size") > 2000, "too_long").otherwise("ok")
-    return x.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("t04_train_eval_split", "SELECT conv_id, CASE WHEN row_number() OVER (ORDER BY sha1(conv_id || '-42'), conv_id) <= 50 THEN 'eval' ELSE 'train' END AS split FROM (SELECT DISTINCT conv_id FROM conversations)")
 def t04(spark, d):
     keys = table(spark, d, "conversations").select("conv_id").distinct()
@@ -234,13 +184,6 @@ def t04(spark, d):
     return keys.join(F.broadcast(held), "conv_id", "left").select("conv_id", F.when(c("held"), "eval").otherwise("train").alias("split"))
 
 
-@query("t05_gate_set", "SELECT 'pos' AS label, 'b' || item_id AS id FROM benchmark UNION ALL SELECT 'neg', id FROM (SELECT conv_id || ':' || turn AS id FROM conversations ORDER BY sha1(conv_id || ':' || turn || '-3'), id LIMIT (SELECT 2 * count(*) FROM benchmark))")
-def t05(spark, d):
-    positives = table(spark, d, "benchmark").select(F.lit("pos").alias("label"), F.concat(F.lit("b"), "item_id").alias("id"))
-    negatives = table(spark, d, "conversations").select(F.lit("neg").alias("label"), F.concat_ws(":", "conv_id", "turn").alias("id"))
-    return positives.unionByName(negatives.orderBy(*_hash_order("-3", "id")).limit(2 * positives.count()))
-
-
 @query("t06_split_by_source", "SELECT source, doc_id, CASE WHEN source LIKE '%9' THEN 'test' WHEN i <= 0.85 * n THEN 'train' WHEN i <= 0.925 * n THEN 'dev' ELSE 'test' END AS split FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha1(doc_id || '-1'), doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)")
 def t06(spark, d):
     x = table(spark, d, "documents").select("source", "doc_id")

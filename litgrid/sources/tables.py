@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,83 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(names).option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt is null").drop("_corrupt")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, sorted_keys: bool = False) -> None:
+    """JSON lines, one file per partition; with sorted_keys in the order of the columns' names."""
+    (df.select(*sorted(df.columns)) if sorted_keys else df).write.mode("overwrite").json(path)
+
+
+def conversion(raw: DataFrame, dataset: str, split: str, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """queries, gold_labels and eval_sets of raw rows (place, qid, question, answer, answers), the first `limit` by place.
+
+    A missing id becomes dataset_split_place; a single answer stands for a list of one; blank answers go.
+    """
+    c = F.col
+    rows = raw.where(c("place") <= limit).withColumn("qid", F.coalesce(F.nullif(c("qid"), F.lit("")), F.concat(F.lit(f"{dataset}_{split}_"), c("place").cast("string"))))
+    every = F.filter(F.coalesce("answers", F.array("answer")), lambda a: F.coalesce(F.trim(a), F.lit("")) != "")
+    rows = rows.withColumn("all", every)
+    named = lambda df, *cols: df.select(F.lit(dataset).alias("dataset_name"), F.lit(split).alias("split_name"), *cols)
+    queries = named(rows, "qid", c("question").alias("query_text"), F.size("all").alias("answer_count"))
+    labels = rows.select("qid", F.posexplode("all").alias("label_rank", "answer"))
+    return queries, labels, named(rows, "qid", c("all").alias("gold_paper_ids"))
+
+
+def chunked(papers: DataFrame, sections: DataFrame, most: int = 80) -> DataFrame:
+    """chunk_id, chunk_index, chunk_type, text: chunk 0 is title and abstract, then one for each section with references, of
+    which the first `most` are joined. sections: paper_id, place, title, references (array)."""
+    c = F.col
+    zero = papers.select("paper_id", F.lit(0).cast("long").alias("chunk_index"), F.lit("title_abstract").alias("chunk_type"), F.concat_ws("\n", "title", "abstract").alias("text"))
+    order = Window.partitionBy("paper_id").orderBy("place")
+    kept = sections.where(F.size("references") > 0).withColumn("chunk_index", F.row_number().over(order).cast("long"))
+    rest = kept.select("paper_id", "chunk_index", F.lit("section").alias("chunk_type"), F.concat(c("title"), F.lit(": "), F.array_join(F.slice("references", 1, most), "; ")).alias("text"))
+    return zero.unionByName(rest).select(F.concat("paper_id", F.lit("#chunk:"), c("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "chunk_type", "text")
+
+
+def unpacked(archives: DataFrame, suffix: str = ".json") -> DataFrame:
+    """archive, member, content: the members of zip files given as rows (path, content), as the binaryFile source gives them;
+    every archive is gone through member by member in one task."""
+
+    def unpack(batches):
+        for x in batches:
+            for name, data in zip(x["path"], x["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for m in sorted(z.namelist()):
+                        if m.endswith(suffix):
+                            yield pd.DataFrame({"archive": [name.rsplit("/", 1)[-1]], "member": [m], "content": [z.read(m).decode("utf-8", "replace")]})
+
+    return archives.select("path", "content").mapInPandas(unpack, "archive string, member string, content string")
+
+
+def read_archives(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """The members of all zip files under path."""
+    return unpacked(spark.read.format("binaryFile").load(path), suffix)
+
+
+def packed(rows: DataFrame, key: str, content: str, per: int = 100) -> DataFrame:
+    """path, content: zip files of about `per` members each, named key.json; a hash of the key deals them out."""
+
+    def pack(x: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, text in sorted(zip(x[key], x[content], strict=True)):
+                z.writestr(f"{k}.json", text)
+        return pd.DataFrame({"path": [f"{x['_part'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    parts = max(1, rows.count() // per)
+    return rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).groupBy("_part").applyInPandas(pack, "path string, content binary")
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based identifier of RFC 9562, version 5, from the namespace's UUID."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    version = F.concat(F.lit("5"), F.substring(digest, 14, 3))
+    variant = F.concat(F.lower(F.hex((F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 8))), F.substring(digest, 18, 3))
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), version, variant, F.substring(digest, 21, 12))
+
+
+def scoped_delete(df: DataFrame, scope: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows outside the scope, and one row with the counts before, deleted and after."""
+    counts = df.agg(F.count("*").alias("before"), F.count_if(scope).alias("deleted"), F.count_if(~scope).alias("after"))
+    return df.where(~scope), counts
 
 
 def latest(df: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litgrid.sources.tables import latest, upsert
+from litgrid.sources.tables import latest
 
 
 def event_windows(events: DataFrame, size: str, late: str = "1 day") -> DataFrame:
@@ -21,14 +21,23 @@ def deduplicated(rows: DataFrame, key: list[str], time: str, late: str = "1 day"
 
 
 def upserts(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str):
-    """Keeps the last row of each key in versioned folders under path; each batch writes the next version."""
+    """Keeps the last row of each key under path. A batch is reduced to its keys' last rows and appended as a log of changes
+    under its own number, which a repeated batch overwrites; nothing else is rewritten. upserted() reads the table."""
 
     def write(batch: DataFrame, n: int) -> None:
-        spark, new = batch.sparkSession, latest(batch, key, [F.desc(order)])
-        old = spark.read.parquet(f"{path}/{n - 1}") if n else new.limit(0)
-        upsert(old, new, key).write.mode("overwrite").parquet(f"{path}/{n}")
+        latest(batch, key, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserted(spark: SparkSession, path: str, key: list[str], order: str) -> DataFrame:
+    """The last row of each key over all batches, by the order column and then by batch."""
+    return latest(spark.read.parquet(path), key, [F.desc(order), F.desc("batch")]).drop("batch")
+
+
+def compacted(spark: SparkSession, path: str, key: list[str], order: str, to: str) -> None:
+    """Writes the table that the batches so far make as the first batch of a new folder."""
+    upserted(spark, path, key, order).write.mode("overwrite").parquet(f"{to}/batch=0")
 
 
 def run_once(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], mode: str, flush: bool = False) -> DataFrame:
