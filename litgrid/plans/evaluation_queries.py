@@ -282,7 +282,11 @@ def p01(spark, d):
     return placed(spark, d).where("rank <= 10").select("qid", c("rank").cast("long"), "paper_id", "score", F.array_join(sources, ",").alias("sources"), F.array_join("matched", "|").alias("matched"), T.best_snippet(F.concat("p_name", F.lit(". "), F.substring_index("body", " ", -2)), words).alias("snippet"))
 
 
-@query("p02_relation_edges", f"{_K} qid, field, paper_id, rank FROM (SELECT qid, unnest(CASE WHEN len(ff) > 0 THEN ff ELSE [NULL] END) AS field, paper_id, rank, len(ff) AS nf FROM (SELECT qid, paper_id, rank, list_filter(fields[1:4], lambda f: contains(lower({title_sql('p_name')}), lower(f)) OR len(list_filter(string_split(f, ' '), lambda t: list_contains(have, t))) > 0) AS ff FROM feat WHERE rank <= 6)) WHERE field IS NOT NULL OR rank <= 5")
+_P02 = f"{_K} qid, field, paper_id, rank FROM (SELECT qid, unnest(CASE WHEN len(ff) > 0 THEN ff ELSE [NULL] END) AS field, paper_id, rank, len(ff) AS nf FROM (SELECT qid, paper_id, rank, list_filter(fields[1:4], lambda f: contains(lower({title_sql('p_name')}), lower(f)) OR len(list_filter(string_split(f, ' '), lambda t: list_contains(have, t))) > 0) AS ff FROM feat WHERE rank <= 6)) WHERE field IS NOT NULL OR rank <= 5"
+
+
+@query("p02_relation_edges", _P02)
+@query("p02_relation_edges_ranked", _P02)
 def p02(spark, d):
     """Fields of a query with those of its first six papers that speak of them; papers without any lead to the query itself."""
     top = placed(spark, d).where("rank <= 6").select("qid", "paper_id", c("rank").cast("long"), "fields", T.normalize_title(c("p_name")).alias("name"), T.tokens(c("body")).alias("have"))

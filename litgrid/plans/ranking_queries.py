@@ -13,7 +13,7 @@ from litgrid.operators import features, intent, rank, select, understand
 from litgrid.operators.understand import Lexicon
 from litgrid.sources.tables import held
 
-from .fixtures import table, title_sql, tokens_sql
+from .fixtures import PAPERS, papers, table, title_sql, tokens_sql
 from .registry import query
 from .search_queries import _ACA, _ALL, _BONUS, _RANK_SIGNAL, _SYN, _WIDE, ranked
 from .understanding_queries import _has, intents_sql
@@ -274,3 +274,13 @@ def k15(spark, d):
 def k26(spark, d):
     x = placed(spark, d).withColumn("head", F.when(c("profile").isin(*features.ONE), 12).otherwise(8)).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
     return x.groupBy("qid").agg(F.count_if(c("rank") <= 500).alias("pool"), F.count_if(c("rank") <= 120).alias("reranked"), F.count_if(c("rank") <= F.least(F.lit(20), "head")).alias("protected"), F.count_if(c("rank") <= F.greatest(F.lit(20), F.least("n", F.lit(120)))).alias("kept"))
+
+
+@query("k08_recency", f"WITH {PAPERS} SELECT paper_id, CASE WHEN year >= 2023 THEN 1.0 WHEN year >= 2019 THEN 0.8 WHEN year >= 2015 THEN 0.6 ELSE 0.4 END::DOUBLE AS recency FROM papers")
+def k08_recency(spark, d):
+    return papers(spark, d).select("paper_id", rank.recency(c("year")).alias("recency"))
+
+
+@query("k10_preselect_bonus", f"{_ALL}, {_WIDE} SELECT qid, paper_id, round({_BONUS}, 6) AS bonus FROM wide")
+def k10_bonus(spark, d):
+    return rank.source_ranks(ranked(spark, d), ["qid", "paper_id"]).select("qid", "paper_id", F.round(rank.rank_bonus(), 6).alias("bonus"))

@@ -105,3 +105,128 @@ def test_constraints(spark):
     assert m == {("p1", "graph search"): True, ("p1", "dense-vector"): False, ("p1", "abc"): False, ("p2", "graph search"): False, ("p2", "dense-vector"): False, ("p2", "abc"): True}
     r = spark.range(1).select(intent.time_range(F.lit("papers since 2015")).alias("a"), intent.time_range(F.lit("2012 to 2019")).alias("b"), intent.time_range(F.lit("none")).alias("c")).first()
     assert (tuple(r["a"]), tuple(r["b"]), r["c"]) == ((2015, None), (2012, 2019), None)
+
+
+def _cells(rows, *names):
+    return [tuple(r[n] for n in names) for r in rows]
+
+
+def test_lanes_against_a_plain_version(spark):
+    import random
+
+    from litgrid.operators import features, select
+
+    rng, rows = random.Random(4), []
+    for qid, profile in enumerate(("real_multi_answer", "auto_locator", "dataset_or_benchmark", "method_or_dataset")):
+        for k in range(90 if qid < 3 else 15):
+            words = rng.sample(["a", "b", "c", "d", "e"], rng.randint(0, 3))
+            rows.append((qid, k, profile, k + 1, round(rng.random(), 3), words, rng.random() < 0.2, *(rng.random() < 0.3 for _ in features.LANES)))
+    names = ["qid", "paper_id", "profile", "rank", "preselect", "words", "sure", *features.LANES]
+    kinds = "qid long, paper_id long, profile string, rank int, preselect double, words array<string>, sure boolean, " + ", ".join(f"{x} boolean" for x in features.LANES)
+    found = select.lanes(spark.createDataFrame(rows, kinds), target=40).collect()
+    for qid in range(4):
+        pool = [dict(zip(names, r, strict=True)) for r in rows if r[0] == qid]
+        got = _cells(sorted((r for r in found if r["qid"] == qid), key=lambda r: r["place"]), "paper_id", "reason")
+        n = min(40, len(pool))
+        if len(pool) <= n:
+            assert got == [(r["paper_id"], "pool<=target") for r in pool]
+            continue
+        quota, chosen = features.quotas(pool[0]["profile"], n), []
+        have = lambda r: any(r is x for x, _ in chosen)  # noqa: B023, E731
+        chosen += [(r, "protected_rule_head") for r in pool[: quota["head"]]]
+        best = sorted(pool, key=lambda r: (-r["preselect"], r["rank"]))
+        for lane, name in features.LANES.items():
+            added = 0
+            for r in best:
+                if len(chosen) < n and added < quota[name] and r[lane] and not have(r):
+                    chosen.append((r, lane))
+                    added += 1
+        deferred = []
+        for r in best:
+            if len(chosen) < n and not have(r):
+                like = max((len(set(r["words"]) & set(y["words"])) / len(set(r["words"]) | set(y["words"])) for y, _ in chosen[:30] if r["words"] and y["words"]), default=0)
+                if like >= 0.92 and not r["sure"]:
+                    deferred.append(r)
+                else:
+                    chosen.append((r, "score_fill"))
+        chosen += [(r, "redundant_score_fill") for r in deferred[: n - len(chosen)]]
+        assert got == [(r["paper_id"], why) for r, why in chosen]
+
+
+def test_diversification_against_a_plain_version(spark):
+    import random
+
+    from litgrid.operators import select
+
+    rng, rows = random.Random(7), []
+    for qid, size in ((1, 60), (2, 12), (3, 13)):
+        for k in range(size):
+            rows.append((qid, k, k + 1, round(1 - k / 100 + rng.random() / 50, 4), 3, 0.1 if qid == 1 else 0.02, rng.choice([1.0, 0.55]), [x for x in "xyz" if rng.random() < 0.3], rng.sample("abcdef", rng.randint(0, 4))))
+    df = spark.createDataFrame(rows, "qid long, paper_id long, rank int, score double, protected int, penalty double, soften double, matched array<string>, words array<string>")
+    found = select.diversified(df, top_k=20).collect()
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    for qid in (1, 2, 3):
+        pool = [r for r in rows if r[0] == qid]
+        want = pool if len(pool) <= 12 else pool[:3]
+        rest = [r for r in pool if r not in want]
+        while rest and len(want) < 20:
+            value = lambda r: round(r[3] + 0.025 * len(set(r[7]) - {m for w in want for m in w[7]}) - r[5] * r[6] * max((like(r[8], w[8]) for w in want), default=0), 9)  # noqa: B023, E731
+            best = max(rest, key=lambda r: (value(r), -r[2]))
+            want.append(best)
+            rest.remove(best)
+        assert [r["paper_id"] for r in sorted((r for r in found if r["qid"] == qid), key=lambda r: r["place"])] == [r[1] for r in want + rest]
+    assert [r["paper_id"] for r in select.diversified(df.where("qid = 1"), top_k=10).orderBy("place").collect()] == list(range(60))
+
+
+def test_quotas_and_hash_sample(spark):
+    from pyspark.sql import functions as F
+
+    from litgrid.operators import evaluate
+
+    sizes = spark.createDataFrame([("a", 1000), ("b", 3), ("c", 2), ("d", 1)], "g string, n long")
+    for total in (4, 10, 500, 5000):
+        quota = {r["g"]: r["quota"] for r in evaluate.proportional_quotas(sizes, ["g"], total).collect()}
+        assert sum(quota.values()) == min(total, 1006) and min(quota.values()) >= 1
+    rows = spark.range(3000).withColumn("h", F.sha1(F.col("id").cast("string")))
+    want = {r["id"] for r in rows.orderBy("h").limit(777).collect()}
+    assert {r["id"] for r in evaluate.hash_sample(rows, F.col("h"), [F.asc("id")], 777).collect()} == want
+    assert evaluate.hash_sample(rows, F.col("h"), [F.asc("id")], 9000).count() == 3000
+
+
+def test_crc_slots_and_shards(spark, sf_dir):
+    import zlib
+
+    from litgrid.plans import catalogue
+
+    for r in catalogue.QUERIES["a15_shards"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey").collect():
+        assert r["shard"] == zlib.crc32(f"{r['o_orderstatus']}/{r['o_orderpriority']}/{r['o_orderkey']}".encode()) % 8
+
+
+def test_stream_upserts_survive_a_repeated_batch(spark, tmp_path):
+    from litgrid.streaming import streams
+
+    path = f"file://{tmp_path}/log"
+    schema = "k long, at long, v string"
+    spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (2, 1, "c")], schema).write.parquet(f"{path}/batch=0")
+    for _ in range(2):
+        spark.createDataFrame([(1, 2, "old"), (3, 1, "d")], schema).write.mode("overwrite").parquet(f"{path}/batch=1")
+    found = streams.upserted(spark, path, ["k"], "at")
+    assert sorted(map(tuple, found.select("k", "v").collect())) == [(1, "b"), (2, "c"), (3, "d")]
+    streams.compacted(spark, path, ["k"], "at", f"file://{tmp_path}/new")
+    assert streams.upserted(spark, f"file://{tmp_path}/new", ["k"], "at").count() == 3
+
+
+def test_dense_blocks(spark):
+    import numpy as np
+
+    from litgrid.operators import index
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(120, 8))
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(120, [0.0] * 8), (121, None)], "doc_id long, vector array<double>")
+    queries = docs.where("doc_id < 10").withColumnRenamed("doc_id", "qid")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for block in (3, 100):
+        found = {(r["qid"], r["rank"]): r["doc_id"] for r in index.dense_top_k(queries, docs, 5, block).collect()}
+        for q in range(10):
+            assert [found[q, k] for k in range(1, 6)] == np.argsort(-unit @ unit[q])[:5].tolist()
