@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, lean, prepared, settled
+from .common import id_in, id_out, lean, prepared
 
 #: One of so many words ends a leaf, chosen by its hash, so that edits move no other border; and the most characters of a leaf.
 WORDS, MOST = 6, 320
@@ -24,8 +24,12 @@ _BARE = "\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ff
 _WORD = re.compile(rf"\s*(?:[{_BARE}]|[^\s{_BARE}]+)\s*|\s+")
 
 
-def _hash(data: bytes, size: int) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+#: Bytes of a node's hash, and of the root's.
+NODE, ROOT = 6, 16
+
+
+def _hash(data: bytes, size: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
 
 
 def leaves(paragraph: str) -> list[str]:
@@ -41,54 +45,80 @@ def leaves(paragraph: str) -> list[str]:
     return [p[i : i + MOST] for p in found for i in range(0, len(p), MOST)]
 
 
-def tree(text: str) -> tuple[str, list[list[list[tuple[str, int]]]]]:
-    """Root hash, and sections of paragraphs of leaves (hash, characters).
+def tree(text: str) -> tuple[str, list]:
+    """Root hash, and sections (hash, characters, paragraphs), of paragraphs (hash, characters, leaves), of leaves (hash,
+    characters).
 
-    A paragraph's hash is over its text, a higher node's over its children's hashes, so equal roots mean equal texts. Paragraphs are lines
-    with their line end. A section ends with an empty line or a paragraph whose hash is drawn.
+    A leaf's hash is over its text, every other node's over its children's hashes, so equal roots mean equal texts and
+    equal nodes equal parts. Paragraphs are lines with their line end. A section ends with an empty line or a paragraph
+    whose hash is drawn.
     """
-    sections, section, over = [], [], []
+    sections, section = [], []
     lines = text.split("\n")
-    hashes: list[bytes] = []
     for k, line in enumerate(lines):
         paragraph = line + "\n" * (k + 1 < len(lines))
         if not paragraph:
             continue
-        own = [(_hash(p.encode("utf-8", "surrogatepass"), 4), len(p)) for p in leaves(paragraph)]
-        section.append(own)
-        node = hashlib.blake2b(paragraph.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        hashes.append(node)
+        parts = leaves(paragraph)
+        hashes = [_hash(p.encode("utf-8", "surrogatepass"), NODE) for p in parts]
+        node = _hash(b"".join(hashes), NODE)
+        section.append((node.hex(), len(paragraph), [(h.hex(), len(p)) for h, p in zip(hashes, parts, strict=True)]))
         if not line or node[0] % SECTION == 0:
-            sections.append(section)
-            over.append(hashlib.blake2b(b"".join(hashes), digest_size=16).digest())
-            section, hashes = [], []
+            sections.append(_section(section))
+            section = []
     if section:
-        sections.append(section)
-        over.append(hashlib.blake2b(b"".join(hashes), digest_size=16).digest())
-    return _hash(b"".join(over), 16), sections
+        sections.append(_section(section))
+    return _hash(b"".join(bytes.fromhex(s[0]) for s in sections), ROOT).hex(), sections
+
+
+def _section(paragraphs: list) -> tuple[str, int, list]:
+    return _hash(b"".join(bytes.fromhex(p[0]) for p in paragraphs), NODE).hex(), sum(p[1] for p in paragraphs), paragraphs
 
 
 def written(root: str, sections: list) -> str:
-    """root, then sections after |, their paragraphs parted by commas, their leaves (8 hex digits and a length) by dots."""
-    return root + "".join("|" + ",".join(".".join(f"{h}{n:x}" for h, n in p) for p in s) for s in sections)
+    """root, then sections after |, each with its hash and, after a colon, its paragraphs parted by commas; a paragraph is its
+    hash and, after =, its leaves parted by dots; a leaf is its hash and its length in hexadecimal digits."""
+    return root + "".join(f"|{h}:" + ",".join(f"{p}=" + ".".join(f"{x}{n:x}" for x, n in parts) for p, _, parts in own) for h, _, own in sections)
 
 
-def parsed(fingerprint: str) -> tuple[str, list[list[list[tuple[str, int]]]]]:
-    root, *sections = fingerprint.split("|")
-    return root, [[[(x[:8], int(x[8:], 16)) for x in p.split(".")] for p in s.split(",")] for s in sections]
+def parsed(fingerprint: str) -> tuple[str, list]:
+    root, *rest = fingerprint.split("|")
+    sections = []
+    for s in rest:
+        h, own = s.split(":")
+        paragraphs = []
+        for p in own.split(","):
+            node, parts = p.split("=")
+            found = [(x[: 2 * NODE], int(x[2 * NODE :], 16)) for x in parts.split(".")]
+            paragraphs.append((node, sum(n for _, n in found), found))
+        sections.append((h, sum(p[1] for p in paragraphs), paragraphs))
+    return root, sections
 
 
 def _alike(a: tuple, b: tuple) -> float:
+    """Equal nodes are counted whole, sections first; only the children of the others are compared further."""
     if a[0] == b[0]:
         return 1.0
-    x, y = ([leaf for s in t[1] for p in s for leaf in p] for t in (a, b))
-    most = sum(n for _, n in x) + sum(n for _, n in y)
-    both = Counter(x) & Counter(y)
-    return 2 * sum(n * k for (_, n), k in both.items()) / most if most else 0.0
+    x, y, same = a[1], b[1], 0
+    most = sum(n[1] for n in x) + sum(n[1] for n in y)
+    for _ in range(3):
+        both = Counter(n[0] for n in x) & Counter(n[0] for n in y)
+        rest = []
+        for nodes, count in ((x, True), (y, False)):
+            left, own = Counter(both), []
+            for n in nodes:
+                if left[n[0]] > 0:
+                    left[n[0]] -= 1
+                    same += n[1] * count
+                else:
+                    own += n[2] if len(n) == 3 else []
+            rest.append(own)
+        x, y = rest
+    return 2 * same / most if most else 0.0
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the characters of both texts that stand in equal leaves; 1 if the roots are equal."""
+    """Share of the characters of both texts that stand in equal nodes of the trees; 1 if the roots are equal."""
     return _alike(parsed(a), parsed(b))
 
 
@@ -97,23 +127,21 @@ def edits(a: str, b: str) -> list[tuple[int, int]]:
     (root_a, x), (root_b, y) = parsed(a), parsed(b)
     if root_a == root_b:
         return []
-    sections, paragraphs, parts = {str(s) for s in x}, {str(p) for s in x for p in s}, {leaf for s in x for p in s for leaf in p}
-    found, at = [], 0
-    for s in y:
-        size = sum(n for p in s for _, n in p)
-        if str(s) not in sections:
-            k = at
-            for p in s:
-                m = k
-                for leaf in p:
-                    if str(p) not in paragraphs and leaf not in parts:
-                        if found and found[-1][1] == m:
-                            found[-1] = (found[-1][0], m + leaf[1])
-                        else:
-                            found.append((m, m + leaf[1]))
-                    m += leaf[1]
-                k = m
-        at += size
+    known = {s[0] for s in x}, {p[0] for s in x for p in s[2]}, {leaf[0] for s in x for p in s[2] for leaf in p[2]}
+    found: list[tuple[int, int]] = []
+
+    def down(nodes: list, at: int, level: int) -> None:
+        for n in nodes:
+            if n[0] not in known[level]:
+                if level < 2:
+                    down(n[2], at, level + 1)
+                elif found and found[-1][1] == at:
+                    found[-1] = (found[-1][0], at + n[1])
+                else:
+                    found.append((at, at + n[1]))
+            at += n[1]
+
+    down(y, 0, 0)
     return found
 
 
@@ -121,49 +149,59 @@ def _row(doc_id: int, text: str, own: tuple, after: str, next_tree: tuple) -> tu
     q = len(text) // 4
     edited = text[: len(text) - q] + after[:q]
     made = tree(edited)
-    return (0, doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(*own), written(*made), _alike(own, made), _alike(own, next_tree), None)
+    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(*own), written(*made), _alike(own, made), _alike(own, next_tree))
 
 
 def compare(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that to the next document's.
 
-    The edited text has the next document's start in place of its last quarter. Documents are range-partitioned by id;
-    each task goes through its rows in order, and only its first and last texts are kept for the neighbouring tasks.
+    The edited text has the next document's start in place of its last quarter. Documents are range-partitioned by id; each
+    task goes through its rows in order. A second, light pass over the same shuffled rows takes only each task's first and
+    last text, by which the last row of a task meets the first of the next.
 
     Null texts are empty. A null id comes first; equal ids are ordered by their text's hash. The last document's next is
     the first; a single document is its own next. An empty table gives no rows; other columns are not used.
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     prepared(spark)
-    columns = ["kind", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text"]
-    schema = "task int, kind int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     @lean
     def walk(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, last = TaskContext.get().partitionId(), None
+        last = None
         for x in rows:
             out = []
             for i, text in zip(x["doc_id"].tolist(), x["text"], strict=True):
                 own = tree(text)
-                out.append(_row(*last, text, own) if last else (1, i, 0, None, None, None, 0.0, 0.0, text))
+                if last:
+                    out.append(_row(*last, text, own))
                 last = (i, text, own)
-            yield pd.DataFrame(out, columns=columns).assign(task=task)
+            yield pd.DataFrame(out, columns=columns)
+
+    @lean
+    def ends(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        for x in rows:
+            if len(x):
+                first = x["text"].iloc[0] if first is None else first
+                last = (int(x["doc_id"].iloc[-1]), x["text"].iloc[-1])
         if last:
-            yield pd.DataFrame([(2, last[0], 0, None, None, None, 0.0, 0.0, last[1])], columns=columns).assign(task=task)
+            yield pd.DataFrame([(TaskContext.get().partitionId(), first, *last)], columns=["task", "first", "doc_id", "text"])
 
     @lean
     def finish(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in rows:
-            out = [_row(i, a, tree(a), b, tree(b)) for i, a, b in zip(x["doc_id"].tolist(), x["text"], x["after"], strict=True)]
-            yield pd.DataFrame(out, columns=columns).drop(columns=["kind", "text"])
+            yield pd.DataFrame([_row(i, a, tree(a), b, tree(b)) for i, a, b in zip(x["doc_id"].tolist(), x["text"], x["after"], strict=True)], columns=columns)
 
     tie = F.xxhash64("text")
-    ordered = docs.select(id_in(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    walked = settled(ordered.mapInPandas(walk, schema))
-    first = walked.where("kind = 1").select("task", F.col("text").alias("after"))
-    # a row for each task
-    order = first.select("task", F.lead("task").over(Window.orderBy("task")).alias("following"), F.min("task").over(Window.partitionBy()).alias("least"))
-    order = order.select("task", F.coalesce("following", "least").alias("following"))
-    last = walked.where("kind = 2").join(order, "task").join(first.withColumnRenamed("task", "following"), "following")
-    rest = last.select("doc_id", "text", "after").mapInPandas(finish, schema.replace("task int, kind int, ", "").removesuffix(", text string"))
-    return walked.where("kind = 0").drop("task", "kind", "text").unionByName(rest).withColumn("doc_id", id_out())
+    plain = docs.select(id_in(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a fixed number of partitions, so that both passes have the same tasks
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = plain.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
+    tasks = ordered.mapInPandas(ends, "task int, first string, doc_id long, text string")
+    # two texts of each task; in one plan with the walk, so that the shuffled rows are used again
+    w = Window.orderBy("task")
+    pairs = tasks.withColumn("after", F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    found = ordered.mapInPandas(walk, schema).union(pairs.select("doc_id", "text", "after").mapInPandas(finish, schema))
+    return found.withColumn("doc_id", id_out())

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import SEGMENT, batches, fold_of, hashed_words, id_in, id_out, lean, prepared
 
-#: Expected documents to learn from, drawn by hash; positives are the trusted ones among them.
-SAMPLE = 60_000
+#: Expected unlabelled documents to learn from, and expected trusted ones if there are more, both drawn by hash.
+SAMPLE, TRUSTED = 60_000, 30_000
 STEPS, RATE = 400, 0.05
 THRESHOLD = 0.3
 _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t", "\n\r", ".", ",", "!?", "|", "\"'()-:;", "#$%&*+/<=>@[\\]^_`{}~")
@@ -104,24 +104,29 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[k] / max(p[k], 1e-9), 0.01, 0.99))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[Model | None, float]:
-    """The model and the prior, from about `sample` documents of those to learn from; no model without positives."""
-    rows = docs.where(learn).select(F.col("doc_id"), "text")
-    n = rows.count()
-    if not n:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, trusted: int = TRUSTED) -> tuple[Model | None, float]:
+    """The model and the prior. Unlabelled text: about `sample` documents of those to learn from, whatever their labels.
+    Positives: all trusted documents, or about `trusted` of them if there are more, however rare they are among all.
+    Fewer than two of either give no model."""
+    rows = docs.where(learn).select("doc_id", "text")
+    positives = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    n, m = rows.count(), positives.count()
+    if not n or not m:
         return None, 0.5
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
+    part = lambda x, share: F.pmod(x, F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))
+    # bounded by the parameter, with room for chance
+    chosen = positives.where(part(F.xxhash64("doc_id", F.lit(7)), trusted / m)).withColumn("trusted", F.lit(True))
+    drawn = rows.withColumn("drawn", part(F.xxhash64("doc_id", "text"), sample / n)).join(F.broadcast(chosen), "doc_id", "left").where("drawn or trusted")
 
     @lean
     def measure(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batch:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "x": list(features(x["text"].tolist()))})
+            yield pd.DataFrame({"x": list(features(x["text"].tolist())), "drawn": x["drawn"].to_numpy(bool), "trusted": x["trusted"].notna().to_numpy(bool)})
 
-    trusted = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    found = drawn.mapInPandas(measure, "doc_id long, x array<double>").join(trusted, "doc_id", "left").toPandas()
-    x = np.stack(found["x"].tolist()) if len(found) else np.zeros((0, 1))
-    positive = x[found["trusted"].notna().to_numpy()] if len(found) else x
-    if len(positive) < 2:
+    found = drawn.select("text", "drawn", "trusted").mapInPandas(measure, "x array<double>, drawn boolean, trusted boolean").toPandas()
+    every = np.stack(found["x"].tolist()) if len(found) else np.zeros((0, 1))
+    x, positive = (every[found[k].to_numpy(bool)] for k in ("drawn", "trusted"))
+    if min(len(positive), len(x)) < 2:
         return None, 0.5
     half = Model(x).fit(positive[::2], x[::2], None)
     prior = class_prior(half.scores(positive[1::2]), half.scores(x[1::2]))

@@ -192,6 +192,43 @@ def test_language_id(spark, docs, odd, none):
     assert language_id.predict(spark, none).count() == 0
 
 
+def test_code_lengths_against_a_plain_version():
+    texts = {"x": [b"abracadabra" * 9, b"banana bandana " * 8], "y": [b"0110100110010110" * 9]}
+    gram, n, lang = [], [], []
+    for k, own in enumerate(texts.values()):
+        g, c = np.unique(np.concatenate([language_id._grams(t) for t in own]), return_counts=True)
+        gram, n, lang = gram + g.tolist(), n + c.tolist(), lang + [k] * len(g)
+    trees = language_id.Trees(list(texts), np.array(lang), np.array(gram), np.array(n, float))
+    counts = [collections.defaultdict(collections.Counter) for _ in texts]
+    for k, own in enumerate(texts.values()):
+        for t in own:
+            raw = b"\n\n\n" + t
+            for i in range(3, len(raw)):
+                for order in range(4):
+                    counts[k][raw[i - order : i]][raw[i]] += 1
+    alphabet = {b for own in texts.values() for t in own for b in b"\n\n\n" + t}
+    both = collections.Counter()
+    for c in counts:
+        for context, follow in c.items():
+            both[context] += sum(follow.values())
+
+    def probability(k, context, byte):
+        if len(context) == 3 and both[context] < language_id.LEAST:  # not in the tree
+            return probability(k, context[1:], byte)
+        follow, shorter = counts[k][context], (lambda: probability(k, context[1:], byte) if context else 1 / (len(alphabet) + 1))
+        if not follow:
+            return shorter()
+        total = sum(follow.values()) + len(follow)
+        return follow[byte] / total if byte in follow else len(follow) / total * shorter()
+
+    for text in (b"abra banana", b"0110 abba", b"zz"):
+        raw = b"\n\n\n" + text
+        want = [-sum(np.log2(probability(k, raw[i - 3 : i], raw[i])) for i in range(3, len(raw))) for k in range(2)]
+        assert trees.code_lengths([text])[0] == pytest.approx(want, rel=1e-4)
+    long = b"abracadabra banana " * 60_000  # many segments
+    assert trees.code_lengths([b"x", long, b"y"])[1] == pytest.approx(trees.code_lengths([long])[0]) and trees.code_lengths([long])[0, 0] > 0
+
+
 def test_code_lengths_are_probabilities():
     text = b"abracadabra" * 30
     gram, n = np.unique(language_id._grams(text), return_counts=True)
@@ -238,6 +275,33 @@ def test_quality(spark, sf_dir, docs, odd, none):
     assert {r["score"] for r in quality.predict(spark, odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_rare_positives(spark, sf_dir, docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    few = labels.where("quality = 1").orderBy("doc_id").limit(10)
+    for sample in (30, 60_000):  # a small sample of all text seldom meets any of ten positives
+        model, prior = quality.train(docs, few, F.lit(True), sample=sample)
+        assert model is not None and 0 < prior < 1
+    model, _ = quality.train(docs, labels, F.lit(True), trusted=5)
+    assert model is not None
+
+
+def test_risk_by_hand():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(2, 1, (400, 2)), np.r_[rng.normal(2, 1, (300, 2)), rng.normal(-2, 1, (700, 2))]
+    model = quality.Model(u).fit(p, u, 0.3)
+    loss = lambda z: np.logaddexp(0, -z)
+
+    def risk(w):
+        fp, fu = model.made(p) @ w, model.made(u) @ w
+        return 0.3 * loss(fp).mean() + max(0.0, loss(-fu).mean() - 0.3 * loss(-fp).mean()) + 5e-5 * (w @ w)
+
+    best = risk(model.w)
+    for _ in range(200):  # no near weights have a lower risk, but for the last steps' size
+        assert risk(model.w + rng.normal(0, 0.05, len(model.w))) > best - 2e-3
+    scores = model.scores(u)
+    assert (scores[:300] > 0.5).mean() > 0.95 and (scores[300:] < 0.5).mean() > 0.95
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     p, u = rng.beta(8, 2, 4000), np.r_[rng.beta(8, 2, 3000), rng.beta(2, 8, 1000)]
@@ -314,6 +378,36 @@ def test_pii_edges(spark, odd, none):
     assert clean[1][1:] == ("mail [EMAIL], [IP] now", 22) and clean[2][1:] == (None, 0)
 
 
+def test_pii_of_a_long_text(spark):
+    import time
+
+    text = "mail a@b.co " * 40_000  # half a megabyte
+    began = time.time()
+    r = pii.redact(spark, spark.createDataFrame([(1, text, 3, "x")], "doc_id long, text string, spans int, base string")).collect()[0]
+    assert r["text"] == "mail [EMAIL] " * 40_000 and (r["spans"], r["base"]) == (3, "x") and time.time() - began < 60
+
+
+def test_pii_redaction_of_overlaps(spark):
+    texts = ["call +1 4111 1111 1111 1111 é now", "10.0.0.1@b.co x 1.2.3.4", "", None, "é@ a@b.c-d.e漢 a@b.c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.redact(spark, rows).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted(((int(a), -int(b), k) for k, a, b in (s.split(":") for s in base_spans(t))), key=lambda x: x[:2])
+        out, at = "", 0
+        for a, b, k in spans:
+            out += (t[at:a] + f"[{k.upper()}]") if a >= at else ""
+            at = max(at, -b)
+        assert found[i]["text"] == (out + t[at:] if spans else t)
+
+
+def test_pii_many_words_are_joined(spark):
+    texts = ["Tel: 5551234567 now", *(f"Tel: +1 555 {i:04d} 1234" for i in range(60)), *(f"Total: 66{i:07d}" for i in range(200)), None, "Tel: 5551234567 now"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("new", F.lit(1))
+    want = {r["doc_id"]: r["spans"] for r in pii.find(spark, rows).collect()}
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark, rows.drop("new"), words=0).collect()}
+    assert got == want and len(got[0]) == 1
+
+
 def test_license_scan(spark, docs, odd, none):
     found = license_scan.scan(spark, docs).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -384,5 +478,29 @@ def test_pipeline(spark, sf_dir, docs):
             assert got[i] == len(encoded(t)) + 1
 
 
+def test_pipeline_stages_by_row(spark, sf_dir, none):
+    import corpus_pipeline
+
+    t, u = "one two three four five six seven", "an other text of some more words here"
+    rows = [(3, t), (5, u), (5, t), (5, u), (None, t), (None, t), (9, None), (9, None), (8, ""), (None, "")]
+    df = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], SCHEMA)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, df, sf_dir).collect()), key=repr)
+    assert kept == sorted([(3, t), (5, u), (9, None), (9, None), (8, ""), (None, "")], key=repr)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    df = spark.createDataFrame([(None, f"{u} {item} {u}", "en", "s", 1), (1, u, "en", "s", 1), (1, item, "en", "s", 1), (None, None, "en", "s", 0)], SCHEMA)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, df, sf_dir).collect()), key=repr)
+    assert kept == sorted([(1, u), (None, None)], key=repr)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.withColumn("key", F.lit(1)).withColumn("spans", F.lit(2)), sf_dir).count() == 0
+
+
+def test_language_stage(spark, docs):
+    import corpus_pipeline
+
+    odd = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "12 34 !!", "en", "s", 0), (-3, "\u4e94\u6708\u96e8 \u53e4\u6c60\u3084 \u86d9\u98db\u8fbc\u3080", "en", "s", 9)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(odd), "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"])}
+
+
 def test_queries_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
