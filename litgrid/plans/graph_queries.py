@@ -135,14 +135,13 @@ _BRANCHES = f"""br AS (SELECT qid, paper_id, norm, CASE {_REL} {' '.join(f"WHEN
   UNION ALL SELECT qid, co.paper_id, phrase, 0.25::DOUBLE * least(1.0, 0.55 + 0.08 * n), 'concept' FROM co JOIN qa ON phrase = term)"""
 
 
-@query("r19_alias_search", f"{_TERMS2}, {_BRANCHES} SELECT qid, paper_id, score, support, relations, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, paper_id) AS rank FROM (SELECT qid, paper_id, round(sum(score), 6) AS score, count(DISTINCT norm) AS support, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM br GROUP BY ALL)) WHERE rank <= 50")
-def r19(spark, d):
-    return alias_hits(spark, d).select("qid", "paper_id", F.round("score", 6).alias("score"), "support", F.array_join("relations", ",").alias("relations"), c("rank").cast("long"))
+_R19 = f"{_TERMS2}, {_BRANCHES} SELECT qid, paper_id, score, support, relations, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, paper_id) AS rank FROM (SELECT qid, paper_id, round(sum(score), 6) AS score, count(DISTINCT norm) AS support, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM br GROUP BY ALL)) WHERE rank <= 50"
 
 
-@query("r19_alias_search_all")
-def r19_all(spark, d):
-    return r19(spark, d)
+@query("r19_alias_search", _R19)
+@query("r19_alias_search_all", _R19)
+def r19(spark, d):
+    return alias_hits(spark, d).select("qid", "paper_id", F.round("score", 6).alias("score"), "support", F.array_join("relations", ",").alias("relations"), c("rank").cast("long"))
 
 
 def _asked_terms(spark, d):
