@@ -7,7 +7,7 @@ import ctypes
 import functools
 import json
 import os
-import string
+import re
 import tempfile
 import uuid
 from array import array
@@ -192,32 +192,47 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+#: Letters, numbers and white space up to U+024F, of which the pre-tokenizer makes its pieces there.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_BEYOND = re.compile("[^\x00-\u024f]")
+
+
+class _Ids(dict):
+    """Ids of pieces. What is not known is taken from an earlier generation, or merged by the model."""
+
+    def __init__(self, merge: Callable[[str], list], table: dict[int, int], before: dict[str, bytes]):
+        self.merge, self.table, self.before = merge, table, before
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in self.merge(piece.encode("utf-8").decode("latin-1").translate(self.table))]).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
-    The vocabulary's pre-tokenizer never joins what stands before a space with the non-space that follows, nor what
-    stands around a single line end, so the ids of a text are those of its words. Each worker keeps the ids of up to
-    `keep` words; texts with unusual white space are encoded as a whole. Strings of special tokens are ordinary text.
-    This holds for byte-level pair merges without a normalizer; with any other vocabulary all texts are encoded whole.
+    A byte-level vocabulary parts a text into pieces and merges bytes within each, so a piece's ids can be kept. Texts with
+    characters up to U+024F only are parted here by the same rule, and the library's model merges pieces that are new; each
+    worker keeps two generations of up to `keep` pieces. Other texts, and texts under any other kind of vocabulary, are
+    encoded whole by the library. Strings of special tokens are ordinary text.
     """
 
     _of: dict[str, Tokens] = {}
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib, self.keep = Tokenizer.from_file(path), keep
         self.lib.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-        self.stems: dict[str, bytes] = {}  # letters after a space
-        self.before: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}  # letters at the start of a line, and marks after letters
-        self.by_words = self._mergeable()
-        self.line = self._plain(["\n"])[0]
         # the byte-level vocabulary writes printable bytes as themselves and the others as characters from 256 up
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.table = {b: b if b in own else 256 + sum(x not in own for x in range(b)) for b in range(256)}
+        self.by_pieces, self.ids = self._mergeable(), _Ids(self.lib.model.tokenize, self.table, {})
 
     def _mergeable(self) -> bool:
         before, model = self.lib.pre_tokenizer, self.lib.model
@@ -234,69 +249,14 @@ class Tokens:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for i, j in batches([t.encode("utf-8", "replace") for t in texts], 1 << 18) for e in self.lib.encode_batch_fast(texts[i:j], add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """A word is letters and then marks, which the pre-tokenizer parts too, or is encoded as it is."""
-        known, stems, before, marks, marked = self.known, self.stems, self.before, self.marks, string.punctuation
-        late, new, other = [], set(), set()
-        for w in words:
-            stem = w.rstrip(marked)
-            if stem.isalpha():
-                tail = w[len(stem) :]
-                ids = stems.get(stem)
-                if ids is None and (ids := before.get(stem)) is not None:
-                    stems[stem] = ids
-                if ids is None or tail not in marks:
-                    late.append((w, stem, tail))
-                    if ids is None:
-                        new.add(stem)
-                    other.add(tail)
-                else:
-                    known[w] = ids + marks[tail]
-            elif not w or w == "\n" or w[w[0] == "\n"].isspace():
-                known[w] = None
-            elif w[0] == "\n" and stem[1:].isalpha():
-                late.append((w, stem[1:], w[len(stem) :]))
-                other.update(late[-1][1:])
-            elif w[0] == "\n":
-                known[w] = self.line + self._plain([w[1:]])[0]
-            else:
-                known[w] = self._plain([" " + w])[0]
-        stems.update((w[1:], ids) for w, ids in self._words([" " + w for w in new]).items())
-        if len(marks) > self.keep // 4:
-            marks.clear()
-            marks[""] = b""
-            other.update(x for w, stem, tail in late for x in ((stem, tail) if w[0] == "\n" else (tail,)))
-        marks.update(self._words([x for x in other if x not in marks]))
-        for w, stem, tail in late:
-            known[w] = self.line + marks[stem] + marks[tail] if w[0] == "\n" else stems[stem] + marks[tail]
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word. Letters, perhaps after a space, are one unit of the pre-tokenizer: the model merges them alone."""
-        plain = [w for w in words if w[w[0] == " " :].isalpha()]
-        odd = [w for w in words if not w[w[0] == " " :].isalpha()]
-        out = dict(zip(odd, self._plain(odd), strict=True))
-        merge, table = self.lib.model.tokenize, self.table
-        for w in plain:
-            out[w] = array("I", [t.id for t in merge(w.encode("utf-8").decode("latin-1").translate(table))]).tobytes()
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_words:
+        if not self.by_pieces:
             return self._plain(texts)
-        if len(self.known) > self.keep:  # known again from stems and marks
-            self.known = {}
-        if len(self.stems) > self.keep * 5 // 8:  # what was not met since the last turn goes
-            self.stems, self.before = {}, self.stems
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
-        known = self.known
-        if new := set().union(*split).difference(known):
-            self._learn(new)
-        out: list[bytes | None] = []
-        for words in split:
-            try:
-                out.append(b"".join([known[w] for w in words])[len(self.line) :])  # the first line end was put there
-            except TypeError:
-                out.append(None)
+        pieces, out = _PIECE.findall, []
+        for text in texts:
+            if len(self.ids) > self.keep:  # what was not met since the last turn goes
+                self.ids = _Ids(self.ids.merge, self.table, dict(self.ids))
+            out.append(None if not text.isascii() and _BEYOND.search(text) else b"".join(map(self.ids.__getitem__, pieces(text))))
         odd = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(odd, self._plain([texts[i] for i in odd]), strict=True):
             out[i] = ids

@@ -44,9 +44,20 @@ def encoded(text):
 
 def test_tokens_of_odd_white_space():
     random.seed(1)
-    texts = ["".join(random.choice("ab \n\t'.é  1") for _ in range(random.randint(0, 9))) for _ in range(3000)] + [t or "" for _, t, *_ in ODD]
-    for text, ids in zip(texts, common.Tokens(VOCABULARY).encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == encoded(text)
+    texts = ["".join(random.choice("ab \n\t'.é  1_sl²\x1c\x85\xa0\xad漢") for _ in range(random.randint(0, 12))) for _ in range(4000)] + [t or "" for _, t, *_ in ODD]
+    texts += ["".join(chr(random.randrange(0x250 if k % 2 else 0x3000)) for _ in range(random.randint(1, 9))) for k in range(4000)] + [f" {chr(k)}a{chr(k)}1 {chr(k)}" for k in range(0x250)]
+    for keep in (250_000, 100):  # with many generations of pieces too
+        for text, ids in zip(texts, common.Tokens(VOCABULARY, keep).encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encoded(text)
+
+
+def test_tokens_of_another_vocabulary():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, texts = Tokenizer.from_file(path), ["A Word, two words.", "", "é x\n\ny"]
+    lib.encode_special_tokens = True
+    assert [np.frombuffer(x, "<u4").tolist() for x in common.Tokens(path).encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def check_pieces(rows, texts):
