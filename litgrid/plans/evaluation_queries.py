@@ -282,17 +282,26 @@ def p01(spark, d):
     return placed(spark, d).where("rank <= 10").select("qid", c("rank").cast("long"), "paper_id", "score", F.array_join(sources, ",").alias("sources"), F.array_join("matched", "|").alias("matched"), T.best_snippet(F.concat("p_name", F.lit(". "), F.substring_index("body", " ", -2)), words).alias("snippet"))
 
 
-_P02 = f"{_K} qid, field, paper_id, rank FROM (SELECT qid, unnest(CASE WHEN len(ff) > 0 THEN ff ELSE [NULL] END) AS field, paper_id, rank, len(ff) AS nf FROM (SELECT qid, paper_id, rank, list_filter(fields[1:4], lambda f: contains(lower({title_sql('p_name')}), lower(f)) OR len(list_filter(string_split(f, ' '), lambda t: list_contains(have, t))) > 0) AS ff FROM feat WHERE rank <= 6)) WHERE field IS NOT NULL OR rank <= 5"
-
-
-@query("p02_relation_edges", _P02)
-@query("p02_relation_edges_ranked", _P02)
+@query("p02_relation_edges", f"WITH {_FEATURES}, e AS (SELECT qid, paper_id, rank, list_filter(fields[1:4], lambda f: contains({title_sql('p_name')}, lower(f)) OR len(list_filter(string_split(f, ' '), lambda t: list_contains(have, t))) > 0) AS ff FROM feat WHERE rank <= 6), q AS (SELECT qid, max(len(ff)) AS most FROM e GROUP BY qid) SELECT qid, unnest(ff) AS field, paper_id, rank FROM e UNION ALL SELECT qid, NULL, paper_id, rank FROM e JOIN q USING (qid) WHERE most = 0 AND rank <= 5")
 def p02(spark, d):
-    """Fields of a query with those of its first six papers that speak of them; papers without any lead to the query itself."""
+    """Fields of a query with those of its first six papers that speak of them; a query of which none does leads to its first
+    five papers itself."""
     top = placed(spark, d).where("rank <= 6").select("qid", "paper_id", c("rank").cast("long"), "fields", T.normalize_title(c("p_name")).alias("name"), T.tokens(c("body")).alias("have"))
     fit = F.filter(F.slice("fields", 1, 4), lambda f: F.contains(c("name"), F.lower(f)) | F.exists(F.split(f, " "), lambda t: F.array_contains(c("have"), t)))
-    rows = top.select("qid", "paper_id", "rank", fit.alias("ff"))
-    return rows.select("qid", F.explode_outer("ff").alias("field"), "paper_id", "rank").where("field is not null or rank <= 5")
+    rows = top.select("qid", "paper_id", "rank", fit.alias("ff")).withColumn("most", F.max(F.size("ff")).over(Window.partitionBy("qid")))
+    return rows.select("qid", F.explode_outer("ff").alias("field"), "paper_id", "rank", "most").where("field is not null or (most = 0 and rank <= 5)").drop("most")
+
+
+@query("p02_relation_edges_ranked")
+def p02_ranked(spark, d):
+    top = index.bm25(_terms_of(benchmark_queries(spark, d)), _bodies(spark, d), 6).select("qid", c("doc_id").alias("paper_id"), c("rank").cast("long"))
+    texts = papers(spark, d).select("paper_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("t"))
+    lexicon = F.broadcast(spark.createDataFrame([("the",), ("tion",), ("ing",), ("zzz",)], "field string"))
+    fields = benchmark_queries(spark, d).join(lexicon, F.contains(F.lower("query_text"), c("field"))).select("qid", "field")
+    found = top.join(texts, "paper_id").join(rank.top_k(fields, ["qid"], [F.asc("field")], 4).select("qid", "field"), "qid").where(F.contains(c("t"), c("field")))
+    # queries without any field lead to their first papers themselves
+    rest = top.where("rank <= 5").join(fields, "qid", "left_anti").withColumn("field", F.lit(None).cast("string"))
+    return found.select("qid", "field", "paper_id", "rank").unionByName(rest.select("qid", "field", "paper_id", "rank"))
 
 
 @query("p04_snapshots", f"WITH {_FEATURES} SELECT 'ranked' AS kind, qid, rank, paper_id, p_name FROM feat WHERE rank <= 5 UNION ALL SELECT 'gold', g.qid, coalesce(f.rank, -1), g.paper_id, part.p_name FROM gold g LEFT JOIN feat f ON f.qid = g.qid AND f.paper_id = g.paper_id LEFT JOIN part ON p_partkey = g.paper_id")

@@ -12,12 +12,8 @@ from litgrid.streaming import streams
 def test_whole_queries(spark, sf_dir):
     run = lambda name: catalogue.QUERIES[name](spark, sf_dir)
     n, docs = run("i04_chunks_by_all_papers").count(), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert n == fixtures.chunks(spark, sf_dir).select("paper_id").distinct().count() > run("i04_chunks_by_paper").count()
-    for name, key in (("i04_chunks_by_paper", "i04_chunks_by_all_papers"), ("r10_weighted_clauses", "r10_weighted_clauses_all")):
-        assert run(name).exceptAll(run(key)).count() == 0
-    assert run("r10_weighted_clauses_all").select("doc_id").distinct().count() > docs.count() / 2
-    mentions = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    assert run("r19_alias_search_all").count() == mentions.selectExpr("l_suppkey", "l_partkey % 20").distinct().count()
+    assert n == fixtures.chunks(spark, sf_dir).select("paper_id").distinct().count() == run("i04_chunks_by_paper").count()
+    assert run("r10_weighted_clauses_all").select("paper_id").distinct().count() > docs.count() / 2
 
 
 def test_relation_edges_ranked(spark, tmp_path):
@@ -84,18 +80,6 @@ def test_streamed_windows_are_the_tables(spark, sf_dir):
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
-def test_lanes_and_diversification(spark):
-    from litgrid.operators import select
-
-    rows = [("q", i, i, [f"w{i}", "x"], i % 3 == 0, 1.0 - i / 100, ["c"] if i < 50 else [f"c{i}"]) for i in range(1, 80)] + [("q", 999, 80, ["w1", "x"], True, 0.1, ["c"])]
-    df = spark.createDataFrame(rows, "qid string, paper_id long, rank int, words array<string>, lane boolean, score double, constraints array<string>")
-    got = select.lanes(df, {"lane": 5}, 30, 4).orderBy("place").collect()
-    assert len(got) == 30 and [r["paper_id"] for r in got[:4]] == [1, 2, 3, 4] and [r["paper_id"] for r in got if r["reason"] == "lane"] == [6, 9, 12, 15, 18]
-    assert 999 not in {r["paper_id"] for r in got}
-    place = {r["paper_id"]: r["place"] for r in select.diversified(df, 3).collect()}
-    assert sorted(place.values()) == list(range(1, 81)) and [place[i] for i in (1, 2, 3)] == [1, 2, 3] and place[50] < 60
-
-
 def test_constraints(spark):
     from litgrid.operators import intent
 
