@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +83,18 @@ def aligned(template: np.ndarray, words: np.ndarray, diagonal: int) -> tuple[int
     return best[1:]
 
 
+def _centres(hits: Counter) -> list[int]:
+    """Of every run of diagonals that one band covers, the one with most hits."""
+    found, order, i = [], sorted(hits), 0
+    while i < len(order):
+        j = i
+        while j < len(order) and order[j] - order[i] <= BAND:
+            j += 1
+        found.append(max(order[i:j], key=lambda d: (hits[d], -d)))
+        i = j
+    return found
+
+
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
@@ -97,12 +109,12 @@ class Templates:
         """(template, coverage, first, last + 1 word) of alignments that cover enough, without overlaps."""
         found, own = [], grams(words)
         where = np.flatnonzero(np.isin(own, self.keys))
-        diagonals: dict[tuple[int, int], None] = {}
+        diagonals: dict[int, Counter] = defaultdict(Counter)
         for p in where.tolist():
             for t, at in self.index[int(own[p])]:
-                diagonals[t, p - at] = None
+                diagonals[t][p - at] += 1
         done: dict[int, int] = {}
-        for t, d in sorted(diagonals):
+        for t, d in ((t, d) for t in sorted(diagonals) for d in _centres(diagonals[t])):
             if d + BAND < done.get(t, -(1 << 60)):
                 continue
             hits, a, b = aligned(self.words[t], words, d)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -170,6 +171,23 @@ def test_url_filters(spark, sf_dir):
     assert url_filters.judge(spark, pages.limit(0)).count() == 0
 
 
+def test_url_rules_against_counts(spark):
+    rng = random.Random(1)
+    rows = [(sorted(rng.sample("abcdef", rng.randint(1, 4))), rng.choice(["allow", "block", "block"])) for _ in range(300)]
+    rows = [(t, "allow" if {"a", "b"} <= set(t) else v) for t, v in rows]
+    found = {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in url_filters.mined(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.7).collect()}
+    want = {}
+    for n in range(1, 7):
+        for part in itertools.combinations("abcdef", n):
+            held = [v for t, v in rows if set(part) <= set(t)]
+            for v in ("allow", "block"):
+                k = held.count(v)
+                if held and k >= 0.05 * len(rows) and k / len(held) >= 0.7:
+                    want[part, v] = (k / len(held), k / len(rows))
+    kept = {(p, v): x for (p, v), x in want.items() if not any(set(q) < set(p) and w == v and y[0] >= x[0] for (q, w), y in want.items())}
+    assert set(found) == set(kept) and all(found[k] == pytest.approx(kept[k]) for k in kept)
+
+
 def test_token_files(spark, docs, odd, none, tmp_path):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     path = common.new_path(spark, "test-files")
@@ -433,6 +451,27 @@ def test_license_scan(spark, docs, odd, none):
     assert license_scan.scan(spark, none).count() == 0
 
 
+def test_license_scan_against_every_diagonal():
+    rng = random.Random(9)
+    names = ["MIT", "BSD text", "MPL-2.0", "ISC"]
+    known = license_scan.Templates({n: license_scan.TEMPLATES[n] for n in names})
+    hashes = lambda t: common.hashed_words(license_scan.plain(t))[0]
+    for _ in range(40):
+        words = license_scan.TEMPLATES[rng.choice(names)].split()
+        for _ in range(rng.randint(0, len(words) // 6)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randint(0, 1)] = [f"z{rng.randrange(99)}"] * rng.randint(0, 2)
+        text = hashes(" ".join([f"x{rng.randrange(50)}" for _ in range(rng.randint(0, 30))] + words + [f"y{rng.randrange(50)}" for _ in range(20)]))
+        found = {x[0]: x[1] for x in known.scan(text)}
+        for t, template in enumerate(known.words):
+            best = max(license_scan.aligned(template, text, d)[0] for d in range(-len(template), len(text))) / len(template)
+            run = set(license_scan.grams(text, 6).tolist()) & set(license_scan.grams(template, 6).tolist())
+            if best >= license_scan.COVERAGE and run:  # six words in a row are sure to share a winnowed fingerprint
+                assert found[t] == pytest.approx(best)
+            if best < license_scan.COVERAGE:
+                assert t not in found
+
+
 def test_decontamination(spark, sf_dir, docs, odd, none):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(spark, docs, items).collect()}
