@@ -119,10 +119,6 @@ def sub_query_top_k(index: Column, k: int) -> Column:
     return F.when(index <= 3, F.lit(k)).otherwise(F.greatest(F.lit(30), F.floor(F.lit(k) * 0.8))).cast("int")
 
 
-def actions(sub_queries: DataFrame, rules: DataFrame, k: int = 60) -> DataFrame:
-    """Each sub-query (qid, index, sub_query) with each source rule (source, limit, weight) whose limit is above its index."""
-    return sub_queries.join(F.broadcast(rules), sub_queries["index"] < rules["limit"]).select("qid", "index", "source", "sub_query", sub_query_top_k(F.col("index"), k).alias("top_k"), "weight")
-
 
 def constraint_matches(constraints: DataFrame, candidates: DataFrame, text: str) -> DataFrame:
     """qid, paper_id, constraint, weight, matched. constraints: qid, constraint; candidates: qid, paper_id and a text.
@@ -139,15 +135,6 @@ def constraint_matches(constraints: DataFrame, candidates: DataFrame, text: str)
     return x.select("qid", "paper_id", "constraint", weight.alias("weight"), (exact | (overlap >= F.least(F.lit(2), F.size("words")))).alias("matched"))
 
 
-def coverage_ratio(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("qid", "paper_id").agg((F.sum(F.when(F.col("matched"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("coverage"), F.count_if("matched").alias("n_matched"))
-
-
-def coverage_status(matches: DataFrame) -> DataFrame:
-    """qid, constraint, status over the candidates given: covered by two or more, weak by one, else missing."""
-    n = F.count_if("matched")
-    return matches.groupBy("qid", "constraint").agg(F.when(n >= 2, "covered").when(n == 1, "weak").otherwise("missing").alias("status"))
-
 
 def action_metrics(rows: DataFrame, label: str, prediction: str) -> DataFrame:
     """Exact match, parse rate, stop accuracy and micro precision, recall and F1 of `[Expand]a[Expand]b[StopExpand]` strings."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import fuse, index, rank, select
+from litgrid.operators import index, rank
 from litgrid.sources import tables as S
 from litgrid.sources.tables import held, small
 from litgrid.streaming import streams
@@ -13,7 +13,7 @@ from litgrid.streaming import streams
 from .fixtures import BENCHMARK_QUERIES, CHUNKS, PAPERS, benchmark_queries, chunks, papers, table, title_sql, tokens_sql
 from .registry import query
 from .intent_queries import _KEPT, _WPHRASES, _WTERMS, phrases, terms
-from .search_queries import _ALL, _CHUNK_POST, _POST, _SCORES, _TITLE_POST, _WIDE, _bm25, _bodies, _terms, _titles, pool, ranked
+from .search_queries import _CHUNK_POST, _POST, _SCORES, _TITLE_POST, _bodies, _terms, _titles
 
 c = F.col
 _SCORES_CHUNKS = _SCORES(_CHUNK_POST).replace(f"WITH {PAPERS}, ", f"WITH {CHUNKS}, ").replace("FROM papers)", "FROM chunks)")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
 from litgrid.operators import graph, rank, understand
-from litgrid.sources.tables import held, small
+from litgrid.sources.tables import held
 
 from .fixtures import CHUNKS, PAPERS, chunks, papers, table, title_sql, tokens_sql
 from .registry import query
-from .search_queries import _ALL, NAMES, hits, pool, ranked
+from .search_queries import _ALL, NAMES, ranked
 from .table_queries import _CITES, _MENTIONS, _near, cites, mentions
 from .understanding_queries import INTENTS, LEXICON, SEARCH_TERMS, intents
 

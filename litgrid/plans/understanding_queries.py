@@ -9,7 +9,7 @@ from litgrid.operators import intent, understand
 from litgrid.operators.understand import Lexicon
 from litgrid.sources.tables import first_n, held
 
-from .fixtures import space_sql, table, title_sql, tokens_sql
+from .fixtures import space_sql, table, tokens_sql
 from .registry import query
 
 c = F.col
