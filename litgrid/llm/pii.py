@@ -190,10 +190,11 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", base: str
     named = lambda k, x: F.transform(x, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     whole = F.concat(*(named(k, x) for k, x in _base(text).items()))
 
-    seen = docs.select(whole.alias("b"), _candidates(text).alias("candidates"))
-    seen = seen.select("b", F.explode("candidates").alias("c"))
-    known = F.get(F.filter("b", lambda b: _inside(F.col("c"), b)), F.lit(0))["kind"]
-    trusted = settled(patterns(seen.select("c.word", F.explode(_kinds(F.col("c"), known)).alias("k")).select("word", "k.*")).select("word", "kind"))
+    # the kind of a candidate that is a base span is told within the row, so that rows of candidates do not carry all spans
+    kind = lambda c, spans: F.get(F.filter(spans, lambda s: _inside(c, s)), F.lit(0))["kind"]
+    told = _bound(whole, lambda spans: F.transform(_candidates(text), lambda c: F.struct(c.alias("c"), kind(c, spans).alias("known"))))
+    seen = docs.select(F.explode(told).alias("x"))
+    trusted = settled(patterns(seen.select("x.c.word", F.explode(_kinds(F.col("x.c"), F.col("x.known"))).alias("k")).select("word", "k.*")).select("word", "kind"))
 
     out = docs.withColumn(base, whole)
     if (n := trusted.count()) == 0:
@@ -239,7 +240,8 @@ def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Data
     """The documents with each span replaced by its kind in brackets; overlapping spans become the first one's kind.
 
     A null text stays null. The columns are those of docs, whatever their names; n_chars, if there, is counted anew.
-    Repeated rows stay; an empty table gives no rows. A long text of many spans takes time in proportion to its length.
+    Repeated rows stay; an empty table gives no rows. Placing and replacing take time in proportion to the text; candidates
+    are compared with each of the same text's base spans, so a text of very many thousands of spans takes longer than that.
     """
     columns, text, base, spans = docs.columns, F.col(text_col), "litgrid_pii_base", "litgrid_pii_spans"
 
