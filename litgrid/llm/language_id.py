@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEGMENT, batches, fold_of, id_in, id_out, lean, prepared
+from .common import SEGMENT, batches, fold_of, id_in, id_out, lean, prepared, settled
 
 #: Expected training documents of a language, drawn by hash, whole texts.
 SAMPLE = 2000
 #: A context of three bytes is in the tree if the training texts hold it so often.
 LEAST = 8
+#: Times the usual bits a byte of its language, up to which a text is learned from when trees are learned again, and up to
+#: which a text is kept; and bits that any text may take beside.
+LEARNED, KEPT, FREE = 2.0, 4.0, 64
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -90,9 +93,8 @@ class Trees:
             out += total[np.clip(begin + sizes - at, 0, len(bits))] - total[np.clip(begin - at, 0, len(bits))]
         return out
 
-    def identified(self, texts: list[str | None], any_code: bool = True) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text. Without any_code, texts that no tree codes in fewer bits than the bytes alone
-        would take (all of the alphabet alike) are unknown too."""
+    def identified(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         for i, j in batches(raw, 1 << 19) if self.languages else ():
@@ -100,25 +102,29 @@ class Trees:
             for k in range(i, j):
                 own = bits[k - i]
                 best = int(np.argmin(own))
-                if any(c.isalpha() for c in texts[k] or "") and (any_code or own[best] < len(raw[k]) * np.log2(self.a)):
+                if any(c.isalpha() for c in texts[k] or ""):
                     lang[k], score[k] = self.languages[best], 1 / np.exp2(np.maximum(-1000, own[best] - own)).sum()
         return lang, score
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Trees:
-    """Counts the bytes after contexts in the rows to learn from: Spark adds them up over all partitions.
-
-    Of each language about `sample` documents are taken, by a hash of id and text. The counts are of byte quadruples, so
-    their number is bounded by the sample, whatever the input.
-    """
+def drawn(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, sample: int) -> tuple[DataFrame, list[str]]:
+    """lang and text (and half, that of the text's hash) of about `sample` documents of each language, by a hash of id and
+    text, of the rows to learn from; and the languages."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
-    index = {x: k for k, x in enumerate(languages)}
     chance = F.lit(1.0)
     for x, n in sizes.items():
         chance = F.when(F.col("lang") == x, min(1.0, sample / n)).otherwise(chance)
-    drawn = rows.where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 20)) < chance * (1 << 20)).select("lang", "text")
+    found = rows.where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 20)) < chance * (1 << 20))
+    return found.select("lang", "text", _half("text")), sorted(sizes)
+
+
+def learned(rows: DataFrame, languages: list[str]) -> Trees:
+    """Counts the bytes after contexts in rows (lang, text): Spark adds them up over all partitions.
+
+    The counts are of byte quadruples, so their number is bounded by the rows drawn, whatever the input.
+    """
+    index = {x: k for k, x in enumerate(languages)}
 
     @lean
     def count(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,10 +133,15 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 gram, n = np.unique(np.concatenate([_grams(t.encode("utf-8", "replace")) for t in texts]), return_counts=True)
                 yield pd.DataFrame({"language": index[lang], "gram": gram.astype(np.int64), "n": n})
 
-    found = drawn.mapInPandas(count, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("lang", "text").mapInPandas(count, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Trees(languages, found["language"].to_numpy(np.int64), found["gram"].to_numpy(np.int64), found["n"].to_numpy(float))
 
 
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Trees:
+    """Trees of about `sample` documents of each language among the rows to learn from."""
+    return learned(*drawn(docs, learn, id_col, text_col, lang_col, sample))
+
+
 def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row: the language of the shortest code, and its share of 2 ** -bits.
 
@@ -157,24 +168,72 @@ def predict(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _half(text: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half")
+
+
+def rated(rows: DataFrame, trees: list[Trees]) -> DataFrame:
+    """lang, half, text and rate of rows (lang, text, half): bits a byte under their language's tree of the other half."""
+
+    @lean
+    def rate(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batch:
+            for half, own in x.groupby("half"):
+                raw, index = [t.encode("utf-8", "replace") for t in own["text"]], {z: k for k, z in enumerate(trees[half].languages)}
+                bits = np.concatenate([trees[half].code_lengths(raw[i:j]) for i, j in batches(raw, 1 << 19)])
+                at = [index[z] for z in own["lang"]]
+                yield own.assign(rate=bits[np.arange(len(raw)), at] / np.maximum(1, [len(t) for t in raw]))[["lang", "half", "text", "rate"]]
+
+    return rows.mapInPandas(rate, "lang string, half int, text string, rate double")
+
+
+def crossed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[Trees], dict[str, float]]:
+    """For either half of the texts, trees that only learned from the other half; and the usual bits a byte of a language.
+
+    Halves are by the text's hash, so no tree ever learned from the text that it judges, under whatever id or label. What
+    is usual is the median over held-out texts. Trees are learned twice: the second time without texts that took over
+    LEARNED times the usual bits, so junk or other tongues under a language's name leave it.
+    """
+    rows, languages = drawn(docs, F.lit(True), id_col, text_col, lang_col, sample)
+    rows = settled(rows.where("text <> ''"))
+    halves = lambda x: [learned(x.where(F.col("half") == 1 - h), languages) for h in (0, 1)]
+    first = rated(rows, halves(rows)) if languages else None
+    if first is None:
+        return [], {}
+    first = settled(first)
+    usual = {r["lang"]: r["usual"] for r in first.groupBy("lang").agg(F.percentile_approx("rate", 0.5).alias("usual")).collect()}
+    limit = F.lit(0.0)
+    for x, m in usual.items():
+        limit = F.when(F.col("lang") == x, LEARNED * m).otherwise(limit)
+    return halves(first.where(F.col("rate") <= limit)), usual
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, all columns, of which some language's tree tells the text.
 
-    Rejected: null texts, texts without a letter, and texts that the best tree codes in no fewer bits than bytes that are
-    all alike would take, which are in no language that was learned. Where nothing was learned, documents with a letter
-    stay. Repeated rows and null ids are judged row by row; an empty table gives no rows; other columns are not read.
+    A row is judged by trees that did not learn from its text (see crossed), so its own label decides nothing. Rejected:
+    null texts, texts without a letter, and texts for which the language of the shortest code takes over KEPT times its
+    usual bits a byte, beyond FREE bits that a text of a few words may cost. Where nothing was learned, documents with a
+    letter stay. Repeated rows and null ids are judged row by row; very long texts are gone through in segments; an empty
+    table gives no rows; other columns are not read.
     """
     prepared(spark)
-    trees = train(docs, F.coalesce(fold_of("doc_id") != 0, F.lit(False)))
+    trees, usual = crossed(docs, text_col=text_col, lang_col=lang_col)
+    half = "language_id_half"
 
     @lean
     def judge(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch:
-            texts = x.column(text_col).to_pylist()
-            if trees.languages:
-                keep = [p != UNKNOWN for p in trees.identified(texts, any_code=False)[0]]
-            else:
-                keep = [any(c.isalpha() for c in t or "") for t in texts]
-            yield x.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(judge, docs.schema)
+            texts, halves = x.column(text_col).to_pylist(), np.array(x.column(half).to_pylist())
+            keep = np.array([any(c.isalpha() for c in t or "") for t in texts], bool)
+            for h in (0, 1) if trees else ():
+                own = np.flatnonzero(keep & (halves == h))
+                raw = [texts[i].encode("utf-8", "replace") for i in own]
+                limit = np.array([KEPT * usual.get(z, np.log2(trees[h].a)) for z in trees[h].languages])
+                for i, j in batches(raw, 1 << 19):
+                    bits, size = trees[h].code_lengths(raw[i:j]), np.array([len(t) for t in raw[i:j]])
+                    best = bits.argmin(1)
+                    keep[own[i:j]] = bits[np.arange(j - i), best] <= limit[best] * size + FREE
+            yield x.drop_columns([half]).filter(pa.array(keep, pa.bool_()))
+
+    return docs.withColumn(half, F.coalesce(_half(text_col), F.lit(0))).mapInArrow(judge, docs.schema)

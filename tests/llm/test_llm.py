@@ -552,5 +552,19 @@ def test_language_stage(spark, docs):
     assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"])}
 
 
+def test_language_stage_ignores_labels(spark, docs):
+    """What a row's own label says changes nothing, whether it is one text, repeated junk, or a tongue that was not learned."""
+    rng = random.Random(9)
+    junk = ["".join(rng.choice("#$%&*+/<=>@[]^_{|}~ qxzj") for _ in range(300)) for _ in range(16)]
+    tongue = ["\u4e94\u6708\u96e8\u3092\u96c6\u3081\u3066\u65e9\u3057\u6700\u4e0a\u5ddd"] * 3 + ["\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440, \u043a\u0430\u043a \u0434\u0435\u043b\u0430"]
+    for label in ("en", "de", None):
+        odd = spark.createDataFrame([(-k - 1, t, label if k % 2 else None, "s", 1) for k, t in enumerate(junk + tongue)], SCHEMA)
+        kept = {r["doc_id"] for r in language_id.keep_known(spark, docs.union(odd)).select("doc_id").collect()}
+        assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"])}
+    few = spark.createDataFrame([(1, "some words here", "en", "s", 1), (1, "some words here", "en", "s", 1), (2, "and other words there", None, "s", 1), (3, None, "en", "s", 1)], SCHEMA).withColumn("half", F.lit(1)).withColumn("rate", F.lit(1))
+    assert sorted(r["doc_id"] for r in language_id.keep_known(spark, few).collect()) in ([1, 1, 2], [1, 1])
+    assert sorted(r["doc_id"] for r in language_id.keep_known(spark, few.withColumn("lang", F.lit(None).cast("string"))).collect()) == [1, 1, 2]
+
+
 def test_queries_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
