@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, hashed_words, id_in, id_out, lean, prepared
+from .common import NULL_ID, batches, hashed_words, id_in, id_out, lean, prepared, settled
 
 K1, B = 1.2, 0.75
 #: Postings of a block, each with its largest impact.
@@ -24,7 +24,7 @@ PASSAGE, STEP = 128, 48
 THRESHOLD = 0.5
 #: Least share of the question's and of the answer's words that stand in order and together in the passage.
 OVERLAP = 0.6
-#: Items of one index; more items are further indexes, each of which all passages query.
+#: Items of one index, about; more items are further indexes, each of which all passages query.
 ITEMS = 50_000
 _PLAIN = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(), (string.ascii_lowercase + " " * len(string.punctuation)).encode())
 
@@ -39,6 +39,10 @@ def pairs(words: np.ndarray) -> np.ndarray:
     return words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
 
 
+def item_pairs(text: str) -> np.ndarray:
+    return pairs(hashed_words(plain(text))[0])
+
+
 def question_and_answer(text: str) -> tuple[str, str]:
     """The answer follows `answer:`, else a question mark, else it is the last sentence; it may be empty."""
     for mark in (r"(?i)\banswer\s*:", r"\?", r"[.!](?=\s+\S)"):
@@ -55,8 +59,9 @@ class Index:
     Single words would not do: passages of 128 common words reach half of a short item's score.
     """
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        words = [pairs(hashed_words(plain(t))[0]) for t in texts]
+    def __init__(self, ids: list[int], texts: list[str], over: tuple[int, float, dict[int, int]] | None = None):
+        """over: number of all items, their mean word pairs, and how many hold each pair, where these are some of them."""
+        words = [item_pairs(t) for t in texts]
         keep = [k for k, w in enumerate(words) if len(w)]
         self.block = BLOCK
         self.ids, self.texts = np.array([ids[k] for k in keep], np.int64), [texts[k] for k in keep]
@@ -68,9 +73,11 @@ class Index:
         item = np.repeat(np.arange(len(words)), n)
         pair, tf = np.unique(np.stack([np.concatenate(words), item.astype(np.uint64)], 1), axis=0, return_counts=True)
         self.vocabulary, at, df = np.unique(pair[:, 0], return_index=True, return_counts=True)
-        idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
+        many, mean, held = over or (len(words), n.mean(), dict(zip(self.vocabulary.tolist(), df.tolist(), strict=True)))
+        each = np.array([held[x] for x in self.vocabulary.tolist()], float)
+        idf = np.log1p((many - each + 0.5) / (each + 0.5))
         item = pair[:, 1].astype(np.int64)
-        score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / n.mean()))
+        score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / mean))
         self.length = n + 1
         self._fill(score / np.bincount(item, score, len(words))[item], item, at)
         self.split = []
@@ -162,23 +169,46 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: f
     lies whole in a passage wherever it starts. A passage whose words' largest impacts together miss the threshold is
     passed over at once, which is WAND's own bound; the others search the index. A hit counts if the question's and the answer's words are found by word pairs.
 
-    The index holds up to ITEMS items and goes to each task; beyond that there are several indexes, one after the
-    other. Null or empty texts and items of fewer than two words match nothing; ids may be null or repeated (a row each, by
-    row); equal items match alike. Empty tables give no rows; other columns are not used.
+    The index holds about ITEMS items and goes to each task; beyond that there are several indexes, one after the other,
+    under the same statistics of all items, so that scores do not depend on how items are dealt out. Null or empty texts
+    and items of fewer than two words match nothing; ids of documents and of items may be null or repeated (a row each, by
+    row); equal items match alike. Very long texts are gone through passage by passage. Empty tables give no rows; other
+    columns are not used.
 
     Columns: doc_id, item_id, score, question_overlap, answer_overlap, start and end (bytes of the normalised text).
     """
     prepared(spark)
-    own = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
-    n = own.count()
-    found = None
+    own = items.select(F.coalesce(F.col(item_id).cast("long"), F.lit(NULL_ID)).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    parts = max(1, -(-own.count() // ITEMS))
     rows = docs.select(id_in(id_col), F.col(text_col).alias("text")).where("text is not null")
-    for part in range(max(1, -(-n // ITEMS))):
-        some = own.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-n // ITEMS)))) == part).orderBy("item_id", "text").collect()
-        index = Index([r["item_id"] for r in some], [r["text"] for r in some])
-        one = _query(rows, index, threshold, overlap)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    if parts == 1:
+        found = _query(rows, _index(own.collect()), threshold, overlap)
+        return found.withColumns({"doc_id": id_out(), "item_id": id_out("item_id")})
+    each = settled(own.withColumn("part", part).mapInPandas(_pairs, "part int, pair long, n long"))
+    held = settled(each.where("pair is not null").groupBy("pair").agg(F.count("*").alias("df")))
+    many, mean = each.where("pair is null").agg(F.count("*"), F.avg("n")).first()
+    found = None
+    for k in range(parts):
+        some = held.join(each.where((F.col("part") == k) & F.col("pair").isNotNull()).select("pair").distinct(), "pair", "left_semi").collect()
+        over = (many, mean, {r["pair"] & (1 << 64) - 1: r["df"] for r in some})
+        one = _query(rows, _index(own.where(part == k).collect(), over), threshold, overlap)
         found = one if found is None else found.union(one)
-    return found.withColumn("doc_id", id_out())
+    return found.withColumns({"doc_id": id_out(), "item_id": id_out("item_id")})
+
+
+def _pairs(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """part and pair for each different word pair of an item, and one row without a pair, with the number of its pairs."""
+    for x in batch:
+        for part, text in zip(x["part"].tolist(), x["text"].tolist(), strict=True):
+            if len(own := item_pairs(text)):
+                yield pd.DataFrame({"part": part, "pair": np.unique(own).view(np.int64), "n": 0}).astype({"pair": "Int64"})
+                yield pd.DataFrame({"part": [part], "pair": pd.array([None], "Int64"), "n": [len(own)]})
+
+
+def _index(rows: list, over: tuple | None = None) -> Index:
+    rows = sorted(rows, key=lambda r: (r["item_id"], r["text"]))
+    return Index([r["item_id"] for r in rows], [r["text"] for r in rows], over)
 
 
 def _query(rows: DataFrame, index: Index, threshold: float, overlap: float) -> DataFrame:

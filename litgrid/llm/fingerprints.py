@@ -9,8 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_in, id_out, lean, prepared
@@ -155,12 +154,13 @@ def _row(doc_id: int, text: str, own: tuple, after: str, next_tree: tuple) -> tu
 def compare(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that to the next document's.
 
-    The edited text has the next document's start in place of its last quarter. Documents are range-partitioned by id; each
-    task goes through its rows in order. A second, light pass over the same shuffled rows takes only each task's first and
-    last text, by which the last row of a task meets the first of the next.
+    The edited text has the next document's start in place of its last quarter. Documents are dealt into ranges of ids,
+    with borders drawn once; each task goes through its ranges in order. A light pass takes each range's first and last
+    text, by which the last row of a range meets the first of the next: what a range holds depends on the borders alone.
 
     Null texts are empty. A null id comes first; equal ids are ordered by their text's hash. The last document's next is
-    the first; a single document is its own next. An empty table gives no rows; other columns are not used.
+    the first; a single document is its own next. Texts of any length are parsed whole. An empty table gives no rows; other
+    columns are not used.
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     prepared(spark)
@@ -172,36 +172,33 @@ def compare(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
         last = None
         for x in rows:
             out = []
-            for i, text in zip(x["doc_id"].tolist(), x["text"], strict=True):
+            for i, text, at in zip(x["doc_id"].tolist(), x["text"], x["range"].tolist(), strict=True):
                 own = tree(text)
-                if last:
-                    out.append(_row(*last, text, own))
-                last = (i, text, own)
+                if last and last[0] == at:
+                    out.append(_row(*last[1:], text, own))
+                last = (at, i, text, own)
             yield pd.DataFrame(out, columns=columns)
 
-    @lean
-    def ends(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = None
-        for x in rows:
-            if len(x):
-                first = x["text"].iloc[0] if first is None else first
-                last = (int(x["doc_id"].iloc[-1]), x["text"].iloc[-1])
-        if last:
-            yield pd.DataFrame([(TaskContext.get().partitionId(), first, *last)], columns=["task", "first", "doc_id", "text"])
-
     @lean
     def finish(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in rows:
             yield pd.DataFrame([_row(i, a, tree(a), b, tree(b)) for i, a, b in zip(x["doc_id"].tolist(), x["text"], x["after"], strict=True)], columns=columns)
 
-    tie = F.xxhash64("text")
+    tie, n = F.xxhash64("text"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(id_in(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # a fixed number of partitions, so that both passes have the same tasks
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plain.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    tasks = ordered.mapInPandas(ends, "task int, first string, doc_id long, text string")
-    # two texts of each task; in one plan with the walk, so that the shuffled rows are used again
-    w = Window.orderBy("task")
-    pairs = tasks.withColumn("after", F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    borders = plain.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * max(1000, n))).first()[0] or []
+    ranged = plain.withColumn("range", _range(F.col("doc_id"), tie, borders))
+    ordered = ranged.repartitionByRange(n, "range").sortWithinPartitions("range", "doc_id", tie)
+    place = F.struct("doc_id", tie.alias("tie"))
+    ends = ranged.groupBy("range").agg(F.min_by("text", place).alias("first"), F.max_by(F.struct("doc_id", "text"), place).alias("last"))
+    w = Window.orderBy("range")  # two texts of each range
+    pairs = ends.select("range", "first", "last.*").withColumn("after", F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     found = ordered.mapInPandas(walk, schema).union(pairs.select("doc_id", "text", "after").mapInPandas(finish, schema))
     return found.withColumn("doc_id", id_out())
+
+
+def _range(doc_id: Column, tie: Column, borders: list[int]) -> Column:
+    """The number of borders below the id; an id that is several borders has as many ranges, by the tie."""
+    all_of = F.lit(borders) if borders else F.array().cast("array<bigint>")
+    below, upto = F.size(F.filter(all_of, lambda b: b < doc_id)), F.size(F.filter(all_of, lambda b: b <= doc_id))
+    return (below + F.floor((upto - below + 1) * ((tie / 2.0**64) + 0.5) * (1 - 2.0**-40))).cast("int")

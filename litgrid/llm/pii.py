@@ -204,11 +204,11 @@ def find(spark: SparkSession, docs: DataFrame, text_col: str = "text", base: str
         new = F.filter(_open(text, F.col(base)), lambda c: F.array_contains(pairs, F.concat_ws(" ", c["kind"], c["word"])))
         return out.withColumn(spans, _all(F.col(base), new))
     # the same by a join: spans found are a function of the text, which its hash stands for
-    key = "litgrid_pii_text_key"
+    key, new = "litgrid_pii_text_key", "litgrid_pii_new"
     each = docs.select(F.xxhash64(text).alias(key), text.alias("t"), whole.alias("b")).select(key, F.explode(_open(F.col("t"), F.col("b"))).alias("c"))
-    each = each.select(key, "c.*").distinct().join(trusted, ["word", "kind"]).groupBy(key).agg(F.collect_list(F.struct("word", "kind", "start", "end", "form")).alias("new"))
+    each = each.select(key, "c.*").distinct().join(trusted, ["word", "kind"]).groupBy(key).agg(F.collect_list(F.struct("word", "kind", "start", "end", "form")).alias(new))
     out = out.withColumn(key, F.xxhash64(text)).join(settled(each), key, "left")
-    return out.withColumn(spans, F.when(F.col("new").isNull(), F.col(base)).otherwise(_all(F.col(base), F.col("new")))).select(*docs.columns, *(x for x in (base, spans) if x not in docs.columns))
+    return out.withColumn(spans, F.when(F.col(new).isNull(), F.col(base)).otherwise(_all(F.col(base), F.col(new)))).select(*docs.columns, *(x for x in (base, spans) if x not in docs.columns))
 
 
 def _all(base: Column, new: Column) -> Column:

@@ -284,6 +284,22 @@ def test_fingerprints(spark, docs, odd, none):
     assert len(spans) == 1 and spans[0][0] <= 200 < spans[0][1] < 240
 
 
+def test_fingerprints_without_reused_shuffles(spark):
+    """Every row stays, whatever the optimizer reuses, and where one id has many rows."""
+    rows = [(None if k % 7 == 0 else 50 if k % 3 == 0 else k, f"text {k % 400} and more {k % 11}") for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(tuple(r) for r in fingerprints.compare(spark, df).na.fill(-1).collect())
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sorted(tuple(r) for r in fingerprints.compare(spark, df).na.fill(-1).collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == want and sorted((r[0], r[1]) for r in got) == sorted((-1 if i is None else i, len(t)) for i, t in rows)
+    order = sorted({(r[0], r[3]) for r in got}, key=lambda r: r[0])
+    own = {fingerprints.written(*fingerprints.tree(t)) for _, t in rows}
+    assert {p for _, p in order} == own
+
+
 def test_likeness_of_a_single_sentence():
     rng = random.Random(3)
     print_of = lambda words: fingerprints.written(*fingerprints.tree(" ".join(words)))
@@ -433,8 +449,9 @@ def test_pii_many_words_are_joined(spark):
     texts = ["Tel: 5551234567 now", *(f"Tel: +1 555 {i:04d} 1234" for i in range(60)), *(f"Total: 66{i:07d}" for i in range(200)), None, "Tel: 5551234567 now"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("new", F.lit(1))
     want = {r["doc_id"]: r["spans"] for r in pii.find(spark, rows).collect()}
-    got = {r["doc_id"]: r["spans"] for r in pii.find(spark, rows.drop("new"), words=0).collect()}
-    assert got == want and len(got[0]) == 1
+    joined = pii.find(spark, rows.withColumn("litgrid_base", F.lit(2)), words=0)
+    assert {r["doc_id"]: r["spans"] for r in joined.collect()} == want and len(want[0]) == 1
+    assert joined.columns == ["doc_id", "text", "new", "litgrid_base", "base", "spans"] and {r["new"] for r in joined.collect()} == {1}
 
 
 def test_license_scan(spark, docs, odd, none):
@@ -497,6 +514,19 @@ def test_decontamination_of_long_items(spark):
     assert all(r["score"] == pytest.approx(1) and r["question_overlap"] == r["answer_overlap"] == 1 for r in found)
 
 
+def test_decontamination_by_several_indexes(spark, monkeypatch):
+    rng = random.Random(6)
+    shared = " ".join(f"s{k}" for k in range(12))
+    tests = [(None if k % 3 == 0 else k % 5, f"{' '.join(f'q{k}x{rng.randrange(50)}' for _ in range(14))} {shared}? {' '.join(f'a{k}x{j}' for j in range(3))}") for k in range(14)] + [(7, None), (None, ""), (8, "one")]
+    docs = [(k * 100 + n, f"{rng.randrange(99)} before {' '.join(t.split()[14 - n // 2 :])} after {k}") for k, (_, t) in enumerate(tests) if t for n in (2, 16, 28)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")
+    rows = lambda: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in decontamination.matches(spark, docs, items).collect()), key=repr)
+    whole = rows()
+    assert {r[1] for r in whole} == {i for i, t in tests[:14]}
+    monkeypatch.setattr(decontamination, "ITEMS", 3)
+    assert rows() == whole and len(whole) > 14 and {r[2] for r in whole} > {1.0}
+
+
 def test_block_max_wand_finds_all(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 30))) for _ in range(80)]
