@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from litgrid.functions import text as T
 
 from . import intent
+from .dictionary import Dictionary
 
 
 @dataclass(frozen=True)
@@ -99,14 +100,17 @@ def key_terms(tokens: Column, noise: tuple[str, ...], limit: int = 16) -> Column
     return T.bound(T.bound(tokens, ordered), lambda top: intent.without_noise(top, list(noise)))
 
 
-def important_phrases(clean: Column, lexicon: Lexicon) -> Column:
-    """Phrases of the word tables between non-letters, then matches of the patterns, then what follows `known as`."""
+def known_phrases(lexicon: Lexicon) -> list[str]:
+    return [*lexicon.synonyms, *(k for k in lexicon.bridges if k not in lexicon.synonyms)]
+
+
+def important_phrases(clean: Column, lexicon: Lexicon, known: Dictionary) -> Column:
+    """Phrases of the word tables between non-letters, then matches of the patterns, then what follows `known as`. known: a
+    Dictionary of known_phrases, which finds them in one go through the text, however many the tables hold."""
     low = F.lower(clean)
-    known = [*lexicon.synonyms, *(k for k in lexicon.bridges if k not in lexicon.synonyms)]
-    spotted = [F.when(F.rlike(low, F.lit(rf"(^|[^a-z0-9]){p}($|[^a-z0-9])")), F.lit(p)) for p in known]
     matched = [F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in lexicon.patterns]
     named = F.regexp_extract_all(low, F.lit(r"\b(?:known as|called|method known as)\s+([a-z][a-z0-9-]{1,30})\b"), F.lit(1))
-    return T.distinct_ignoring_case(F.concat(F.array_compact(F.array(*spotted)), *matched, named))
+    return T.distinct_ignoring_case(F.concat(known.found(low), *matched, named))
 
 
 def research_fields(tokens: Column, phrases: Column, lexicon: Lexicon) -> Column:
@@ -167,7 +171,7 @@ def intents(queries: DataFrame, lexicon: Lexicon) -> DataFrame:
     sub-queries, main intent and profile. A null text is empty."""
     c = F.col
     rows = queries.select("qid", T.normalize_space(c("query_text")).alias("clean")).withColumn("low", F.lower("clean")).withColumn("query_tokens", T.tokens(c("clean")))
-    rows = rows.withColumn("key_terms", key_terms(c("query_tokens"), lexicon.noise)).withColumn("phrases", important_phrases(c("clean"), lexicon)).withColumn("cues", intent.relation_cues(c("clean")))
+    rows = rows.withColumn("key_terms", key_terms(c("query_tokens"), lexicon.noise)).withColumn("phrases", important_phrases(c("clean"), lexicon, Dictionary(queries.sparkSession, known_phrases(lexicon)))).withColumn("cues", intent.relation_cues(c("clean")))
     rows = rows.withColumn("fields", research_fields(c("query_tokens"), c("phrases"), lexicon)).withColumn("must_have", must_have(c("low"), c("key_terms"), c("phrases"), c("cues"), lexicon))
     rows = rows.withColumn("soft", soft(c("low"), c("key_terms"), c("phrases"), c("cues"), lexicon)).withColumn("excluded", intent.excluded(c("clean")))
     rows = rows.withColumn("time_range", intent.time_range(c("clean"))).withColumn("venues", intent.venues(c("clean"), whole_words=True))
@@ -274,13 +278,12 @@ def clean_for_recall(query: Column, lexicon: Lexicon) -> Column:
     return joined(first(words, 14))
 
 
-def key_phrases(query: Column, lexicon: Lexicon) -> Column:
-    """Quoted parts, phrases of the table and groups of hyphenated words."""
+def key_phrases(query: Column, hints: Dictionary) -> Column:
+    """Quoted parts, phrases of the table of hints and groups of hyphenated words."""
     low = F.lower(query)
     quoted = F.transform(F.regexp_extract_all(query, F.lit('"([^"]{3,120})"'), F.lit(1)), lambda x: F.lower(T.normalize_space(x)))
-    hinted = F.array_compact(F.array(*(F.when(F.rlike(low, F.lit(rf"(^|[^a-z0-9]){p}($|[^a-z0-9])")), F.lit(p)) for p in lexicon.phrase_hints)))
     hyphens = F.transform(F.regexp_extract_all(low, F.lit(r"\b[a-z][a-z0-9]+(?:-[a-z0-9]+)+(?:\s+[a-z][a-z0-9]+){0,2}\b"), F.lit(0)), lambda x: T.normalize_space(x))
-    return F.array_distinct(F.filter(F.concat(quoted, hinted, hyphens), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.concat(quoted, hints.found(low), hyphens), lambda x: x != ""))
 
 
 def locator(query: Column, lexicon: Lexicon) -> Column:

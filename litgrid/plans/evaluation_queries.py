@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import evaluate, fuse, index, intent, rank, understand
+from litgrid.operators import dictionary, evaluate, fuse, index, intent, rank, understand
 from litgrid.sources.tables import held, small
 
 from .fixtures import BENCHMARK_QUERIES, GOLD, PAPERS, benchmark_queries, gold, papers, table, title_sql, tokens_sql
@@ -138,7 +138,7 @@ def a19_macro(spark, d):
 
 _GRAM = lambda n: f"list_transform(range(1, len(ts) - {n - 2}), lambda i: array_to_string(ts[i:i + {n - 1}], ' '))"
 _USEFUL = "len(list_filter(string_split(g, ' '), lambda t: t IN (" + _list(HIGH) + ") OR contains(t, '-') OR " + " OR ".join(f"ends_with(t, '{s}')" for s in SUFFIXES) + ")) > 0"
-ALIASES = (("the", "in the text"), ("ment", "suffix ment"), ("que", "relative que"))
+ALIASES = (("the", "in the text"), ("ment", "suffix ment"), ("que", "relative que"), ("in the", "inside of it"), ("de la", "from that one"), ("of the and", "three small words"))
 _AL = "al AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in ALIASES) + ") v(alias, phrase))"
 
 
@@ -146,7 +146,7 @@ _AL = "al AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in
 def q14(spark, d):
     """Each alias in a query adds its phrase (weight 4.8) and the phrase's words."""
     given = small(spark.createDataFrame([(a, t) for a, t in ALIASES], "alias string, phrase string"))
-    words = benchmark_queries(spark, d).select("qid", F.explode(F.array_distinct(F.split(T.normalize_title(c("query_text")), " "))).alias("alias"))
+    words = dictionary.occurrences(benchmark_queries(spark, d).select("qid", T.normalize_title(c("query_text")).alias("text")), "qid", "text", given, "alias").withColumnRenamed("phrase", "alias")
     unit = lambda x, kind, w: F.struct(x.alias("unit"), F.lit(kind).alias("kind"), F.lit(w).alias("weight"))
     units = F.concat(F.array(unit(c("phrase"), "phrase", 4.8)), F.transform(F.split("phrase", " "), lambda t: unit(t, "term", 2.0)))
     return words.join(given, "alias").select("qid", F.explode(units).alias("u")).select("qid", "u.*").distinct()
@@ -164,8 +164,8 @@ def q18(spark, d):
     grams = docs.select("doc_id", F.explode(F.filter(F.concat(*(T.ngrams(c("ts"), n) for n in (4, 3, 2))), useful)).alias("g"))
     weighed = grams.groupBy("doc_id", "g").agg(F.round(F.count("*") * (1 + 0.15 * (F.size(F.split("g", " ")) - 1)), 4).alias("value"))
     best = rank.top_k(weighed, ["doc_id"], [F.desc("value"), F.asc("g")], 80).select("doc_id", F.concat(F.lit("phrase:"), "g").alias("feature"), "value")
-    spotted = F.array_compact(F.array(*(F.when(F.contains(F.concat(F.lit(" "), "norm", F.lit(" ")), F.lit(f" {a} ")), F.lit(f"phrase:{t}")) for a, t in ALIASES)))
-    named = docs.where(F.size("ts") > 0).select("doc_id", F.explode(spotted).alias("feature"), F.lit(1.8).alias("value"))
+    given = small(spark.createDataFrame([(a, f"phrase:{t}") for a, t in ALIASES], "phrase string, feature string"))
+    named = dictionary.occurrences(docs.where(F.size("ts") > 0), "doc_id", "norm", given).join(given, "phrase").select("doc_id", "feature", F.lit(1.8).alias("value"))
     return tokens.unionByName(best).unionByName(named).groupBy("doc_id", "feature").agg(F.max("value").alias("value"))
 
 

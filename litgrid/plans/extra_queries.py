@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
 from litgrid.operators import index, rank
+from litgrid.operators import phrases as P
 from litgrid.sources import tables as S
 from litgrid.sources.tables import held, small
 from litgrid.streaming import streams
@@ -55,40 +56,56 @@ def r07(spark, d):
     return rank.top_k(best, ["qid"], [F.desc("score"), F.asc("doc_id")], 20).withColumn("rank", c("rank").cast("long"))
 
 
-_GAPS = f"""pw AS (SELECT paper_id, w, i FROM (SELECT paper_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT paper_id, string_split({title_sql('title || chr(32) || abstract')}, ' ') AS ws FROM papers))),
-    pairs AS (SELECT DISTINCT paper_id, phrase, slop FROM (SELECT paper_id, w || ' ' || lead(w, 1) OVER x AS phrase, 0 AS slop FROM pw WINDOW x AS (PARTITION BY paper_id ORDER BY i) UNION ALL SELECT paper_id, w || ' ' || lead(w, 2) OVER x, 1 FROM pw WINDOW x AS (PARTITION BY paper_id ORDER BY i)) WHERE phrase IS NOT NULL)"""
-_QPAIRS = f"qp AS (SELECT DISTINCT qid, phrase FROM (SELECT qid, w || ' ' || lead(w, 1) OVER (PARTITION BY qid ORDER BY i) AS phrase FROM (SELECT qid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT qid, string_split({title_sql('query_text')}, ' ') AS ws FROM bq))) WHERE phrase IS NOT NULL)"
+def _clause_sql(clauses: str) -> str:
+    """CTEs from cl (qid, field, phrase, slop, boost) to sc (qid, doc_id, field, phrase, slop, frequency, score), over fields of papers."""
+    return f"""fr AS (SELECT paper_id AS doc_id, 'title' AS field, {_words_sql('title')} AS ws FROM papers UNION ALL SELECT paper_id, 'body', {_words_sql('abstract')} FROM papers),
+    sz AS (SELECT field, count(*) AS texts, avg(len(ws)) AS mean FROM fr GROUP BY field), pos AS (SELECT doc_id, field, len(ws) AS length, unnest(ws) AS token, generate_subscripts(ws, 1) AS p FROM fr), {clauses}, asked AS (SELECT DISTINCT field, slop, phrase FROM cl),
+    df AS (SELECT field, token, count(DISTINCT doc_id) AS df FROM pos GROUP BY ALL), wd AS (SELECT field, slop, phrase, unnest(phrase) AS token FROM asked),
+    idf AS (SELECT field, slop, phrase, sum(ln(1 + (texts - df + 0.5) / (df + 0.5))) AS idf FROM wd JOIN df USING (field, token) JOIN sz USING (field) GROUP BY ALL HAVING count(*) = len(phrase)),
+    m AS (SELECT a.field, slop, phrase, doc_id, length, 1 AS i, p, 0::BIGINT AS g FROM asked a JOIN pos ON pos.field = a.field AND token = phrase[1] UNION SELECT m.field, slop, phrase, m.doc_id, m.length, i + 1, pos.p, g + pos.p - m.p - 1 FROM m JOIN pos ON pos.field = m.field AND pos.doc_id = m.doc_id AND token = phrase[i + 1] AND pos.p > m.p AND pos.p <= m.p + 1 + slop - g WHERE i < len(phrase)),
+    fq AS (SELECT field, slop, phrase, doc_id, length, sum(1.0::DOUBLE / (1 + g)) AS f FROM m WHERE i = len(phrase) GROUP BY ALL),
+    sc AS (SELECT qid, doc_id, field, phrase, slop, f AS frequency, boost * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * length / mean)) AS score FROM cl JOIN fq USING (field, slop, phrase) JOIN idf USING (field, slop, phrase) JOIN sz USING (field))"""
 
 
-@query("r09_phrase_match", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, {_GAPS}, {_QPAIRS} SELECT qid, paper_id, round(sum(CASE WHEN slop = 0 THEN 2.0 ELSE 1.0 END), 6)::DOUBLE AS score FROM (SELECT qid, paper_id, phrase, min(slop) AS slop FROM pairs JOIN qp USING (phrase) GROUP BY ALL) GROUP BY qid, paper_id")
+def _words_sql(x: str) -> str:
+    return f"list_filter(string_split({title_sql(x)}, ' '), lambda w: w <> '')"
+
+
+#: By field: boost and words allowed between. Fixed values of phrase clauses, and of weighted terms and weighted phrases.
+PHRASE_BOOSTS = {"title": (1.4, 0), "body": (0.6, 1)}
+TERM_BOOSTS = {"title": (3.4, 0), "body": (1.1, 0)}
+WEIGHTED_PHRASE_BOOSTS = {"title": (3.4, 0), "body": (1.1 * 0.7, 1)}
+#: Clauses of a query: phrases by themselves, weighted terms, weighted phrases.
+PHRASES, WEIGHTED_TERMS, WEIGHTED_PHRASES = 6, 10, 6
+_SENTENCES = f"st AS (SELECT qid, list_filter(list_transform(regexp_split_to_array(query_text, '[.!?\\n]+'), lambda s: {_words_sql('s')}), lambda l: len(l) >= 2) AS ls FROM bq), ph AS (SELECT qid, unnest(list_filter(ls, lambda v, i: list_position(ls, v) = i)[1:{PHRASES}]) AS phrase FROM st)"
+_boosted = lambda source, weight, boosts: " UNION ALL ".join(f"SELECT qid, '{f}' AS field, phrase, {slop} AS slop, round({b}::DOUBLE * {weight}, 4) AS boost FROM {source}" for f, (b, slop) in boosts.items())
+
+
+def _fields(spark, d):
+    return P.field_rows(papers(spark, d), "paper_id", {"title": c("title"), "body": c("abstract")})
+
+
+@query("r09_phrase_match", f"WITH RECURSIVE {PAPERS}, {BENCHMARK_QUERIES}, {_SENTENCES}, {_clause_sql(f'cl AS ({_boosted("ph", "1.0::DOUBLE", PHRASE_BOOSTS)})')} SELECT qid, doc_id AS paper_id, array_to_string(phrase, ' ') AS phrase, field, frequency, round(score, 6) AS score FROM sc")
 def r09(spark, d):
-    # all two-word phrases of the queries; a paper holds one in place (slop 0, boost 2) or with one word between (slop 1)
-    phrases = small(benchmark_queries(spark, d).select("qid", F.explode(F.array_distinct(T.ngrams(F.split(T.normalize_title(c("query_text")), " "), 2))).alias("phrase")))
-    w = F.split(T.normalize_title(F.concat_ws(" ", "title", "abstract")), " ")
-    gap = lambda n: F.transform(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - n, F.lit(0))).alias("a"), F.slice("w", n + 1, F.greatest(F.size("w") - n, F.lit(0))).alias("b")), lambda z: F.struct(F.concat_ws(" ", z["a"], z["b"]).alias("phrase"), F.lit(n - 1).alias("slop")))
-    pairs = papers(spark, d).select("paper_id", w.alias("w")).select("paper_id", F.explode(F.concat(gap(1), gap(2))).alias("p")).select("paper_id", "p.*")
-    best = pairs.join(phrases, "phrase").groupBy("qid", "paper_id", "phrase").agg(F.min("slop").alias("slop"))
-    return best.groupBy("qid", "paper_id").agg(F.round(F.sum(F.when(c("slop") == 0, 2.0).otherwise(1.0)), 6).alias("score"))
+    """Whole phrases: a query's sentences of two words at least, in place in titles, with up to one word between in bodies."""
+    sentences = F.filter(F.transform(F.split("query_text", r"[.!?\n]+"), P.words), lambda w: F.size(w) >= 2)
+    phrases_ = benchmark_queries(spark, d).select("qid", F.explode(F.slice(F.array_distinct(sentences), 1, PHRASES)).alias("phrase"), F.lit(1.0).alias("weight"))
+    found = P.clause_scores(P.phrase_clauses(phrases_, PHRASE_BOOSTS), _fields(spark, d))
+    return found.select("qid", c("doc_id").alias("paper_id"), F.array_join("phrase", " ").alias("phrase"), "field", "frequency", F.round("score", 6).alias("score"))
 
 
-_CLAUSES = f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {_KEPT}, {_WTERMS}, {_WPHRASES}, fw AS (SELECT paper_id, 3.0::DOUBLE AS boost, {tokens_sql(title_sql('title'), False)} AS ws FROM papers UNION ALL SELECT paper_id, 1.0, {tokens_sql(title_sql('abstract'), False)} FROM papers),
-    ft AS (SELECT DISTINCT paper_id, boost, token FROM (SELECT paper_id, boost, unnest(ws) AS token FROM fw)), fp AS (SELECT DISTINCT paper_id, boost, phrase FROM (SELECT paper_id, boost, ' ' || array_to_string(ws, ' ') || ' ' AS body FROM fw) JOIN (SELECT DISTINCT phrase FROM wp) ON contains(body, ' ' || phrase || ' ')),
-    u AS (SELECT qid, paper_id, boost * weight AS s FROM ft JOIN wt ON term = token UNION ALL SELECT qid, paper_id, boost * weight FROM fp JOIN wp USING (phrase)) SELECT qid, paper_id, round(sum(s), 6) AS score FROM u GROUP BY ALL"""
+_CLAUSES = f"""WITH RECURSIVE {PAPERS}, {BENCHMARK_QUERIES}, {_KEPT}, {_WTERMS}, {_WPHRASES}, ct AS (SELECT qid, [term] AS phrase, weight FROM wt WHERE place <= {WEIGHTED_TERMS}), cp AS (SELECT qid, string_split(phrase, ' ') AS phrase, weight FROM wp WHERE place <= {WEIGHTED_PHRASES}),
+    {_clause_sql(f'cl AS ({_boosted("ct", "weight", TERM_BOOSTS)} UNION ALL {_boosted("cp", "weight", WEIGHTED_PHRASE_BOOSTS)})')} SELECT qid, doc_id AS paper_id, round(sum(score), 6) AS score, count(*) AS clauses FROM sc GROUP BY ALL"""
 
 
 @query("r10_weighted_clauses", _CLAUSES)
 def r10(spark, d):
-    """Weighted terms and phrases of the query in each field, titles counting three times."""
-    t, p = terms(spark, d), phrases(spark, d)
-    clauses = small(t.select("qid", c("term").alias("unit"), "weight").unionByName(p.select("qid", c("phrase").alias("unit"), "weight")))
-    fields = papers(spark, d).select("paper_id", F.explode(F.array(F.struct(F.lit(3.0).alias("boost"), T.tokens(T.normalize_title(c("title")), ()).alias("w")), F.struct(F.lit(1.0).alias("boost"), T.tokens(T.normalize_title(c("abstract")), ()).alias("w")))).alias("f"))
-    units = fields.select("paper_id", "f.boost", F.explode(F.array_distinct(F.concat("f.w", *(T.ngrams(c("f.w"), n) for n in (2, 3, 4))))).alias("unit"))
-    return units.join(clauses, "unit").groupBy("qid", "paper_id").agg(F.round(F.sum(c("boost") * c("weight")), 6).alias("score"))
-
-
-@query("r10_weighted_clauses_all", _CLAUSES)
-def r10_all(spark, d):
-    return r10(spark, d)
+    """The ten heaviest terms and six heaviest phrases of a query in each field, summed up; phrases may have a word between in bodies."""
+    t = terms(spark, d).where(c("place") <= WEIGHTED_TERMS).select("qid", P.words(c("term")).alias("phrase"), "weight")
+    p = phrases(spark, d).where(c("place") <= WEIGHTED_PHRASES).select("qid", P.words(c("phrase")).alias("phrase"), "weight")
+    clauses = P.phrase_clauses(t, TERM_BOOSTS).unionByName(P.phrase_clauses(p, WEIGHTED_PHRASE_BOOSTS))
+    found = P.clause_scores(clauses, _fields(spark, d))
+    return found.groupBy("qid", c("doc_id").alias("paper_id")).agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("clauses"))
 
 
 @query("r13_chunk_type_boost", f"WITH s AS ({_SCORES_CHUNKS}) SELECT qid, chunk_id, score, rank FROM (SELECT qid, doc_id AS chunk_id, round(s.score + CASE WHEN chunk_type = 'title_abstract' THEN 0.35 ELSE 0 END, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s.score + CASE WHEN chunk_type = 'title_abstract' THEN 0.35 ELSE 0 END, 6) DESC, doc_id) AS rank FROM s JOIN (SELECT 'doc:' || doc_id || '#chunk:' || (i - 1) AS doc_id, CASE WHEN i = 1 THEN 'title_abstract' ELSE 'section' END AS chunk_type FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) k USING (doc_id)) WHERE rank <= 20")

@@ -13,14 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     title = F.regexp_extract("text", r"^([^.\n]*)", 1)
-    return docs.join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc:"), "doc_id").alias("paper_id"), title.alias("title"), F.substring("text", F.length(title) + 2, F.length("text")).alias("abstract"),
-        (2010 + F.col("doc_id") % 15).cast("int").alias("year"), F.col("source").alias("venue"), F.coalesce("quality", F.lit(0)).alias("citation_count"), "doc_id",
+        (2010 + F.col("doc_id") % 15).cast("int").alias("year"), F.col("source").alias("venue"), "doc_id",
     )
 
 
+def cited_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with a count of citations, for which the quality in labels stands."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("citation_count"))
+    return papers(spark, sf_dir).join(labels, "doc_id", "left").withColumn("citation_count", F.coalesce("citation_count", F.lit(0)))
+
+
 PAPERS = """papers AS (SELECT 'doc:' || d.doc_id AS paper_id, regexp_extract(d.text, '^([^.\\n]*)', 1) AS title,
   substr(d.text, length(regexp_extract(d.text, '^([^.\\n]*)', 1)) + 2) AS abstract, CAST(2010 + d.doc_id % 15 AS INTEGER) AS year, d.source AS venue,
   coalesce(l.quality, 0) AS citation_count, d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""

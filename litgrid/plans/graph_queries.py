@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import graph, rank, understand
-from litgrid.sources.tables import held
+from litgrid.operators import dictionary, graph, rank, understand
+from litgrid.sources.tables import held, small
 
 from .fixtures import CHUNKS, PAPERS, chunks, papers, table, title_sql, tokens_sql
 from .registry import query
@@ -138,7 +138,6 @@ _R19 = f"{_TERMS2}, {_BRANCHES} SELECT qid, paper_id, score, support, relations,
 
 
 @query("r19_alias_search", _R19)
-@query("r19_alias_search_all", _R19)
 def r19(spark, d):
     return alias_hits(spark, d).select("qid", "paper_id", F.round("score", 6).alias("score"), "support", F.array_join("relations", ",").alias("relations"), c("rank").cast("long"))
 
@@ -168,13 +167,11 @@ def r20(spark, d):
 
 @query("r22_matched_aliases", f"{_TERMS2}, m AS (SELECT DISTINCT qid, term FROM qa JOIN (SELECT DISTINCT norm FROM al) ON contains(norm, replace(term, '-', ' '))) SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY term) AS i FROM m) WHERE i <= 12")
 def r22(spark, d):
-    """Terms that are an alias or stand inside one; whole words of both meet first, so that no pair without one is made."""
+    """Terms that are an alias or stand inside one: one automaton of all terms goes over the aliases."""
     names = aliases(spark, d).select("alias").distinct()
     terms = _asked_terms(spark, d).withColumn("norm", F.replace("term", F.lit("-"), F.lit(" ")))
-    # a term inside an alias stands in it from some place on: its first word's beginning is found among the alias' words' ends
-    ends = names.select("alias", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("alias")), lambda i: F.substr(F.col("alias"), i, F.lit(4))))).alias("start"))
-    found = terms.withColumn("start", F.substring("norm", 1, 4)).where("norm <> ''").join(ends, "start").where(F.contains(c("alias"), c("norm"))).select("qid", "term").distinct()
-    return rank.top_k(found, ["qid"], [F.asc("term")], 12).select("qid", "term")
+    inside = dictionary.occurrences(names, "alias", "alias", terms, "norm", whole_words=False).select(c("phrase").alias("norm")).distinct()
+    return rank.top_k(terms.join(small(inside), "norm").select("qid", "term").distinct(), ["qid"], [F.asc("term")], 12).select("qid", "term")
 
 
 #: Tag and score factor of each retriever's candidates: fixed values of this projection.

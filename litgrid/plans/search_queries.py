@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litgrid.functions import text as T
 from litgrid.operators import evaluate, fuse, index, rank
 
-from .fixtures import BENCHMARK_QUERIES, CHUNKS, GOLD, PAPERS, benchmark_queries, chunks, gold, papers, table, tokens_sql
+from .fixtures import BENCHMARK_QUERIES, CHUNKS, GOLD, PAPERS, benchmark_queries, chunks, cited_papers, gold, papers, table, tokens_sql
 from .registry import query
 
 c = F.col
@@ -203,7 +203,7 @@ def j02(spark, d):
 
 @query("j04_group_merge", f"WITH {_ENTITY}, {PAPERS} SELECT entity, md5(arg_min(title, doc_id)) AS title, md5(arg_min(abstract, doc_id)) AS abstract, arg_min(year, doc_id) AS year, arg_min(venue, doc_id) AS venue, max(citation_count) AS citation_count, count(*) AS members FROM papers JOIN ent USING (doc_id) GROUP BY entity")
 def j04(spark, d):
-    rows = papers(spark, d).join(j02(spark, d), "doc_id")
+    rows = cited_papers(spark, d).join(j02(spark, d), "doc_id")
     return fuse.merged(rows, "entity", "doc_id").withColumn("title", F.md5("title")).withColumn("abstract", F.md5("abstract"))
 
 

@@ -11,7 +11,7 @@ from litgrid.operators import index
 from litgrid.sources import tables as S
 from litgrid.streaming import streams
 
-from .fixtures import CHUNKS, PAPERS, chunks, papers, space_sql, table, title_sql
+from .fixtures import CHUNKS, PAPERS, chunks, cited_papers, papers, space_sql, table, title_sql
 from .graph_queries import _ALIASES, _EDGES, _SECTIONS, aliases, edges, references, sections
 from .registry import query
 
@@ -158,7 +158,7 @@ PAYLOAD = "paperId string, corpusId long, title string, abstract string, year st
     CASE WHEN doc_id % 2 = 0 THEN 'Art|Law' ELSE 'Law' END AS fields FROM papers""")
 def i22(spark, d):
     """Saved answers of a literature API (JSON, rows in `data`) as typed rows."""
-    p, k = papers(spark, d), c("doc_id")
+    p, k = cited_papers(spark, d), c("doc_id")
     names = F.when(k % 2 == 0, F.array(F.struct(c("venue").alias("name")), F.struct(F.lit("b").alias("name")))).otherwise(F.array(F.struct(c("venue").alias("name"))))
     row = F.struct(
         F.when(k % 3 != 0, F.concat(F.lit("AB"), "doc_id")).alias("paperId"), k.alias("corpusId"), "title", F.when(k % 4 == 0, "unknown").otherwise(c("year").cast("string")).alias("year"), c("citation_count").cast("string").alias("citationCount"),

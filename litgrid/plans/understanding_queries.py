@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
 from litgrid.operators import intent, understand
+from litgrid.operators.dictionary import Dictionary
 from litgrid.operators.understand import Lexicon
 from litgrid.sources.tables import first_n, held
 
@@ -114,7 +115,7 @@ def q01(spark, d):
 
 @query("q02_phrase_spotting", f"WITH {INTENTS} SELECT qid, {_bar('ph')} AS phrases FROM intents")
 def q02(spark, d):
-    return asked(spark, d).select("qid", F.array_join(understand.important_phrases(T.normalize_space(c("query_text")), LEXICON), "|").alias("phrases"))
+    return asked(spark, d).select("qid", F.array_join(understand.important_phrases(T.normalize_space(c("query_text")), LEXICON, Dictionary(spark, understand.known_phrases(LEXICON))), "|").alias("phrases"))
 
 
 @query("q03_research_fields", f"WITH {INTENTS} SELECT qid, {_bar('fields')} AS fields FROM intents")
@@ -252,7 +253,7 @@ _KEYPH = f"list_transform(regexp_extract_all(clean, '\"([^\"]{{3,120}})\"', 1),
 
 @query("q27_key_phrases", f"WITH {INTENTS}, kp AS (SELECT qid, {_KEYPH} AS ks FROM intents) SELECT qid, array_to_string(list_filter(ks, lambda v, i: v <> '' AND list_position(ks, v) = i), '|') AS phrases FROM kp")
 def q27(spark, d):
-    return asked(spark, d).select("qid", F.array_join(understand.key_phrases(T.normalize_space(c("query_text")), LEXICON), "|").alias("phrases"))
+    return asked(spark, d).select("qid", F.array_join(understand.key_phrases(T.normalize_space(c("query_text")), Dictionary(spark, list(LEXICON.phrase_hints))), "|").alias("phrases"))
 
 
 @query("q28_locator_queries", f"WITH {INTENTS} SELECT qid, {' OR '.join(f'regexp_matches(low, {_q(p)})' for p in LEXICON.locators)} AS locator FROM intents")
