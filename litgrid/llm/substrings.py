@@ -259,20 +259,20 @@ def kept(spark: SparkSession, docs: DataFrame, window: int = WINDOW, id_col: str
     def cut(x: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in x:
             out = []
-            for i, text, again, starts, ranges in zip(*(part[c].tolist() for c in ("doc_id", "text", "copy", "starts", "ranges")), strict=True):
-                gone = [np.frombuffer(r, "<i8") for r in (ranges if ranges is not None else [])]
+            for i, n, text, again, starts, ranges, *done in zip(*(part[c].tolist() for c in ("doc_id", "n_words", "text", "copy", "starts", "ranges", "n_removed", "kept_sha256")), strict=True):
+                if text is None:
+                    out.append((i, n, *done))
+                    continue
+                gone, text = [np.frombuffer(r, "<i8") for r in (ranges if ranges is not None else [])], bytes(text)
                 if starts is not None:
                     gone.append(_ranges(np.asarray(starts, np.int64)))
-                text = bytes(text)
-                n = len(hashed_words(text)[0]) if again > 1 else 0
-                out.append((i, *without(text, [np.array([0, n - window])] if n >= window else gone, window)))
+                if again > 1:  # a copy is later as a whole; its text holds a window
+                    gone = [np.array([0, len(hashed_words(text)[0]) - window])]
+                out.append((i, *without(text, gone, window)))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    with Scratch(spark, "texts") as scratch:
-        each = scratch.keep(rows.mapInPandas(parted, "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, text binary"))
-        some = each.where("text is not null").join(found, ["doc_id", "key"], "left")
-        # rows that repeat id and text: all but one are later as a whole
-        some = some.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0))))
-        done = some.select("doc_id", "text", "copy", "starts", "ranges").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-        result = each.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(done)
-        return settled(result.withColumn("doc_id", id_out()))
+    # texts whose windows are all settled send their result, not the text
+    each = rows.mapInPandas(parted, "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, text binary").join(found, ["doc_id", "key"], "left")
+    each = each.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(0))))
+    done = each.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return settled(done.withColumn("doc_id", id_out()))
