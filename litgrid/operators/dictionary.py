@@ -65,7 +65,7 @@ class Dictionary:
             phrases, whole = sent.value
             find = _finder(phrases, whole)
             for x in texts:
-                yield x.map(lambda t: [phrases[i] for i in find(t)])
+                yield pd.Series([[phrases[i] for i in find(t)] for t in x], dtype=object)
 
         return spot(text)
 
@@ -88,7 +88,7 @@ def occurrences(texts: DataFrame, key: str, text: str, lexicon: DataFrame, phras
             find = _finder(phrases, whole)
             for x in rows:
                 hits = [find(t) for t in x["text"]]
-                yield pd.DataFrame({"key": x["key"].repeat([len(h) for h in hits]).to_numpy(), "phrase": [phrases[i] for h in hits for i in h]})
+                yield pd.DataFrame({"key": x["key"].repeat([len(h) for h in hits]), "phrase": pd.Series([phrases[i] for h in hits for i in h], dtype=object).to_numpy()}).reset_index(drop=True)
 
         one = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(spot, f"key {kind}, phrase string")
         found = one if found is None else found.union(one)

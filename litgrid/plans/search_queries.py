@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
 from litgrid.operators import evaluate, fuse, index, rank
+from litgrid.sources.tables import held
 
 from .fixtures import BENCHMARK_QUERIES, CHUNKS, GOLD, PAPERS, benchmark_queries, chunks, cited_papers, gold, papers, table, tokens_sql
 from .registry import query
@@ -201,10 +202,19 @@ def j02(spark, d):
     return fuse.entities(j03(spark, d), "doc_id", "key")
 
 
-@query("j04_group_merge", f"WITH {_ENTITY}, {PAPERS} SELECT entity, md5(arg_min(title, doc_id)) AS title, md5(arg_min(abstract, doc_id)) AS abstract, arg_min(year, doc_id) AS year, arg_min(venue, doc_id) AS venue, max(citation_count) AS citation_count, count(*) AS members FROM papers JOIN ent USING (doc_id) GROUP BY entity")
+@query("j04_group_merge", f"""WITH {_ENTITY}, {PAPERS}, m AS (SELECT p.*, ent.entity, d.source, d.lang, d.n_chars FROM papers p JOIN ent USING (doc_id) JOIN documents d USING (doc_id)),
+    sc AS (SELECT entity, string_agg(lang || '=' || v, '|' ORDER BY lang) AS scores FROM (SELECT entity, lang, max(n_chars) AS v FROM m GROUP BY ALL) GROUP BY entity)
+    SELECT entity, md5(arg_min(title, doc_id)) AS title, md5(arg_min(abstract, doc_id)) AS abstract, arg_min(year, doc_id) AS year, arg_min(venue, doc_id) AS venue, max(citation_count) AS citation_count, count(*) AS members,
+    array_to_string(list_sort(list(DISTINCT source)), '|') AS sources, md5(array_to_string(list_sort(list(DISTINCT paper_id)), '|')) AS aliases, md5(array_to_string(list_sort(list(DISTINCT md5(title))), '|')) AS snippets, any_value(scores) AS scores FROM m JOIN sc USING (entity) GROUP BY entity""")
 def j04(spark, d):
-    rows = cited_papers(spark, d).join(j02(spark, d), "doc_id")
-    return fuse.merged(rows, "entity", "doc_id").withColumn("title", F.md5("title")).withColumn("abstract", F.md5("abstract"))
+    """A row per entity: the merged attributes, the union of its sources, aliases and snippets, and its best score of each name."""
+    more = table(spark, d, "documents").select("doc_id", F.array("source").alias("source"), F.create_map("lang", "n_chars").alias("scores"))
+    rows = held(cited_papers(spark, d).join(more, "doc_id").join(j02(spark, d), "doc_id").withColumns({"alias": F.array("paper_id"), "snippet": F.array(F.md5("title"))}))
+    whole = fuse.merged(rows, "entity", "doc_id").withColumn("title", F.md5("title")).withColumn("abstract", F.md5("abstract"))
+    sets = fuse.unions(rows, "entity", {"sources": "source", "aliases": "alias", "snippets": "snippet"}, "scores")
+    bar = lambda x: F.array_join(x, "|")
+    scores = F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return whole.join(sets, "entity").select("entity", "title", "abstract", "year", "venue", "citation_count", "members", bar("sources").alias("sources"), F.md5(bar("aliases")).alias("aliases"), F.md5(bar("snippets")).alias("snippets"), bar(scores).alias("scores"))
 
 
 @query("j07_rrf_total", f"{_ALL} SELECT qid, paper_id, round(rrf, 8) AS rrf, n_sources FROM fused")

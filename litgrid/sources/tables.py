@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -16,6 +17,17 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as a table of their own under the checkpoint folder, which must be set. Unlike held, what the
+    optimizer knows of them starts anew, so loops that make one table from the last keep plans of one size."""
+    spark = df.sparkSession
+    if not (root := spark.sparkContext.getCheckpointDir()):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df to be broadcast if it is counted to hold at most that many rows, else as it is."""
     return F.broadcast(df) if df.count() <= most else df
