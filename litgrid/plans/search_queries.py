@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import evaluate, fuse, index, rank
-from litgrid.sources.tables import held
+from litgrid.operators import evaluate, fuse, impacts, index, rank, vectors
+from litgrid.sources.tables import fresh_path, held
 
 from .fixtures import BENCHMARK_QUERIES, CHUNKS, GOLD, PAPERS, benchmark_queries, chunks, cited_papers, gold, papers, table, tokens_sql
 from .registry import query
@@ -121,10 +121,24 @@ def _features(spark, d):
     return table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.explode(T.tokens(c("text"))).alias("feature")).groupBy("id", "feature").agg(F.count("*").alias("value"))
 
 
-@query("r15_sparse_top_k", f"WITH {_FEATURES}, s AS (SELECT q.id AS qid, x.id AS doc_id, CAST(sum(q.value * x.value) AS BIGINT) AS score FROM f q JOIN f x USING (feature) WHERE q.id LIKE '%:0' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
+_R15 = f"WITH {_FEATURES}, s AS (SELECT q.id AS qid, x.id AS doc_id, CAST(sum(q.value * x.value) AS BIGINT) AS score FROM f q JOIN f x USING (feature) WHERE q.id LIKE '%:0' GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
+
+
+@query("r15_sparse_top_k", _R15)
 def r15(spark, d):
-    f = _features(spark, d)
-    return index.sparse_top_k(f.where("id like '%:0'"), f, 10).withColumn("rank", c("rank").cast("long"))
+    """First turns against all turns; blocks of postings that cannot lead to the ten best are not joined."""
+    f = held(_features(spark, d))
+    hits, _ = impacts.block_max_top_k(f.where("id like '%:0'").withColumnRenamed("id", "qid"), f.withColumnRenamed("id", "doc_id"), 10)
+    return hits.select("qid", "doc_id", F.round("score").cast("long").alias("score"), c("rank").cast("long"))
+
+
+@query("r04_block_max_bm25", _bm25_sql(PAPERS, _POST, "papers", 20))
+def r04_block_max(spark, d):
+    """BM25 as r04_bm25 gives it, from impact-ordered blocks: a posting's impact is its token's weight and saturation."""
+    post = index.bm25_impacts(_terms(spark, d), _bodies(spark, d))
+    asked = _terms(spark, d).select("qid", c("token").alias("feature"), c("weight").alias("value"))
+    hits, _ = impacts.block_max_top_k(asked, post.withColumnRenamed("token", "feature"), 20)
+    return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
 
 
 @query("r14_hashed_vectors")
@@ -146,6 +160,16 @@ def r17(spark, d):
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
 
 
+@query("r17_inverted_lists")
+def r17_lists(spark, d):
+    """As r17_dense_top_k, from as many lists of an inverted file as hold 95 of 100 neighbours; hits are scored exactly."""
+    v = table(spark, d, "embeddings").select(c("vec_id").alias("doc_id"), c("embedding").alias("vector"))
+    center, path = vectors.centroids(v), fresh_path(spark, "inverted-lists")
+    vectors.write_index(v, center, path)
+    found = vectors.search(spark, path, center, v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "qid"), 10, vectors.probes_for(v, center, 10))
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
+
+
 @query("r24_api_scores", "SELECT l_suppkey AS qid, l_partkey AS paper_id, round(max(0.86 / rk), 6) AS score FROM (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rk FROM lineitem) GROUP BY ALL")
 def r24(spark, d):
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")

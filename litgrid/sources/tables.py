@@ -17,15 +17,19 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as a table of their own under the checkpoint folder, which must be set. Unlike held, what the
-    optimizer knows of them starts anew, so loops that make one table from the last keep plans of one size."""
-    spark = df.sparkSession
-    if not (root := spark.sparkContext.getCheckpointDir()):
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder, which driver and executors share and which must be set."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as a table of their own under the checkpoint folder. Unlike held, what the optimizer knows of them
+    starts anew, so loops that make one table from the last keep plans of one size."""
+    df.write.parquet(path := fresh_path(df.sparkSession, "table"))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litgrid.operators import components, dictionary, phrases
+from litgrid.operators import components, dictionary, impacts, index, phrases, vectors
+from litgrid.sources import paging
 
 
 @pytest.fixture(autouse=True)
@@ -119,3 +121,100 @@ def test_phrases_of_any_length(spark):
     assert texts[151, "title"] == ["a", "b", "c"] and texts[150, "body"] == texts[150, "title"] == []
     want = {(f"q{i}", d, f): n for (d, f), w in texts.items() for i, p in enumerate(asked) if p and (n := frequency(w, p, 0 if f == "title" else 1))}
     assert found == want and {n % 1 for n in want.values()} == {0, 0.5}
+
+
+# ---- sparse and dense top k
+
+
+def test_block_max_top_k(spark):
+    """The rows of scoring everything, without joining the lists of frequent features."""
+    random.seed(4)
+    weight = {f: 40.0 / (f + 1) if f % 2 else 0.05 for f in range(60)}  # even features stand in most documents and weigh little
+    docs = [(d, f, weight[f] * random.choice((1, 1.5, 2, 3))) for d in range(3000) for f in range(60) if random.random() < (0.7 if f % 2 == 0 else 0.02)]
+    docs += [(5000 + k, 1, 120.0) for k in range(40)] + [(1, 70, -1.0), (2, 70, 0.0)]
+    asked = [(q, f, random.choice((1.0, 2.0))) for q in range(12) for f in random.sample(range(60), 8)] + [(99, 1, 1.0), (98, 70, 1.0), (97, 3, -1.0)]
+    vectors_, rows = {}, {}
+    for d, f, v in docs:
+        vectors_.setdefault(d, {})[f] = v
+    for q, f, v in asked:
+        rows.setdefault(q, {})[f] = v
+    want = set()
+    for q, own in rows.items():
+        scores = {d: sum(w * x[f] for f, w in own.items() if w > 0 and x.get(f, 0) > 0) for d, x in vectors_.items()}
+        want |= {(q, d, round(s, 6)) for d, s in sorted(((d, s) for d, s in scores.items() if s > 0), key=lambda x: (-round(x[1], 9), x[0]))[:10]}
+    hits, report = impacts.block_max_top_k(spark.createDataFrame(asked, "qid long, feature long, value double"), spark.createDataFrame(docs, "doc_id long, feature long, value double"), 10)
+    assert {(r["qid"], r["doc_id"], round(r["score"], 6)) for r in hits.collect()} == want
+    total = report.agg({"postings": "sum", "read": "sum"}).first()
+    assert total["sum(read)"] < 0.2 * total["sum(postings)"]
+
+
+def test_inverted_lists(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    v = v.unionByName(spark.createDataFrame([(-1, None), (-2, [])], v.schema))
+    queries = v.where("doc_id % 50 = 0 and doc_id >= 0").withColumnRenamed("doc_id", "qid")
+    exact = {tuple(r) for r in index.dense_top_k(queries, v.where("doc_id >= 0"), 10).select("qid", "doc_id").collect()}
+    center = vectors.centroids(v)
+    from litgrid.sources.tables import fresh_path
+
+    path = fresh_path(spark, "lists")
+    vectors.write_index(v, center, path)
+    assert spark.read.parquet(path).count() == v.where("doc_id >= 0").count()
+    probes = vectors.probes_for(v, center, 10)
+    assert probes < len(center)
+    found = {tuple(r) for r in vectors.search(spark, path, center, queries, 10, probes).select("qid", "doc_id").collect()}
+    assert len(found & exact) >= 0.9 * len(exact) and len(found) == len(exact)
+    assert {tuple(r) for r in vectors.search(spark, path, center, queries, 10, len(center), block=7).select("qid", "doc_id").collect()} == exact
+    one = queries.limit(1)
+    near = np.argsort(-(index._units([one.first()["vector"]]) @ center.T)[0])[:probes].tolist()
+    assert spark.read.parquet(path).where(F.col("list").isin(near)).count() < 0.9 * spark.read.parquet(path).count()
+    assert vectors.search(spark, path, center, queries.limit(0), 10, probes).count() == 0
+
+
+def test_inverted_lists_of_clustered_vectors(spark):
+    """Where vectors have neighbourhoods, few lists hold nearly all neighbours."""
+    rng = np.random.default_rng(5)
+    means = rng.normal(size=(40, 16)) * 4
+    rows = [(k, (means[k % 40] + rng.normal(size=16)).tolist()) for k in range(4000)]
+    v = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    center = vectors.centroids(v)
+    probes = vectors.probes_for(v, center, 10)
+    assert probes < len(center) / 6
+    from litgrid.sources.tables import fresh_path
+
+    path = fresh_path(spark, "lists")
+    vectors.write_index(v, center, path)
+    queries = v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "qid")
+    exact, found = ({(r["qid"], r["doc_id"]) for r in df.collect()} for df in (index.dense_top_k(queries, v, 10), vectors.search(spark, path, center, queries, 10, probes)))
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+# ---- paged scans
+
+
+def test_paged_scan_goes_on(spark):
+    from litgrid.sources.tables import fresh_path
+
+    path, rows = fresh_path(spark, "scan"), spark.createDataFrame([(None if k % 9 == 0 else (k * 37) % 1000, k) for k in range(3000)], "key long, v long")
+    scan = lambda: paging.PagedScan(spark, rows, "key", path, 6, lower=10, upper=900, shard=F.col("v") % 2 == 0)
+    first = scan()
+    borders = first.cursor["borders"]
+    assert first.pages == 6 and first.run(2) == 2 and first.result().where("page > 1").isEmpty()
+    rows_before = first.result().count()
+    with pytest.raises(Exception, match="broken"):  # a page breaks off; what it wrote is not read and is written again
+        scan().run(each=lambda page: page.select("key", F.raise_error(F.lit("broken")).cast("long").alias("v")))
+    again = scan()
+    assert again.cursor == {"borders": borders, "done": 2} and again.run() == 4 and scan().run() == 0
+    found = [(r["key"], r["v"]) for r in again.result().collect()]
+    want = [((k * 37) % 1000, k) for k in range(3000) if k % 9 and 10 < (k * 37) % 1000 <= 900 and k % 2 == 0]
+    assert sorted(found) == sorted(want) and rows_before < len(want)
+    plan = again.page(3)._jdf.queryExecution().toString()
+    assert str(borders[2]) in plan and str(borders[3]) in plan
+    sizes = [r["count"] for r in again.result().groupBy("page").count().collect()]
+    assert max(sizes) < 2 * min(sizes)
+
+
+def test_paged_scan_of_nothing(spark):
+    from litgrid.sources.tables import fresh_path
+
+    scan = paging.PagedScan(spark, spark.createDataFrame([], "key long"), "key", fresh_path(spark, "scan"), 4)
+    assert scan.run() == scan.pages and scan.result().count() == 0
