@@ -22,8 +22,7 @@ _SCORES_CHUNKS = _SCORES(_CHUNK_POST).replace(f"WITH {PAPERS}, ", f"WITH {CHUNKS
 
 @query("i01_jsonl_scan", "SELECT event_id, event_type, round(value, 6) AS value FROM events")
 def i01(spark, d):
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{root}/jsonl-{abs(hash(d))}"
+    path = S.fresh_path(spark, "jsonl")
     S.write_jsonl(table(spark, d, "events").select("event_id", "event_type", "value"), path)
     return S.read_jsonl(spark, path, "event_id long, event_type string, value double").withColumn("value", F.round("value", 6))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import uuid
 import zipfile
 
@@ -18,10 +19,12 @@ def held(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the checkpoint folder, which driver and executors share and which must be set."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under the checkpoint folder, which driver and executors share; it must be set, but in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(root := "file://" + tempfile.mkdtemp(prefix="litgrid-"))  # tests on one machine
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -94,20 +97,6 @@ def read_archives(spark: SparkSession, path: str, suffix: str = ".json") -> Data
     return unpacked(spark.read.format("binaryFile").load(path), suffix)
 
 
-def packed(rows: DataFrame, key: str, content: str, per: int = 100) -> DataFrame:
-    """path, content: zip files of about `per` members each, named key.json; a hash of the key deals them out."""
-
-    def pack(x: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for k, text in sorted(zip(x[key], x[content], strict=True)):
-                z.writestr(f"{k}.json", text)
-        return pd.DataFrame({"path": [f"{x['_part'].iloc[0]}.zip"], "content": [out.getvalue()]})
-
-    parts = max(1, rows.count() // per)
-    return rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))).groupBy("_part").applyInPandas(pack, "path string, content binary")
-
-
 def uuid5(namespace: str, name: Column) -> Column:
     """The name-based identifier of RFC 9562, version 5, from the namespace's UUID."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))

@@ -1,5 +1,6 @@
 """Operators with an algorithm of their own, against plain versions."""
 
+import os
 import random
 
 import numpy as np
@@ -218,3 +219,80 @@ def test_paged_scan_of_nothing(spark):
 
     scan = paging.PagedScan(spark, spark.createDataFrame([], "key long"), "key", fresh_path(spark, "scan"), 4)
     assert scan.run() == scan.pages and scan.result().count() == 0
+
+
+# ---- archives
+
+
+def test_archives_in_ranges(spark, tmp_path):
+    import zipfile
+
+    from litgrid.sources import archives
+
+    texts = {f"{k:03d}.json": f'{{"k": {k}, "t": "{"é" * k}{random.random()}"}}' for k in range(60)}
+    for a in range(3):
+        (tmp_path / f"sub{a}").mkdir()
+        with zipfile.ZipFile(tmp_path / f"sub{a}" / f"a{a}.zip", "w", zipfile.ZIP_DEFLATED if a else zipfile.ZIP_STORED) as z:
+            z.mkdir("folder")
+            for k, (name, text) in enumerate(texts.items()):
+                if k % 3 == a:
+                    z.writestr(name, text)
+            z.writestr(f"note{a}.txt", "a note")
+    (tmp_path / "none.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w"):
+        pass
+    raw = (tmp_path / "sub0" / "a0.zip").read_bytes()
+    at = raw.index(texts["030.json"].encode())
+    (tmp_path / "sub0" / "a0.zip").write_bytes(raw[:at] + b"XX" + raw[at + 2 :])  # one member's sum is wrong
+
+    df = archives.members(spark, f"file://{tmp_path}", 300)
+    rows = {(r["archive"], r["member"]): r for r in df.collect()}
+    assert rows["none.zip", None]["error"].startswith("archive:") and rows["a0.zip", "030.json"]["content"] is None and rows["a0.zip", "030.json"]["error"].startswith("member:")
+    good = {m: r["content"] for (_, m), r in rows.items() if m and m.endswith(".json") and r["error"] is None}
+    assert good == {k: v for k, v in texts.items() if k != "030.json"} and sum(m is not None and m.startswith("note") for _, m in rows) == 3
+    assert df.rdd.getNumPartitions() > 6
+    reader = archives.ArchiveReader({"path": str(tmp_path), "range": "300"})
+    left = list(reader.pushFilters([archives.StringEndsWith(("member",), ".txt"), archives.EqualTo(("archive",), "a1.zip")]))
+    assert [type(f).__name__ for f in left] == ["EqualTo"] and sorted(n for p in reader.partitions() for n in p.names) == ["note0.txt", "note1.txt", "note2.txt"]
+    assert sorted(r["member"] for r in df.where("member like '%.txt' and archive = 'a1.zip'").collect()) == ["note1.txt"]
+    assert archives.members(spark, f"{tmp_path}/nothing").count() == 0
+
+
+# ---- point tables and streams
+
+
+def test_point_table_rewrites_touched_buckets(spark, tmp_path):
+    import glob
+
+    from litgrid.sources.points import PointTable
+
+    rows = lambda ids, tag: spark.createDataFrame([(f"p{i}", [float(i)], tag, k) for k, i in enumerate(ids)], "point_id string, vector array<double>, venue string, at long")
+    table = PointTable(spark, f"file://{tmp_path}/points", 16)
+    table.write(rows(range(400), "old").unionByName(spark.createDataFrame([(None, None, "none", 1)], "point_id string, vector array<double>, venue string, at long")))
+    files = {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_path}/points/bucket=*/*.parquet")}
+    new = rows([3, 3, 7, 9000], "new")
+    counts = {r["bucket"]: (r["before"], r["after"]) for r in table.upsert(new, "at").collect()}
+    found = {r["point_id"]: (r["venue"], r["at"], r["vector"]) for r in table.read().collect()}
+    assert len(found) == table.read().count() == 401 and found["p3"] == ("new", 1, [3.0]) and found["p9000"][0] == "new" and found["p8"][0] == "old"
+    kept = {f for f in glob.glob(f"{tmp_path}/points/bucket=*/*.parquet") if f in files}
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in files if f not in kept} <= set(counts) and len(counts) <= 3 and len(kept) >= 13
+    assert sum(after - before for before, after in counts.values()) == 1
+    assert table.upsert(new.limit(0)).count() == 0 and table.read().count() == 401
+
+
+def test_late_rows_and_compaction(spark, tmp_path):
+    import datetime
+
+    from litgrid.streaming.streams import LastRows
+
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    batches = [[("a", 1, day(10)), ("b", 2, day(1)), ("a", 0, day(2))], [("a", 5, day(9)), ("c", 6, day(8)), ("b", 7, day(1))], [("c", 3, day(12)), ("d", 4, None)], [("d", 9, day(11)), ("a", 8, day(9))], [("e", 10, day(13))]]
+    keeper = LastRows(spark, f"file://{tmp_path}/t", ["k"], "n", "ts", "2 days", compact=2)
+    for b in batches:
+        spark.createDataFrame(b, "k string, n long, ts timestamp").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        keeper.run(spark.readStream.schema("k string, n long, ts timestamp").parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/state")
+    assert sorted((r["k"], r["n"]) for r in keeper.rows().collect()) == [("a", 5), ("b", 2), ("c", 6), ("d", 9), ("e", 10)]
+    assert sorted((r["k"], r["n"], r["batch"]) for r in keeper.late().collect()) == [("a", 8, 3), ("b", 7, 1)]
+    assert keeper._numbers("snapshots", "upto") == [1, 3]
+    keeper._batch(spark.createDataFrame(batches[4], "k string, n long, ts timestamp"), 4)  # a repeated batch changes nothing
+    assert keeper.rows().count() == 5 and keeper.late().count() == 2
