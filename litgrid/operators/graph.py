@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.sources.tables import small
+from litgrid.sources.tables import held, small
 
+from .components import spread_join
 from .rank import top_k
 
 
@@ -29,9 +30,17 @@ def concepts(docs: DataFrame, key: str, words: Column, hints: DataFrame, limit:
     return best.select(key, "phrase", "n", F.least(F.lit(1.0), 0.55 + 0.08 * F.col("n")).alias("confidence"))
 
 
+def _by_concept(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """rows joined with all of asked that have their key. What is asked of a key becomes one row, so that a key that very
+    many rows share meets it by broadcast (spread_join), and its rows are opened where they are."""
+    others = [c for c in asked.columns if c != key]
+    each = asked.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("_asked"))
+    return spread_join(rows, held(each), key).withColumn("_one", F.explode("_asked")).select("*", *(F.col(f"_one.{c}").alias(c) for c in others)).drop("_asked", "_one")
+
+
 def concept_search(asked: DataFrame, mentions: DataFrame, least: float, k: int) -> DataFrame:
     """qid, paper_id, support, score, rank. asked: qid, concept; score is 1.2 times the different concepts plus confidences."""
-    found = mentions.where(F.col("confidence") >= least).join(asked, "concept").groupBy("qid", "paper_id").agg(F.count_distinct("concept").alias("support"), F.sum("confidence").alias("total"))
+    found = _by_concept(mentions.where(F.col("confidence") >= least), asked.select("concept", "qid"), "concept").groupBy("qid", "paper_id").agg(F.count_distinct("concept").alias("support"), F.sum("confidence").alias("total"))
     scored = found.withColumn("score", 1.2 * F.col("support") + F.col("total"))
     return top_k(scored.drop("total"), ["qid"], [F.desc(F.round("score", 6)), F.desc("paper_id")], k)
 
@@ -39,12 +48,13 @@ def concept_search(asked: DataFrame, mentions: DataFrame, least: float, k: int)
 def expand(seeds: DataFrame, relations: list[tuple[str, DataFrame, float]], n: int, k: int) -> DataFrame:
     """qid, paper_id, score, relations, rank: neighbours of the seeds (qid, paper_id), seeds themselves left out.
 
-    Each relation is a name, edges (source, target) and a weight. Of each relation the n neighbours with most support
-    are kept before the relations are added up.
+    Each relation is a name, edges (source, target) or neighbours (qid, target, support), and a weight. Of each relation the
+    n neighbours with most support are kept before the relations are added up; each task keeps its own n before any
+    row leaves it.
     """
     found = None
     for name, edges, weight in relations:
-        near = seeds.join(edges.select(F.col("source").alias("paper_id"), "target"), "paper_id").groupBy("qid", "target").agg(F.count("*").alias("support"))
+        near = edges if "qid" in edges.columns else seeds.join(edges.select(F.col("source").alias("paper_id"), "target"), "paper_id").groupBy("qid", "target").agg(F.count("*").alias("support"))
         near = near.join(seeds.withColumnRenamed("paper_id", "target"), ["qid", "target"], "left_anti")
         near = top_k(near, ["qid"], [F.desc("support"), F.asc("target")], n).select("qid", F.col("target").alias("paper_id"), "support", F.lit(name).alias("relation"), (weight * F.greatest(F.lit(1), F.col("support"))).alias("score"))
         found = near if found is None else found.unionByName(near)
@@ -88,7 +98,7 @@ def alias_search(asked: DataFrame, known: DataFrame, named: DataFrame, relations
     asked = small(asked)
     direct = known.join(asked, known["alias"] == asked["term"]).select("qid", "paper_id", "concept_id", F.col("alias").alias("term"), (weight * F.col("confidence")).alias("score"), "relation")
     found = direct.select("qid", "concept_id", "term", F.col("paper_id").alias("own")).distinct()
-    others = known.select("paper_id", "concept_id", "confidence").join(small(found), "concept_id").where("paper_id <> own")
+    others = _by_concept(known.select("paper_id", "concept_id", "confidence"), found, "concept_id").where("paper_id <> own")
     others = others.select("qid", "paper_id", "term", (0.5 * F.col("confidence")).alias("score"), F.lit("alias_to_concept_mentions").alias("relation"))
     plain = named.join(asked, named["phrase"] == asked["term"]).select("qid", "paper_id", "term", (0.25 * F.col("confidence")).alias("score"), F.lit("concept").alias("relation"))
     every = direct.drop("concept_id").unionByName(others).unionByName(plain)
@@ -97,6 +107,12 @@ def alias_search(asked: DataFrame, known: DataFrame, named: DataFrame, relations
 
 
 def sharing(seeds: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Edges (source, target) from seed papers to papers that mention the same concept, one for each concept they share."""
-    own = seeds.select("paper_id").distinct().join(mentions, "paper_id").select(F.col("paper_id").alias("source"), "concept")
-    return own.join(mentions.select(F.col("paper_id").alias("target"), "concept"), "concept").where("source <> target").select("source", "target")
+    """qid, target, support: papers by how many concepts they share with seeds (qid, paper_id), a concept counting for each.
+
+    A query's seeds are counted by concept before papers are met, so a concept that very many papers mention leads to each
+    of them once a query, and not once a seed; its papers stay where they are (see _by_concept). Seeds are among the
+    targets, without their own mentions being told apart; expand leaves seeds out.
+    """
+    own = seeds.select("qid", "paper_id").distinct().join(mentions, "paper_id").groupBy("concept", "qid").agg(F.count("*").alias("n"))
+    met = _by_concept(mentions.select(F.col("paper_id").alias("target"), "concept"), own, "concept")
+    return met.groupBy("qid", "target").agg(F.sum("n").alias("support"))

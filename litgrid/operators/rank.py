@@ -126,3 +126,11 @@ def rerank_fusion(model: Column, heuristic: Column, alias: Column, source: Colum
     """(1 - w) model + w heuristic with w = min(.75, .25 + .35 alias + .35 source)."""
     w = F.least(F.lit(0.75), 0.25 + 0.35 * alias + 0.35 * source)
     return (1 - w) * model + w * heuristic
+
+
+def merge_head(pool: DataFrame, reranked: DataFrame, protect: int = 0) -> DataFrame:
+    """qid, paper_id, place: the pool's first `protect` rows, then the reranked rows in their order, then the rest of the
+    pool, each paper once. pool: qid, paper_id, rank; reranked: qid, paper_id, rerank, which may hold papers beyond the pool."""
+    both = pool.select("qid", "paper_id", "rank").join(reranked.select("qid", "paper_id", "rerank"), ["qid", "paper_id"], "full")
+    block = F.when(F.col("rank") <= protect, F.struct(F.lit(0).alias("block"), F.col("rank").cast("long").alias("at"))).when(F.col("rerank").isNotNull(), F.struct(F.lit(1).alias("block"), F.col("rerank").cast("long").alias("at"))).otherwise(F.struct(F.lit(2).alias("block"), F.col("rank").cast("long").alias("at")))
+    return both.select("qid", "paper_id", F.row_number().over(Window.partitionBy("qid").orderBy(block)).alias("place"))

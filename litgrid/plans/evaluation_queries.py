@@ -6,15 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import dictionary, evaluate, fuse, index, intent, rank, understand
+from litgrid.operators import dictionary, evaluate, fuse, index, intent, rank, select, understand
 from litgrid.sources.tables import held, small
 
 from .fixtures import BENCHMARK_QUERIES, GOLD, PAPERS, benchmark_queries, gold, papers, table, title_sql, tokens_sql
 from .intent_queries import _ALL as _QALL
 from .intent_queries import _KEEP, HIGH, LOW, SUFFIXES, _list, phrases, terms
-from .ranking_queries import _FEATURES, _K, placed
+from .ranking_queries import _FEATURES, _K, _for_lanes, placed
 from .registry import query
-from .search_queries import _ALL, _WIDE, _bodies, _titles, gold2, pool, ranked
+from .search_queries import _ALL, _WIDE, NAMES, _bodies, _titles, gold2, pool, ranked
 from .understanding_queries import INTENTS, asked, intents
 
 c = F.col
@@ -85,6 +85,16 @@ def a13(spark, d):
     return x.groupBy("qid").agg(F.count("*").alias("candidates"), F.count_if(kept).alias("selected"), F.round(F.count_if(kept) / F.count("*"), 6).alias("ratio"), *(F.count_if(kept & (reason == r)).alias(r) for r in ("head", "multi_source", "other")), *(F.count_if(kept & c(f"r_{s}").isNotNull()).alias(s) for s in ("dense", "api")))
 
 
+@query("a13_selection_reasons")
+def a13_reasons(spark, d):
+    """Rows by the reason for which the lanes selected them, and by the sources that they stand in."""
+    chosen = select.lanes(_for_lanes(spark, d))
+    sources = placed(spark, d).select("qid", "paper_id", F.array_compact(F.array(*(F.when(c(f"r_{s}").isNotNull(), s) for s in NAMES))).alias("sources"))
+    rows = chosen.join(sources, ["qid", "paper_id"])
+    by_reason = rows.groupBy("qid", F.lit("reason").alias("part"), c("reason").alias("name")).agg(F.count("*").alias("n"))
+    return by_reason.unionByName(rows.select("qid", F.explode("sources").alias("name")).groupBy("qid", F.lit("source").alias("part"), "name").agg(F.count("*").alias("n")))
+
+
 @query("a16_proportional_sample", """WITH s AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), e AS (SELECT *, least(500, sum(n) OVER ()) AS target, least(500, sum(n) OVER ()) * n / sum(n) OVER () AS exact, count(*) OVER () AS k FROM s), b AS (SELECT *, greatest(least(n, floor(exact)), CASE WHEN target >= k THEN 1 ELSE 0 END) AS base, round(exact - least(n, floor(exact)), 9) AS rest FROM e),
     q AS (SELECT o_orderstatus, o_orderpriority, base + greatest(0, least(n - base, (target - sum(base) OVER ()) - coalesce(sum(n - base) OVER (ORDER BY rest DESC, o_orderstatus, o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota FROM b)
     SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS turn FROM orders) JOIN q USING (o_orderstatus, o_orderpriority) WHERE turn <= quota""")

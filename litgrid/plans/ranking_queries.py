@@ -263,11 +263,17 @@ def k19(spark, d):
     return x.where("(ok = 1 AND i <= 3) OR (any_ok = 0 AND i = 1)").select("qid", "paper_id")
 
 
-@query("k15_merge_head", f"{_K} qid, paper_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 5 THEN 0 WHEN preselect >= 1.2 THEN 1 ELSE 2 END, rank) AS place FROM feat WHERE rank <= 60")
+_FUSED_HEAD = "qid, paper_id, round((1 - w) * model + w * score + 1e-9, 6)::DOUBLE AS score FROM (SELECT *, least(0.75::DOUBLE, 0.25 + 0.35 * least(1.0, strong_alias) + 0.35 * least(1.0, n_sources / 4.0)) AS w, ((paper_id * 7919) % 1000) / 1000.0 AS model FROM feat WHERE rank <= 120 AND paper_id % 9 <> 0)"
+
+
+@query("k15_merge_head", f"WITH {_FEATURES}, rr AS (SELECT * FROM (SELECT qid, paper_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, paper_id) AS rerank FROM (SELECT {_FUSED_HEAD})) WHERE rerank <= 40), u AS (SELECT coalesce(p.qid, rr.qid) AS qid, coalesce(p.paper_id, rr.paper_id) AS paper_id, rank, rerank FROM (SELECT * FROM feat WHERE rank <= 60) p FULL JOIN rr ON rr.qid = p.qid AND rr.paper_id = p.paper_id) SELECT qid, paper_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 5 THEN 0 WHEN rerank IS NOT NULL THEN 1 ELSE 2 END, CASE WHEN rank <= 5 OR rerank IS NULL THEN rank ELSE rerank END) AS place FROM u")
 def k15(spark, d):
-    # the protected head, then what a second ranking puts to the front, then the pool
-    key = F.when(c("rank") <= 5, 0).when(c("preselect") >= 1.2, 1).otherwise(2)
-    return placed(spark, d).where("rank <= 60").select("qid", "paper_id", F.row_number().over(Window.partitionBy("qid").orderBy(key, "rank")).cast("long").alias("place"))
+    """The pool's first five, then the forty best that a model scored, by fused score, then the pool."""
+    scores = table(spark, d, "part").where("p_partkey % 9 <> 0").select(c("p_partkey").alias("paper_id"), ((c("p_partkey") * 7919) % 1000 / 1000.0).alias("model"))
+    x = held(placed(spark, d))
+    fused = F.round(rank.rerank_fusion(c("model"), c("score"), F.least(F.lit(1.0), "strong_alias"), F.least(F.lit(1.0), c("n_sources") / 4.0)) + 1e-9, 6)
+    head = rank.top_k(x.where("rank <= 120").join(scores, "paper_id").select("qid", "paper_id", fused.alias("fused")), ["qid"], [F.desc("fused"), F.asc("paper_id")], 40, "rerank")
+    return rank.merge_head(x.where("rank <= 60"), head, 5).withColumn("place", c("place").cast("long"))
 
 
 @query("k26_candidate_limits", f"{_K} qid, count(*) FILTER (rank <= 500) AS pool, count(*) FILTER (rank <= 120) AS reranked, count(*) FILTER (rank <= least(20, any_q)) AS protected, count(*) FILTER (rank <= greatest(20, least(any_n, 120))) AS kept FROM (SELECT *, CASE WHEN {_one} THEN 12 ELSE 8 END AS any_q, count(*) OVER (PARTITION BY qid) AS any_n FROM feat) GROUP BY qid")

@@ -46,10 +46,18 @@ def _bm25(spark, d, k: int = 20):
     return index.bm25(_terms(spark, d), _bodies(spark, d), k)
 
 
-@query("r01_corpus_views", f"WITH {PAPERS}, {CHUNKS} SELECT p.paper_id, md5(title) AS title_doc, md5(coalesce(c.text, title || ' ' || abstract)) AS chunk_doc FROM papers p LEFT JOIN (SELECT paper_id, string_agg(text, ' ' ORDER BY chunk_index) AS text FROM chunks WHERE chunk_index < 4 GROUP BY paper_id) c ON c.paper_id = p.paper_id")
+_JOINED = "string_agg(text, chr(10) ORDER BY chunk_index) AS text, string_agg(text, ' ' ORDER BY chunk_index) FILTER (chunk_index < 2) AS two"
+
+
+@query("r01_corpus_views", f"WITH {PAPERS}, {CHUNKS} SELECT p.paper_id, md5(title) AS title_doc, md5(coalesce(c.text, title || chr(10) || abstract)) AS chunk_doc, md5(title || chr(10) || abstract || chr(10) || coalesce(two, '')) AS semantic_doc FROM papers p LEFT JOIN (SELECT paper_id, {_JOINED} FROM chunks WHERE chunk_index < 4 GROUP BY paper_id) c ON c.paper_id = p.paper_id")
 def r01(spark, d):
-    joined = chunks(spark, d).where("chunk_index < 4").groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return papers(spark, d).join(joined, "paper_id", "left").select("paper_id", F.md5("title").alias("title_doc"), F.md5(F.coalesce("text", F.concat_ws(" ", "title", "abstract"))).alias("chunk_doc"))
+    """Title, chunk text (of a paper without chunks: title and abstract), and title, abstract and two chunks."""
+    in_order = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    few = chunks(spark, d).where("chunk_index < 4").groupBy("paper_id").agg(in_order.alias("x"))
+    texts = lambda x: F.transform(x, lambda s: s["text"])
+    joined = few.select("paper_id", F.array_join(texts("x"), "\n").alias("text"), F.array_join(texts(F.filter("x", lambda s: s["chunk_index"] < 2)), " ").alias("two"))
+    semantic = F.concat("title", F.lit("\n"), "abstract", F.lit("\n"), F.coalesce("two", F.lit("")))
+    return papers(spark, d).join(joined, "paper_id", "left").select("paper_id", F.md5("title").alias("title_doc"), F.md5(F.coalesce("text", F.concat_ws("\n", "title", "abstract"))).alias("chunk_doc"), F.md5(semantic).alias("semantic_doc"))
 
 
 @query("r02_inverted_index", f"WITH {PAPERS}, {_POST} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY token")

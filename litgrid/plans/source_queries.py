@@ -12,7 +12,7 @@ from litgrid.sources import tables as S
 from litgrid.sources.points import PointTable
 from litgrid.streaming import streams
 
-from .fixtures import CHUNKS, PAPERS, chunks, cited_papers, papers, space_sql, table, title_sql
+from .fixtures import CHUNKS, PAPERS, chunks, cited_papers, papers, space_sql, table, title_sql, tokens_sql
 from .graph_queries import _ALIASES, _EDGES, _SECTIONS, aliases, edges, references, sections
 from .registry import query
 
@@ -87,13 +87,11 @@ def i10(spark, d):
     return found.select(row).select("r.doc_id", "r.lang", F.md5("r.text").alias("text"))
 
 
-@query("i13_bulk_load", f"WITH {CHUNKS}, l AS (SELECT l_partkey % 50 AS id, arg_max(l_orderkey, struct_pack(a := l_orderkey, b := l_linenumber)) AS body FROM lineitem GROUP BY 1) SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(['o' || body % 7, 'o' || body % 11]) AS token FROM l) GROUP BY ALL")
+@query("i13_bulk_load", f"WITH {CHUNKS}, l AS (SELECT paper_id AS id, arg_max(text, chunk_index) AS body FROM chunks GROUP BY 1) SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('body')}) AS token FROM l) GROUP BY ALL")
 def i13(spark, d):
-    """Postings of rows loaded by id: the last row of an id replaces the earlier ones before it is indexed."""
-    rows = table(spark, d, "lineitem").withColumn("id", c("l_partkey") % 50)
-    last = S.latest(rows, ["id"], [F.desc("l_orderkey"), F.desc("l_linenumber")])
-    body = F.concat_ws(" ", F.concat(F.lit("o"), c("l_orderkey") % 7), F.concat(F.lit("o"), c("l_orderkey") % 11))
-    return index.postings(last, "id", body, ()).select(c("doc_id").alias("id"), "token", "tf")
+    """Postings of rows loaded by id: a paper's chunks come as its rows, and the last replaces the earlier ones before it is indexed."""
+    last = S.latest(chunks(spark, d), ["paper_id"], [F.desc("chunk_index")])
+    return index.postings(last, "paper_id", c("text")).select(c("doc_id").alias("id"), "token", "tf")
 
 
 _GRAPH = f"WITH {CHUNKS}, {PAPERS}, {_SECTIONS}, {_EDGES}, {_ALIASES}"

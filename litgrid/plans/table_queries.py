@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import graph, index
+from litgrid.operators import graph, index, training
 from litgrid.sources import paging
 from litgrid.sources import tables as S
 
@@ -154,7 +154,7 @@ _HINTS = f"hints AS (SELECT token AS word FROM (SELECT DISTINCT doc_id, unnest(w
     SELECT doc_id, phrase, n, round(least(1.0, 0.55 + 0.08 * n), 6)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, phrase) AS i FROM n SEMI JOIN h USING (phrase)) WHERE i <= 12""")
 def g01(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.tokens(c("text")).alias("w"))
-    hints = docs.select("doc_id", F.explode("w").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("df")).where("df between 20 and 60")
+    hints = docs.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df")).where("df between 20 and 60")
     return graph.concepts(docs, "doc_id", c("w"), hints).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -169,9 +169,22 @@ def g08(spark, d):
     return S.latest(table(spark, d, "lineitem"), ["l_suppkey", "l_partkey"], [F.desc("l_orderkey"), F.desc("l_linenumber")]).select("l_suppkey", "l_partkey", c("l_quantity").alias("quantity"))
 
 
-@query("g09_graph_statistics", f"WITH {_MENTIONS}, {_CITES} SELECT 'mentions' AS store, count(*) AS n FROM mentions UNION ALL SELECT 'cites', count(*) FROM cites")
+_REFS = f"refs AS (SELECT r.page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS title FROM pages) r LEFT JOIN (SELECT {title_sql('title')} AS norm, min(paper_id) AS target FROM papers GROUP BY 1) m ON norm = {title_sql('r.title')} AND norm <> '')"
+
+
+@query("g09_graph_statistics", f"""WITH {_MENTIONS}, {_CITES}, {PAPERS}, {_REFS}, s AS (SELECT 'edge' AS kind, 'mentions' AS name, count(*)::DOUBLE AS n FROM mentions UNION ALL SELECT 'edge', 'cites', count(*) FROM cites UNION ALL SELECT 'edge', 'references', count(*) FROM refs UNION ALL SELECT 'edge', 'resolves_to', count(target) FROM refs
+    UNION ALL SELECT 'node', 'concept', count(DISTINCT concept) FROM mentions UNION ALL SELECT 'node', 'paper', count(*) FROM papers UNION ALL SELECT 'node', 'page', count(*) FROM pages UNION ALL SELECT 'share', 'resolved', coalesce(count(target) / nullif(count(*), 0), 0) FROM refs) SELECT kind, name, round(n, 6) AS n FROM s""")
 def g09(spark, d):
-    return S.counts({"mentions": mentions(spark, d), "cites": cites(spark, d)})
+    """Counts of each kind of node and edge, and the share of references that lead to a paper."""
+    refs = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("title"))
+    resolved = graph.resolve(refs, "title", papers(spark, d).select("paper_id", "title")).agg(F.count("*").alias("references"), F.count("target_paper_id").alias("resolves_to"))
+    known = mentions(spark, d).agg(F.count("*").alias("mentions"), F.count_distinct("concept").alias("concept"))
+    rows = lambda df, **kinds: df.select(F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col(name).cast("double").alias("n")) for name, kind in kinds.items()))).alias("x")).select("x.*")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    out = rows(known, mentions="edge", concept="node").unionByName(rows(one(cites(spark, d), "cites"), cites="edge"))
+    out = out.unionByName(rows(one(table(spark, d, "documents"), "paper"), paper="node")).unionByName(rows(one(table(spark, d, "pages"), "page"), page="node"))
+    share = F.coalesce(c("resolves_to") / F.nullif(c("references"), F.lit(0)), F.lit(0.0))
+    return out.unionByName(rows(resolved.withColumn("resolved", share), references="edge", resolves_to="edge", resolved="share")).select("kind", "name", F.round("n", 6).alias("n"))
 
 
 # ---- training sets
@@ -184,6 +197,16 @@ def t01(spark, d):
     return x.select("conv_id", "turn", F.md5("text").alias("query"), F.md5("next.text").alias("document"))
 
 
+@query("t01_selection_chats", f"""WITH {PAPERS}, x AS (SELECT p.doc_id, trim(title) AS title, {space_sql('abstract')} AS abstract, venue AS query, l.quality AS label FROM papers p JOIN labels l USING (doc_id)) SELECT doc_id, query, md5(title) AS title, md5('Title: ' || title || CASE WHEN abstract = '' THEN '' WHEN length(abstract) <= 300 THEN chr(10) || 'Abstract: ' || abstract ELSE chr(10) || 'Abstract: ' || rtrim(substr(abstract, 1, 297)) || '...' END) AS document, CAST(label AS INTEGER) AS label FROM x WHERE title <> '' AND label IS NOT NULL""")
+def t01_chats(spark, d):
+    """Saved selection chats, one of each paper, parsed back into query, document and label; undecided ones go."""
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    user = F.concat(F.lit("Judge this paper.\nTitle: "), "title", F.lit("\nAbstract: "), "abstract", F.lit("\n\nUser Query: "), "venue", F.lit("\n\nOutput format: True or False"))
+    answer = F.when(c("quality") == 1, "Decision: True\nIt fits.").when(c("quality") == 0, " false, it does not").otherwise("It depends.")
+    chats = papers(spark, d).join(labels, "doc_id", "left").select("doc_id", user.alias("user"), answer.alias("assistant"))
+    return training.parsed_chats(chats, 300).select("doc_id", "query", F.md5("title").alias("title"), F.md5("document").alias("document"), "label")
+
+
 def _hash_order(seed: str, *keys: str):
     return [F.sha1(F.concat(*(c(k).cast("string") for k in keys), F.lit(seed))), *keys]
 

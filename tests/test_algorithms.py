@@ -296,3 +296,41 @@ def test_late_rows_and_compaction(spark, tmp_path):
     assert keeper._numbers("snapshots", "upto") == [1, 3]
     keeper._batch(spark.createDataFrame(batches[4], "k string, n long, ts timestamp"), 4)  # a repeated batch changes nothing
     assert keeper.rows().count() == 5 and keeper.late().count() == 2
+
+
+# ---- graph
+
+
+def test_a_concept_of_very_many_papers(spark):
+    """Rows as by plain joins, and no task with most of the busy concept's papers."""
+    from litgrid.operators import graph
+
+    random.seed(9)
+    mentions = [(p, "busy") for p in range(30_000)] + [(p, f"c{random.randrange(3000)}") for p in range(6000)]
+    seeds = [(q, random.randrange(6000)) for q in range(6) for _ in range(3)]
+    df = spark.createDataFrame(sorted(set(mentions)), "paper_id long, concept string").repartition(8)
+    near = graph.sharing(spark.createDataFrame(seeds, "qid long, paper_id long"), df)
+    of = {}
+    for p, x in set(mentions):
+        of.setdefault(p, set()).add(x)
+    found = {(r["qid"], r["target"]): r["support"] for r in near.collect()}
+    for q in range(6):
+        own = {p for i, p in seeds if i == q}
+        for target in random.sample(range(30_000), 300):
+            if target not in own:
+                assert found[q, target] == sum(len(of[target] & of[p]) for p in own)
+    met = graph._by_concept(df, spark.createDataFrame([("busy", 1), ("busy", 2), ("c1", 1)], "concept string, qid long"), "concept")
+    sizes = [r["n"] for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) >= 60_000 and max(sizes) < 15_000
+    weights = df.withColumn("confidence", F.lit(0.9))
+    top = graph.concept_search(spark.createDataFrame([(1, "busy"), (1, "c1"), (2, "c2")], "qid long, concept string"), weights, 0.5, 5).collect()
+    assert {r["qid"] for r in top} == {1, 2} and len(top) == 10 - max(0, 5 - sum(x == "c2" for _, x in set(mentions)))
+
+
+def test_saved_chats(spark):
+    from litgrid.operators import training
+
+    ask = lambda title, abstract, query: f"Judge.\nTitle: {title}\nAbstract: {abstract}\n\nUser Query: {query}\n\nOutput format: x"
+    rows = [(1, ask("A title", "some  text\nin lines " * 9, "what"), "decision: TRUE\nas it fits"), (2, ask("T", "", "q"), " False."), (3, ask("T", "a", "q"), "It is true"), (4, ask("", "a", "q"), "True"), (5, ask("T", "a", ""), "True"), (6, None, "True"), (7, ask("T", "a", "q"), None), (8, ask("T", "a", "q"), "Trueish")]
+    found = {r["id"]: (r["query"], r["title"], r["document"], r["label"]) for r in training.parsed_chats(spark.createDataFrame(rows, "id long, user string, assistant string"), 40).collect()}
+    assert found == {1: ("what", "A title", "Title: A title\nAbstract: some text in lines some text in lines...", 1), 2: ("q", "T", "Title: T", 0)}
