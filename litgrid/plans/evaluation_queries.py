@@ -6,15 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import dictionary, evaluate, fuse, index, intent, rank, select, understand
+from litgrid.operators import dictionary, evaluate, fuse, index, intent, rank, rounds, select, understand
 from litgrid.sources.tables import held, small
 
-from .fixtures import BENCHMARK_QUERIES, GOLD, PAPERS, benchmark_queries, gold, papers, table, title_sql, tokens_sql
+from .fixtures import BENCHMARK_QUERIES, GOLD, PAPERS, benchmark_queries, chunks, cited_papers, gold, papers, table, title_sql, tokens_sql
 from .intent_queries import _ALL as _QALL
 from .intent_queries import _KEEP, HIGH, LOW, SUFFIXES, _list, phrases, terms
 from .ranking_queries import _FEATURES, _K, _for_lanes, placed
 from .registry import query
-from .search_queries import _ALL, _WIDE, NAMES, _bodies, _titles, gold2, pool, ranked
+from .search_queries import _ALL, _WIDE, NAMES, _bodies, _titles, gold2, j02, pool, ranked
 from .understanding_queries import INTENTS, asked, intents
 
 c = F.col
@@ -193,24 +193,47 @@ def q19(spark, d):
 
 # ---- second round, sections of candidates
 
+def _rounds(spark, d):
+    """Four retrievers on their own texts, for any (qid, action, query): titles, chunks by their papers, whole papers by cosine,
+    and vectors given for queries."""
+    # read by each round: made once
+    titles, pieces = held(_titles(spark, d)), held(index.token_rows(chunks(spark, d), "chunk_id", c("text")))
+    post = held(index.postings(papers(spark, d), "paper_id", F.concat_ws(" ", "title", "abstract")))
+    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("doc:"), "vec_id").alias("doc_id"), "vec_id", c("embedding").alias("vector"))
+    n = titles.count()
+
+    def retrieve(queries):
+        keyed = held(queries.select(F.concat_ws("/", "qid", "action").alias("qid"), c("qid").alias("own"), c("query").alias("query_text")))
+        terms_ = held(_terms_of(keyed))
+        by_chunk = index.bm25_scores(terms_, pieces).groupBy("qid", F.substring_index("doc_id", "#", 1).alias("doc_id")).agg(F.max("score").alias("score"))
+        given = keyed.join(vectors.drop("doc_id"), c("own") == c("vec_id")).select("qid", "vector")
+        found = {"title_bm25": index.bm25(terms_, titles, 40), "chunk_bm25": rank.top_k(by_chunk, ["qid"], [F.desc(F.round("score", 9)), F.asc("doc_id")], 40), "tfidf": index.tfidf_cosine(terms_, post, n, 40), "dense": index.dense_top_k(given, vectors.select("doc_id", "vector"), 40)}
+        out = None
+        for source, x in found.items():
+            one = x.select("qid", c("doc_id").alias("paper_id"), "score", F.lit(source).alias("source"))
+            out = one if out is None else out.unionByName(one)
+        key = F.split("qid", "/")
+        return out.select(key[0].cast("long").alias("qid"), key[1].cast("int").alias("action"), "source", "paper_id", "score")
+
+    known = held(intents(spark, d))
+    body = cited_papers(spark, d).select("paper_id", F.concat_ws(" ", "title", "abstract").alias("body"), "year", c("citation_count").alias("citations"))
+    same = j02(spark, d).select(F.concat(F.lit("doc:"), "doc_id").alias("paper_id"), F.concat(F.lit("doc:"), "entity").alias("entity"))
+    judge = lambda hits: rounds.judged(hits, known, body).select("qid", "paper_id", "rank", "score", "matched", "label", "n_sources")
+    return rounds.search(known, retrieve, judge, same)
+
+
 @query("k24_second_round")
 def k24(spark, d):
-    """Queries whose first titles are weak are asked again, by four retrievers, with recombined queries; both rounds' hits are
-    fused and ranked."""
-    rows = intents(spark, d)
-    first = held(index.bm25(_terms_of(asked(spark, d)), _titles(spark, d), 40))
-    weak = first.groupBy("qid").agg(F.max("score").alias("best")).join(rows.select("qid"), "qid", "right").where("coalesce(best, 0) < 12").select("qid")
-    again = rows.join(weak, "qid", "left_semi").select("qid", F.explode(understand.next_queries(F.slice("must_have", 1, 3))).alias("query_text"))
-    asked2 = held(_terms_of(again))
-    bodies, titles = _bodies(spark, d), _titles(spark, d)
-    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("doc:"), "vec_id").alias("doc_id"), c("embedding").alias("vector"))
-    own = vectors.join(weak.select(F.concat(F.lit("doc:"), "qid").alias("doc_id"), "qid"), "doc_id").select("qid", "vector")
-    found = {"title_bm25": index.bm25(asked2, titles, 20), "chunk_bm25": index.bm25(asked2, bodies, 20), "tfidf": index.tfidf_cosine(asked2, index.postings(papers(spark, d), "paper_id", c("title")), papers(spark, d).count(), 20), "dense": index.dense_top_k(own, vectors, 20)}
-    hits = first.select("qid", c("doc_id").alias("paper_id"), "score", F.lit("title_bm25").alias("source"), F.lit(1).alias("round"))
-    for source, x in found.items():
-        hits = hits.unionByName(x.select("qid", c("doc_id").alias("paper_id"), "score", F.lit(source).alias("source"), F.lit(2).alias("round")))
-    fused = fuse.fused(fuse.annotated(hits, ["qid", "round", "source"], [F.desc(F.round("score", 9)), F.asc("paper_id")]))
-    return rank.top_k(fused, ["qid"], [F.desc(F.round("rrf", 9)), F.asc("paper_id")], 20).select("qid", "paper_id", "rank")
+    """The twenty best of all rounds: queries whose constraints the first round's candidates miss are asked again by what is
+    missing; all hits are merged by entity, judged by all features and ranked."""
+    rows, _, _ = _rounds(spark, d)
+    return rows.where("rank <= 20").select("qid", "paper_id", F.round("score", 6).alias("score"), "label", "n_sources", "rank")
+
+
+@query("k24_round_states")
+def k24_states(spark, d):
+    """Each query after each round: its new hits, the constraints still missing, and whether it goes on."""
+    return _rounds(spark, d)[2]
 
 
 def _terms_of(queries):

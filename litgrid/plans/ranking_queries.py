@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import features, intent, rank, select, understand
+from litgrid.operators import features, intent, rank, rounds, select, understand
 from litgrid.operators.understand import Lexicon
 from litgrid.sources.tables import held
 
@@ -212,21 +212,13 @@ _COVER = f"""{_FEATURES}, mc AS (SELECT qid, m, count(*) AS n FROM (SELECT qid,
 def coverage(spark, d):
     """Per query: its constraints with the number of the first ten candidates that match each, the missing ones, how many
     candidates are highly relevant, and the next queries."""
-    rows = held(placed(spark, d).select("qid", "rank", "matched", "label"))
-    n = rows.where("rank <= 10").select("qid", F.explode("matched").alias("must")).groupBy("qid", "must").agg(F.count("*").alias("n"))
-    asked = held(intents(spark, d))
-    each = asked.select("qid", F.posexplode("must_have").alias("i", "must")).join(n, ["qid", "must"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    found = each.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "must", "n"))), lambda x: F.struct(x["must"].alias("must"), x["n"].alias("n"))).alias("counts"))
-    high = rows.groupBy("qid").agg(F.count_if(c("label") == "highly_relevant").alias("high"))
-    empty = F.array().cast("array<struct<must:string,n:bigint>>")
-    x = asked.join(found, "qid", "left").join(high, "qid").withColumn("counts", F.coalesce("counts", empty)).withColumn("missing", F.transform(F.filter("counts", lambda m: m["n"] == 0), lambda m: m["must"]))
-    return x.withColumn("next_queries", understand.next_queries(c("missing")))
+    return rounds.coverage(held(placed(spark, d).select("qid", "rank", "matched", "label")), held(intents(spark, d)))
 
 
 @query("k22_coverage_status", f"WITH {_COVER} SELECT qid, m AS must, CASE WHEN n >= 2 THEN 'covered' WHEN n = 1 THEN 'weak' ELSE 'missing' END AS status, len(mis) > 0 AND high < 5 AND len(nexts) > 0 AS go_on, CASE WHEN len(mis) > 0 AND high < 5 AND len(nexts) > 0 THEN 'constraints missing' WHEN high >= 5 THEN 'enough found' ELSE 'no next query' END AS reason FROM cs JOIN cover USING (qid)")
 def k22(spark, d):
     x = coverage(spark, d)
-    go = (F.size("missing") > 0) & (c("high") < 5) & (F.size("next_queries") > 0)
+    go = rounds.goes_on()
     rows = x.select("qid", go.alias("go_on"), F.when(go, "constraints missing").when(c("high") >= 5, "enough found").otherwise("no next query").alias("reason"), F.explode("counts").alias("m"))
     return rows.select("qid", c("m.must").alias("must"), F.when(c("m.n") >= 2, "covered").when(c("m.n") == 1, "weak").otherwise("missing").alias("status"), "go_on", "reason")
 

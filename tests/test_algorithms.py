@@ -334,3 +334,60 @@ def test_saved_chats(spark):
     rows = [(1, ask("A title", "some  text\nin lines " * 9, "what"), "decision: TRUE\nas it fits"), (2, ask("T", "", "q"), " False."), (3, ask("T", "a", "q"), "It is true"), (4, ask("", "a", "q"), "True"), (5, ask("T", "a", ""), "True"), (6, None, "True"), (7, ask("T", "a", "q"), None), (8, ask("T", "a", "q"), "Trueish")]
     found = {r["id"]: (r["query"], r["title"], r["document"], r["label"]) for r in training.parsed_chats(spark.createDataFrame(rows, "id long, user string, assistant string"), 40).collect()}
     assert found == {1: ("what", "A title", "Title: A title\nAbstract: some text in lines some text in lines...", 1), 2: ("q", "T", "Title: T", 0)}
+
+
+# ---- rounds
+
+
+def test_rounds_against_a_plain_loop(spark):
+    """Ten queries: what is asked, met and merged in each round, and where each query stops."""
+    from litgrid.operators import rounds
+
+    random.seed(11)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    docs = {f"p{k}": set(random.sample(words, random.randint(1, 2))) for k in range(30)}
+    entity = {p: f"p{int(p[1:]) // 2 * 2}" for p in docs}  # two papers each are one
+    texts = {f"p{k}": docs[f"p{k}"] for k in range(0, 30, 2)}
+    musts = {q: random.sample(words + ["missing one", "absent"], random.randint(0, 3)) for q in range(10)}
+    intents = spark.createDataFrame([(q, random.choice(words), m, ["field"], ["soft"], [f"sub {q}"]) for q, m in musts.items()], "qid long, clean string, must_have array<string>, fields array<string>, soft array<string>, sub_queries array<string>")
+    clean = {r["qid"]: r["clean"] for r in intents.collect()}
+    table = spark.createDataFrame([(p, sorted(w)) for p, w in docs.items()], "paper_id string, words array<string>")
+    own = spark.createDataFrame([(p, sorted(w)) for p, w in texts.items()], "paper_id string, words array<string>")
+
+    def retrieve(queries):
+        score = F.size(F.array_intersect(F.split("query", " "), "words"))
+        return queries.join(table, score > 0).select("qid", "action", F.lit("title_bm25").alias("source"), "paper_id", score.cast("double").alias("score"))
+
+    def judge(hits):
+        rows = hits.groupBy("qid", "paper_id").agg(F.max("score").alias("score")).join(own, "paper_id").join(intents.select("qid", "must_have"), "qid")
+        rows = rows.withColumn("matched", F.array_intersect("must_have", "words")).withColumn("label", F.when(F.size("matched") > 1, "highly_relevant").otherwise("weakly_relevant"))
+        from litgrid.operators.rank import top_k
+
+        return top_k(rows, ["qid"], [F.desc("score"), F.asc("paper_id")], 1 << 20)
+
+    rows, hits, state = rounds.search(intents, retrieve, judge, spark.createDataFrame(list(entity.items()), "paper_id string, entity string"))
+    want, met = [], {}
+    for q, must in musts.items():
+        queries, found = [clean[q]], {}
+        for n in (1, 2):
+            new = [(i, entity[p]) for i, x in enumerate(queries) for p, w in docs.items() if set(x.split(" ")) & w]
+            for i, x in enumerate(queries):
+                for p, w in docs.items():
+                    if s := len(set(x.split(" ")) & w):
+                        found[entity[p]] = max(found.get(entity[p], 0), s)
+            head = [p for p, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+            matched = [set(must) & texts[p] for p in head]
+            missing = [m for m in must if not any(m in x for x in matched[:10])]
+            high = sum(len(x) > 1 for x in matched)
+            one = [" ".join(dict.fromkeys([m, "field", "soft"])) for m in missing[:4]]
+            two = [" ".join(dict.fromkeys([a, b, "soft"])) for a, b in zip(missing[:3], missing[1:4], strict=False)]
+            queries = list(dict.fromkeys([*one, *two, " ".join(dict.fromkeys([*missing[:3], f"sub {q}"]))]))[:6] if missing else []
+            if n == 1 or new:
+                want.append((q, n, len(set(new)), "|".join(missing), high, bool(missing and high < 5 and queries)))
+            met[q] = set(found)
+            if not want[-1][-1] or want[-1][1] != n:
+                break
+    got = sorted(tuple(r) for r in state.collect())
+    assert got == sorted(want) and {n for _, n, *_ in got} == {1, 2}
+    assert {(r["qid"], r["paper_id"]) for r in rows.collect()} == {(q, p) for q, ps in met.items() for p in ps}
+    assert hits.where("round = 2").select("qid").distinct().count() == sum(n == 2 for _, n, *_ in got)
