@@ -11,9 +11,9 @@ from litgrid.streaming import streams
 
 def test_whole_queries(spark, sf_dir):
     run = lambda name: catalogue.QUERIES[name](spark, sf_dir)
-    n, docs = run("i04_chunks_by_all_papers").count(), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert n == fixtures.chunks(spark, sf_dir).select("paper_id").distinct().count() == run("i04_chunks_by_paper").count()
-    assert run("r10_weighted_clauses_all").select("paper_id").distinct().count() > docs.count() / 2
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert fixtures.chunks(spark, sf_dir).select("paper_id").distinct().count() == run("i04_chunks_by_paper").count()
+    assert run("r10_weighted_clauses").select("paper_id").distinct().count() > docs.count() / 2
 
 
 def test_relation_edges_ranked(spark, tmp_path):
