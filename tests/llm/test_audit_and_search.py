@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litgrid.llm import divergence, lexical_search, queries, substrings
+from litgrid.llm import divergence, lexical_search, pii, queries, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 700}" for k in range(40_000))
@@ -230,3 +230,49 @@ def test_bounds_prune_and_lose_nothing():
         scores = sorted(((-sum(int(weights[t]) * many * v.get(t, 0) for t, many in own.items()), i) for i, v in enumerate(vectors)))[:5]
         assert [(-int(s), int(i)) for s, i in zip(*best.found[q], strict=True)] == [x for x in scores if x[0] < 0]
     assert passed < total / 10
+
+
+# ---- the word-identifier graph of personal data
+
+
+def trusted(rows):
+    """Words and kinds that the graph trusts, by plain loops over its edges."""
+    edges = {}
+    for word, form, kind, known in rows:
+        edges[word, form, kind] = edges.get((word, form, kind), False) or known
+    score = {}
+    for (_, form, kind), known in edges.items():
+        score[form, kind] = max(score.get((form, kind), 0.0), float(known))
+    all_n, all_known, words = collections.Counter(k[2] for k in edges), collections.Counter(k[2] for k, known in edges.items() if known), {}
+    for _ in range(pii.ROUNDS):
+        words = {}
+        for word, kind in {(w, k) for w, _, k in edges}:
+            own = [(score[f, k], known) for (w, f, k), known in edges.items() if (w, k) == (word, kind)]
+            n, p, seeds = len(own), sum(x for x, _ in own) / len(own), sum(x >= pii.CONFIDENCE for x, _ in own)
+            z = pii.ERRORS
+            low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            share = (all_known[kind] - sum(known for _, known in own) + 0.5) / (all_n[kind] - n + 1)
+            if seeds >= pii.SEEDS and p >= pii.CONFIDENCE and (kind == "email" or low >= min(share, pii.SURE)):
+                words[word, kind] = p
+        for form, kind in score:
+            wrong, known = 1.0, False
+            for (w, f, k), is_known in edges.items():
+                if (f, k) == (form, kind):
+                    known |= is_known
+                    wrong *= 1 - min(words.get((w, k), 0.0), 0.999)
+            score[form, kind] = 1.0 if known else 1 - wrong
+    return words
+
+
+def test_pii_graph_by_brute_force(spark):
+    rng, some = random.Random(12), 0
+    for _ in range(4):
+        rows = []
+        for k, word in enumerate(["tel:", "call", "fax", "total:", "mail:", "at", "ip"]):
+            kinds = ["email"] if word in ("mail:", "at") else ["ip"] if word == "ip" else ["phone"]
+            rows += [(word, f"f{rng.randrange(40)}", kind, rng.random() < (0.9, 0.97, 0.6, 0.05, 0.9, 0.3, 1)[k]) for _ in range(rng.randint(8, 60)) for kind in kinds]
+        found = {(r["word"], r["kind"]): r["confidence"] for r in pii.patterns(spark.createDataFrame(rows, "word string, form string, kind string, known boolean")).collect()}
+        want = trusted(rows)
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+        some += len(want)
+    assert some >= 8
