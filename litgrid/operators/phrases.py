@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.sources.tables import held, small
+from litgrid.sources.tables import held, small, stored
 
 from .index import bm25_idf
 
@@ -63,7 +63,7 @@ def clause_scores(clauses: DataFrame, rows: DataFrame, k1: float = 1.5, b: float
     asked = clauses.select("id", "field", "slop", "phrase").distinct()
     each = asked.select("id", "field", "slop", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "token"))
     size = rows.groupBy("field").agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))
-    post = held(positional_postings(rows, each.select("field", "token").distinct()))
+    post = stored(positional_postings(rows, each.select("field", "token").distinct()))
     df = post.groupBy("field", "token").agg(F.count("*").alias("df"))
     known = each.join(small(df), ["field", "token"]).join(F.broadcast(size), "field").withColumn("idf", bm25_idf(F.col("texts"), F.col("df")))
     whole = known.groupBy("id", "field", "slop", "n", "mean").agg(F.sum("idf").alias("idf"), F.min_by("token", F.struct("df", "i")).alias("rarest"), F.count("*").alias("found"), F.collect_list(F.struct("i", "token")).alias("parts"))
