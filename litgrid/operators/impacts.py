@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litgrid.sources.tables import held, small
+from litgrid.sources.tables import small, stored
 
 from .rank import top_k
 
@@ -24,10 +24,10 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     feature, however frequent, is one row or one task.
     """
     rows = docs.where("value > 0").select("doc_id", "feature", F.col("value").cast("double").alias("value")).withColumn("level", F.floor(F.log2("value") * LEVELS).cast("int"))
-    levels = held(rows.groupBy("feature", "level").agg(F.count("*").alias("n"), F.max("value").alias("top")))
+    levels = stored(rows.groupBy("feature", "level").agg(F.count("*").alias("n"), F.max("value").alias("top")))
     large = levels.where(F.col("n") > BLOCK).select("feature", "level", F.ceil(F.col("n") / BLOCK).alias("parts"))
     parted = rows.join(small(large), ["feature", "level"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))))
-    return held(parted.groupBy("feature", "level", "part").agg(F.collect_list(F.struct("doc_id", "value")).alias("docs"))), levels
+    return stored(parted.groupBy("feature", "level", "part").agg(F.collect_list(F.struct("doc_id", "value")).alias("docs"))), levels
 
 
 def _met(chosen: DataFrame, found: DataFrame) -> DataFrame:
@@ -53,24 +53,24 @@ def block_max_top_k(queries: DataFrame, docs: DataFrame, k: int) -> tuple[DataFr
     kept if what they got and what features not met can add does, and are scored in full from their own rows. No bound
     rules out a document among the k best. Equal scores (to nine digits) go by doc_id.
     """
-    docs, queries = held(docs.where("value > 0")), held(queries.where("value > 0").groupBy("qid", "feature").agg(F.sum("value").cast("double").alias("q")))
+    docs, queries = stored(docs.where("value > 0")), stored(queries.where("value > 0").groupBy("qid", "feature").agg(F.sum("value").cast("double").alias("q")))
     found, levels = blocks(docs)
     by_query = Window.partitionBy("qid")
     asked = queries.join(levels, "feature").withColumn("bound", F.col("q") * F.col("top"))
     asked = asked.withColumn("most", F.max("bound").over(Window.partitionBy("qid", "feature")))
     lists = asked.groupBy("qid", "feature").agg(F.max("most").alias("most"))
     lists = lists.withColumn("below", F.sum("most").over(by_query.orderBy("most", "feature"))).withColumn("all", F.sum("most").over(by_query))
-    asked = held(asked.drop("most").join(lists, ["qid", "feature"]))
+    asked = stored(asked.drop("most").join(lists, ["qid", "feature"]))
 
     promising = asked.withColumn("before", F.coalesce(F.sum("n").over(by_query.orderBy(F.desc("bound"), "feature", "level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first = top_k(_met(promising.where(F.col("before") < FIRST), found), ["qid"], [F.desc("got"), F.asc("doc_id")], SCORED * k)
-    best = _scored(held(first.select("qid", "doc_id")), queries, docs)
-    least = held(top_k(best, ["qid"], [F.desc("score"), F.asc("doc_id")], k).where(F.col("rank") == k).select("qid", F.col("score").alias("least")))
+    best = _scored(stored(first.select("qid", "doc_id")), queries, docs)
+    least = stored(top_k(best, ["qid"], [F.desc("score"), F.asc("doc_id")], k).where(F.col("rank") == k).select("qid", F.col("score").alias("least")))
 
     bounded = asked.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     leads = (F.col("below") * SLACK >= F.col("least")) & ((F.col("bound") + F.col("all") - F.col("most")) * SLACK >= F.col("least"))
-    chosen = held(bounded.withColumn("read", leads))
+    chosen = stored(bounded.withColumn("read", leads))
     met = _met(chosen.where("read"), found).join(chosen.select("qid", "all", "least").distinct(), "qid")
-    pairs = held(met.where((F.col("got") + F.col("all") - F.col("met")) * SLACK >= F.col("least")).select("qid", "doc_id"))
+    pairs = stored(met.where((F.col("got") + F.col("all") - F.col("met")) * SLACK >= F.col("least")).select("qid", "doc_id"))
     hits = top_k(_scored(pairs, queries, docs), ["qid"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
     return hits, chosen.groupBy("qid").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)).alias("read"))
