@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litgrid.functions import text as T
 from litgrid.sources.tables import held, small
 
 
@@ -55,6 +56,25 @@ def diagnosis(planned: Column, returned: Column, hits: Column, pool_hits: Column
     return found
 
 
+def uncovered(plans: DataFrame, head: DataFrame) -> DataFrame:
+    """qid, missing: how many of a query's constraints none of its first papers holds as whole words. plans: qid, must_have;
+    head: qid, body of those papers. A query without papers misses all; one without constraints misses none."""
+    texts = head.select("qid", F.concat(F.lit(" "), T.normalize_title(F.col("body")), F.lit(" ")).alias("body"))
+    # told within each paper's row: per constraint whether it is there
+    there = lambda must: F.contains(F.col("body"), F.concat(F.lit(" "), T.normalize_title(must), F.lit(" ")))
+    met = texts.join(small(plans.select("qid", "must_have")), "qid").select("qid", F.explode(F.filter("must_have", there)).alias("must")).groupBy("qid").agg(F.collect_set("must").alias("met"))
+    rows = plans.select("qid", "must_have").join(met, "qid", "left")
+    return rows.select("qid", F.size(F.array_except("must_have", F.coalesce("met", F.array().cast("array<string>")))).cast("long").alias("missing"))
+
+
+def plan_outcomes(plans: DataFrame, hits: DataFrame, met: DataFrame, missing: DataFrame, failed: DataFrame) -> DataFrame:
+    """What diagnosis() judges, a row for each query with gold papers. plans: qid, planned; hits: a row per returned paper;
+    met: qid, gold_count, hits, pool_hits; missing: qid, missing; failed: a row per failed call of a model."""
+    counted = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
+    rows = plans.select("qid", "planned").join(met, "qid").join(counted(hits, "returned"), "qid", "left").join(missing, "qid", "left").join(counted(failed, "errors"), "qid", "left")
+    return rows.select("qid", "planned", F.coalesce("returned", F.lit(0)).alias("returned"), "gold_count", "hits", "pool_hits", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
 def shard(keys: list[str], n: int) -> Column:
     return F.pmod(F.crc32(F.concat_ws("/", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))), F.lit(n))
 

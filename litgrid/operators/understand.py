@@ -271,11 +271,16 @@ def search_terms(clean: Column, phrases: Column, lexicon: Lexicon, alias: bool =
 
 def clean_for_recall(query: Column, lexicon: Lexicon) -> Column:
     """The first 14 words, without locator patterns and generic words."""
+    return joined(clean_terms(query, lexicon))
+
+
+def clean_terms(query: Column, lexicon: Lexicon) -> Column:
+    """The words of clean_for_recall as an array."""
     low = F.lower(query)
     for p in lexicon.locators:
         low = F.regexp_replace(low, p, " ")
     words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0)), lambda t: ~t.isin(*lexicon.generic))
-    return joined(first(words, 14))
+    return first(words, 14)
 
 
 def key_phrases(query: Column, hints: Dictionary) -> Column:

@@ -9,13 +9,14 @@ from litgrid.functions import text as T
 from litgrid.operators import dictionary, evaluate, fuse, index, intent, rank, rounds, select, understand
 from litgrid.sources.tables import held, small
 
-from .fixtures import BENCHMARK_QUERIES, GOLD, PAPERS, benchmark_queries, chunks, cited_papers, gold, papers, table, title_sql, tokens_sql
+from .fixtures import BENCHMARK_QUERIES, GOLD, PAPERS, benchmark_queries, chunks, cited_papers, fold_sql, gold, papers, table, title_sql, tokens_sql
 from .intent_queries import _ALL as _QALL
 from .intent_queries import _KEEP, HIGH, LOW, SUFFIXES, _list, phrases, terms
 from .ranking_queries import _FEATURES, _K, _for_lanes, placed
 from .registry import query
-from .search_queries import _ALL, _WIDE, NAMES, _bodies, _titles, gold2, j02, pool, ranked
-from .understanding_queries import INTENTS, asked, intents
+from .search_queries import _ALL, _POST, _WIDE, NAMES, _bm25_sql, _bodies, _titles, gold2, j02, pool, ranked
+from .understanding_queries import INTENTS, LEXICON, TOPIC, asked, clean_terms_sql, intents
+from .understanding_queries import _q as _text_sql
 
 c = F.col
 
@@ -191,6 +192,55 @@ def q19(spark, d):
     return rows.select("qid", F.array_join(F.array_distinct(F.array_compact(F.array("x", "y", "z"))), " ").alias("dense_text"))
 
 
+# ---- all terms of a query, diagnosis of real plans
+
+_WORDS = lambda x: f"regexp_extract_all(lower({fold_sql(x)}), '[a-z0-9]+')"
+_LOCATE = "(" + " OR ".join(f"regexp_matches(lower(query_text), '{p}')" for p in LEXICON.locators) + ")"
+
+
+@query("r08_all_terms", f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, qs AS (SELECT * FROM bq UNION ALL SELECT 't:' || doc_id, title FROM papers WHERE doc_id % 50 = 0 UNION ALL SELECT 'c:' || conv_id || ':' || turn, text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0),
+    ct AS (SELECT qid, CASE WHEN {_LOCATE} THEN 1.6 ELSE 0.9 END::DOUBLE AS boost, {clean_terms_sql(f'lower({fold_sql("query_text")})')} AS ts FROM qs), w AS (SELECT qid, boost, list_distinct(flatten(list_transform(ts, lambda t: string_split(t, '-')))) AS ws FROM ct WHERE len(ts) BETWEEN 2 AND 8),
+    post AS (SELECT DISTINCT paper_id, unnest({_WORDS("title || ' ' || abstract")}) AS word FROM papers), t AS (SELECT qid, boost, len(ws) AS n, unnest(ws) AS word FROM w) SELECT qid, paper_id, boost FROM t JOIN post USING (word) GROUP BY qid, paper_id, boost, n HAVING count(*) = n""")
+def r08(spark, d):
+    """Papers with all two to eight clean terms of a query in title and abstract together, and the clause's boost. Queries:
+    all benchmark items, and, as those are mostly longer, the titles and the users' turns whose id is divisible by 50."""
+    known = table(spark, d, "conversations").where("role = 'user' and conv_id % 50 = 0").select(F.concat(F.lit("c:"), F.concat_ws(":", "conv_id", "turn")).alias("qid"), c("text").alias("query_text"))
+    titles = papers(spark, d).where("doc_id % 50 = 0").select(F.concat(F.lit("t:"), "doc_id").alias("qid"), c("title").alias("query_text"))
+    rows = held(benchmark_queries(spark, d).unionByName(titles).unionByName(known))
+    found = index.all_terms(rows.select("qid", understand.clean_terms(T.fold(c("query_text")), LEXICON).alias("terms")), index.word_rows(papers(spark, d), "paper_id", "title", "abstract"))
+    boost = rows.select("qid", F.when(understand.locator(c("query_text"), LEXICON), 1.6).otherwise(0.9).alias("boost"))
+    return found.join(small(boost), "qid").select("qid", c("doc_id").alias("paper_id"), "boost")
+
+
+_PLANNED = f"{INTENTS}, bq AS (SELECT qid, clean AS query_text FROM intents)"
+_NO, _YES = (f"(regexp_matches(low, {_text_sql(understand.NO_SEARCH[0])}) OR regexp_matches(low, {_text_sql(understand.NO_SEARCH[1])}))", f"(regexp_matches(low, {_text_sql(understand.SEARCH)}) OR regexp_matches(low, {_text_sql(TOPIC)}))")
+_HITS100 = _bm25_sql(PAPERS, _POST, "papers", 100).replace(BENCHMARK_QUERIES, _PLANNED)
+
+
+@query("a08_plan_diagnosis", f"""WITH {INTENTS}, {PAPERS}, {GOLD}, h AS ({_HITS100}), p AS (SELECT qid, must, CASE WHEN NOT {_NO} AND len(must) > 0 AND {_YES} THEN len(subs) ELSE 0 END AS planned FROM intents),
+    ph AS (SELECT h.qid, h.doc_id AS paper_id, h.rank FROM h JOIN p USING (qid) WHERE planned > 0), nh AS (SELECT qid, count(*) AS returned FROM ph GROUP BY qid), g AS (SELECT CAST(substr(gold.qid, 2) AS BIGINT) AS qid, gold.paper_id FROM gold),
+    gh AS (SELECT g.qid, count(*) AS gold_count, count(rank) FILTER (rank <= 10) AS hits, count(rank) AS pool_hits FROM g LEFT JOIN ph USING (qid, paper_id) GROUP BY g.qid), m AS (SELECT qid, unnest(must) AS must FROM p),
+    ok AS (SELECT DISTINCT m.qid, m.must FROM m JOIN ph ON ph.qid = m.qid AND ph.rank <= 10 JOIN (SELECT paper_id, ' ' || {title_sql("title || ' ' || abstract")} || ' ' AS body FROM papers) b USING (paper_id) WHERE contains(body, ' ' || {title_sql('m.must')} || ' ')),
+    ms AS (SELECT m.qid, count(*) AS missing FROM m LEFT JOIN ok USING (qid, must) WHERE ok.must IS NULL GROUP BY m.qid), er AS (SELECT user_id AS qid, count(*) AS errors FROM events WHERE event_type = 'error' AND value >= 150 GROUP BY user_id),
+    x AS (SELECT p.qid, planned, coalesce(returned, 0) AS returned, gold_count, hits, pool_hits, coalesce(missing, 0) AS missing, coalesce(errors, 0) AS errors FROM p JOIN gh USING (qid) LEFT JOIN nh USING (qid) LEFT JOIN ms USING (qid) LEFT JOIN er USING (qid))
+    SELECT *, CASE WHEN planned = 0 THEN 'query_intent_blocked_or_empty_plan' WHEN returned = 0 THEN 'retrieval_empty' WHEN hits = 0 AND pool_hits > 0 THEN 'gold_retrieved_but_ranked_below_cutoff' WHEN hits = 0 THEN 'gold_not_found_in_diagnostic_pool' WHEN hits / gold_count < 0.5 AND least(1.0, 10 / gold_count) <= 0.5 THEN 'large_gold_set_topk_ceiling'
+    WHEN missing > 0 THEN 'top_results_miss_required_constraints' WHEN errors > 0 THEN 'model_service_errors_present' WHEN hits / gold_count < 0.5 THEN 'partial_recall_needs_better_ranking_or_expansion' ELSE 'acceptable_for_current_cutoff' END AS reason FROM x""")
+def a08_plans(spark, d):
+    """Why each query with gold papers did as it did, from its own plan: sub-queries if it is let through as a search, hits and
+    the diagnostic pool by BM25, constraints that none of the first ten papers hold, and failed calls among the events."""
+    known = held(intents(spark, d))
+    plan = known.select("qid", "must_have", F.when(understand.scholarly(TOPIC), F.size("sub_queries")).otherwise(0).cast("long").alias("planned"))
+    let = known.where(understand.scholarly(TOPIC)).select("qid", F.explode(F.array_distinct("query_tokens")).alias("token")).withColumn("weight", F.lit(1.0))
+    hits = held(index.bm25(let, _bodies(spark, d), 100).select("qid", c("doc_id").alias("paper_id"), "rank"))
+    truth = gold(spark, d).select(F.substring("qid", 2, 20).cast("long").alias("qid"), "paper_id")
+    met = truth.join(hits, ["qid", "paper_id"], "left").groupBy("qid").agg(F.count("*").alias("gold_count"), F.count_if(c("rank") <= 10).alias("hits"), F.count("rank").alias("pool_hits"))
+    head = hits.where("rank <= 10").join(papers(spark, d).select("paper_id", F.concat_ws(" ", "title", "abstract").alias("body")), "paper_id")
+    failed = table(spark, d, "events").where("event_type = 'error' and value >= 150").select(c("user_id").alias("qid"))
+    rows = evaluate.plan_outcomes(plan, hits, met, evaluate.uncovered(plan, head), failed)
+    reason = evaluate.diagnosis(c("planned"), c("returned"), c("hits"), c("pool_hits"), c("gold_count"), 10, c("missing"), c("errors"))
+    return rows.select("*", reason["reason"].alias("reason"))
+
+
 # ---- second round, sections of candidates
 
 def _rounds(spark, d):

@@ -101,16 +101,6 @@ _SCORES = lambda post: f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {post}, {_TERMS},
     SELECT qid, post.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / a))) AS score, count(*) AS matched FROM terms JOIN df USING (token) JOIN post USING (token) JOIN len ON len.doc_id = post.doc_id, n, av GROUP BY ALL"""
 
 
-@query("r08_all_terms", f"WITH {PAPERS}, {BENCHMARK_QUERIES}, {_POST}, cl AS (SELECT qid, list_filter(ts, lambda v, i: list_position(ts, v) = i)[1:8] AS w FROM (SELECT qid, list_filter({tokens_sql('query_text')}, lambda t: length(t) <= 4) AS ts FROM bq)), few AS (SELECT qid, len(w[1:3]) AS n, unnest(w[1:3]) AS token FROM cl WHERE len(w) >= 2) SELECT qid, doc_id FROM few JOIN post USING (token) GROUP BY qid, doc_id, n HAVING count(*) = n")
-def r08(spark, d):
-    # the clean query here: up to three short words, of queries with two at least; a document holds all in either field
-    words = F.slice(F.array_distinct(F.filter(T.tokens(c("query_text")), lambda t: F.length(t) <= 4)), 1, 8)
-    clean = benchmark_queries(spark, d).select("qid", words.alias("w")).where(F.size("w") >= 2).select("qid", F.slice("w", 1, 3).alias("w"))
-    few = clean.select("qid", F.size("w").alias("n"), F.explode("w").alias("token"))
-    found = index.matched_postings(_bodies(spark, d), few).join(F.broadcast(few), "token")
-    return found.groupBy("qid", "doc_id", "n").agg(F.count("*").alias("m")).where("m = n").select("qid", "doc_id")
-
-
 @query("r11_rescore", f"""WITH base AS ({_bm25_sql(PAPERS, _POST, 'papers', 60)}), title AS ({_SCORES(_TITLE_POST)}), w AS (SELECT 'locator' AS kind, 0.2::DOUBLE AS w UNION ALL SELECT 'paper', 0.03 UNION ALL SELECT 'chunk', 0.02), s AS (SELECT kind, qid, doc_id, round(b.score + w * coalesce(round(t.score, 6), 0), 8) AS score FROM base b LEFT JOIN title t USING (qid, doc_id), w)
     SELECT kind, qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind, qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
 def r11(spark, d):

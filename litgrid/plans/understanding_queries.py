@@ -242,7 +242,14 @@ def r26(spark, d):
     return first_n(outside, ["qid"], [F.asc("index"), F.asc("source")], 3).select("qid", "index", "source")
 
 
-@query("q26_clean_query", f"WITH {INTENTS} SELECT qid, array_to_string(list_filter(regexp_extract_all({'regexp_replace(' * len(LEXICON.locators)}low{''.join(f', {_q(p)}, {_q(chr(32))}, {_q(chr(103))})' for p in LEXICON.locators)}, '[a-z0-9]+(?:-[a-z0-9]+)?'), lambda t: t NOT IN {_in(LEXICON.generic)})[1:14], ' ') AS clean, len(regexp_extract_all(low, '[a-z0-9]+(?:-[a-z0-9]+)?')) AS n FROM intents")
+def clean_terms_sql(low: str) -> str:
+    """SQL of understand.clean_terms with the fixtures' lexicon."""
+    for p in LEXICON.locators:
+        low = f"regexp_replace({low}, {_q(p)}, ' ', 'g')"
+    return f"list_filter(regexp_extract_all({low}, '[a-z0-9]+(?:-[a-z0-9]+)?'), lambda t: t NOT IN {_in(LEXICON.generic)})[1:14]"
+
+
+@query("q26_clean_query", f"WITH {INTENTS} SELECT qid, array_to_string({clean_terms_sql('low')}, ' ') AS clean, len(regexp_extract_all(low, '[a-z0-9]+(?:-[a-z0-9]+)?')) AS n FROM intents")
 def q26(spark, d):
     words = F.regexp_extract_all(F.lower("query_text"), F.lit("[a-z0-9]+(?:-[a-z0-9]+)?"), F.lit(0))
     return asked(spark, d).select("qid", understand.clean_for_recall(c("query_text"), LEXICON).alias("clean"), F.size(words).cast("long").alias("n"))

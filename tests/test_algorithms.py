@@ -391,3 +391,44 @@ def test_rounds_against_a_plain_loop(spark):
     assert got == sorted(want) and {n for _, n, *_ in got} == {1, 2}
     assert {(r["qid"], r["paper_id"]) for r in rows.collect()} == {(q, p) for q, ps in met.items() for p in ps}
     assert hits.where("round = 2").select("qid").distinct().count() == sum(n == 2 for _, n, *_ in got)
+
+
+@pytest.mark.parametrize("in_memory", [200_000, 0])
+def test_all_terms_against_plain_loops(spark, in_memory):
+    import re
+
+    from litgrid.operators import index
+
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choices(["ab", "cd", "ef", "gh", "rare" + str(i % 9), "x-y", "É"], k=rng.randint(0, 7))), rng.choice([None, "Ab cd.", "gh"])) for i in range(150)]
+    asked = [("common", ["ab", "cd"]), ("rare", ["rare3", "ab"]), ("hyphen", ["x-y", "gh"]), ("twice", ["ab", "ab"]), ("one", ["ab"]), ("many", ["ab"] * 9), ("unknown", ["ab", "nowhere"]), ("none", None), ("blank", ["", "-"]), ("folded", ["e", "ab"])]
+    docs = index.word_rows(spark.createDataFrame(texts, "id long, title string, body string").withColumn("words_", F.lit(1)), "id", "title", "body")
+    found = {tuple(r) for r in index.all_terms(spark.createDataFrame(asked, "qid string, terms array<string>"), docs, in_memory=in_memory).collect()}
+    split = lambda x: set(re.findall("[a-z0-9]+", x.lower().replace("é", "e")))
+    words = {q: set().union(*map(split, ts)) for q, ts in asked if ts and 2 <= len(ts) <= 8}
+    assert found == {(q, i) for q, ws in words.items() if ws for i, t, b in texts if ws <= split(f"{t} {b or ''}")}
+    assert {q for q, _ in found} == {"common", "rare", "hyphen", "twice", "folded"}
+    assert index.all_terms(spark.createDataFrame([], "qid string, terms array<string>"), docs, in_memory=in_memory).count() == 0
+
+
+def test_every_reason_of_a_diagnosis(spark):
+    from litgrid.operators import evaluate
+
+    names = ["blocked", "empty", "late", "lost", "ceiling", "missing", "errors", "partial", "fine", "no gold"]
+    plans = spark.createDataFrame([(q, 0 if q == "blocked" else 3, ["deep nets", "Graph"] if q == "missing" else []) for q in names], "qid string, planned long, must_have array<string>")
+    hits = spark.createDataFrame([(q, f"p{k}") for q in names if q != "empty" for k in range(3)], "qid string, paper_id string")
+    met = spark.createDataFrame([("blocked", 1, 0, 0), ("empty", 1, 0, 0), ("late", 1, 0, 1), ("lost", 1, 0, 0), ("ceiling", 30, 5, 9), ("missing", 2, 2, 2), ("errors", 2, 2, 2), ("partial", 5, 1, 1), ("fine", 2, 2, 2)], "qid string, gold_count long, hits long, pool_hits long")
+    head = spark.createDataFrame([("missing", "All of Deep-Nets and graphs"), ("missing", None), ("fine", "")], "qid string, body string")
+    gaps = evaluate.uncovered(plans, head)
+    assert {r["qid"]: r["missing"] for r in gaps.collect()} == {q: int(q == "missing") for q in names}
+    assert evaluate.uncovered(plans, head.limit(0)).where("qid = 'missing'").first()["missing"] == 2
+    rows = evaluate.plan_outcomes(plans, hits, met, gaps, spark.createDataFrame([("errors",), ("errors",), ("blocked",)], "qid string"))
+    reason = evaluate.diagnosis(*map(F.col, ("planned", "returned", "hits", "pool_hits", "gold_count")), 10, F.col("missing"), F.col("errors"))
+    assert {r["qid"]: r["r"] for r in rows.select("qid", reason["reason"].alias("r")).collect()} == dict(zip(names, evaluate_reasons(), strict=False))
+    assert rows.where("qid = 'errors'").first()["errors"] == 2
+
+
+def evaluate_reasons():
+    from litgrid.operators.evaluate import REASONS
+
+    return [reason for reason, _ in REASONS]
