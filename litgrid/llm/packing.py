@@ -10,9 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tokens, id_in, id_out, lean, new_path, prepared, small
+from .common import Tokens, id_in, id_out, lean, new_path, prepared
 
 STEPS = 200
+#: Tasks that tokenize, at most. Each later has a row of up to a window's number of ranks (some 25 KB for 2,048), and these
+#: rows are broadcast, at most 200 MB.
+TASKS = 8192
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -114,7 +117,7 @@ def tokenized(docs: DataFrame, path: str, vocabulary: str, end_id: int, window:
                 full += n // window
             yield pd.DataFrame(out, columns=["doc_id", "n", "rest", "task", "rank", "whole", "ids"])
 
-    plain = docs.select(id_in(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = docs.select(id_in(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).coalesce(TASKS)
     plain.mapInPandas(encode, "doc_id long, n long, rest int, task int, rank long, whole long, ids binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
@@ -125,7 +128,9 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1,
     A text's ids are the tokenizer's and then end_id. Whole windows of a text are sequences of their own. What remains
     of each text is counted by length (a histogram of `window` numbers, whatever the input), non-negative least squares
     choose how often each pair or triple of lengths fills a window, and residual pieces are packed greedily with cuts.
-    Only the last sequence is not full. The ids are written once to the shared folder and read back with their places.
+    Only the last sequence is not full. The ids are written once to the shared folder and read back with their places; they
+    are never shuffled. Beyond TASKS input partitions a task reads several. A very long text is one row and one call of the
+    tokenizer, cut into as many pieces as it has windows.
 
     Null texts count as empty (one piece with end_id alone). Repeated rows and repeated or null ids are packed row by
     row. An empty table gives no rows. Other columns are not used. Columns: doc_id, start (ids of the text before the
@@ -138,12 +143,13 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1,
         counts[r["rest"]] = r["count"]
     made = plan(counts, window)
 
+    # one row for each task: windows before it, and for each rest the pieces before it
     by_task = rows.groupBy("task").agg(F.sum(F.expr(f"n div {window}")).alias("whole_n"))
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     by_task = by_task.select("task", F.coalesce(F.sum("whole_n").over(before), F.lit(0)).alias("whole_base"))
     before = Window.partitionBy("rest").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("task", "rest").count().select("task", "rest", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("rank_base"))
-    base = base.join(by_task, "task")
+    base = rows.groupBy("task", "rest").count().select("task", F.struct("rest", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")).alias("x"))
+    base = base.groupBy("task").agg(F.map_from_entries(F.collect_list("x")).alias("bases")).join(by_task, "task")
 
     @lean
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,5 +164,6 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1,
                     at += length
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    found = rows.join(small(base, 2_000_000), ["task", "rest"]).mapInPandas(pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    ranked = rows.join(F.broadcast(base), "task").withColumn("rank_base", F.element_at("bases", F.col("rest"))).drop("bases")
+    found = ranked.mapInPandas(pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     return found.withColumn("doc_id", id_out())

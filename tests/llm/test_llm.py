@@ -88,6 +88,17 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack(spark, none, VOCABULARY).count() == 0
 
 
+def test_packing_in_few_tasks(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "TASKS", 3)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    many = docs.repartition(11)
+    found = packing.pack(spark, many, VOCABULARY)
+    check_pieces(found.collect(), texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # ids meet their ranks by broadcast alone
+    assert "SortMergeJoin" not in plan.split("BroadcastHashJoin")[0] and "BroadcastHashJoin" in plan
+
+
 def test_repeats_recover_exact_histogram():
     counts = np.zeros(64, np.int64)
     counts[[10, 54, 20, 24]] = 100, 100, 50, 0
