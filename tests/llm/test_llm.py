@@ -199,6 +199,46 @@ def test_url_rules_against_counts(spark):
     assert set(found) == set(kept) and all(found[k] == pytest.approx(kept[k]) for k in kept)
 
 
+def test_url_verdicts_against_all_combinations(spark):
+    rng = random.Random(8)
+
+    def url():
+        top, path = rng.choice(["com"] * 5 + ["org"] + ["net"] * 2), rng.choice(["fr", "de", "it", "x"])
+        # www and cdn always come together, and so do the two segments behind a shop; some open pages have one of them only
+        host = rng.choice(["www.cdn.", "", "m.", *(["www."] if top == "net" else [])]) + rng.choice(["example", "site"])
+        return f"http://{host}.{top}/{path}/" + rng.choice(["shop/all/", "", "blog/7/", *(["all/"] if top == "net" else [])])
+
+    urls = [url() for _ in range(400)]
+    found = url_filters.judge(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), support=0.02, confidence=0.75).collect()
+
+    def tokens(r):
+        labels, parts = r["host"].split("."), [x for x in r["path"].split("/") if x]
+        return frozenset({"t:" + labels[-1]} | {"h:" + x for x in labels[:-1]} | {"p:" + re.sub("[0-9]+", "#", x) for x in parts})
+
+    known = [(tokens(r), r["verdict"]) for r in found if r["rule"]]
+    rules = {}
+    for part in {frozenset(p) for t, _ in set(known) for n in range(1, len(t) + 1) for p in itertools.combinations(sorted(t), n)}:
+        held = [v for t, v in known if part <= t]
+        for v in ("allow", "block"):
+            if held.count(v) >= 0.02 * len(known) and held.count(v) / len(held) >= 0.75:
+                rules[part, v] = (held.count(v) / len(held), held.count(v) / len(known), v)
+    opened = [r for r in found if not r["rule"]]
+    for r in opened:
+        fits = [x for (part, _), x in rules.items() if part <= tokens(r)]
+        assert r["verdict"] == (max(fits)[2] if fits else "allow")
+    assert {r["verdict"] for r in opened} == {"allow", "block"}
+    same = url_filters.same_cover(spark.createDataFrame([(sorted(t), v) for t, v in known], "tokens array<string>, verdict string"), 0.02)
+    assert {(r["first"], r["token"]) for r in same.where("first <> token").collect()} >= {("h:cdn", "h:www"), ("p:all", "p:shop")}
+
+
+def test_url_tokens_that_always_come_together(spark):
+    """Sixty tokens in the same rows are one: FP-growth alone would make 2 ** 60 itemsets of them."""
+    long = "/".join(f"deep{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    urls = [(i, f"http://a.com/{'de' if i % 2 else 'fr'}/{long if i % 2 else ''}") for i in range(200)] + [(1000, f"http://b.net/{long}"), (1001, "http://b.net/deepab"), (1002, "http://b.net/else")]
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.judge(spark, spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert [found[i] for i in (1000, 1001, 1002)] == [(None, "block"), (None, "block"), (None, "allow")] and found[1] == ("com/de/", "block")
+
+
 def test_token_files(spark, docs, odd, none, tmp_path):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     path = common.new_path(spark, "test-files")
