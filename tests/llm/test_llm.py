@@ -540,6 +540,52 @@ def test_license_scan_against_every_diagonal():
                 assert t not in found
 
 
+def whole_alignment(template, text):
+    """Matched words, first and last + 1 matched word of the best local alignment, over all cells; gaps and mismatches cost 0.5."""
+    cells, best = {}, (0, 0, 0, 0)
+    nothing = (0, 0, None)
+    for i, x in enumerate(template):
+        for j, y in enumerate(text):
+            s, hits, start = cells.get((i - 1, j - 1), nothing)
+            tries = [(s + 1, hits + 1, j if start is None else start)] if x == y else [(s - 0.5, hits, start)]
+            tries += [(cells.get(at, nothing)[0] - 0.5, *cells.get(at, nothing)[1:]) for at in ((i - 1, j), (i, j - 1))]
+            top = max(tries, key=lambda t: t[0])
+            if top[0] > 0:
+                cells[i, j] = top
+                if top[0] > best[0]:
+                    best = (top[0], top[1], top[2], j + 1)
+    return best[1:]
+
+
+def test_license_scan_against_whole_alignments(spark):
+    rng, rows, want = random.Random(4), [], []
+    for i in range(60):
+        name = rng.choice(["MIT text", "BSD text", "ISC", "MPL-2.0", "Unlicense", "LGPL"])
+        template = license_scan.TEMPLATES[name].split()
+        words, at = list(template), len(template) - 4
+        while at >= 4:  # single words changed, added or left out, at least four words apart
+            words[at : at + rng.randint(0, 1)] = [f"z{rng.randrange(99)}"] * rng.randint(0, 1)
+            at -= rng.randint(4, 12)
+        before, after = ([f"{c}{rng.randrange(50)}" for _ in range(rng.randint(0, 25))] for c in "xy")
+        rows.append((i, " ".join(before + words + after)))
+        fold = lambda t: re.findall("[a-z0-9]+", t.lower())
+        hits, first, last = whole_alignment(fold(" ".join(template)), fold(rows[-1][1]))
+        if hits >= license_scan.COVERAGE * len(fold(" ".join(template))):
+            spans = [m.span() for m in re.finditer("[a-z0-9]+", rows[-1][1].lower())]
+            want.append((i, name, round(hits / len(fold(" ".join(template))), 9), spans[first][0], spans[last - 1][1]))
+    # repeated rows, clashing columns
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string").withColumns({x: F.lit("other") for x in ("license", "coverage", "start", "end")})
+    found = sorted((r["doc_id"], r["license"], round(r["coverage"], 9), r["start"], r["end"]) for r in license_scan.scan(spark, df).collect())
+    assert len(want) > 30 and found == sorted(want + [x for x in want if x[0] == 0])
+
+
+def test_license_scan_of_very_long_texts(spark):
+    notice = license_scan.TEMPLATES["BSD text"]
+    text = " ".join(f"word{i} {notice} ." if i % 300 == 0 else f"word{i}" for i in range(60_000))
+    found = license_scan.scan(spark, spark.createDataFrame([(1, text), (2, "w" * 3_000_000)], "doc_id long, text string")).collect()
+    assert len(found) == 200 and all(r["doc_id"] == 1 and text[r["start"] : r["end"]] == notice for r in found)
+
+
 def test_decontamination(spark, sf_dir, docs, odd, none):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(spark, docs, items).collect()}
