@@ -43,7 +43,7 @@ def relation_cues(query: Column, limit: int = 4) -> Column:
 def time_range(query: Column) -> Column:
     """struct(start, end) of the years in the text; null without a year; open by after, since, before or until."""
     low = F.lower(query)
-    years = F.transform(F.regexp_extract_all(low, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))
+    years = F.transform(F.regexp_extract_all(low, T.ascii_words(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1)), lambda y: y.cast("int"))
     first, last = F.array_min(years), F.array_max(years)
     after, before = _any(low, ("after", "since")), _any(low, ("before", "until"))
     return F.when(F.size(years) > 0, F.struct(F.when(~(before & ~after), first).alias("start"), F.when(~after, last).alias("end")))

@@ -240,7 +240,7 @@ def k20(spark, d):
     x = coverage(spark, d)
     top = placed(spark, d).where("rank <= 6").groupBy("qid").agg(F.count_if(c("label") == "highly_relevant").alias("hr"), F.max(F.when(c("rank") <= 3, c("strong_alias"))).alias("sa"))
     said = F.lower(F.array_join(F.concat(F.array("main_intent"), "soft", "must_have"), " "))
-    locating = F.rlike("low", F.lit(_LOCQ)) | intent._any(said, ("first proposed", "introduced", "known as", "called"))
+    locating = F.rlike("low", T.ascii_words(_LOCQ)) | intent._any(said, ("first proposed", "introduced", "known as", "called"))
     fit = ~locating & (F.size("query_tokens") >= 5) & (F.size("sub_queries") >= 2) & (F.size("fields") > 0) & (F.size("missing") > 0) & (F.size("next_queries") > 0) & (c("high") < 5) & understand.scholarly(_TOPIC) & (c("hr") < 3) & (F.coalesce("sa", F.lit(0.0)) < 0.8)
     p = c("profile")
     least = F.when(p.isin("foundational_or_origin", "survey_or_list", "real_multi_answer"), 0.6).when(p == "dataset_or_benchmark", 0.62).otherwise(0.65)

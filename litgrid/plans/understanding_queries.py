@@ -284,7 +284,7 @@ WEAK = (
 def q30(spark, d):
     low, label = F.lower("query_text"), F.lit("method_search")
     for name, pattern in reversed(WEAK):
-        label = F.when(F.rlike(low, F.lit(pattern)), name).otherwise(label)
+        label = F.when(F.rlike(low, T.ascii_words(pattern)), name).otherwise(label)
     return asked(spark, d).select("qid", label.alias("label"))
 
 

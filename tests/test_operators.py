@@ -1,5 +1,6 @@
 import zlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
@@ -214,3 +215,14 @@ def test_dense_blocks(spark):
         found = {(r["qid"], r["rank"]): r["doc_id"] for r in index.dense_top_k(queries, docs, 5, block).collect()}
         for q in range(10):
             assert [found[q, k] for k in range(1, 6)] == np.argsort(-unit @ unit[q])[:5].tolist()
+
+
+def test_words_end_at_accents_as_in_sql(spark):
+    """Java takes é for part of a word, DuckDB does not; nor does a dot of the SQL stop at other separators of lines."""
+    topic = r"\b(tion|ment|der|language)\b"
+    texts = ["élément", "moments", "fix code", "fix\ncode", "wordé"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    word = rows.select(*(F.rlike("t", T.ascii_words(p)) for p in (topic, r"\b(fix)\b.+\b(code)\b", r"\bword\b"))).collect()
+    con = duckdb.connect()
+    assert [tuple(r) for r in word] == [con.execute("SELECT regexp_matches(?, ?), regexp_matches(?, ?), regexp_matches(?, ?)", [t, topic, t, r"\b(fix)\b.+\b(code)\b", t, r"\bword\b"]).fetchone() for t in texts]
+    assert word[0][0] and word[2][1] and word[4][2]
