@@ -38,9 +38,13 @@ def _inside(m: Column) -> Column:
     return (F.size(m["words"]) > 1) & F.contains(c("whole"), m["phrase"])
 
 
-def with_text(rows: DataFrame, text: Column) -> DataFrame:
-    """Adds matched and missing constraints, coverage and the text bonuses. rows: columns of prepared() and the text."""
-    rows = rows.withColumn("have", F.array_distinct(T.tokens(text))).withColumn("whole", T.normalize_title(text))
+def worded(papers: DataFrame, text: Column) -> DataFrame:
+    """Papers with the tokens and the normal form of their text, computed once per paper and not once per candidate."""
+    return papers.withColumn("have", F.array_distinct(T.tokens(text))).withColumn("whole", T.normalize_title(text))
+
+
+def with_text(rows: DataFrame) -> DataFrame:
+    """Adds matched and missing constraints, coverage and the text bonuses. rows: columns of prepared() and worded()."""
     hit = lambda m: _inside(m) | (F.size(F.filter(m["words"], lambda w: F.array_contains(c("have"), w))) >= F.least(F.lit(2), F.size(m["words"])))
     rows = rows.withColumn("matched_info", F.filter("must_info", hit)).withColumn("missing_info", F.filter("must_info", lambda m: ~hit(m)))
     total, phrases = _sum(c("must_info"), _weight), F.filter("matched_info", lambda m: F.size(m["words"]) > 1)

@@ -35,8 +35,8 @@ def goes_on() -> Column:
 
 def judged(hits: DataFrame, asked: DataFrame, papers: DataFrame) -> DataFrame:
     """Candidates of the hits with features, label, score and rank. papers: paper_id, body, year, citations."""
-    rows = rank.candidates(hits, ["qid", "paper_id"]).join(small(held(features.prepared(asked))), "qid").join(papers, "paper_id")
-    rows = features.with_text(rows, c("body")).withColumns({"influential": F.lit(0), "references": F.lit(0)})
+    rows = rank.candidates(hits, ["qid", "paper_id"]).join(small(held(features.prepared(asked))), "qid").join(features.worded(papers, c("body")), "paper_id")
+    rows = features.with_text(rows).withColumns({"influential": F.lit(0), "references": F.lit(0)})
     no = F.lit(0)
     scored = features.decided(features.scored(rows, features.graph_alias(F.lit(False), no, no, F.lit(False), F.lit(False))))
     return rank.top_k(scored, ["qid"], [F.desc("score"), F.asc("paper_id")], 1 << 30)

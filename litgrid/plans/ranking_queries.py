@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from litgrid.functions import text as T
 from litgrid.operators import features, intent, rank, rounds, select, understand
 from litgrid.operators.understand import Lexicon
-from litgrid.sources.tables import held
+from litgrid.sources.tables import held, small, stored
 
 from .fixtures import PAPERS, papers, table, title_sql, tokens_sql
 from .registry import query
@@ -26,6 +26,8 @@ LEXICON = Lexicon(
     patterns=(r"\bnew [a-z]+\b",), fields={"gear": "transmission", "rod": "bars", "plate": "sheets"}, noise=("brand",), relaxed=(("survey", ("old", "rod")),), extras=((("better",), ("hot plate standard",)),), anchors=("widget",),
     hints=("gear", "rod"), singles=("anvil",), generic=("paper",), locators=("which paper",), phrase_hints=("hot plate",), constraint_markers=("than",),
 )
+#: Queries up to which their intents, of some kilobytes each, are broadcast.
+FEW_QUERIES = 5_000
 TAILS = (", better than larger", ", which paper", ", a survey", "", ", a dataset")
 _KQ = f"kq AS (SELECT qid, string_agg(p_name, ', ' ORDER BY rank) || [{', '.join(repr(t) for t in TAILS)}][qid % {len(TAILS)} + 1] AS clean FROM ranked JOIN part ON p_partkey = paper_id WHERE source = 'title_bm25' AND rank <= 3 GROUP BY qid)"
 _LANES = ", ".join(features.LANES)
@@ -64,11 +66,13 @@ def intents(spark, d):
 
 
 def candidates(spark, d):
-    """All features of all candidates; read several times by most queries, and so held."""
-    asked = F.broadcast(held(features.prepared(intents(spark, d))))  # one row per query of a batch
+    """All features of all candidates."""
+    # an intent is a wide row: only few are broadcast, others meet their candidates by query, as the windows do later
+    asked = small(held(features.prepared(intents(spark, d))), FEW_QUERIES)
     p = table(spark, d, "part").select(c("p_partkey").alias("paper_id"), "p_name", "p_size", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("body"))
-    rows = rank.candidates(ranked(spark, d), ["qid", "paper_id"]).join(asked, "qid").join(p, "paper_id")
-    rows = features.with_text(rows, c("body")).withColumns({"citations": c("p_size"), "influential": c("p_size") % 9, "references": c("p_size") % 40, "year": 2010 + c("p_size") % 15})
+    found = small(held(features.worded(p, c("body")).join(table(spark, d, "lineitem").select((c("l_partkey") % 500).alias("paper_id")).distinct(), "paper_id", "left_semi")))
+    rows = rank.candidates(ranked(spark, d), ["qid", "paper_id"]).join(found, "paper_id").join(asked, "qid")
+    rows = features.with_text(rows).withColumns({"citations": c("p_size"), "influential": c("p_size") % 9, "references": c("p_size") % 40, "year": 2010 + c("p_size") % 15})
     size = c("p_size")
     return features.decided(features.scored(rows, features.graph_alias(c("r_alias").isNotNull(), size % 7, size % 5, size % 3 == 0, size % 4 == 0)))
 
@@ -262,9 +266,9 @@ _FUSED_HEAD = "qid, paper_id, round((1 - w) * model + w * score + 1e-9, 6)::DOUB
 def k15(spark, d):
     """The pool's first five, then the forty best that a model scored, by fused score, then the pool."""
     scores = table(spark, d, "part").where("p_partkey % 9 <> 0").select(c("p_partkey").alias("paper_id"), ((c("p_partkey") * 7919) % 1000 / 1000.0).alias("model"))
-    x = held(placed(spark, d))
+    x = stored(placed(spark, d).where("rank <= 120").select("qid", "paper_id", "rank", "score", "strong_alias", "n_sources"))
     fused = F.round(rank.rerank_fusion(c("model"), c("score"), F.least(F.lit(1.0), "strong_alias"), F.least(F.lit(1.0), c("n_sources") / 4.0)) + 1e-9, 6)
-    head = rank.top_k(x.where("rank <= 120").join(scores, "paper_id").select("qid", "paper_id", fused.alias("fused")), ["qid"], [F.desc("fused"), F.asc("paper_id")], 40, "rerank")
+    head = rank.top_k(x.join(scores, "paper_id").select("qid", "paper_id", fused.alias("fused")), ["qid"], [F.desc("fused"), F.asc("paper_id")], 40, "rerank")
     return rank.merge_head(x.where("rank <= 60"), head, 5).withColumn("place", c("place").cast("long"))
 
 

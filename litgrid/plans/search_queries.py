@@ -188,7 +188,9 @@ _ALL = f"WITH {_HITS}, {_RANKED}, {_FUSED}, {_GOLD}, {_POOL}"
 
 def hits(spark, d):
     names = F.array(*map(F.lit, NAMES))
-    return table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("qid"), F.element_at(names, c("l_linenumber").cast("int")).alias("source"), (c("l_partkey") % 500).alias("paper_id")).agg((F.max("l_extendedprice") / 1000).alias("score"))
+    rows = table(spark, d, "lineitem").select(c("l_suppkey").alias("qid"), F.element_at(names, c("l_linenumber").cast("int")).alias("source"), (c("l_partkey") % 500).alias("paper_id"), "l_extendedprice")
+    # grouping, ranks by retriever, candidates and their order all follow from this one shuffle
+    return rows.repartition("qid").groupBy("qid", "source", "paper_id").agg((F.max("l_extendedprice") / 1000).alias("score"))
 
 
 def ranked(spark, d):
