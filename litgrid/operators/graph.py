@@ -69,10 +69,10 @@ def resolve(references: DataFrame, title: str, papers: DataFrame) -> DataFrame:
     return found.withColumn("score", F.when(F.col("target_paper_id").isNotNull(), 0.95).otherwise(0.0))
 
 
-def aliases(papers: DataFrame, key: str, words: Column, head: Column, hints: DataFrame, limit: int = 16) -> DataFrame:
+def aliases(papers: DataFrame, key: str, words: Column, head: Column, hints: DataFrame, limit: int = 16, named: DataFrame | None = None) -> DataFrame:
     """key, alias, alias_type, size, confidence, place: the names of a paper's concepts, then runs of five to two words of its
-    head with a hint word, each once, in that order, up to the limit."""
-    named = concepts(papers, key, words, hints)
+    head with a hint word, each once, in that order, up to the limit. named: the papers' concepts, where they are known."""
+    named = concepts(papers, key, words, hints) if named is None else named
     order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.desc(F.length("phrase")), F.asc("phrase")))
     first = named.select(key, "phrase", F.lit(0).alias("size"), order.alias("at"))
     run = lambda n: F.transform(T.ngrams(head, n), lambda g, i: F.struct(g.alias("phrase"), F.lit(n).alias("size"), (i + 1).alias("at")))
@@ -91,15 +91,21 @@ def aliases(papers: DataFrame, key: str, words: Column, head: Column, hints: Dat
 def alias_search(asked: DataFrame, known: DataFrame, named: DataFrame, relations: dict[str, float], k: int) -> DataFrame:
     """qid, paper_id, score, support, relations, terms, rank by three ways that add up: aliases by their relation's weight,
     other papers that mention an alias' concept, and concepts of that name. asked: qid, term; known: paper_id, alias,
-    concept_id, relation, confidence; named: paper_id, phrase, confidence."""
+    concept_id, relation, confidence; named: paper_id, phrase, confidence.
+
+    Papers of a concept add up for every other paper that has its alias. These are counted by query, concept and term, so a
+    paper meets a number and not the other papers, whose pairs would grow with the square of them.
+    """
     weight = F.lit(1.0)
     for name, w in relations.items():
         weight = F.when(F.col("relation") == name, w).otherwise(weight)
     asked = small(asked)
     direct = known.join(asked, known["alias"] == asked["term"]).select("qid", "paper_id", "concept_id", F.col("alias").alias("term"), (weight * F.col("confidence")).alias("score"), "relation")
-    found = direct.select("qid", "concept_id", "term", F.col("paper_id").alias("own")).distinct()
-    others = _by_concept(known.select("paper_id", "concept_id", "confidence"), found, "concept_id").where("paper_id <> own")
-    others = others.select("qid", "paper_id", "term", (0.5 * F.col("confidence")).alias("score"), F.lit("alias_to_concept_mentions").alias("relation"))
+    met = held(direct.groupBy("concept_id", "qid", "term").agg(F.count_distinct("paper_id").alias("papers")))
+    asked_for = known.join(small(met.select("concept_id").distinct()), "concept_id", "left_semi")
+    each = held(asked_for.groupBy("paper_id", "concept_id").agg(F.sum("confidence").alias("confidence"), F.collect_set("alias").alias("own")))
+    others = _by_concept(each, met, "concept_id").withColumn("n", F.col("papers") - F.array_contains("own", F.col("term")).cast("int")).where("n > 0")
+    others = others.select("qid", "paper_id", "term", (0.5 * F.col("confidence") * F.col("n")).alias("score"), F.lit("alias_to_concept_mentions").alias("relation"))
     plain = named.join(asked, named["phrase"] == asked["term"]).select("qid", "paper_id", "term", (0.25 * F.col("confidence")).alias("score"), F.lit("concept").alias("relation"))
     every = direct.drop("concept_id").unionByName(others).unionByName(plain)
     total = every.groupBy("qid", "paper_id").agg(F.sum("score").alias("score"), F.count_distinct("term").alias("support"), F.array_sort(F.collect_set("relation")).alias("relations"), F.array_sort(F.collect_set("term")).alias("terms"))

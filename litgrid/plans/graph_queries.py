@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
 from litgrid.operators import dictionary, graph, rank, understand
-from litgrid.sources.tables import held, small
+from litgrid.sources.tables import held, small, stored
 
 from .fixtures import CHUNKS, PAPERS, chunks, papers, table, title_sql, tokens_sql
 from .registry import query
@@ -104,9 +104,9 @@ _ALIASES = f"""aw AS (SELECT paper_id, {tokens_sql("title || '. ' || abstract")}
   al AS (SELECT *, {_type_sql('norm')} AS alias_type, CASE WHEN size = 0 THEN 0.86::DOUBLE WHEN size <= 3 THEN 0.72 ELSE 0.78 END AS confidence, {_hash_sql('concept', _type_sql('norm'), 'norm')} AS concept_id FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY size = 0 DESC, size DESC, pos) AS place FROM al2 WHERE k = 1) WHERE place <= 16)"""
 
 
-def aliases(spark, d):
+def aliases(spark, d, named=None):
     rows = papers(spark, d).select("paper_id", T.tokens(F.concat_ws(". ", "title", "abstract")).alias("w"), F.filter(T.tokens(F.concat(c("title"), F.lit(". "), F.substring("abstract", 1, 800))), lambda t: F.length(t) > 2).alias("v"))
-    return graph.aliases(rows, "paper_id", c("w"), c("v"), hints(spark))
+    return graph.aliases(rows, "paper_id", c("w"), c("v"), hints(spark), named=named)
 
 
 @query("g06_aliases", f"WITH {PAPERS}, {_ALIASES} SELECT paper_id, norm AS alias, alias_type, confidence, place FROM al")
@@ -149,8 +149,8 @@ def _asked_terms(spark, d):
 def alias_hits(spark, d):
     size = c("size")
     relation = F.when(size == 5, "PROPOSES").when(size == 4, "USES_DATASET").when(size == 3, "EVALUATES_ON").when(size == 2, "ADDRESSES").otherwise("MENTIONS")
-    known = held(aliases(spark, d).withColumn("relation", relation).withColumn("concept_id", T.stable_hash("concept", c("alias_type"), c("alias"))))
-    concepts = graph.concepts(papers(spark, d).select("paper_id", T.tokens(F.concat_ws(". ", "title", "abstract")).alias("w")), "paper_id", c("w"), hints(spark))
+    concepts = stored(graph.concepts(papers(spark, d).select("paper_id", T.tokens(F.concat_ws(". ", "title", "abstract")).alias("w")), "paper_id", c("w"), hints(spark)))
+    known = stored(aliases(spark, d, concepts).select("paper_id", "alias", relation.alias("relation"), T.stable_hash("concept", c("alias_type"), c("alias")).alias("concept_id"), "confidence"))
     return graph.alias_search(_asked_terms(spark, d), known, concepts, RELATIONS, 50)
 
 

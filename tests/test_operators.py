@@ -226,3 +226,35 @@ def test_words_end_at_accents_as_in_sql(spark):
     con = duckdb.connect()
     assert [tuple(r) for r in word] == [con.execute("SELECT regexp_matches(?, ?), regexp_matches(?, ?), regexp_matches(?, ?)", [t, topic, t, r"\b(fix)\b.+\b(code)\b", t, r"\bword\b"]).fetchone() for t in texts]
     assert word[0][0] and word[2][1] and word[4][2]
+
+
+def test_merged_head_keeps_narrow_rows(spark, sf_dir, monkeypatch):
+    """What k15 writes are six columns of 120 rows a query, and intents of many queries are not broadcast."""
+    from litgrid.plans import ranking_queries
+
+    kept = []
+    monkeypatch.setattr(ranking_queries, "stored", lambda df: kept.append(df) or df)
+    few = ranking_queries.k15(spark, sf_dir).collect()
+    assert kept[0].columns == ["qid", "paper_id", "rank", "score", "strong_alias", "n_sources"]
+    monkeypatch.setattr(ranking_queries, "FEW_QUERIES", 0)
+    assert sorted(few) == sorted(ranking_queries.k15(spark, sf_dir).collect())
+    assert "must_info" not in "".join(x for x in kept[1]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "broadcast" in x)
+
+
+def test_alias_search_counts_papers_of_a_concept(spark, monkeypatch):
+    """Papers of a concept are met as a number: a row for each query and term, and not one for each paper."""
+    from litgrid.operators import graph
+
+    known = [(f"p{i}", "a", "k", "MENTIONS", 0.5) for i in range(30)] + [("p0", "b", "k", "MENTIONS", 0.25), ("x", "b", "k", "MENTIONS", 0.75)]
+    met, join = [], graph._by_concept
+    monkeypatch.setattr(graph, "_by_concept", lambda rows, asked, key: met.append(asked.count()) or join(rows, asked, key))
+    schema = "paper_id string, alias string, concept_id string, relation string, confidence double"
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "qid int, term string")
+    found = graph.alias_search(asked, spark.createDataFrame(known, schema), spark.createDataFrame([], "paper_id string, phrase string, confidence double"), {"MENTIONS": 2.0}, 100).collect()
+    total = {}
+    for q, term in ((1, "a"), (2, "b")):
+        own = {p for p, a, *_ in known if a == term}
+        for p, a, _, _, sure in known:
+            total[q, p] = total.get((q, p), 0) + (2 * sure if a == term else 0) + 0.5 * sure * len(own - {p})
+    assert {(r["qid"], r["paper_id"]): round(r["score"], 6) for r in found} == {k: round(v, 6) for k, v in total.items()}
+    assert met == [2]
