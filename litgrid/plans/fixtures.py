@@ -51,7 +51,9 @@ BENCHMARK_QUERIES = "bq AS (SELECT 'q' || item_id AS qid, text AS query_text FRO
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers that share eight successive words with the query's text."""
-    shingles = lambda df, key: df.select(key, F.explode(F.array_distinct(T.ngrams(F.split(T.normalize_title(F.col("text")), " "), 8))).alias("shingle"))
+    # words are a column of their own: as part of the expression of shingles they would be made for each of its slices
+    words = lambda df, key: df.select(key, F.split(T.normalize_title(F.col("text")), " ").alias("words"))
+    shingles = lambda df, key: words(df, key).select(key, F.explode(F.array_distinct(T.ngrams(F.col("words"), 8))).alias("shingle"))
     items = shingles(table(spark, sf_dir, "benchmark"), "item_id")
     docs = shingles(table(spark, sf_dir, "documents"), "doc_id")
     return docs.join(items, "shingle").select(F.concat(F.lit("q"), "item_id").alias("qid"), F.concat(F.lit("doc:"), "doc_id").alias("paper_id")).distinct()
