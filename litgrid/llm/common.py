@@ -74,13 +74,18 @@ def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     @functools.wraps(f)
     def run(batches: Iterator) -> Iterator:
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library has its own ways
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Gives the memory that this process freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has its own ways
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read from there: lost executors cost no recomputation."""
     prepared(df.sparkSession)

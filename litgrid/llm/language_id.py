@@ -7,15 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SEGMENT, batches, fold_of, id_in, id_out, lean, prepared, settled
+from .common import SEGMENT, batches, fold_of, give_back, id_in, id_out, lean, prepared, settled
 
 #: Expected training documents of a language, drawn by hash, whole texts.
 SAMPLE = 2000
-#: A context of three bytes is in the tree if the training texts hold it so often.
-LEAST = 8
+#: A context of three bytes is in the tree if the training texts hold it so often, and, where all documents are learned
+#: from, at least once in so many bytes, so that the tree does not grow with the input.
+LEAST, ONE_IN = 8, 1 << 21
+#: Different byte quadruples that a task counts before it passes them on.
+COUNTED = 1 << 20
 #: Times the usual bits a byte of its language, up to which a text is learned from when trees are learned again, and up to
 #: which a text is kept; and bits that any text may take beside.
 LEARNED, KEPT, FREE = 2.0, 4.0, 64
@@ -30,6 +33,10 @@ def _grams(raw: bytes) -> np.ndarray:
     return x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
 
 
+def _bits(chance: np.ndarray) -> np.ndarray:
+    return (-np.log2(chance)).astype(np.float32)
+
+
 class Trees:
     """Code lengths in bits of every byte after every context of the tree, for all languages.
 
@@ -38,7 +45,9 @@ class Trees:
     context all bytes are alike. A context that a language has not met passes on to the shorter one at no cost.
     """
 
-    def __init__(self, languages: list[str], language: np.ndarray, gram: np.ndarray, count: np.ndarray):
+    def __init__(self, languages: list[str], language: np.ndarray, gram: np.ndarray, count: np.ndarray, deep: np.ndarray | None = None):
+        """deep: which counts are of contexts of three bytes in the tree, where that is decided; the others count for shorter
+        contexts only."""
         self.languages = languages
         if not languages:
             return
@@ -61,23 +70,27 @@ class Trees:
         self.node = np.tile(two, a)
         code3 = s3 * a * a + code2
         seen3, where = np.unique(code3, return_inverse=True)
-        often = np.bincount(where, count) >= LEAST
-        keep = often[where]
+        often = np.bincount(where, count) >= LEAST if deep is None else np.bincount(where, deep) > 0
+        keep = often[where] if deep is None else deep
         seen3 = seen3[often]
         if len(seen3):
             shorter = two[seen3 % (a * a)] - a
             rows.append(self._level(np.searchsorted(seen3, code3[keep]), len(seen3), s0[keep], language[keep], count[keep], rows[2][shorter]))
             self.node[seen3] = a + len(seen2) + np.arange(len(seen3))
         self.node = self.node.astype(np.int32)
-        self.bits = -np.log2(np.concatenate(rows[1:])).astype(np.float32).reshape(-1, n)
+        self.bits = np.concatenate([_bits(x) for x in rows[1:]]).reshape(-1, n)
 
     @staticmethod
     def _level(at: np.ndarray, size: int, symbol: np.ndarray, language: np.ndarray, count: np.ndarray, parent: np.ndarray) -> np.ndarray:
         _, a, n = parent.shape
-        c = np.bincount((at * a + symbol) * n + language, count, size * a * n).reshape(size, a, n)
-        t, d = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        whole = np.maximum(t + d, 1)
-        return np.where(t == 0, parent, np.where(c > 0, c / whole, d / whole * parent))
+        out = np.empty((size, a, n))
+        for k in range(n):  # one language's counts at a time, as they are the driver's largest arrays
+            own = language == k
+            c = np.bincount(at[own] * a + symbol[own], count[own], size * a).reshape(size, a)
+            t, d, before = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True), parent[:, :, k]
+            whole = np.maximum(t + d, 1)
+            out[:, :, k] = np.where(t == 0, before, np.where(c > 0, c / whole, d / whole * before))
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language; long texts are gone through in segments."""
@@ -108,15 +121,15 @@ class Trees:
 
 
 def drawn(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, sample: int) -> tuple[DataFrame, list[str]]:
-    """lang and text (and half, that of the text's hash) of about `sample` documents of each language, by a hash of id and
-    text, of the rows to learn from; and the languages."""
+    """lang and text of about `sample` documents of each language, by a hash of id and text, of the rows to learn from; and
+    the languages."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     chance = F.lit(1.0)
     for x, n in sizes.items():
         chance = F.when(F.col("lang") == x, min(1.0, sample / n)).otherwise(chance)
     found = rows.where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 20)) < chance * (1 << 20))
-    return found.select("lang", "text", _half("text")), sorted(sizes)
+    return found.select("lang", "text"), sorted(sizes)
 
 
 def learned(rows: DataFrame, languages: list[str]) -> Trees:
@@ -169,43 +182,112 @@ def predict(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _half(text: str) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half")
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
-def rated(rows: DataFrame, trees: list[Trees]) -> DataFrame:
-    """lang, half, text and rate of rows (lang, text, half): bits a byte under their language's tree of the other half."""
+def _counts(rows: DataFrame, languages: list[str], judged: tuple[list[Trees], dict[str, float]] | None = None) -> DataFrame:
+    """half, language (its place), gram and n: the byte quadruples of all rows (lang, text, half), counted in their tasks and
+    added up; with judged (see crossed), of rows that take up to LEARNED times the usual bits only."""
+    index = {x: k for k, x in enumerate(languages)}
 
     @lean
-    def rate(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batch:
-            for half, own in x.groupby("half"):
-                raw, index = [t.encode("utf-8", "replace") for t in own["text"]], {z: k for k, z in enumerate(trees[half].languages)}
-                bits = np.concatenate([trees[half].code_lengths(raw[i:j]) for i, j in batches(raw, 1 << 19)])
-                at = [index[z] for z in own["lang"]]
-                yield own.assign(rate=bits[np.arange(len(raw)), at] / np.maximum(1, [len(t) for t in raw]))[["lang", "half", "text", "rate"]]
+    def count(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = {}, 0
 
-    return rows.mapInPandas(rate, "lang string, half int, text string, rate double")
+        def add(key: tuple[int, int], gram: np.ndarray, n: np.ndarray) -> int:
+            if key in held:
+                gram, n = np.r_[held[key][0], gram], np.r_[held[key][1], n]
+            found, at = np.unique(gram, return_inverse=True)
+            before, held[key] = len(held[key][0]) if key in held else 0, (found, np.bincount(at, n).astype(np.int64))
+            return len(found) - before
 
+        for x in batch:
+            raw = [t.encode("utf-8", "replace") for t in x["text"]]
+            if judged is not None:
+                limit = x["lang"].map(judged[1]).to_numpy(float) * LEARNED
+                fit = _rates(x, raw, judged[0]) <= limit
+                raw, x = [t for t, ok in zip(raw, fit, strict=True) if ok], x[fit]
+            for key, own in x.reset_index(drop=True).groupby(["half", "lang"]).indices.items():
+                for i, j in batches([raw[k] for k in own], 1 << 21):
+                    gram, n = np.unique(np.concatenate([_grams(raw[k]) for k in own[i:j]]), return_counts=True)
+                    size += add((int(key[0]), index[key[1]]), gram.astype(np.int64), n)
+            if size > COUNTED:
+                yield from passed(held)
+                size = 0
+        yield from passed(held)
+
+    def passed(held: dict) -> Iterator[pd.DataFrame]:
+        while held:
+            (half, language), (gram, n) = held.popitem()
+            yield pd.DataFrame({"half": half, "language": language, "gram": gram, "n": n})
+
+    return rows.mapInPandas(count, "half int, language int, gram long, n long").groupBy("half", "language", "gram").agg(F.sum("n").alias("n"))
+
+
+def _halves(counts: DataFrame, languages: list[str]) -> list[Trees]:
+    """For either half, the trees that learned from the other half's counts. What is rarer than a tree holds is added up to
+    contexts of two bytes in Spark, so that the driver gets the trees' own counts only."""
+    found = settled(counts.withColumn("context", F.shiftright("gram", 8)).withColumn("often", F.sum("n").over(Window.partitionBy("half", "context"))))
+    total = {r["half"]: r["n"] for r in found.groupBy("half").agg(F.sum("n").alias("n")).collect()}
+    deep = F.col("often") >= F.greatest(F.lit(LEAST), F.lit(0.0) + sum((F.when(F.col("half") == h, n / ONE_IN).otherwise(0.0) for h, n in total.items()), F.lit(0.0)))
+    short = F.col("gram").bitwiseAND((1 << 24) - 1)
+    gram = F.when(F.col("deep"), F.col("gram")).otherwise(short + F.shiftright(short, 16) * (1 << 24))
+    kept = found.withColumn("deep", deep).groupBy("half", "language", "deep", gram.alias("gram")).agg(F.sum("n").alias("n"))
 
-def crossed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[Trees], dict[str, float]]:
-    """For either half of the texts, trees that only learned from the other half; and the usual bits a byte of a language.
+    @lean
+    def pack(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in rows:
+            yield pd.DataFrame([{c: x[c].to_numpy(np.int64).tobytes() for c in x.columns}])
+
+    names = ("half", "language", "deep", "gram", "n")
+    packed = kept.select(*names).mapInPandas(pack, ", ".join(f"{c} binary" for c in names)).collect()
+    half, language, is_deep, grams, n = (np.frombuffer(b"".join(r[c] for r in packed), np.int64) for c in names)
+    out = []
+    for h in (0, 1):
+        own = half == 1 - h
+        out.append(Trees(languages, language[own], grams[own], n[own].astype(float), is_deep[own] > 0))
+    return out
+
+
+def _rates(x: pd.DataFrame, raw: list[bytes], trees: list[Trees]) -> np.ndarray:
+    """Bits a byte of rows (lang, half) with these texts, under their language's tree of the other half."""
+    out, halves = np.zeros(len(raw)), x["half"].to_numpy()
+    at = x["lang"].map({z: k for k, z in enumerate(trees[0].languages)}).to_numpy()
+    for h in (0, 1):
+        own = np.flatnonzero(halves == h)
+        texts = [raw[i] for i in own]
+        for i, j in batches(texts, 1 << 19):
+            bits = trees[h].code_lengths(texts[i:j])
+            out[own[i:j]] = bits[np.arange(j - i), at[own[i:j]].astype(np.int64)] / np.maximum(1, [len(t) for t in texts[i:j]])
+    return out
+
+
+def crossed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[Trees], dict[str, float]]:
+    """For either half of the texts, trees that learned from all texts of the other half; and the usual bits a byte of a
+    language.
 
     Halves are by the text's hash, so no tree ever learned from the text that it judges, under whatever id or label. What
-    is usual is the median over held-out texts. Trees are learned twice: the second time without texts that took over
-    LEARNED times the usual bits, so junk or other tongues under a language's name leave it.
+    is usual is the median over all texts, held out. Trees are learned twice: the second time without texts that took over
+    LEARNED times the usual bits, so junk or other tongues under a language's name leave it. Texts are not stored or
+    shuffled; each step is one pass over the documents.
     """
-    rows, languages = drawn(docs, F.lit(True), id_col, text_col, lang_col, sample)
-    rows = settled(rows.where("text <> ''"))
-    halves = lambda x: [learned(x.where(F.col("half") == 1 - h), languages) for h in (0, 1)]
-    first = rated(rows, halves(rows)) if languages else None
-    if first is None:
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != "")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("half", _half("text"))
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not languages:
         return [], {}
-    first = settled(first)
-    usual = {r["lang"]: r["usual"] for r in first.groupBy("lang").agg(F.percentile_approx("rate", 0.5).alias("usual")).collect()}
-    limit = F.lit(0.0)
-    for x, m in usual.items():
-        limit = F.when(F.col("lang") == x, LEARNED * m).otherwise(limit)
-    return halves(first.where(F.col("rate") <= limit)), usual
+    first = _halves(_counts(rows, languages), languages)
+
+    @lean
+    def rate(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batch:
+            yield pd.DataFrame({"lang": x["lang"], "rate": _rates(x, [t.encode("utf-8", "replace") for t in x["text"]], first)})
+
+    usual = {r["lang"]: r["usual"] for r in rows.mapInPandas(rate, "lang string, rate double").groupBy("lang").agg(F.percentile_approx("rate", 0.5).alias("usual")).collect()}
+    trees = _halves(_counts(rows, languages, (first, usual)), languages)
+    del first
+    give_back()
+    return trees, usual
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -695,3 +695,33 @@ def test_language_stage_ignores_labels(spark, docs):
 
 def test_queries_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
+
+
+def test_pipeline_language_learns_from_every_text(spark, monkeypatch):
+    # before, about 2,000 texts of a language were drawn
+    learned = []
+
+    class Seen(language_id.Trees):
+        def __init__(self, languages, language, gram, count, *more):
+            learned.append(int(count.sum()))
+            super().__init__(languages, language, gram, count, *more)
+
+    monkeypatch.setattr(language_id, "Trees", Seen)
+    rows = [(k, f"la casa del numero {k} es muy grande", "es") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.keep_known(spark, docs).count() == 5000
+    assert sum(learned[:2]) == sum(len(t) for _, t, _ in rows)
+
+
+def test_pruned_trees_are_those_of_all_counts(spark):
+    texts = [(f"le chat numero {k} dort sur le grand lit bleu {k * 7919 % 1000}", "fr") for k in range(300)] + [(f"the cat number {k} sleeps on the big blue bed", "en") for k in range(300)]
+    rows = spark.createDataFrame(texts, "text string, lang string").withColumn("half", language_id._half("text"))
+    found = language_id._halves(language_id._counts(rows, ["en", "fr"]), ["en", "fr"])
+    for h in (0, 1):
+        gram, language = [], []
+        for r in rows.where(F.col("half") == 1 - h).collect():
+            own = language_id._grams(r["text"].encode())
+            gram, language = [*gram, *own], [*language, *[["en", "fr"].index(r["lang"])] * len(own)]
+        plain = language_id.Trees(["en", "fr"], np.array(language), np.array(gram, np.int64), np.ones(len(gram)))
+        asked = [b"le chat dort", b"the big cat sleeps", b"numero 77"]
+        assert np.allclose(found[h].code_lengths(asked), plain.code_lengths(asked))
