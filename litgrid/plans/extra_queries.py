@@ -110,11 +110,10 @@ def r10(spark, d):
 @query("r13_chunk_type_boost", f"WITH s AS ({_SCORES_CHUNKS}) SELECT qid, chunk_id, score, rank FROM (SELECT qid, doc_id AS chunk_id, round(s.score + CASE WHEN chunk_type = 'title_abstract' THEN 0.35 ELSE 0 END, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s.score + CASE WHEN chunk_type = 'title_abstract' THEN 0.35 ELSE 0 END, 6) DESC, doc_id) AS rank FROM s JOIN (SELECT 'doc:' || doc_id || '#chunk:' || (i - 1) AS doc_id, CASE WHEN i = 1 THEN 'title_abstract' ELSE 'section' END AS chunk_type FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) k USING (doc_id)) WHERE rank <= 20")
 def r13(spark, d):
     """Chunk scores with a constant for titles and abstracts, ranked with it."""
-    x = chunks(spark, d)
-    scores = index.bm25_scores(_terms(spark, d), index.token_rows(x, "chunk_id", c("text"))).withColumnRenamed("doc_id", "chunk_id")
-    both = scores.join(x.select("chunk_id", "chunk_type"), "chunk_id")
-    boosted = both.select("qid", "chunk_id", F.round(c("score") + F.when(c("chunk_type") == "title_abstract", 0.35).otherwise(0.0), 6).alias("score"))
-    return rank.top_k(boosted, ["qid"], [F.desc("score"), F.asc("chunk_id")], 20).withColumn("rank", c("rank").cast("long"))
+    plus = F.when(c("chunk_type") == "title_abstract", 0.35).otherwise(0.0)
+    rows = chunks(spark, d).select(c("chunk_id").alias("doc_id"), T.tokens(c("text")).alias("tokens"), plus.alias("plus")).withColumn("length", F.size("tokens"))
+    found = index.bm25(_terms(spark, d), rows, 20, digits=6)
+    return found.select("qid", c("doc_id").alias("chunk_id"), F.round("score", 6).alias("score"), c("rank").cast("long"))
 
 
 @query("r21_concept_ids", "SELECT p_partkey, ty AS type, 'concept:' || substr(sha1(ty || chr(31) || lower(p_name)), 1, 20) AS concept_id FROM part, (SELECT unnest(['method', 'dataset']) AS ty)")

@@ -92,8 +92,7 @@ def r12(spark, d):
     s AS (SELECT q.qid, v.doc_id, sum(q * d) / (any_value(vn.norm) * any_value(qn.norm)) AS score FROM q JOIN v USING (token) JOIN vn ON vn.doc_id = v.doc_id JOIN qn ON qn.qid = q.qid GROUP BY q.qid, v.doc_id)
     SELECT qid, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""")
 def r05(spark, d):
-    p = papers(spark, d)
-    return index.tfidf_cosine(_terms(spark, d), index.postings(p, "paper_id", F.concat_ws(" ", "title", "abstract")), p.count(), 20).select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
+    return index.tfidf_top_k(_terms(spark, d), _bodies(spark, d), 20).select("qid", "doc_id", F.round("score", 6).alias("score"), c("rank").cast("long"))
 
 
 _SCORES = lambda post: f"""WITH {PAPERS}, {BENCHMARK_QUERIES}, {post}, {_TERMS}, n AS (SELECT greatest(1, count(*)) AS n FROM papers),
