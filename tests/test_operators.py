@@ -304,3 +304,37 @@ def test_best_chunk_of_a_paper(spark):
     halves = index._best(docs, *args)
     index.PAIRS = most
     assert sorted(whole.itertuples(index=False)) == sorted(halves.itertuples(index=False))
+
+
+def test_constants_are_added_before_ranking_in_tasks(spark):
+    from litgrid.operators import index
+
+    docs = spark.createDataFrame([("a", ["x", "y"], 0.0), ("b", ["x", "z"], 0.35), ("c", ["x", "x"], 0.0), ("d", ["z"], 9.0)], "doc_id string, tokens array<string>, plus double").withColumn("length", F.size("tokens"))
+    terms = spark.createDataFrame([("q", "x", 1.0)], "qid string, token string, weight double")
+    plain = {r["doc_id"]: r["score"] for r in index.bm25_scores(terms, docs).collect()}
+    found = index.bm25(terms, docs, 2, digits=6).orderBy("rank").collect()
+    assert [r["doc_id"] for r in found] == ["b", "c"] and abs(found[0]["score"] - plain["b"] - 0.35) < 1e-9
+
+
+def test_cosine_in_tasks_is_that_of_postings(spark):
+    from litgrid.operators import index
+
+    texts = [(f"d{k}", [f"w{k % 3}", f"w{k % 5}", "all", f"own{k}", f"w{k % 3}"]) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id string, tokens array<string>").withColumn("length", F.size("tokens"))
+    terms = spark.createDataFrame([("p", "w1", 1.0), ("p", "own7", 1.0), ("q", "w4", 1.0), ("q", "nowhere", 1.0)], "qid string, token string, weight double")
+    post = docs.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    rows = lambda x: sorted((r["qid"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in x.collect())
+    plain = rows(index.tfidf_cosine(terms, post, 40, 6))
+    assert rows(index.tfidf_top_k(terms, docs, 6)) == plain
+    assert [x[:3] for x in rows(index.tfidf_top_k(terms, docs, 6, in_memory=2))] == [x[:3] for x in plain]
+
+
+def test_gold_by_lookup_is_gold_by_join(spark, sf_dir, tmp_path, monkeypatch):
+    words = "one two three four five six seven eight nine ten"
+    text = [(1, f"Zero. {words}"), (2, "one two three four five six seven none"), (None, words), (3, None), (4, f"{words}. {words}")]
+    spark.createDataFrame(text, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, words), (6, "too short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted(map(tuple, fixtures.gold(spark, str(tmp_path)).collect()), key=repr)
+    monkeypatch.setattr(fixtures, "ASKED", 0)
+    assert found == sorted(map(tuple, fixtures.gold(spark, str(tmp_path)).collect()), key=repr)
+    assert ("q5", None) in found and ("q5", "doc:4") in found and len(found) == 3
