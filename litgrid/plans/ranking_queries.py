@@ -137,7 +137,11 @@ def k11(spark, d):
 
 
 def _for_lanes(spark, d, target: int = 120):
-    return placed(spark, d).select("qid", "paper_id", "profile", "rank", "preselect", "sure", *features.LANES, T.tokens(c("p_name")).alias("words"))
+    return lane_columns(placed(spark, d))
+
+
+def lane_columns(rows, *more):
+    return rows.select("qid", "paper_id", "profile", "rank", "preselect", "sure", *features.LANES, T.tokens(c("p_name")).alias("words"), *more)
 
 
 @query("k12_lanes", f"{_K} qid, paper_id, support, {_LANES}, dense_only_weak, sure FROM feat")
