@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,3 +156,38 @@ def action_metrics(rows: DataFrame, label: str, prediction: str) -> DataFrame:
     rate = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
     tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
     return x.agg(F.count("*").alias("total"), rate("exact").alias("exact_match"), rate("ok").alias("parse_rate"), rate("stop").alias("stop_accuracy"), F.round(tp / (tp + fp), 6).alias("precision"), F.round(tp / (tp + fn), 6).alias("recall"), F.round(2 * tp / (2 * tp + fp + fn), 6).alias("f1"))
+
+
+def document_features(docs: DataFrame, high: list[str], low: list[str], suffixes: tuple[str, ...], aliases: dict[str, str], most: int = 80) -> DataFrame:
+    """doc_id, feature, value: counts of kept tokens (as keep_term has them), the heaviest `most` runs of four to two of them
+    with a useful one, and the phrases of aliases in the text, of equal features the greatest.
+
+    docs: doc_id, norm (as normalize_title gives it), a row for each id, so that everything is found in the row's task.
+    """
+    high_, low_, stop, ends = frozenset(high), frozenset(low), frozenset(T.STOP_WORDS), tuple(suffixes)
+    phrases = [(f" {a} ", f"phrase:{t}") for a, t in aliases.items()]
+
+    def features(text: str) -> dict[str, float]:
+        ts = [t for t in text.split(" ") if len(t) > 1 and t not in low_ and (t in high_ or (len(t) > 2 and t not in stop))]
+        useful = [t in high_ or "-" in t or t.endswith(ends) for t in ts]
+        out = {t: float(n) for t, n in Counter(ts).items()}
+        weights = []
+        for n in (4, 3, 2):
+            grams = Counter(" ".join(ts[k : k + n]) for k in range(len(ts) - n + 1) if True in useful[k : k + n])
+            weights += [(-round(times * (1 + 0.15 * (n - 1)), 4), g) for g, times in grams.items()]
+        named = [(f"phrase:{g}", -w) for w, g in heapq.nsmallest(most, weights)]
+        named += [(phrase, 1.8) for alias, phrase in phrases if ts and alias in f" {text} "]
+        for f, v in named:
+            out[f] = max(v, out.get(f, v))
+        return out
+
+    def spread(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in rows:
+            for k in range(0, len(x), 200):
+                some = x.iloc[k : k + 200]
+                found = [features(t) for t in some["norm"]]
+                ids = some["doc_id"].repeat([len(f) for f in found])
+                yield pd.DataFrame({"doc_id": ids.to_numpy(), "feature": [f for one in found for f in one], "value": [v for one in found for v in one.values()]})
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select(F.col("doc_id").cast("string"), "norm").mapInPandas(spread, "doc_id string, feature string, value double").withColumn("doc_id", F.col("doc_id").cast(kind))

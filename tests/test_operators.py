@@ -338,3 +338,22 @@ def test_gold_by_lookup_is_gold_by_join(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(fixtures, "ASKED", 0)
     assert found == sorted(map(tuple, fixtures.gold(spark, str(tmp_path)).collect()), key=repr)
     assert ("q5", None) in found and ("q5", "doc:4") in found and len(found) == 3
+
+
+def test_document_features_in_tasks_are_those_by_id(spark, sf_dir, tmp_path):
+    from litgrid.plans import evaluation_queries as E
+
+    texts = [t for (t,) in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").select("text").limit(30).collect()]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, "In the text: model-based retrieval, model-based retrieval"])] + [(3, texts[5]), (None, texts[6]), (None, texts[7])], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = E._features_by_id(spark, docs.select("doc_id", T.normalize_title(F.col("text")).alias("norm")))
+    rows = lambda x: sorted(((r["doc_id"], r["feature"], round(r["value"], 6)) for r in x.collect()), key=repr)
+    assert rows(E.q18(spark, str(tmp_path))) == rows(plain)
+
+
+def test_document_features_need_no_shuffle_of_phrases(spark, sf_dir):
+    from litgrid.plans import evaluation_queries as E
+
+    # before, every phrase of every document was a row to be shuffled and ranked
+    plan = E.q18(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInPandas" in plan
