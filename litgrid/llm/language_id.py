@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,18 +182,31 @@ def predict(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def _sent(spark: SparkSession, trees: list[Trees]) -> Broadcast:
+    """The trees as a broadcast, of which a worker keeps one copy. In a function's closure each worker would hold them twice
+    over, as bytes and as arrays, and the driver as well."""
+    return spark.sparkContext.broadcast([vars(x) for x in trees])
+
+
+def _received(sent: Broadcast) -> list[Trees]:
+    trees = [Trees.__new__(Trees) for _ in sent.value]
+    for x, own in zip(trees, sent.value, strict=True):
+        vars(x).update(own)
+    return trees
+
+
 def _half(text: str) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
-def _counts(rows: DataFrame, languages: list[str], judged: tuple[list[Trees], dict[str, float]] | None = None) -> DataFrame:
+def _counts(rows: DataFrame, languages: list[str], judged: tuple[Broadcast, dict[str, float]] | None = None) -> DataFrame:
     """half, language (its place), gram and n: the byte quadruples of all rows (lang, text, half), counted in their tasks and
-    added up; with judged (see crossed), of rows that take up to LEARNED times the usual bits only."""
+    added up; with judged (trees as _sent gives them, and the usual bits), of rows that take up to LEARNED times these only."""
     index = {x: k for k, x in enumerate(languages)}
 
     @lean
     def count(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = {}, 0
+        held, size, trees = {}, 0, _received(judged[0]) if judged is not None else []
 
         def add(key: tuple[int, int], gram: np.ndarray, n: np.ndarray) -> int:
             if key in held:
@@ -205,7 +219,7 @@ def _counts(rows: DataFrame, languages: list[str], judged: tuple[list[Trees], di
             raw = [t.encode("utf-8", "replace") for t in x["text"]]
             if judged is not None:
                 limit = x["lang"].map(judged[1]).to_numpy(float) * LEARNED
-                fit = _rates(x, raw, judged[0]) <= limit
+                fit = _rates(x, raw, trees) <= limit
                 raw, x = [t for t, ok in zip(raw, fit, strict=True) if ok], x[fit]
             for key, own in x.reset_index(drop=True).groupby(["half", "lang"]).indices.items():
                 for i, j in batches([raw[k] for k in own], 1 << 21):
@@ -276,16 +290,17 @@ def crossed(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not languages:
         return [], {}
-    first = _halves(_counts(rows, languages), languages)
+    first = _sent(docs.sparkSession, _halves(_counts(rows, languages), languages))
 
     @lean
     def rate(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = _received(first)
         for x in batch:
-            yield pd.DataFrame({"lang": x["lang"], "rate": _rates(x, [t.encode("utf-8", "replace") for t in x["text"]], first)})
+            yield pd.DataFrame({"lang": x["lang"], "rate": _rates(x, [t.encode("utf-8", "replace") for t in x["text"]], trees)})
 
     usual = {r["lang"]: r["usual"] for r in rows.mapInPandas(rate, "lang string, rate double").groupBy("lang").agg(F.percentile_approx("rate", 0.5).alias("usual")).collect()}
     trees = _halves(_counts(rows, languages, (first, usual)), languages)
-    del first
+    first.unpersist()
     give_back()
     return trees, usual
 
@@ -301,17 +316,22 @@ def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text", lan
     """
     prepared(spark)
     trees, usual = crossed(docs, text_col=text_col, lang_col=lang_col)
-    half = "language_id_half"
+    # what a language may take of each half's trees is known here; the trees themselves are read by workers only
+    limits = [np.array([KEPT * usual.get(z, np.log2(x.a)) for z in x.languages]) for x in trees]
+    sent, half = _sent(spark, trees), "language_id_half"
+    del trees
+    give_back()
 
     @lean
     def judge(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = _received(sent)
         for x in batch:
             texts, halves = x.column(text_col).to_pylist(), np.array(x.column(half).to_pylist())
             keep = np.array([any(c.isalpha() for c in t or "") for t in texts], bool)
             for h in (0, 1) if trees else ():
                 own = np.flatnonzero(keep & (halves == h))
                 raw = [texts[i].encode("utf-8", "replace") for i in own]
-                limit = np.array([KEPT * usual.get(z, np.log2(trees[h].a)) for z in trees[h].languages])
+                limit = limits[h]
                 for i, j in batches(raw, 1 << 19):
                     bits, size = trees[h].code_lengths(raw[i:j]), np.array([len(t) for t in raw[i:j]])
                     best = bits.argmin(1)

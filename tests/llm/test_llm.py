@@ -725,3 +725,14 @@ def test_pruned_trees_are_those_of_all_counts(spark):
         plain = language_id.Trees(["en", "fr"], np.array(language), np.array(gram, np.int64), np.ones(len(gram)))
         asked = [b"le chat dort", b"the big cat sleeps", b"numero 77"]
         assert np.allclose(found[h].code_lengths(asked), plain.code_lengths(asked))
+
+
+def test_language_trees_are_not_in_closures(spark, docs, monkeypatch):
+    """A worker that gets trees in its function's closure holds them as bytes and as arrays."""
+    from pyspark import cloudpickle
+
+    sizes = []
+    monkeypatch.setattr(language_id, "lean", lambda f: (sizes.append(f), common.lean(f))[1])
+    assert language_id.keep_known(spark, docs).count() > 0
+    assert len(sizes) >= 4
+    assert max(len(cloudpickle.dumps(f)) for f in sizes) < 50_000
