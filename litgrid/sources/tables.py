@@ -40,6 +40,16 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Rows of a task where several groupings and windows follow from one shuffle, as each of them holds the task's rows.
+TASK_ROWS = 1 << 17
+
+
+def parted(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df, of n rows, shuffled by key into tasks of about TASK_ROWS rows, whatever n. A partition that follows from the
+    session's number of them would grow with the input, and with it the memory of a task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), key)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed JSON lines; blank lines and lines that cannot be parsed are dropped."""
     names = schema + ", _corrupt string"

@@ -357,3 +357,44 @@ def test_document_features_need_no_shuffle_of_phrases(spark, sf_dir):
     # before, every phrase of every document was a row to be shuffled and ranked
     plan = E.q18(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "MapInPandas" in plan
+
+
+def test_hits_are_parted_by_their_number(spark, sf_dir, monkeypatch):
+    """A task's rows are bounded, whatever the input; before, the session's number of partitions decided."""
+    from litgrid.plans import search_queries
+    from litgrid.sources import tables
+
+    plain = {tuple(r) for r in search_queries.ranked(spark, sf_dir).collect()}
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    found = search_queries.ranked(spark, sf_dir)
+    assert found.rdd.getNumPartitions() == -(-n // 100)
+    assert {tuple(r) for r in found.collect()} == plain
+
+
+def test_diversified_against_plain_loops(spark):
+    """Likeness is counted for all pairs at once, new constraints from an incidence; rows as one by one with Python's sets."""
+    import random
+
+    import pandas as pd
+
+    from litgrid.operators import select
+
+    rng = random.Random(5)
+    rows = [(q, 100 + k * 7 % 41, k + 1, round(1 - k / 50 + rng.choice((0, 0.025, 0.05)), 6), 3, 0.1, rng.choice((0.25, 0.55, 1.0)), rng.sample("abcd", rng.randint(0, 2)), [rng.choice("pqrstuv") for _ in range(rng.randint(0, 6))]) for q in range(6) for k in range(41 if q else 12)]
+    df = spark.createDataFrame(rows, "qid long, paper_id long, rank int, score double, protected int, penalty double, soften double, matched array<string>, words array<string>")
+    expected = set()
+    for q in range(6):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: r[2])
+        stay = len(own) if len(own) <= 12 else 3
+        chosen, rest = own[:stay], own[stay:]
+        jaccard = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+        while rest and len(chosen) < 30:
+            seen = {t for r in chosen for t in r[7]}
+            best = max(rest, key=lambda r: (round(r[3] + 0.025 * len(set(r[7]) - seen) - r[5] * r[6] * max(jaccard(set(r[8]), set(y[8])) for y in chosen), 9), -r[2]))
+            rest.remove(best)
+            chosen.append(best)
+        expected |= {(q, r[1], k + 1) for k, r in enumerate(chosen + rest)}
+    assert {tuple(r) for r in select.diversified(df, top_k=30).collect()} == expected
+    like = select._likeness(select._incidence(pd.Series([["a", "b"], ["b", "b", "c"], []])))
+    assert like[0, 1] == 1 / 3 and like[0, 0] == 1 and not like[2].any()
