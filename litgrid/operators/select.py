@@ -6,6 +6,7 @@ Spark first) go through one pandas call; queries are spread over the cluster.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,22 @@ def _jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
+def _incidence(lists: pd.Series) -> np.ndarray:
+    """A row for each list and a column for each different value: 1 where the list holds it."""
+    sizes = lists.map(len).to_numpy(np.int64)
+    own, column = np.repeat(np.arange(len(lists)), sizes), {}
+    out = [column.setdefault(v, len(column)) for values in lists for v in values]
+    found = np.zeros((len(lists), len(column)), np.float32)
+    found[own, out] = 1
+    return found
+
+
+def _likeness(m: np.ndarray) -> np.ndarray:
+    """The Jaccard likeness of all pairs of rows of an incidence; 0 where one has no values. Counts of words are exact."""
+    common, size = (m @ m.T).astype(float), m.sum(1, dtype=float)
+    return common / np.maximum(1, size[:, None] + size[None, :] - common)
+
+
 def lanes(candidates: DataFrame, target: int = 120, limit: int = 500, redundant: float = 0.92) -> DataFrame:
     """qid, paper_id, place, reason: a protected head, then rows of each lane up to its quota, both by profile, then the
     others by preselection score, and last those whose titles are too like one of the first 30 chosen, if not sure.
@@ -69,19 +86,29 @@ def diversified(ranked: DataFrame, top_k: int = 50, gain: float = 0.025, limit:
     """
 
     def choose(x: pd.DataFrame) -> pd.DataFrame:
-        rows = x.sort_values(["rank", "paper_id"]).to_dict("records")
-        stay = len(rows) if len(rows) <= 12 or top_k <= 10 else min(len(rows), int(rows[0]["protected"]))
-        chosen, rest = rows[:stay], rows[stay:]
-        seen = {t for r in chosen for t in r["matched"]}
-        near = {r["paper_id"]: max((_jaccard(set(r["words"]), set(y["words"])) for y in chosen), default=0.0) for r in rest}
-        while rest and len(chosen) < top_k:
-            best = max(rest, key=lambda r: (round(r["score"] + gain * len(set(r["matched"]) - seen) - r["penalty"] * r["soften"] * near[r["paper_id"]], 9), -r["rank"]))
-            rest.remove(best)
-            chosen.append(best)
-            seen |= set(best["matched"])
-            for r in rest:
-                near[r["paper_id"]] = max(near[r["paper_id"]], _jaccard(set(r["words"]), set(best["words"])))
-        return pd.DataFrame([(r["qid"], r["paper_id"], k + 1) for k, r in enumerate(chosen + rest)], columns=["qid", "paper_id", "place"])
+        x = x.sort_values(["rank", "paper_id"])
+        n, place = len(x), x["rank"].to_numpy()
+        stay = n if n <= 12 or top_k <= 10 else min(n, int(x["protected"].iloc[0]))
+        chosen, rest = list(range(stay)), np.arange(n) >= stay
+        if rest.any() and stay < top_k:
+            like, new = _likeness(_incidence(x["words"])), _incidence(x["matched"])
+            near = like[:, :stay].max(1, initial=0.0)
+            new[:, new[:stay].any(0)] = 0
+            score, weight = x["score"].to_numpy(float), (x["penalty"] * x["soften"]).to_numpy(float)
+            fresh = new.sum(1, dtype=float)
+            while rest.any() and len(chosen) < top_k:
+                value = score + gain * fresh - weight * near
+                # equal to nine digits, as Python rounds them, are only rows this close to the best
+                close = np.flatnonzero(rest & (value >= value[rest].max() - 3e-9))
+                best = max(close, key=lambda i: (round(float(value[i]), 9), -place[i])) if len(close) > 1 else close[0]
+                rest[best] = False
+                chosen.append(best)
+                if new[best].any():
+                    new[:, new[best] > 0] = 0
+                    fresh = new.sum(1, dtype=float)
+                near = np.maximum(near, like[best])
+        order = np.r_[np.array(chosen, np.int64), np.flatnonzero(rest)]
+        return pd.DataFrame({"qid": x["qid"].to_numpy(), "paper_id": x["paper_id"].to_numpy()[order], "place": np.arange(1, n + 1, dtype=np.int32)})
 
     kept = ranked.where(F.col("rank") <= limit)
     types = dict(kept.dtypes)
