@@ -12,19 +12,49 @@ from .components import spread_join
 from .rank import top_k
 
 
+#: Hint words that are broadcast; more are joined by a shuffle.
+FEW = 200_000
+
+
+def _hinted_runs(docs: DataFrame, key: str, words: Column, hints: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """key, phrase, size, at: each run of so many successive words with a hint word, once for the place where it starts.
+
+    Words meet the hints one by one, and runs are put together only around those that do: a run at the first of its hint
+    words.
+    """
+    hints = held(hints.select(F.col("word").alias("hint")).distinct())
+    few, most, at = hints.count() <= FEW, max(sizes), F.col("_at")
+    # explode would have the optimizer ask for filled arrays first, and make the words twice for that; explode_outer does not
+    rows = docs.select(key, words.alias("_w")).select(key, "_w", F.posexplode_outer("_w").alias("_at", "_word"))
+    start = F.greatest(F.lit(0), at - (most - 1))
+    near = lambda df: df.select(key, "_at", "_word", F.size("_w").alias("_size"), start.alias("_start"), F.slice("_w", start + 1, 2 * most - 1).alias("_near"))
+    if few:
+        hints = F.broadcast(hints)
+        rows = near(rows.join(hints, F.col("_word") == F.col("hint")))
+    else:  # a word that is shuffled takes those around it along, and not its whole document
+        rows = near(rows).join(hints, F.col("_word") == F.col("hint"))
+    clear = F.lit(most - 1)
+    for k in range(most - 1, 0, -1):
+        before = F.get("_near", at - F.col("_start") - k)
+        rows = rows.join(hints.withColumnRenamed("hint", f"_h{k}"), before == F.col(f"_h{k}"), "left")
+        clear = F.when(F.col(f"_h{k}").isNotNull(), k - 1).otherwise(clear)
+    rows = rows.withColumn("_clear", clear)  # so many words right before hold no hint
+
+    def runs(n: int) -> Column:
+        low, high = F.greatest(F.col("_start"), at - F.least(F.col("_clear"), F.lit(n - 1))), F.least(at, F.col("_size") - n)
+        run = lambda i: F.struct(F.concat_ws(" ", F.slice("_near", i - F.col("_start") + 1, n)).alias("phrase"), F.lit(n).alias("size"), (i + 1).alias("at"))
+        return F.when(low <= high, F.transform(F.sequence(low, high), run))
+
+    none = F.array().cast("array<struct<phrase:string,size:int,at:int>>")
+    found = rows.select(key, F.explode_outer(F.concat(*(F.coalesce(runs(n), none) for n in sizes))).alias("g"))
+    return found.select(key, "g.*").where("phrase is not null")
+
+
 def concepts(docs: DataFrame, key: str, words: Column, hints: DataFrame, limit: int = 12) -> DataFrame:
     """key, phrase, n, confidence: the most frequent two- and three-word phrases with a hint word; confidence grows with
     the count. hints has a row per word; phrases never leave the given word list."""
-    # a document's phrases stay together, so that counting and ranking share one shuffle; hints are few and are broadcast
-    hints = small(hints.select(F.col("word").alias("hint")).distinct())
-    m = lambda n: F.greatest(F.size("_w") - n + 1, F.lit(0))
-    part = lambda n, k: F.slice("_w", k + 1, m(n)).alias(f"w{k}")
-    two = F.transform(F.arrays_zip(part(2, 0), part(2, 1)), lambda x: F.struct(x["w0"].alias("w0"), x["w1"].alias("w1"), F.lit(None).cast("string").alias("w2")))
-    three = F.transform(F.arrays_zip(part(3, 0), part(3, 1), part(3, 2)), lambda x: F.struct(x["w0"].alias("w0"), x["w1"].alias("w1"), x["w2"].alias("w2")))
-    rows = docs.select(key, words.alias("_w")).select(key, F.explode(F.concat(two, three)).alias("g")).select(key, "g.*")
-    for k in range(3):
-        rows = rows.join(hints.withColumnRenamed("hint", f"h{k}"), F.col(f"w{k}") == F.col(f"h{k}"), "left")
-    rows = rows.where(F.coalesce("h0", "h1", "h2").isNotNull()).select(key, F.concat_ws(" ", "w0", "w1", "w2").alias("phrase"))
+    # a document's phrases stay together, so that counting and ranking share one shuffle
+    rows = _hinted_runs(docs, key, words, hints, (2, 3)).select(key, "phrase")
     kept = rows.repartition(key).groupBy(key, "phrase").agg(F.count("*").alias("n"))
     best = top_k(kept, [key], [F.desc("n"), F.desc(F.length("phrase")), F.asc("phrase")], limit)
     return best.select(key, "phrase", "n", F.least(F.lit(1.0), 0.55 + 0.08 * F.col("n")).alias("confidence"))
@@ -75,15 +105,13 @@ def aliases(papers: DataFrame, key: str, words: Column, head: Column, hints: Dat
     named = concepts(papers, key, words, hints) if named is None else named
     order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.desc(F.length("phrase")), F.asc("phrase")))
     first = named.select(key, "phrase", F.lit(0).alias("size"), order.alias("at"))
-    run = lambda n: F.transform(T.ngrams(head, n), lambda g, i: F.struct(g.alias("phrase"), F.lit(n).alias("size"), (i + 1).alias("at")))
-    runs = F.concat(*map(run, (5, 4, 3, 2)))
-    given = small(hints.select(F.col("word").alias("hint")).distinct())
-    grams = papers.select(key, F.explode(runs).alias("g")).select(key, "g.*")
-    hinted = grams.withColumn("w", F.explode(F.array_distinct(F.split("phrase", " ")))).join(given, F.col("w") == F.col("hint")).select(key, "phrase", "size", "at")
-    every = first.unionByName(hinted).withColumn("alias", T.normalize_title(F.col("phrase"))).where("alias <> ''")
+    hinted = _hinted_runs(papers, key, head, hints, (5, 4, 3, 2)).select(key, "phrase", "size", "at")
+    # a paper's phrases stay together, so that both rankings share one shuffle
+    every = first.unionByName(hinted).repartition(key).withColumn("alias", T.normalize_title(F.col("phrase")))
     sequence = [F.desc(F.col("size") == 0), F.desc("size"), F.asc("at")]
     once = every.withColumn("_k", F.row_number().over(Window.partitionBy(key, "alias").orderBy(*sequence))).where("_k = 1")
-    best = top_k(once, [key], sequence, limit, "place")
+    # blank names come last and go at the end; a condition before the ranking would have every name made twice
+    best = top_k(once, [key], [F.asc(F.col("alias") == ""), *sequence], limit, "place").where("alias <> ''")
     sure = F.when(F.col("size") == 0, 0.86).when(F.col("size") <= 3, 0.72).otherwise(0.78)
     return best.select(key, "alias", T.concept_type(F.col("alias")).alias("alias_type"), "size", sure.alias("confidence"), "place")
 

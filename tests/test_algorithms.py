@@ -448,3 +448,60 @@ def test_all_terms_makes_words_once(spark):
     found = {tuple(r) for r in index.all_terms(asked, docs).collect()}
     assert found == {(q, k) for q in "ab" for k in range(1, 30, 3)} | {("d", k) for k in range(30)}
     assert made.value == 30
+
+
+# ---- phrases with a hint word
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_concepts_and_aliases_against_plain_loops(spark, monkeypatch, few):
+    """Runs of words around hints, made at the first hint of each, count and rank as all runs that have one; documents of
+    one key count together."""
+    import re
+
+    from litgrid.operators import graph
+
+    monkeypatch.setattr(graph, "FEW", few)
+    random.seed(7)
+    hints, names = {"h1", "h2", "h3"}, ["h1", "h2", "h3", "h3", "a", "bb", "c-c", "dd", "ee", "f", "-"]
+    docs = [(k % 37, [random.choice(names) for _ in range(random.choice([0, 1, 2, 3, 4, 5, 9, 30]))]) for k in range(60)]
+    docs += [(50, None), (51, ["h1"]), (52, ["h1", "h1"]), (53, ["h2"] * 9), (54, ["a"] * 20 + ["h3"]), (55, ["h3"] + ["a"] * 20), (56, ["a", "bb"] * 9)]
+    df = spark.createDataFrame(docs, "id long, w array<string>")
+    given = spark.createDataFrame([(h,) for h in sorted(hints)] + [("h1",), ("none",)], "word string")
+    counts, runs = {}, {}
+    for i, w in docs:
+        for n in (2, 3, 4, 5):
+            for at in range(len(w or []) - n + 1):
+                if hints & set(w[at : at + n]):
+                    phrase = " ".join(w[at : at + n])
+                    runs.setdefault(i, []).append((n, at + 1, phrase))
+                    if n < 4:
+                        counts.setdefault(i, {}).setdefault(phrase, 0)
+                        counts[i][phrase] += 1
+    best = {i: sorted(x.items(), key=lambda p: (-p[1], -len(p[0]), p[0]))[:12] for i, x in counts.items()}
+    found = graph.concepts(df, "id", F.col("w"), given).collect()
+    assert sorted((r["id"], r["phrase"], r["n"]) for r in found) == sorted((i, p, n) for i, x in best.items() for p, n in x)
+    every = graph._hinted_runs(df, "id", F.col("w"), given, (5, 4, 3, 2)).collect()
+    assert sorted((r["id"], r["size"], r["at"], r["phrase"]) for r in every) == sorted((i, *r) for i, x in runs.items() for r in x)
+    want = set()
+    for i in runs:
+        # equal places of documents of one key leave it open which comes first, so these are compared without their order
+        own = [(0, at, p) for at, (p, _) in enumerate(best.get(i, []), 1)] + sorted(runs[i], key=lambda r: (-r[0], r[1]))
+        seen = dict.fromkeys(y for _, _, p in own if (y := " ".join(re.findall("[a-z0-9]+", p))))
+        want |= {(i, y, place) for place, y in enumerate(seen, 1) if place <= 16}
+    single = {i for i, _ in docs if sum(i == j for j, _ in docs) == 1}
+    found = {(r["id"], r["alias"], r["place"]) for r in graph.aliases(df, "id", F.col("w"), F.col("w"), given).collect()}
+    assert {x for x in found if x[0] in single} == {x for x in want if x[0] in single} and len(found) == len(want)
+
+
+def test_concepts_make_words_once(spark):
+    """A filter on what is exploded would make the words of a document a second time."""
+    from litgrid.functions import text as T
+    from litgrid.operators import graph
+
+    df = spark.createDataFrame([(1, "of the b-c dd")], "id long, text string")
+    given = spark.createDataFrame([("dd",)], "word string")
+    found = graph.aliases(df, "id", T.tokens(F.col("text")), T.tokens(F.col("text")), given)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[a-z0-9][a-z0-9-]*[a-z0-9]") == 2  # once for concepts, once for the head's runs
+    assert {r["alias"] for r in found.collect()} == {"b c dd"}
