@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litgrid.functions import text as T
 from litgrid.sources.tables import held, small, stored
 
 from . import features, fuse, rank, understand
@@ -28,13 +29,20 @@ def coverage(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return x.withColumn("next_queries", understand.next_queries(c("missing")))
 
 
+def words(asked: DataFrame) -> DataFrame:
+    """token: all words that search may ask for in any round."""
+    return asked.select(F.explode(T.tokens(F.concat_ws(" ", "clean", "must_have", "fields", "soft", "sub_queries"))).alias("token")).distinct()
+
+
 def goes_on() -> Column:
     """Whether a query of coverage() is asked again."""
     return (F.size("missing") > 0) & (c("high") < ENOUGH) & (F.size("next_queries") > 0)
 
 
-def judged(hits: DataFrame, asked: DataFrame, papers: DataFrame) -> DataFrame:
-    """Candidates of the hits with features, label, score and rank. papers: paper_id, body, year, citations."""
+def judged(hits: DataFrame, asked: DataFrame, papers: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Candidates of the hits with features, label, score and rank. papers: (paper_id) -> paper_id, body, year, citations of
+    these papers, so that only the words of papers that were hit are made and shuffled."""
+    papers = papers(small(hits.select("paper_id").distinct()))
     rows = rank.candidates(hits, ["qid", "paper_id"]).join(small(held(features.prepared(asked))), "qid").join(features.worded(papers, c("body")), "paper_id")
     rows = features.with_text(rows).withColumns({"influential": F.lit(0), "references": F.lit(0)})
     no = F.lit(0)
@@ -49,11 +57,12 @@ def search(asked: DataFrame, retrieve: Callable[[DataFrame], DataFrame], judge:
     asked: intents with clean; the first round asks each clean query. retrieve: (qid, action, query) -> qid, action, source,
     paper_id, score. judge: hits -> candidates with rank, matched and label. entities: paper_id, entity; papers of one
     entity are one candidate. A query goes on while constraints are missing, too few candidates are highly relevant and
-    there is something else to ask; at most `most` rounds. Each round is written before it is judged.
+    there is something else to ask; at most `most` rounds. What is retrieved and each round's hits are written once, before they
+    are read.
     """
     queries, state, hits = asked.select("qid", F.lit(0).alias("action"), c("clean").alias("query")), None, None
     for n in range(1, most + 1):
-        found = retrieve(queries)
+        found = stored(retrieve(queries))  # read three times
         own = entities.join(small(found.select("paper_id").distinct()), "paper_id", "left_semi")
         found = found.join(small(held(own)), "paper_id", "left").withColumn("paper_id", F.coalesce("entity", "paper_id"))
         best = found.groupBy("qid", "action", "source", "paper_id").agg(F.max("score").alias("score"))

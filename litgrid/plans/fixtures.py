@@ -13,18 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def papers(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents as papers, with more of their own columns."""
     title = F.regexp_extract("text", r"^([^.\n]*)", 1)
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc:"), "doc_id").alias("paper_id"), title.alias("title"), F.substring("text", F.length(title) + 2, F.length("text")).alias("abstract"),
-        (2010 + F.col("doc_id") % 15).cast("int").alias("year"), F.col("source").alias("venue"), "doc_id",
+        (2010 + F.col("doc_id") % 15).cast("int").alias("year"), F.col("source").alias("venue"), "doc_id", *more,
     )
 
 
-def cited_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers with a count of citations, for which the quality in labels stands."""
+def cited_papers(spark: SparkSession, sf_dir: str, some: DataFrame | None = None) -> DataFrame:
+    """Papers with a count of citations, for which the quality in labels stands; all of them, or those whose paper_id is in some."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("citation_count"))
-    return papers(spark, sf_dir).join(labels, "doc_id", "left").withColumn("citation_count", F.coalesce("citation_count", F.lit(0)))
+    rows = papers(spark, sf_dir)
+    return (rows if some is None else rows.join(some, "paper_id", "left_semi")).join(labels, "doc_id", "left").withColumn("citation_count", F.coalesce("citation_count", F.lit(0)))
 
 
 PAPERS = """papers AS (SELECT 'doc:' || d.doc_id AS paper_id, regexp_extract(d.text, '^([^.\\n]*)', 1) AS title,
