@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litgrid.functions import text as T
-from litgrid.operators import evaluate, fuse, impacts, index, rank, vectors
+from litgrid.operators import evaluate, fuse, impacts, index, rank, sparse, vectors
 from litgrid.sources.tables import fresh_path, held, parted, stored
 
 from .fixtures import BENCHMARK_QUERIES, CHUNKS, GOLD, PAPERS, benchmark_queries, chunks, cited_papers, gold, papers, table, tokens_sql
@@ -123,10 +123,10 @@ _R15 = f"WITH {_FEATURES}, s AS (SELECT q.id AS qid, x.id AS doc_id, CAST(sum(q.
 
 @query("r15_sparse_top_k", _R15)
 def r15(spark, d):
-    """First turns against all turns, which mostly share words: pairs are never rows, turns are multiplied where they lie."""
-    f = _features(spark, d)
-    rows = stored(f.where("value > 0").groupBy(c("id").alias("doc_id")).agg(F.collect_list(F.struct("feature", c("value").cast("double").alias("value"))).alias("x")).select("doc_id", c("x.feature").alias("features"), c("x.value").alias("values")))
-    hits = index.sparse_top_k(f.where("id like '%:0'").withColumnRenamed("id", "qid"), rows, 10)
+    """First turns against all turns, which mostly share words: pairs are never rows, turns are multiplied in tiles where they lie."""
+    turns = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.transform(T.tokens(c("text")), lambda t: F.xxhash64(t)).alias("features"))
+    rows = stored(sparse.vectors(turns, "id").where("size(features) > 0"))
+    hits = sparse.sparse_top_k(rows.where("id like '%:0'").withColumnRenamed("id", "qid"), rows.withColumnRenamed("id", "doc_id"), 10)
     return hits.select("qid", "doc_id", F.round("score").cast("long").alias("score"), c("rank").cast("long"))
 
 
